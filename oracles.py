@@ -76,7 +76,123 @@ FROM (SELECT count(*) AS total,
 """)
 
 
+COORDS = "latitude IS NOT NULL AND longitude IS NOT NULL"
+CAT, SUB = "crime_against_category", "offense_sub_category"
+
+
+def profile() -> str:
+    return with_incidents(f"""
+SELECT count(*) AS records,
+  count(*) FILTER (WHERE {COORDS}) AS records_with_coords,
+  min(date) AS min_date, max(date) AS max_date
+FROM incidents""")
+
+
+def selection_summary() -> str:
+    s, e = P.KPI_RANGE
+    return with_incidents(f"""
+SELECT selected, total, {pct('selected', 'total')} AS selected_pct,
+  CAST(datediff('day', DATE '{s}', DATE '{e}') AS INTEGER) AS days
+FROM (SELECT count(*) FILTER (WHERE {date_cond(s, e)}) AS selected, count(*) AS total
+      FROM incidents) x""")
+
+
+def category_options() -> str:
+    from incident_analytics.operators.options import CATEGORY_INFO, DEFAULT_COLOR
+    labels = ", ".join(f"('{c}', '{l}', '{k}')" for c, l, k in CATEGORY_INFO)
+    return with_incidents(f"""
+SELECT c.category, coalesce(l.label, c.category) AS label, coalesce(l.color, '{DEFAULT_COLOR}') AS color
+FROM cats c LEFT JOIN labels l ON c.category = l.category""", f"""
+found AS (SELECT DISTINCT {CAT} AS category FROM incidents WHERE {COORDS} AND {CAT} IS NOT NULL),
+cats AS (SELECT category FROM found
+         UNION ALL SELECT category FROM (VALUES ('PERSON'), ('PROPERTY'), ('SOCIETY')) v(category)
+         WHERE NOT EXISTS (SELECT 1 FROM found)),
+labels AS (SELECT * FROM (VALUES {labels}) t(category, label, color))""")
+
+
+def area_options() -> str:
+    return with_incidents(f"SELECT DISTINCT area FROM incidents WHERE {COORDS} AND area IS NOT NULL")
+
+
+def category_counts() -> str:
+    s, e = P.KPI_RANGE
+    return with_incidents(f"""
+SELECT {CAT}, count(*) AS incidents FROM incidents
+WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL GROUP BY {CAT}""")
+
+
+def trend(metric: str, order: str, rng, as_of: str, n: int = 10) -> str:
+    s, e = rng
+    mean = ("CAST(sum(CAST(coalesce(hazardness, 0e0) AS DECIMAL(18,4))) AS DOUBLE)"
+            " / CAST(count(*) AS DOUBLE)")
+    rank_expr = mean if metric == "hazard" else "CAST(count(*) AS DOUBLE)"
+    value_expr = rank_expr
+    order_by = "metric DESC, area ASC" if order == "top" else "metric ASC, area DESC"
+    return with_incidents(f"""
+SELECT period, area, {value_expr} AS value,
+  (SELECT CASE WHEN s > 180 THEN 'month' WHEN s > 60 THEN 'week' ELSE 'day' END FROM span) AS granularity
+FROM series GROUP BY period, area""", f"""
+base AS (SELECT * FROM incidents WHERE {date_cond(s, e)}
+         AND date < CAST(date_trunc('month', DATE '{as_of}') AS DATE)),
+span AS (SELECT datediff('day', min(date), max(date)) AS s FROM base),
+ranking AS (SELECT area, {rank_expr} AS metric FROM base WHERE area IS NOT NULL GROUP BY area),
+chosen AS (SELECT area FROM ranking ORDER BY {order_by} LIMIT {n}),
+series AS (
+  SELECT CASE WHEN span.s > 180 THEN CAST(date_trunc('month', date) AS DATE)
+              WHEN span.s > 60 THEN CAST(date_trunc('week', date) AS DATE)
+              ELSE date END AS period,
+         area, hazardness
+  FROM base, span WHERE area IN (SELECT area FROM chosen))""")
+
+
+def category_breakdown(top: int = 10) -> str:
+    s, e = P.KPI_RANGE
+    return with_incidents(f"""
+SELECT {CAT}, {SUB}, incidents, category_total, CAST(rank AS INTEGER) AS rank,
+  greatest(9e-1 - (rank - 1) * 5e-2, 4e-1) AS opacity
+FROM ranked WHERE rank <= {top}""", f"""
+counts AS (SELECT {CAT}, {SUB}, count(*) AS incidents FROM incidents
+           WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL AND {SUB} IS NOT NULL GROUP BY {CAT}, {SUB}),
+ranked AS (SELECT *, CAST(sum(incidents) OVER (PARTITION BY {CAT}) AS BIGINT) AS category_total,
+             row_number() OVER (PARTITION BY {CAT} ORDER BY incidents DESC, {SUB} ASC) AS rank
+           FROM counts)""")
+
+
+def category_rollup() -> str:
+    s, e = P.KPI_RANGE
+    return with_incidents(f"""
+SELECT {CAT}, {SUB}, CAST(GROUPING_ID({CAT}, {SUB}) AS INTEGER) AS level, count(*) AS incidents
+FROM incidents WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL AND {SUB} IS NOT NULL
+GROUP BY ROLLUP ({CAT}, {SUB})""")
+
+
+def subcategory_drilldown(category: str = "PERSON", top: int = 20) -> str:
+    s, e = P.KPI_RANGE
+    return with_incidents(f"""
+SELECT {SUB}, CASE WHEN length({SUB}) > 40 THEN concat(substr({SUB}, 1, 40), '...') ELSE {SUB} END AS label,
+  incidents, CAST(rank AS INTEGER) AS rank
+FROM best WHERE rank <= {top}""", f"""
+counts AS (SELECT {SUB}, count(*) AS incidents FROM incidents
+           WHERE {date_cond(s, e)} AND {CAT} = '{category}' AND {SUB} IS NOT NULL GROUP BY {SUB}),
+best AS (SELECT *, row_number() OVER (ORDER BY incidents DESC, {SUB} ASC) AS rank FROM counts)""")
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
+        "profile": profile(),
+        "selection_summary": selection_summary(),
+        "category_options": category_options(),
+        "area_options": area_options(),
+        "category_counts": category_counts(),
+        "trend_count_top": trend("count", "top", P.FULL_RANGE, P.AS_OF_AFTER),
+        "trend_count_bottom": trend("count", "bottom", P.FULL_RANGE, P.AS_OF_AFTER),
+        "trend_hazard_top": trend("hazard", "top", P.FULL_RANGE, P.AS_OF_AFTER),
+        "trend_hazard_bottom": trend("hazard", "bottom", P.FULL_RANGE, P.AS_OF_AFTER),
+        "trend_weekly": trend("count", "top", P.WEEKLY_RANGE, P.AS_OF_AFTER),
+        "trend_daily": trend("hazard", "top", P.DAILY_RANGE, P.AS_OF_AFTER),
+        "trend_month_cut": trend("count", "top", P.FULL_RANGE, P.AS_OF_INSIDE),
+        "category_breakdown": category_breakdown(),
+        "category_rollup": category_rollup(),
+        "subcategory_drilldown": subcategory_drilldown(),
     }
