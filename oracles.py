@@ -177,6 +177,114 @@ counts AS (SELECT {SUB}, count(*) AS incidents FROM incidents
 best AS (SELECT *, row_number() OVER (ORDER BY incidents DESC, {SUB} ASC) AS rank FROM counts)""")
 
 
+def haversine_sql(lat: float, lon: float) -> str:
+    """Distance in metres from a literal centre to (latitude, longitude)."""
+    rl1, rn1 = f"radians({d(lat)})", f"radians({d(lon)})"
+    s1 = "sin((radians(latitude) - " + rl1 + ") / 2)"
+    s2 = "sin((radians(longitude) - " + rn1 + ") / 2)"
+    a = f"{s1} * {s1} + cos({rl1}) * cos(radians(latitude)) * ({s2} * {s2})"
+    return f"(2e0 * asin(sqrt(least({a}, 1e0))) * {d(geo.EARTH_RADIUS_M)})"
+
+
+def polygon_sql(geojson) -> str:
+    ring = geo.ring_from_geojson(geojson)
+    lo_lat, hi_lat, lo_lon, hi_lon = geo.ring_bounds(ring)
+    terms = []
+    for p1x, p1y, p2x, p2y in geo._edge_terms(ring):
+        cond = (f"latitude > {d(min(p1y, p2y))} AND latitude <= {d(max(p1y, p2y))} "
+                f"AND longitude <= {d(max(p1x, p2x))}")
+        if p1x != p2x:
+            cond += (f" AND longitude <= (latitude - {d(p1y)}) * {d(p2x - p1x)} / {d(p2y - p1y)}"
+                     f" + {d(p1x)}")
+        terms.append(f"CASE WHEN {cond} THEN 1 ELSE 0 END")
+    parity = " + ".join(terms) or "0"
+    return (f"(latitude BETWEEN {d(lo_lat)} AND {d(hi_lat)} AND longitude BETWEEN {d(lo_lon)} AND {d(hi_lon)}"
+            f" AND ({parity}) % 2 = 1)")
+
+
+def filter_sql(rng, hours=None, categories=None, areas=None, polygon=None, circle=None) -> str:
+    parts = [date_cond(*rng)]
+    if hours is not None and tuple(hours) != (0, 24):
+        parts.append(f"hour BETWEEN {hours[0]} AND {min(hours[1], 23)}")
+    if categories is not None:
+        parts.append(f"{CAT} IN ({', '.join(repr(c) for c in categories)})" if categories else "FALSE")
+    if areas:
+        parts.append(f"area IN ({', '.join(repr(a) for a in areas)})")
+    if polygon is not None:
+        parts.append(polygon_sql(polygon))
+    if circle is not None:
+        (lat, lon), r = circle
+        parts.append(f"{haversine_sql(lat, lon)} <= {d(r)}")
+    return " AND ".join(parts)
+
+
+ROW_COLS = f"incident_id, date, hour, {CAT}, area, latitude, longitude"
+
+
+def filtered_rows(**kw) -> str:
+    return with_incidents(f"SELECT {ROW_COLS} FROM incidents WHERE {filter_sql(P.FULL_RANGE, **kw)}")
+
+
+def circle_rows() -> str:
+    cond = filter_sql(P.FULL_RANGE, circle=(P.CENTER, P.RADIUS_DEFAULT_M))
+    return with_incidents(f"""
+SELECT {ROW_COLS}, round({haversine_sql(*P.CENTER)}, 3) AS distance_m
+FROM incidents WHERE {cond}""")
+
+
+DETAIL_COND = dict(hours=P.DAY_HOURS, categories=P.ALL_CATEGORIES, circle=(P.CENTER, P.RADIUS_WIDE_M))
+
+
+def details_cte() -> str:
+    return f"""
+rows AS (SELECT *, TRY_CAST(datetime AS TIMESTAMP) AS ts FROM incidents
+         WHERE {filter_sql(P.FULL_RANGE, **DETAIL_COND)}),
+latest AS (SELECT * FROM rows ORDER BY ts DESC NULLS LAST, incident_id ASC LIMIT 500),
+details AS (SELECT incident_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date_time,
+              {SUB} AS offense_type, {CAT} AS crime_against, location, area,
+              round_even(hazardness, 1) AS hazard_score FROM latest)"""
+
+
+def incident_details() -> str:
+    return with_incidents("SELECT * FROM details", details_cte())
+
+
+def details_page() -> str:
+    return with_incidents(f"""
+SELECT * FROM details WHERE contains(area, '{P.PAGE_AREA_TEXT}')
+ORDER BY hazard_score DESC NULLS LAST, date_time DESC NULLS LAST, incident_id ASC
+LIMIT 20 OFFSET {20 * P.PAGE_NUMBER}""", details_cte())
+
+
+MAP_COND = dict(hours=(0, 24), categories=P.ALL_CATEGORIES)
+
+
+def shown_cte(n: int = 5000) -> str:
+    return f"""
+shown AS (SELECT * FROM incidents WHERE {filter_sql(P.FULL_RANGE, **MAP_COND)}
+          ORDER BY date DESC NULLS LAST, incident_id ASC LIMIT {n})"""
+
+
+def map_points() -> str:
+    return with_incidents(f"""
+SELECT incident_id, date, {CAT}, coalesce({SUB}, 'Unknown') AS hover_text, latitude, longitude,
+  location_freq,
+  CASE WHEN mx > mn THEN 5e0 + (location_freq - mn) / (mx - mn) * 2e1 ELSE 8e0 END AS marker_size
+FROM m""", shown_cte() + f""",
+f AS (SELECT *, count(*) OVER (PARTITION BY round_even(latitude, 4), round_even(longitude, 4))
+        AS location_freq FROM shown),
+m AS (SELECT *, min(location_freq) OVER () AS mn, max(location_freq) OVER () AS mx FROM f)""")
+
+
+def map_stats(n: int = 5000) -> str:
+    return with_incidents(f"""
+SELECT {CAT}, count(*) AS points,
+  least((SELECT c FROM matching), CAST({n} AS BIGINT)) AS shown_total,
+  (SELECT c FROM matching) AS matching_total
+FROM shown GROUP BY {CAT}""", shown_cte(n) + f""",
+matching AS (SELECT count(*) AS c FROM incidents WHERE {filter_sql(P.FULL_RANGE, **MAP_COND)})""")
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
@@ -195,4 +303,13 @@ def all_sql() -> dict[str, str]:
         "category_breakdown": category_breakdown(),
         "category_rollup": category_rollup(),
         "subcategory_drilldown": subcategory_drilldown(),
+        "hour_filter": filtered_rows(hours=P.NIGHT_HOURS),
+        "category_filter": filtered_rows(categories=P.TWO_CATEGORIES),
+        "area_filter": filtered_rows(areas=P.THREE_AREAS),
+        "polygon_filter": filtered_rows(polygon=P.POLYGON_U),
+        "circle_filter": circle_rows(),
+        "incident_details": incident_details(),
+        "details_page": details_page(),
+        "map_points": map_points(),
+        "map_stats": map_stats(),
     }

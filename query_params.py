@@ -14,3 +14,20 @@ AS_OF_AFTER = "2024-06-15"
 AS_OF_INSIDE = "2023-07-15"
 WEEKLY_RANGE = ("2023-03-01", "2023-06-08")   # 99 days → weekly buckets
 DAILY_RANGE = ("2023-05-01", "2023-05-30")    # 29 days → daily buckets
+
+# Map filters.
+NIGHT_HOURS = (22, 24)                 # → 22..23
+DAY_HOURS = (6, 22)
+TWO_CATEGORIES = ("PERSON", "SOCIETY")
+ALL_CATEGORIES = ("PERSON", "PROPERTY", "SOCIETY")
+THREE_AREAS = ("NATION_1", "NATION_5", "NATION_17")
+# A U-shaped ring with one slanted edge, closed by repeating its first point.
+POLYGON_U = ('{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [['
+             '[-122.40, 47.52], [-122.26, 47.55], [-122.26, 47.70], [-122.30, 47.70], '
+             '[-122.30, 47.58], [-122.36, 47.58], [-122.36, 47.70], [-122.40, 47.70], '
+             '[-122.40, 47.52]]]}}')
+CENTER = (47.6062, -122.3321)
+RADIUS_DEFAULT_M = 805.0
+RADIUS_WIDE_M = 3219.0
+PAGE_AREA_TEXT = "NATION_1"            # free-text column filter: area contains …
+PAGE_NUMBER = 1                        # second page of 20
