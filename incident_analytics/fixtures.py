@@ -65,6 +65,29 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed values of this fixture: planted faults per raw column, as
+# (residue of incident_id, planted text); the first matching residue wins.
+RAW_FAULTS = {
+    "Offense Category": [(11, "REDACTED")],
+    "Offense Sub Category": [(17, "UNKNOWN"), (19, "999"), (23, ""), (29, None)],
+    "NIBRS Crime Against Category": [(31, "ANY"), (37, "NOT_A_CRIME")],
+    "Block Address": [(41, None)],
+    "Neighborhood": [(43, "UNKNOWN"), (47, "FK ERROR"), (53, "OOJ"), (59, None)],
+    "Precinct": [(13, "-")],
+    "Sector": [(61, "None"), (67, "99")],
+    "Beat": [(71, None)],
+    "Reporting Area": [(73, None)],
+    "Hazardness": [(109, "-1.0")],
+    "Latitude": [(79, "abc"), (83, "0.0"), (89, "49.0")],
+    "Longitude": [(97, "-120.0")],
+}
+# Offense Date faults: null, 30 February, hour 25, no time part, one-digit
+# hour, one-digit minute and second.
+DATE_FAULTS = [(211, "null"), (223, "feb30"), (227, "hour25"), (229, "no_time"),
+               (233, "9:05:00"), (239, "09:5:1")]
+SHOOTING_RESIDUE = 7
+
+
 def _fault(i: Column, cases: list[tuple[int, object]], value: Column) -> Column:
     """``value`` unless ``i`` hits one of the residues; first hit wins."""
     out = None
@@ -76,51 +99,43 @@ def _fault(i: Column, cases: list[tuple[int, object]], value: Column) -> Column:
 
 
 def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw, all-text export rows with planted faults (FIXTURES.md §2).
-
-    Fault residues (fixed values of this fixture):
-      Offense Date: %211 null, %223 day 30 of February, %227 time 25:00:00,
-        %229 no time part, %233 time 9:05:00, %239 time 09:5:1
-      Offense Category: %11 REDACTED          Precinct: %13 '-'
-      Offense Sub Category: %17 UNKNOWN, %19 999, %23 empty, %29 null
-      NIBRS Crime Against Category: %31 ANY, %37 NOT_A_CRIME
-      Block Address: %41 null
-      Neighborhood: %43 UNKNOWN, %47 FK ERROR, %53 OOJ, %59 null
-      Sector: %61 None, %67 99                 Beat: %71 null
-      Reporting Area: %73 null                 Shooting Type Group: %7 Non-Fatal
-      Hazardness: %109 -1.0
-      Latitude: %79 'abc', %83 '0.0', %89 '49.0'   Longitude: %97 '-120.0'
-    """
+    """Raw, all-text export rows with planted faults (FIXTURES.md §2,
+    ``RAW_FAULTS`` and ``DATE_FAULTS``); shooting type is set on every
+    seventh row and missing elsewhere."""
     gold = incidents(spark, sf_dir)
     i = F.col("incident_id")
     day_text = F.col("date").cast("string")
-    offense_date = (
-        F.when(i % 211 == 0, F.lit(None).cast("string"))
-        .when(i % 223 == 0, F.concat(F.year("date").cast("string"), F.lit("-02-30 "), F.col("time")))
-        .when(i % 227 == 0, F.concat(day_text, F.lit(" 25:00:00")))
-        .when(i % 229 == 0, day_text)
-        .when(i % 233 == 0, F.concat(day_text, F.lit(" 9:05:00")))
-        .when(i % 239 == 0, F.concat(day_text, F.lit(" 09:5:1")))
-        .otherwise(F.concat(day_text, F.lit(" "), F.col("time")))
-    )
-    return gold.select(
-        i.alias("incident_id"),
-        offense_date.alias("Offense Date"),
-        _fault(i, [(11, "REDACTED")], F.col("offense")).alias("Offense Category"),
-        _fault(i, [(17, "UNKNOWN"), (19, "999"), (23, ""), (29, None)],
-               F.col("offense_sub_category")).alias("Offense Sub Category"),
-        _fault(i, [(31, "ANY"), (37, "NOT_A_CRIME")],
-               F.col("crime_against_category")).alias("NIBRS Crime Against Category"),
-        _fault(i, [(41, None)], F.col("location")).alias("Block Address"),
-        _fault(i, [(43, "UNKNOWN"), (47, "FK ERROR"), (53, "OOJ"), (59, None)],
-               F.col("area")).alias("Neighborhood"),
-        _fault(i, [(13, "-")], F.col("precinct")).alias("Precinct"),
-        _fault(i, [(61, "None"), (67, "99")], F.col("sector")).alias("Sector"),
-        _fault(i, [(71, None)], F.concat(F.col("sector"), ((i % 3) + 1).cast("string"))).alias("Beat"),
-        _fault(i, [(73, None)], (i % 900).cast("string")).alias("Reporting Area"),
-        F.when(i % 7 == 0, F.lit("Non-Fatal")).alias("Shooting Type Group"),
-        _fault(i, [(109, "-1.0")], F.col("hazardness").cast("string")).alias("Hazardness"),
-        _fault(i, [(79, "abc"), (83, "0.0"), (89, "49.0")],
-               F.col("latitude").cast("string")).alias("Latitude"),
-        _fault(i, [(97, "-120.0")], F.col("longitude").cast("string")).alias("Longitude"),
-    )
+    planted = {
+        "null": F.lit(None).cast("string"),
+        "feb30": F.concat(F.year("date").cast("string"), F.lit("-02-30 "), F.col("time")),
+        "hour25": F.concat(day_text, F.lit(" 25:00:00")),
+        "no_time": day_text,
+        "9:05:00": F.concat(day_text, F.lit(" 9:05:00")),
+        "09:5:1": F.concat(day_text, F.lit(" 09:5:1")),
+    }
+    offense_date = None
+    for modulus, kind in DATE_FAULTS:
+        cond = i % modulus == 0
+        offense_date = (F.when(cond, planted[kind]) if offense_date is None
+                        else offense_date.when(cond, planted[kind]))
+    offense_date = offense_date.otherwise(F.concat(day_text, F.lit(" "), F.col("time")))
+    source = {
+        "Offense Category": F.col("offense"),
+        "Offense Sub Category": F.col("offense_sub_category"),
+        "NIBRS Crime Against Category": F.col("crime_against_category"),
+        "Block Address": F.col("location"),
+        "Neighborhood": F.col("area"),
+        "Precinct": F.col("precinct"),
+        "Sector": F.col("sector"),
+        "Beat": F.concat(F.col("sector"), ((i % 3) + 1).cast("string")),
+        "Reporting Area": (i % 900).cast("string"),
+        "Hazardness": F.col("hazardness").cast("string"),
+        "Latitude": F.col("latitude").cast("string"),
+        "Longitude": F.col("longitude").cast("string"),
+    }
+    shooting = F.when(i % SHOOTING_RESIDUE == 0, F.lit("Non-Fatal"))
+    cols = {name: _fault(i, RAW_FAULTS[name], expr) for name, expr in source.items()}
+    cols["Offense Date"] = offense_date
+    cols["Shooting Type Group"] = shooting
+    from .schema import RAW_COLUMNS
+    return gold.select(i.alias("incident_id"), *[cols[c].alias(c) for c in RAW_COLUMNS])

@@ -285,6 +285,156 @@ FROM shown GROUP BY {CAT}""", shown_cte(n) + f""",
 matching AS (SELECT count(*) AS c FROM incidents WHERE {filter_sql(P.FULL_RANGE, **MAP_COND)})""")
 
 
+def _fault_sql(col_sql: str, cases) -> str:
+    whens = " ".join(
+        f"WHEN incident_id % {m} = 0 THEN {'NULL' if v is None else repr(v)}" for m, v in cases)
+    return f"CASE {whens} ELSE {col_sql} END"
+
+
+def raw_cte() -> str:
+    """The raw fixture (planted faults) in DuckDB; mirrors fixtures.raw_incidents."""
+    from incident_analytics.fixtures import DATE_FAULTS, RAW_FAULTS, SHOOTING_RESIDUE
+    from incident_analytics.schema import RAW_COLUMNS
+    day = "CAST(date AS VARCHAR)"
+    planted = {
+        "null": "NULL",
+        "feb30": "CAST(year(date) AS VARCHAR) || '-02-30 ' || time",
+        "hour25": f"{day} || ' 25:00:00'",
+        "no_time": day,
+        "9:05:00": f"{day} || ' 9:05:00'",
+        "09:5:1": f"{day} || ' 09:5:1'",
+    }
+    od = "CASE " + " ".join(f"WHEN incident_id % {m} = 0 THEN {planted[k]}" for m, k in DATE_FAULTS)
+    od += f" ELSE {day} || ' ' || time END"
+    source = {
+        "Offense Category": "offense",
+        "Offense Sub Category": SUB,
+        "NIBRS Crime Against Category": CAT,
+        "Block Address": "location",
+        "Neighborhood": "area",
+        "Precinct": "precinct",
+        "Sector": "sector",
+        "Beat": "sector || CAST(incident_id % 3 + 1 AS VARCHAR)",
+        "Reporting Area": "CAST(incident_id % 900 AS VARCHAR)",
+        "Hazardness": "CAST(hazardness AS VARCHAR)",
+        "Latitude": "CAST(latitude AS VARCHAR)",
+        "Longitude": "CAST(longitude AS VARCHAR)",
+    }
+    cols = {name: _fault_sql(expr, RAW_FAULTS[name]) for name, expr in source.items()}
+    cols["Offense Date"] = od
+    cols["Shooting Type Group"] = f"CASE WHEN incident_id % {SHOOTING_RESIDUE} = 0 THEN 'Non-Fatal' END"
+    body = ",\n  ".join(f'{cols[c]} AS "{c}"' for c in RAW_COLUMNS)
+    return f"raw AS (SELECT incident_id,\n  {body}\nFROM incidents)"
+
+
+def clean_ctes() -> str:
+    """raw → std (C1) → num (C2) → kept (C3–C8) → cleaned."""
+    from incident_analytics.operators import clean as C
+    from incident_analytics.schema import RAW_COLUMNS
+    ph = ", ".join(repr(p) for p in C.PLACEHOLDERS)
+    std = ", ".join(f'CASE WHEN "{c}" IN ({ph}) THEN NULL ELSE "{c}" END AS "{c}"' for c in RAW_COLUMNS)
+    keep = " AND ".join(f"({v})" for v in keep_sql().values())
+    od = '"Offense Date"'
+    return raw_cte() + f""",
+std AS (SELECT incident_id, {std} FROM raw),
+num AS (SELECT * REPLACE (TRY_CAST("Latitude" AS DOUBLE) AS "Latitude",
+                          TRY_CAST("Longitude" AS DOUBLE) AS "Longitude") FROM std),
+kept AS (SELECT * FROM num WHERE {keep}),
+parts AS (SELECT *,
+    TRY_CAST(split_part(split_part({od}, ' ', 1), '-', 1) AS INTEGER) AS y,
+    TRY_CAST(split_part(split_part({od}, ' ', 1), '-', 2) AS INTEGER) AS m,
+    TRY_CAST(split_part(split_part({od}, ' ', 1), '-', 3) AS INTEGER) AS d,
+    NULLIF(split_part({od}, ' ', 2), '') AS t FROM kept),
+dated AS (SELECT *, TRY_CAST(CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-'
+                            || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) AS dte FROM parts),
+cleaned AS (SELECT incident_id, dte AS date, t AS time,
+    CAST(coalesce(hour(try_strptime(t, '%H:%M:%S')), 0) AS INTEGER) AS hour,
+    CAST(dte AS VARCHAR) || ' ' || t AS datetime,
+    "Offense Category" AS offense, "Offense Sub Category" AS {SUB},
+    "NIBRS Crime Against Category" AS {CAT}, "Block Address" AS location,
+    "Neighborhood" AS area, "Precinct" AS precinct, "Sector" AS sector,
+    TRY_CAST("Hazardness" AS DOUBLE) AS hazardness, "Latitude" AS latitude, "Longitude" AS longitude
+  FROM dated)"""
+
+
+def keep_sql() -> dict[str, str]:
+    from incident_analytics.operators import clean as C
+
+    def lst(xs):
+        return ", ".join(repr(x) for x in xs)
+    req = " AND ".join(f'"{c}" IS NOT NULL' for c in C.REQUIRED)
+    return {
+        "c3_coordinate_range": (f'"Latitude" BETWEEN {d(C.LAT_RANGE[0])} AND {d(C.LAT_RANGE[1])} AND '
+                                f'"Longitude" BETWEEN {d(C.LON_RANGE[0])} AND {d(C.LON_RANGE[1])}'),
+        "c4_neighborhood": f'"Neighborhood" IS NOT NULL AND "Neighborhood" NOT IN ({lst(C.BAD_AREAS)})',
+        "c5_category": f'"NIBRS Crime Against Category" IN ({lst(C.VALID_CATEGORIES)})',
+        "c6_sub_category": (f'"Offense Sub Category" IS NOT NULL AND '
+                            f'"Offense Sub Category" NOT IN ({lst(C.BAD_SUBCATEGORIES)})'),
+        "c7_required": req,
+        "c8_sector": f'"Sector" IS NOT NULL AND "Sector" NOT IN ({lst(C.BAD_SECTORS)})',
+    }
+
+
+GOLD_SELECT = ("incident_id, date, time, hour, datetime, offense, offense_sub_category, "
+               "crime_against_category, location, area, precinct, sector, hazardness, latitude, longitude")
+
+
+def clean_incidents() -> str:
+    return with_incidents(f"SELECT {GOLD_SELECT} FROM cleaned", clean_ctes())
+
+
+def clean_audit() -> str:
+    from incident_analytics.operators import clean as C
+    from incident_analytics.schema import RAW_COLUMNS
+    ph = ", ".join(repr(p) for p in C.PLACEHOLDERS)
+    any_ph = " OR ".join(f'coalesce("{c}" IN ({ph}), FALSE)' for c in RAW_COLUMNS)
+    rules = keep_sql()
+    keep_all = " AND ".join(f"({v})" for v in rules.values())
+    od = '"Offense Date"'
+    t = f"NULLIF(split_part({od}, ' ', 2), '')"
+    dpart = f"split_part({od}, ' ', 1)"
+    dte = (f"TRY_CAST(CAST(TRY_CAST(split_part({dpart}, '-', 1) AS INTEGER) AS VARCHAR) || '-' || "
+           f"lpad(CAST(TRY_CAST(split_part({dpart}, '-', 2) AS INTEGER) AS VARCHAR), 2, '0') || '-' || "
+           f"lpad(CAST(TRY_CAST(split_part({dpart}, '-', 3) AS INTEGER) AS VARCHAR), 2, '0') AS DATE)")
+    metrics = {
+        "rows_in": "count(*)",
+        "c1_placeholder_rows": "count(*) FILTER (WHERE ph)",
+        "c2_unparseable_coordinates": ('count(*) FILTER (WHERE (lat_text IS NOT NULL AND "Latitude" IS NULL) '
+                                       'OR (lon_text IS NOT NULL AND "Longitude" IS NULL))'),
+        **{k: f"count(*) FILTER (WHERE NOT coalesce(({v}), FALSE))" for k, v in rules.items()},
+        "c9_shooting_filled": 'count(*) FILTER (WHERE "Shooting Type Group" IS NULL)',
+        "p1_bad_date": f"count(*) FILTER (WHERE {dte} IS NULL)",
+        "p3_hour_defaulted": f"count(*) FILTER (WHERE hour(try_strptime({t}, '%H:%M:%S')) IS NULL)",
+        "rows_out": f"count(*) FILTER (WHERE coalesce(({keep_all}), FALSE))",
+    }
+    wide = ", ".join(f"{v} AS {k}" for k, v in metrics.items())
+    long = " UNION ALL ".join(f"SELECT '{k}' AS rule, {k} AS rows FROM wide" for k in metrics)
+    std = ", ".join(f'CASE WHEN "{c}" IN ({ph}) THEN NULL ELSE "{c}" END AS "{c}"' for c in RAW_COLUMNS)
+    return with_incidents(long, raw_cte() + f""",
+flag AS (SELECT *, ({any_ph}) AS ph FROM raw),
+std AS (SELECT incident_id, ph, {std} FROM flag),
+num AS (SELECT * REPLACE (TRY_CAST("Latitude" AS DOUBLE) AS "Latitude",
+                          TRY_CAST("Longitude" AS DOUBLE) AS "Longitude"),
+          "Latitude" AS lat_text, "Longitude" AS lon_text FROM std),
+wide AS (SELECT {wide} FROM num)""")
+
+
+def ingest_profile() -> str:
+    return with_incidents(f"""
+SELECT count(*) AS records, count(*) FILTER (WHERE {COORDS}) AS records_with_coords,
+  min(date) AS min_date, max(date) AS max_date FROM cleaned""", clean_ctes())
+
+
+def schema_report() -> str:
+    from incident_analytics.schema import INCIDENTS
+    want = [f.name for f in INCIDENTS.fields]
+    parts = [f"SELECT '{c}' AS column_name, 'ok' AS status, {i} AS position, count({c}) AS non_null FROM cleaned"
+             for i, c in enumerate(want)]
+    parts.append(f"SELECT 'year' AS column_name, 'extra' AS status, {2 * len(want)} AS position, "
+                 "count(year(date)) AS non_null FROM cleaned")
+    return with_incidents(" UNION ALL ".join(parts), clean_ctes())
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
@@ -312,4 +462,10 @@ def all_sql() -> dict[str, str]:
         "details_page": details_page(),
         "map_points": map_points(),
         "map_stats": map_stats(),
+        "clean_incidents": clean_incidents(),
+        "clean_audit": clean_audit(),
+        "ingest_roundtrip": clean_incidents(),
+        "ingest_stream": clean_incidents(),
+        "ingest_profile": ingest_profile(),
+        "schema_report": schema_report(),
     }
