@@ -150,14 +150,15 @@ def in_polygon(lat: ColumnOrValue, lon: ColumnOrValue, geojson: Union[str, dict,
 
 
 def ring_column(geojson_col: Column) -> Column:
-    """Parse a GeoJSON text column to ``ARRAY<STRUCT<lon, lat>>`` (outer ring)."""
-    coords = F.from_json(
-        geojson_col,
-        T.StructType([T.StructField("geometry", T.StructType([
-            T.StructField("coordinates", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))
-        ]))]),
-    )["geometry"]["coordinates"][0]
-    return F.transform(coords, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    """Parse a GeoJSON text column (a Feature or a bare Polygon geometry) to
+    ``ARRAY<STRUCT<lon, lat>>`` (the outer ring)."""
+    coords_t = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
+    parsed = F.from_json(geojson_col, T.StructType([
+        T.StructField("geometry", T.StructType([T.StructField("coordinates", coords_t)])),
+        T.StructField("coordinates", coords_t),
+    ]))
+    outer = F.coalesce(parsed["geometry"]["coordinates"], parsed["coordinates"])[0]
+    return F.transform(outer, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
 def point_in_ring_column(lat: Column, lon: Column, ring: Column) -> Column:

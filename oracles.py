@@ -177,9 +177,11 @@ counts AS (SELECT {SUB}, count(*) AS incidents FROM incidents
 best AS (SELECT *, row_number() OVER (ORDER BY incidents DESC, {SUB} ASC) AS rank FROM counts)""")
 
 
-def haversine_sql(lat: float, lon: float) -> str:
-    """Distance in metres from a literal centre to (latitude, longitude)."""
-    rl1, rn1 = f"radians({d(lat)})", f"radians({d(lon)})"
+def haversine_sql(lat, lon) -> str:
+    """Distance in metres from a centre (literal numbers or SQL text) to (latitude, longitude)."""
+    lat = d(lat) if isinstance(lat, float) else lat
+    lon = d(lon) if isinstance(lon, float) else lon
+    rl1, rn1 = f"radians({lat})", f"radians({lon})"
     s1 = "sin((radians(latitude) - " + rl1 + ") / 2)"
     s2 = "sin((radians(longitude) - " + rn1 + ") / 2)"
     a = f"{s1} * {s1} + cos({rl1}) * cos(radians(latitude)) * ({s2} * {s2})"
@@ -435,6 +437,71 @@ def schema_report() -> str:
     return with_incidents(" UNION ALL ".join(parts), clean_ctes())
 
 
+def exact_mean_sql(col: str) -> str:
+    return f"CAST(sum(CAST({col} AS DECIMAL(18,8))) AS DOUBLE) / CAST(count({col}) AS DOUBLE)"
+
+
+def radius_join() -> str:
+    return with_incidents(f"""
+SELECT c.center_id, count(*) AS incidents,
+  count(*) FILTER (WHERE p.{CAT} = 'PERSON') AS person,
+  count(*) FILTER (WHERE p.{CAT} = 'PROPERTY') AS property,
+  count(*) FILTER (WHERE p.{CAT} = 'SOCIETY') AS society
+FROM centers c, pts p
+WHERE {haversine_sql('c.center_lat', 'c.center_lon').replace('(latitude', '(p.latitude').replace('(longitude', '(p.longitude')} <= c.radius_m
+GROUP BY c.center_id""", f"""
+pts AS (SELECT * FROM incidents WHERE {date_cond(*P.FULL_RANGE)}),
+centers AS (SELECT location AS center_id, {exact_mean_sql('latitude')} AS center_lat,
+              {exact_mean_sql('longitude')} AS center_lon, {d(P.BLOCK_RADIUS_M)} AS radius_m
+            FROM pts WHERE location IS NOT NULL GROUP BY location)""")
+
+
+def polygon_join() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {pid} AS polygon_id, count(*) FILTER (WHERE {polygon_sql(gj)}) AS incidents FROM pts"
+        for pid, gj in P.POLYGONS)
+    return with_incidents(f"SELECT polygon_id, incidents FROM ({parts}) x WHERE incidents > 0",
+                          f"pts AS (SELECT * FROM incidents WHERE {date_cond(*P.FULL_RANGE)})")
+
+
+def _key_sql(col: str) -> str:
+    city = f"CASE WHEN contains(lower({col}), 'seattle') THEN {col} ELSE {col} || ', Seattle, WA' END"
+    return f"trim(regexp_replace(lower({city}), '\\s+', ' ', 'g'))"
+
+
+def gazetteer_ctes() -> str:
+    return f"""
+gpts AS (SELECT * FROM incidents WHERE {COORDS} AND location IS NOT NULL),
+gaz AS (SELECT location AS address, {exact_mean_sql('latitude')} AS lat, {exact_mean_sql('longitude')} AS lon,
+          count(*) AS hits, concat_ws(', ', location, area, 'Seattle, WA') AS display_name
+        FROM gpts GROUP BY location, area),
+gk AS (SELECT *, {_key_sql('address')} AS key FROM gaz),
+best AS (SELECT key, lat, lon, display_name FROM (
+           SELECT *, row_number() OVER (PARTITION BY key ORDER BY hits DESC, display_name ASC) AS rn FROM gk)
+         WHERE rn = 1)"""
+
+
+def geocode_lookup() -> str:
+    return with_incidents(f"""
+SELECT a.address, b.lat AS latitude, b.lon AS longitude, b.display_name
+FROM addrs a LEFT JOIN best b ON {_key_sql('a.address')} = b.key""", gazetteer_ctes() + """,
+locs AS (SELECT DISTINCT location FROM incidents WHERE location IS NOT NULL),
+addrs AS (SELECT location AS address FROM locs
+          UNION ALL SELECT location || ', Seattle, WA' FROM locs
+          UNION ALL SELECT location || ' annex' FROM locs)""")
+
+
+def circle_outline() -> str:
+    ang = "(6.283185307179586e0 * t.i / 64e0)"
+    return with_incidents(f"""
+SELECT key, display_name, radius_m, CAST(t.i AS INTEGER) AS point,
+  lat + (radius_m / 1.11e5) * cos({ang}) AS latitude,
+  lon + (radius_m / (1.11e5 * cos(radians(lat)))) * sin({ang}) AS longitude,
+  radius_m / {d(geo.METRES_PER_MILE)} AS radius_miles
+FROM (SELECT *, {d(P.OUTLINE_RADIUS_M)} AS radius_m FROM best) c CROSS JOIN range(0, 65) t(i)""",
+                          gazetteer_ctes())
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
@@ -468,4 +535,8 @@ def all_sql() -> dict[str, str]:
         "ingest_stream": clean_incidents(),
         "ingest_profile": ingest_profile(),
         "schema_report": schema_report(),
+        "radius_join": radius_join(),
+        "polygon_join": polygon_join(),
+        "geocode_lookup": geocode_lookup(),
+        "circle_outline": circle_outline(),
     }

@@ -31,3 +31,15 @@ RADIUS_DEFAULT_M = 805.0
 RADIUS_WIDE_M = 3219.0
 PAGE_AREA_TEXT = "NATION_1"            # free-text column filter: area contains …
 PAGE_NUMBER = 1                        # second page of 20
+
+# Many-shape joins: circles around every block centroid, and four polygons
+# (rectangle, the U above, a triangle, a diamond closed by its first point).
+BLOCK_RADIUS_M = 805.0
+POLYGONS = [
+    (1, '{"type": "Polygon", "coordinates": [[[-122.42, 47.50], [-122.33, 47.50], [-122.33, 47.60], [-122.42, 47.60]]]}'),
+    (2, POLYGON_U),
+    (3, '{"type": "Polygon", "coordinates": [[[-122.30, 47.55], [-122.24, 47.71], [-122.41, 47.66]]]}'),
+    (4, '{"type": "Polygon", "coordinates": [[[-122.33, 47.53], [-122.27, 47.61], [-122.33, 47.69], '
+        '[-122.39, 47.61], [-122.33, 47.53]]]}'),
+]
+OUTLINE_RADIUS_M = 805.0
