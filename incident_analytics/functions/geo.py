@@ -86,11 +86,13 @@ def within_radius(lat: ColumnOrValue, lon: ColumnOrValue,
     radius = float(radius_m) if radius_m else DEFAULT_RADIUS_M
     lat_c, lon_c = _c(lat), _c(lon)
     lo_lat, hi_lat, lo_lon, hi_lon = circle_box(center_lat, center_lon, radius)
-    cond = lat_c.between(lo_lat, hi_lat)
+    # Top-level conjuncts so the box reaches the Parquet scan; the leading
+    # null checks make the whole test false (never null) without coordinates.
+    cond = lat_c.isNotNull() & lon_c.isNotNull() & (lat_c >= lo_lat) & (lat_c <= hi_lat)
     if lo_lon is not None:
-        cond = cond & lon_c.between(lo_lon, hi_lon)
+        cond = cond & (lon_c >= lo_lon) & (lon_c <= hi_lon)
     exact = haversine_m(F.lit(float(center_lat)), F.lit(float(center_lon)), lat_c, lon_c) <= radius
-    return F.coalesce(cond & exact, F.lit(False))
+    return cond & exact
 
 
 def ring_from_geojson(geojson: Union[str, dict, Ring]) -> list[list[float]]:
@@ -145,8 +147,9 @@ def in_polygon(lat: ColumnOrValue, lon: ColumnOrValue, geojson: Union[str, dict,
     ring = ring_from_geojson(geojson)
     lo_lat, hi_lat, lo_lon, hi_lon = ring_bounds(ring)
     lat_c, lon_c = _c(lat), _c(lon)
-    box = lat_c.between(lo_lat, hi_lat) & lon_c.between(lo_lon, hi_lon)
-    return F.coalesce(box & point_in_ring(lat_c, lon_c, ring), F.lit(False))
+    box = (lat_c.isNotNull() & lon_c.isNotNull() & (lat_c >= lo_lat) & (lat_c <= hi_lat)
+           & (lon_c >= lo_lon) & (lon_c <= hi_lon))
+    return box & point_in_ring(lat_c, lon_c, ring)
 
 
 def ring_column(geojson_col: Column) -> Column:
