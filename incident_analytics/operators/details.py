@@ -1,8 +1,8 @@
 """Detail table: the latest N matching incidents, display columns, paging.
 
-``orderBy(...).limit(n)`` plans as ``TakeOrderedAndProject``: each task keeps
-its own top n and only n rows per task reach the final merge, so the cost is
-one scan whatever the table size.
+The latest n rows are found in two steps (see ``latest``): the day by which n
+rows are reached, then a pushed-down ``date >= cutoff`` scan and an ordered
+top n (``TakeOrderedAndProject``) over the few remaining rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import format_datetime, parse_datetime
 from .filters import IncidentFilter
+from .latest import prune_to_latest
 
 DETAIL_ROWS = 500
 PAGE_SIZE = 20
@@ -29,9 +30,16 @@ DISPLAY_NAMES = {
 
 
 def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
-                     display_names: bool = False) -> DataFrame:
-    """Latest ``n`` rows by parsed ``datetime`` (unparseable last; ties by id)."""
+                     display_names: bool = False, trust_date: bool = True) -> DataFrame:
+    """Latest ``n`` rows by parsed ``datetime`` (unparseable last; ties by id).
+
+    ``trust_date``: the stored ``date`` equals the day of ``datetime`` wherever
+    that parses, as in every table built by ``clean`` (``datetime`` is
+    ``date ‖ ' ' ‖ time``); the date cutoff is then pushed to the scan. Pass
+    False for tables where the two may disagree.
+    """
     rows = flt.apply(df).withColumn("_ts", parse_datetime(F.col("datetime")))
+    rows = prune_to_latest(rows, n, F.to_date(F.col("_ts")), "date" if trust_date else None)
     latest = rows.orderBy(F.col("_ts").desc_nulls_last(), F.col("incident_id").asc()).limit(n)
     out = latest.select(
         "incident_id",

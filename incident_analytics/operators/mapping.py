@@ -1,8 +1,10 @@
 """Map points and map statistics.
 
-The latest N points are a ``TakeOrderedAndProject`` (top-N per task, merged),
-so everything after the cut — location frequency, marker scaling — runs on at
-most N rows, already in one partition. Frequency is counted on the shown
+The latest N points: the N-th latest day is found from per-day counts, the
+``date >= cutoff`` filter is pushed to the scan, and a ``TakeOrderedAndProject``
+takes the top N of the remaining rows (see ``latest``). Everything after the
+cut — location frequency, marker scaling — runs on at most N rows, already in
+one partition. Frequency is counted on the shown
 points only, as the dashboard does.
 """
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unknown_if_null
 from .filters import IncidentFilter
+from .latest import prune_to_latest
 
 MAP_POINTS = 5000
 LOCATION_DECIMALS = 4
@@ -21,7 +24,7 @@ SIZE_MIN, SIZE_SPAN, SIZE_FLAT = 5.0, 20.0, 8.0
 
 
 def latest_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
-    rows = flt.apply(df)
+    rows = prune_to_latest(flt.apply(df), n, F.col("date"), "date")
     return rows.orderBy(F.col("date").desc_nulls_last(), F.col("incident_id").asc()).limit(n)
 
 
