@@ -160,7 +160,7 @@ def ring_column(geojson_col: Column) -> Column:
         T.StructField("geometry", T.StructType([T.StructField("coordinates", coords_t)])),
         T.StructField("coordinates", coords_t),
     ]))
-    outer = F.coalesce(parsed["geometry"]["coordinates"], parsed["coordinates"])[0]
+    outer = F.try_element_at(F.coalesce(parsed["geometry"]["coordinates"], parsed["coordinates"]), F.lit(1))
     return F.transform(outer, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 

@@ -9,7 +9,7 @@ entries is merged partially and never gathered in one task — then left-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -17,6 +17,19 @@ from ..functions.numeric import exact_mean
 from ..functions.text import CITY_SUFFIX, address_key
 
 
+# A geocoder reply as stored text: a JSON list of hits with text coordinates.
+REPLY_TYPE = "array<struct<lat:string,lon:string,display_name:string>>"
+
+
+def parse_geocoder_reply(reply: Column) -> Column:
+    """First hit of a stored geocoder reply as ``struct<lat, lon, display_name>``;
+    null for an empty list or unreadable text."""
+    first = F.try_element_at(F.from_json(reply, REPLY_TYPE), F.lit(1))
+    return F.struct(first["lat"].try_cast("double").alias("lat"),
+                    first["lon"].try_cast("double").alias("lon"),
+                    first["display_name"].alias("display_name"))
+
+
 def gazetteer_from_incidents(incidents: DataFrame) -> DataFrame:
     """One entry per (block address, area): mean coordinates, incident count,
     display name ``<address>, <area>, Seattle, WA``."""

@@ -205,3 +205,18 @@ def test_options(make_incidents):
 def test_bad_metric(make_incidents):
     with pytest.raises(ValueError):
         trends.area_trends(make_incidents([_row(1)]), metric="mean")
+
+
+# K2 + G3: stored geocoder replies; address keys append the city when missing.
+def test_geocoder_reply_and_keys(spark):
+    from incident_analytics.functions.text import address_key
+    from incident_analytics.operators.geocode import parse_geocoder_reply
+    df = spark.createDataFrame([
+        ('[{"lat": "47.6", "lon": "-122.3", "display_name": "Pike St"}, {"lat": "1", "lon": "2"}]', "1st  Ave"),
+        ("[]", "1st Ave, SEATTLE"),
+        ("not json", None),
+    ], "reply STRING, address STRING")
+    out = df.select(parse_geocoder_reply(F.col("reply")).alias("r"), address_key(F.col("address")).alias("k")).collect()
+    assert (out[0]["r"]["lat"], out[0]["r"]["lon"], out[0]["r"]["display_name"]) == (47.6, -122.3, "Pike St")
+    assert out[1]["r"]["lat"] is None and out[2]["r"]["lat"] is None
+    assert out[0]["k"] == "1st ave, seattle, wa" and out[1]["k"] == "1st ave, seattle" and out[2]["k"] is None
