@@ -53,15 +53,23 @@ def category_rollup(df: DataFrame, start: DateLike = None, end: DateLike = None)
 
 def subcategory_breakdown(df: DataFrame, category: str | None = None,
                           start: DateLike = None, end: DateLike = None,
-                          top: int = 20) -> DataFrame:
+                          top: int = 20, include_empty: bool = False) -> DataFrame:
     """Drill-down: the ``top`` sub-categories (of ``category`` if given) with a
     display label cut at 40 characters. Rank 1 is the largest; the chart
-    shows them in reverse."""
+    shows them in reverse.
+
+    ``include_empty`` also ranks sub-categories seen anywhere in the date
+    range but not in this category, with count 0 (the dashboard's categorical
+    columns list them); zeros order by name.
+    """
     rows = IncidentFilter(start=start, end=end).apply(df)
-    if category:
-        rows = rows.where(F.col(CAT) == F.lit(category))
-    counts = (rows.where(F.col(SUB).isNotNull()).groupBy(SUB)
+    picked = rows.where(F.col(CAT) == F.lit(category)) if category else rows
+    counts = (picked.where(F.col(SUB).isNotNull()).groupBy(SUB)
               .agg(F.count(F.lit(1)).alias("incidents")))
+    if include_empty:
+        labels = rows.where(F.col(SUB).isNotNull()).select(SUB).distinct()
+        counts = (labels.join(counts, SUB, "left")
+                  .select(SUB, F.coalesce("incidents", F.lit(0).cast("bigint")).alias("incidents")))
     order = [F.col("incidents").desc(), F.col(SUB).asc()]
     best = counts.orderBy(*order).limit(top)
     # ≤ top rows, already on one partition after the global limit

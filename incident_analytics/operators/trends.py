@@ -52,11 +52,17 @@ def _metric(metric: str, n: Column, h: Column) -> Column:
 
 def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
                 metric: str = "count", order: str = "top", n: int = 10,
-                as_of: DateLike = None, materialize: bool = True) -> DataFrame:
+                as_of: DateLike = None, materialize: bool = True,
+                include_empty: bool = False) -> DataFrame:
     """Series (period, area, value, granularity) for the top/bottom ``n`` areas.
 
     Ranking: count of rows, or mean hazard with nulls as 0. Ties break by
     area name; the bottom list is the tail of the descending list.
+
+    ``include_empty`` also ranks areas present in the date range but with no
+    rows before the ``as_of`` month (the dashboard's categorical areas): count
+    0, or an unknown mean that sorts below every known one. They add no series
+    rows.
     """
     if metric not in METRICS or order not in ORDERS:
         raise ValueError(f"metric must be one of {METRICS}, order one of {ORDERS}")
@@ -66,12 +72,17 @@ def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
     span = daily.agg(F.datediff(F.max("date"), F.min("date"))).scalar()
 
     ranking = (daily.where(F.col("area").isNotNull()).groupBy("area")
-               .agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-               .select("area", _metric(metric, F.col("n"), F.col("h")).alias("metric")))
+               .agg(F.sum("n").alias("n"), F.sum("h").alias("h")))
+    if include_empty:
+        seen = (IncidentFilter(start=start, end=end).apply(df)
+                .where(F.col("area").isNotNull()).select("area").distinct())
+        ranking = (seen.join(ranking, "area", "left")
+                   .select("area", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "h"))
+    ranking = ranking.select("area", _metric(metric, F.col("n"), F.col("h")).alias("metric"))
     if order == "top":
-        chosen = ranking.orderBy(F.col("metric").desc(), F.col("area").asc())
+        chosen = ranking.orderBy(F.col("metric").desc_nulls_last(), F.col("area").asc())
     else:
-        chosen = ranking.orderBy(F.col("metric").asc(), F.col("area").desc())
+        chosen = ranking.orderBy(F.col("metric").asc_nulls_first(), F.col("area").desc())
     chosen = chosen.limit(n).select("area")
 
     # Inner join with the ≤ n distinct chosen areas (not a semi join, which

@@ -166,8 +166,18 @@ FROM incidents WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL AND {SUB} IS NOT NU
 GROUP BY ROLLUP ({CAT}, {SUB})""")
 
 
-def subcategory_drilldown(category: str = "PERSON", top: int = 20) -> str:
+def subcategory_drilldown(category: str = "PERSON", top: int = 20, include_empty: bool = False) -> str:
     s, e = P.KPI_RANGE
+    if include_empty:
+        return with_incidents(f"""
+SELECT {SUB}, CASE WHEN length({SUB}) > 40 THEN concat(substr({SUB}, 1, 40), '...') ELSE {SUB} END AS label,
+  incidents, CAST(rank AS INTEGER) AS rank
+FROM best WHERE rank <= {top}""", f"""
+labels AS (SELECT DISTINCT {SUB} FROM incidents WHERE {date_cond(s, e)} AND {SUB} IS NOT NULL),
+counts AS (SELECT {SUB}, count(*) AS incidents FROM incidents
+           WHERE {date_cond(s, e)} AND {CAT} = '{category}' AND {SUB} IS NOT NULL GROUP BY {SUB}),
+full_counts AS (SELECT l.{SUB}, coalesce(c.incidents, 0) AS incidents FROM labels l LEFT JOIN counts c USING ({SUB})),
+best AS (SELECT *, row_number() OVER (ORDER BY incidents DESC, {SUB} ASC) AS rank FROM full_counts)""")
     return with_incidents(f"""
 SELECT {SUB}, CASE WHEN length({SUB}) > 40 THEN concat(substr({SUB}, 1, 40), '...') ELSE {SUB} END AS label,
   incidents, CAST(rank AS INTEGER) AS rank
@@ -520,6 +530,7 @@ def all_sql() -> dict[str, str]:
         "category_breakdown": category_breakdown(),
         "category_rollup": category_rollup(),
         "subcategory_drilldown": subcategory_drilldown(),
+        "subcategory_drilldown_with_empty": subcategory_drilldown("SOCIETY", include_empty=True),
         "hour_filter": filtered_rows(hours=P.NIGHT_HOURS),
         "category_filter": filtered_rows(categories=P.TWO_CATEGORIES),
         "area_filter": filtered_rows(areas=P.THREE_AREAS),

@@ -220,3 +220,20 @@ def test_geocoder_reply_and_keys(spark):
     assert (out[0]["r"]["lat"], out[0]["r"]["lon"], out[0]["r"]["display_name"]) == (47.6, -122.3, "Pike St")
     assert out[1]["r"]["lat"] is None and out[2]["r"]["lat"] is None
     assert out[0]["k"] == "1st ave, seattle, wa" and out[1]["k"] == "1st ave, seattle" and out[2]["k"] is None
+
+
+# Q5: zero-count labels only on request.
+def test_include_empty(make_incidents):
+    df = make_incidents([_row(1, cat="PERSON", sub="P_1"), _row(2, cat="SOCIETY", sub="S_1"),
+                         _row(3, D(2023, 7, 2), area="LATE")])
+    plain = breakdown.subcategory_breakdown(df, "SOCIETY").collect()
+    assert [(r["offense_sub_category"], r["incidents"]) for r in plain] == [("S_1", 1)]
+    full = breakdown.subcategory_breakdown(df, "SOCIETY", include_empty=True).collect()
+    assert [(r["offense_sub_category"], r["incidents"]) for r in full] == [("S_1", 1), ("P_1", 0)]
+    # area LATE has rows only after the cut: ranked (bottom) only with include_empty
+    bottom = trends.area_trends(df, order="bottom", n=1, as_of="2023-07-15", include_empty=True)
+    assert bottom.count() == 0
+    bottom = trends.area_trends(df, order="bottom", n=1, as_of="2023-07-15")
+    assert [r["area"] for r in bottom.collect()] == ["A"]
+    hz = trends.area_trends(df, metric="hazard", order="top", n=2, as_of="2023-07-15", include_empty=True)
+    assert [r["area"] for r in hz.collect()] == ["A"]
