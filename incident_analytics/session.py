@@ -17,6 +17,21 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files of materialised intermediates are removed once unused
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+# Sizing for a large cluster (~1000 executors, ~100 TB of Parquet): scan
+# splits of 256 MB (~400k scan tasks), a high initial shuffle partition count
+# that AQE coalesces to ~256 MB partitions, skew splitting above 512 MB, and
+# broadcasts up to 64 MB behind Spark's own size estimate.
+CLUSTER_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.decommission.enabled": "true",
 }
 
 
@@ -25,16 +40,20 @@ def build_session(
     app_name: str = "incident-analytics",
     shuffle_partitions: int | None = None,
     conf: dict[str, str] | None = None,
+    cluster: bool = False,
 ) -> SparkSession:
     """Create (or reuse) a session with the library defaults.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; tests use
-    ``local[N]`` with a shuffle partition count close to N.
+    On a cluster pass ``master=None`` and ``cluster=True`` and let
+    spark-submit decide the rest; tests use ``local[N]`` with a shuffle
+    partition count close to N.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if cluster:
+        settings.update(CLUSTER_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
