@@ -512,6 +512,12 @@ FROM (SELECT *, {d(P.OUTLINE_RADIUS_M)} AS radius_m FROM best) c CROSS JOIN rang
                           gazetteer_ctes())
 
 
+def location_frequency() -> str:
+    return with_incidents(f"""
+SELECT round_even(latitude, 4) AS lat4, round_even(longitude, 4) AS lon4, count(*) AS incidents
+FROM incidents WHERE {filter_sql(P.FULL_RANGE, **MAP_COND)} GROUP BY 1, 2""")
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
@@ -540,6 +546,7 @@ def all_sql() -> dict[str, str]:
         "details_page": details_page(),
         "map_points": map_points(),
         "map_stats": map_stats(),
+        "location_frequency": location_frequency(),
         "clean_incidents": clean_incidents(),
         "clean_audit": clean_audit(),
         "ingest_roundtrip": clean_incidents(),

@@ -92,6 +92,11 @@ def test_load_export_round_trip(spark, raw_of):
     assert sorted(r["year"] for r in on_disk.select("year").distinct().collect()) == [2022, 2023]
     # year bounds prune partitions: only 2023 files are read
     assert [r["incident_id"] for r in sources.read_gold(spark, gold_path, start="2023-01-01").collect()] == [0]
+    # S3: datetime bounds are accepted; T8: plain limit
+    bounded = sources.read_gold(spark, gold_path, start=dt.datetime(2023, 1, 1, 15, 30), end=dt.date(2023, 12, 31))
+    assert [r["incident_id"] for r in bounded.collect()] == [0]
+    assert sources.read_gold(spark, gold_path, limit=1).count() == 1
+    assert sources.read_gold(spark, gold_path, limit=0).count() == 2
     loader.load_export(spark, csv_path, gold_path, mode="append")
     assert spark.read.parquet(gold_path).count() == 4
     report = {r["column_name"]: r["status"] for r in sources.schema_report(on_disk).collect()}
