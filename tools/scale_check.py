@@ -40,9 +40,8 @@ def main() -> None:
     spark = build_session(f"local[{args.cpus}]", shuffle_partitions=max(8, args.cpus))
     base = fixtures.incidents(spark, args.sf_dir)
     span = base.agg(F.max("incident_id")).first()[0] + 1
-    copies = spark.range(args.copies).withColumnRenamed("id", "copy")
-    # a generated copy number, joined to every row: the copy table is tiny and bounded
-    wide = base.crossJoin(F.broadcast(copies))
+    # each row repeated with a copy number (a generator, no join)
+    wide = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(args.copies - 1))).cast("long"))
     shifted = wide.withColumn("incident_id", F.col("incident_id") + F.col("copy") * F.lit(span))
     if args.spread_years:
         years = -2 * F.col("copy").cast("int")
