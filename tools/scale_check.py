@@ -41,7 +41,7 @@ def main() -> None:
     base = fixtures.incidents(spark, args.sf_dir)
     span = base.agg(F.max("incident_id")).first()[0] + 1
     # each row repeated with a copy number (a generator, no join)
-    wide = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(args.copies - 1))).cast("long"))
+    wide = base.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(args.copies - 1).cast("long"))))
     shifted = wide.withColumn("incident_id", F.col("incident_id") + F.col("copy") * F.lit(span))
     if args.spread_years:
         years = -2 * F.col("copy").cast("int")
