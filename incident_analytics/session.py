@@ -76,8 +76,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = tempfile.mkdtemp(prefix="incident-analytics-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) sessions have no local context; the server's setting applies
+        return configured
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
     return configured
 
 
