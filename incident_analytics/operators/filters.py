@@ -92,7 +92,16 @@ class IncidentFilter:
         return cond
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.where(self.condition())
+        """Filter ``df``. On a year-partitioned gold table the date bounds are
+        repeated as ``year`` bounds, so whole partitions are pruned."""
+        cond = self.condition()
+        if "year" in df.columns:
+            start, end = to_date_value(self.start), to_date_value(self.end)
+            if start is not None:
+                cond = cond & (F.col("year") >= start.year)
+            if end is not None:
+                cond = cond & (F.col("year") <= end.year)
+        return df.where(cond)
 
 
 def date_filter(start: DateLike = None, end: DateLike = None, **kw) -> IncidentFilter:

@@ -66,3 +66,9 @@ def test_no_python_or_cross_join(spark, name):
     plan = plan_text(entry.queries()[name](spark, SF_SMALL))
     for node in PYTHON_NODES + CROSS_NODES:
         assert node not in plan, f"{name}: {node}"
+
+
+def test_filter_prunes_year_partitions(spark, gold_path):
+    df = spark.read.parquet(gold_path)
+    plan = plan_text(IncidentFilter("2023-02-01", "2023-03-01").apply(df))
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan and ">= 2023" in plan
