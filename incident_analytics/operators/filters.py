@@ -40,7 +40,8 @@ class IncidentFilter:
       end exclusive); ``None`` leaves the side open.
     - ``hours``: ``(start, end)`` inclusive, ``end`` capped at 23; ``(0, 24)`` or
       ``None`` is no filter; no wrap past midnight.
-    - ``categories``: ``None`` is no filter; an empty list matches nothing.
+    - ``categories``: ``None`` is no filter; an empty list matches nothing; a
+      single string is accepted.
     - ``areas``: ``None`` or empty is no filter; a single string is accepted.
     - ``polygon``: GeoJSON (text or dict) or a ring of ``[lon, lat]`` pairs.
     - ``circle``: centre and radius in metres.
@@ -51,7 +52,7 @@ class IncidentFilter:
     end: DateLike = None
     end_inclusive: bool = True
     hours: Optional[Sequence[int]] = None
-    categories: Optional[Sequence[str]] = None
+    categories: Union[None, str, Sequence[str]] = None
     areas: Union[None, str, Sequence[str]] = None
     polygon: Union[None, str, dict, Sequence[Sequence[float]]] = None
     circle: Optional[Circle] = None
@@ -77,7 +78,7 @@ class IncidentFilter:
             if (lo, hi) != ALL_HOURS:
                 cond = cond & F.col("hour").between(lo, min(hi, 23))
         if self.categories is not None:
-            cats = list(self.categories)
+            cats = [self.categories] if isinstance(self.categories, str) else list(self.categories)
             cond = cond & (F.col("crime_against_category").isin(cats) if cats else F.lit(False))
         if self.areas:
             areas = [self.areas] if isinstance(self.areas, str) else list(self.areas)

@@ -42,6 +42,7 @@ def test_empty_lists(make_incidents):
     assert ids(IncidentFilter(areas=[]).apply(df)) == [1, 2]
     assert ids(IncidentFilter(areas="B").apply(df)) == [2]
     assert ids(IncidentFilter(categories=["SOCIETY"]).apply(df)) == [2]
+    assert ids(IncidentFilter(categories="SOCIETY").apply(df)) == [2]
 
 
 # Q3: hours inclusive, end capped at 23, (0, 24) is no filter, no wrap.
