@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoint files of materialised intermediates are removed once unused
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # HotSpot does not JIT-compile methods over 8,000 bytes; wide cleaning
+    # stages generate more, so such a stage falls back to per-expression code
+    # (compiled) instead of one interpreted whole-stage method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Sizing for a large cluster (~1000 executors, ~100 TB of Parquet): scan
