@@ -17,18 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import oracles  # noqa: E402
-import query_params as P  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from incident_analytics import Circle, IncidentFilter, fixtures  # noqa: E402
-from incident_analytics import loader, sources, streaming  # noqa: E402
-from incident_analytics.functions.numeric import exact_mean  # noqa: E402
-from incident_analytics.operators import clean, geocode, spatial_join  # noqa: E402
-from incident_analytics.session import scratch_path  # noqa: E402
+import oracles  # noqa: E402
+import query_params as P  # noqa: E402
+from incident_analytics import Circle, IncidentFilter, fixtures, loader, sources, streaming  # noqa: E402
 from incident_analytics.functions import geo  # noqa: E402
+from incident_analytics.functions.numeric import exact_mean  # noqa: E402
 from incident_analytics.operators import (  # noqa: E402
-    breakdown, details, kpi, mapping, options, trends)
+    breakdown, clean, details, geocode, kpi, mapping, options, spatial_join, trends)
+from incident_analytics.session import scratch_path  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import DateLike, to_date_value
+from ..functions.numeric import percent
 from ..schema import CATEGORIES
 from .filters import IncidentFilter
 
@@ -18,11 +19,6 @@ def _has_coords() -> Column:
     return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
 
 
-def percent(part: Column, total: Column) -> Column:
-    """100 · part / total, 0 when the total is 0."""
-    return F.coalesce(F.try_divide(part, total) * F.lit(100.0), F.lit(0.0))
-
-
 def profile(df: DataFrame) -> DataFrame:
     """Rows, rows with coordinates, first and last date (dates ignore nulls)."""
     return df.agg(

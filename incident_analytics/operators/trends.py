@@ -85,9 +85,9 @@ def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
         chosen = ranking.orderBy(F.col("metric").asc_nulls_first(), F.col("area").desc())
     chosen = chosen.limit(n).select("area")
 
-    # Inner join with the ≤ n distinct chosen areas (not a semi join, which
-    # Catalyst would push below the aggregate, so the pre-aggregate would be
-    # computed twice instead of reused).
+    # Inner join with the ≤ n distinct chosen areas. Not a semi join: without
+    # materialising, Catalyst would push that below the aggregate and the
+    # pre-aggregate would be computed twice instead of reused.
     series = (daily.join(F.broadcast(chosen), "area", "inner")
               .withColumn("period", period_start(F.col("date"), span))
               .groupBy("period", "area")

@@ -64,13 +64,10 @@ def smoke(df: DataFrame) -> DataFrame:
 
 
 def load_profile(df: DataFrame) -> DataFrame:
-    """Rows and rows with coordinates in one pass, plus the date span."""
-    return df.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("records_with_coords"),
-        F.min("date").alias("min_date"),
-        F.max("date").alias("max_date"),
-    )
+    """Rows and rows with coordinates in one pass, plus the date span
+    (the same answer as the dataset profile, A1/A2)."""
+    from ..operators.kpi import profile
+    return profile(df)
 
 
 def schema_report(df: DataFrame, expected=INCIDENTS) -> DataFrame:
