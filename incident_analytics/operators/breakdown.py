@@ -2,7 +2,8 @@
 
 Both aggregate first; the per-category top-k is a ``row_number`` window on
 the aggregated (category, sub-category) counts, which Spark plans with a
-``WindowGroupLimit`` so only k rows per category survive the sort.
+``WindowGroupLimit`` so only k rows per category survive the sort. Every
+function takes the row-level table or the daily summary.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DateLike
 from ..functions.text import truncate_label
 from .filters import IncidentFilter
+from .summary import counted
 
 CAT, SUB = "crime_against_category", "offense_sub_category"
 # Bar opacity by rank, 0.9 − 0.05·(rank − 1), at least 0.4.
@@ -20,9 +22,9 @@ OPACITY_TOP, OPACITY_STEP, OPACITY_MIN = 0.9, 0.05, 0.4
 
 
 def subcategory_counts(df: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
-    rows = IncidentFilter(start=start, end=end).apply(df)
+    rows = IncidentFilter(start=start, end=end).apply(counted(df))
     return (rows.where(F.col(CAT).isNotNull() & F.col(SUB).isNotNull())
-            .groupBy(CAT, SUB).agg(F.count(F.lit(1)).alias("incidents")))
+            .groupBy(CAT, SUB).agg(F.sum("n").alias("incidents")))
 
 
 def category_breakdown(df: DataFrame, start: DateLike = None, end: DateLike = None,
@@ -45,10 +47,10 @@ def category_breakdown(df: DataFrame, start: DateLike = None, end: DateLike = No
 def category_rollup(df: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
     """Two-level totals: (category, sub-category), category, grand total.
     ``level`` is the grouping id: 0 leaf, 1 category, 3 grand total."""
-    rows = IncidentFilter(start=start, end=end).apply(df)
+    rows = IncidentFilter(start=start, end=end).apply(counted(df))
     rows = rows.where(F.col(CAT).isNotNull() & F.col(SUB).isNotNull())
     return (rows.rollup(CAT, SUB)
-            .agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("incidents")))
+            .agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("incidents")))
 
 
 def subcategory_breakdown(df: DataFrame, category: str | None = None,
@@ -62,10 +64,10 @@ def subcategory_breakdown(df: DataFrame, category: str | None = None,
     range but not in this category, with count 0 (the dashboard's categorical
     columns list them); zeros order by name.
     """
-    rows = IncidentFilter(start=start, end=end).apply(df)
+    rows = IncidentFilter(start=start, end=end).apply(counted(df))
     picked = rows.where(F.col(CAT) == F.lit(category)) if category else rows
     counts = (picked.where(F.col(SUB).isNotNull()).groupBy(SUB)
-              .agg(F.count(F.lit(1)).alias("incidents")))
+              .agg(F.sum("n").alias("incidents")))
     if include_empty:
         labels = rows.where(F.col(SUB).isNotNull()).select(SUB).distinct()
         counts = (labels.join(counts, SUB, "left")

@@ -69,10 +69,16 @@ class IncidentFilter:
                            else (F.col("date") < F.lit(end)))
         return cond
 
-    def condition(self) -> Column:
+    def condition(self, summary: bool = False) -> Column:
+        """The whole filter as one Column. ``summary``: for a daily summary
+        table, where only date, category, area and coordinates apply."""
+        if summary and (self.hours not in (None, ALL_HOURS, list(ALL_HOURS)) or self.polygon is not None
+                        or self.circle is not None or self.extra is not None):
+            raise ValueError("hour, polygon, circle and extra filters need the row-level table")
         cond = self.date_condition()
         if self.require_coords:
-            cond = cond & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+            cond = cond & (F.col("has_coords") if summary
+                           else F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
         if self.hours is not None:
             lo, hi = int(self.hours[0]), int(self.hours[1])
             if (lo, hi) != ALL_HOURS:
@@ -93,9 +99,10 @@ class IncidentFilter:
         return cond
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """Filter ``df``. On a year-partitioned gold table the date bounds are
-        repeated as ``year`` bounds, so whole partitions are pruned."""
-        cond = self.condition()
+        """Filter ``df`` (row-level table or daily summary). On a
+        year-partitioned table the date bounds are repeated as ``year``
+        bounds, so whole partitions are pruned."""
+        cond = self.condition(summary="n" in df.columns and "has_coords" in df.columns)
         if "year" in df.columns:
             start, end = to_date_value(self.start), to_date_value(self.end)
             if start is not None:

@@ -1,29 +1,29 @@
 """Headline numbers: dataset profile, selection summary, KPIs, category counts.
 
-Each answer is one aggregate pass with ``count_if`` columns, so the base table
-is read once and only one row (or one row per category) leaves the executors.
+Each answer is one aggregate pass with conditional sums, so the table is read
+once and only one row (or one row per category) leaves the executors. Every
+function takes the row-level table or the daily summary (``summary``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import DateLike, to_date_value
 from ..functions.numeric import percent
 from ..schema import CATEGORIES
 from .filters import IncidentFilter
-
-
-def _has_coords() -> Column:
-    return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+from .summary import counted, has_coords, is_summary, total
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Rows, rows with coordinates, first and last date (dates ignore nulls)."""
-    return df.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count_if(_has_coords()).alias("records_with_coords"),
+    """Rows, rows with coordinates, first and last date (dates ignore nulls).
+    ``df``: the row-level table or the daily summary."""
+    rows = counted(df)
+    return rows.agg(
+        total().alias("records"),
+        total(where=has_coords(df)).alias("records_with_coords"),
         F.min("date").alias("min_date"),
         F.max("date").alias("max_date"),
     )
@@ -32,11 +32,11 @@ def profile(df: DataFrame) -> DataFrame:
 def selection_summary(df: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """Rows in the date range (with coordinates) against all rows, and the
     number of days between the bounds (end − start, not inclusive)."""
-    in_range = IncidentFilter(start=start, end=end).condition()
+    in_range = IncidentFilter(start=start, end=end).condition(summary=is_summary(df))
     s, e = to_date_value(start), to_date_value(end)
-    out = df.agg(
-        F.count_if(in_range).alias("selected"),
-        F.count(F.lit(1)).alias("total"),
+    out = counted(df).agg(
+        total(where=in_range).alias("selected"),
+        total().alias("total"),
     )
     return out.select(
         "selected", "total",
@@ -48,11 +48,11 @@ def selection_summary(df: DataFrame, start: DateLike, end: DateLike) -> DataFram
 def kpis(df: DataFrame, start: DateLike = None, end: DateLike = None,
          categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """Total incidents and one count and share per category, date filter only."""
-    rows = IncidentFilter(start=start, end=end).apply(df)
+    rows = IncidentFilter(start=start, end=end).apply(counted(df))
     cat = F.col("crime_against_category")
     counts = rows.agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(cat == F.lit(c)).alias(c.lower()) for c in categories],
+        total().alias("total"),
+        *[total(where=cat == F.lit(c)).alias(c.lower()) for c in categories],
     )
     return counts.select(
         "total",
@@ -63,7 +63,7 @@ def kpis(df: DataFrame, start: DateLike = None, end: DateLike = None,
 
 def category_counts(df: DataFrame, start: DateLike = None, end: DateLike = None) -> DataFrame:
     """Rows per category in the date range (null categories dropped)."""
-    rows = IncidentFilter(start=start, end=end).apply(df)
+    rows = IncidentFilter(start=start, end=end).apply(counted(df))
     return (rows.where(F.col("crime_against_category").isNotNull())
             .groupBy("crime_against_category")
-            .agg(F.count(F.lit(1)).alias("incidents")))
+            .agg(F.sum("n").alias("incidents")))

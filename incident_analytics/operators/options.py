@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES
+from .summary import has_coords
 
 # Display label and colour per category.
 CATEGORY_INFO = [
@@ -29,7 +30,7 @@ def category_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame
     table has none. ``sample_rows`` reproduces the dashboard's sampled
     option list; the default reads every row."""
     spark = df.sparkSession
-    src = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    src = df.where(has_coords(df))
     if sample_rows:
         src = src.limit(sample_rows)
     found = (src.select(F.col("crime_against_category").alias("category"))
@@ -47,7 +48,7 @@ def category_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame
 
 def area_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Distinct non-null areas, sorted."""
-    src = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    src = df.where(has_coords(df))
     if sample_rows:
         src = src.limit(sample_rows)
     return (src.select("area").where(F.col("area").isNotNull()).distinct().orderBy("area"))

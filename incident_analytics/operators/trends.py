@@ -25,23 +25,20 @@ from pyspark.sql import functions as F
 from ..functions.dates import DateLike, granularity, period_start, to_date_value
 from ..plans import materialize as _materialize
 from .filters import IncidentFilter
+from .summary import counted
 
 METRICS = ("count", "hazard")
 ORDERS = ("top", "bottom")
-# Hazard scores are summed as DECIMAL(18,4): exact and order-independent.
-HAZARD_SUM_TYPE = "decimal(18,4)"
 
 
 def daily_area_totals(df: DataFrame, start: DateLike = None, end: DateLike = None,
                       as_of: DateLike = None) -> DataFrame:
-    """(date, area, n, h) for rows in range and before the ``as_of`` month."""
+    """(date, area, n, h) for rows in range and before the ``as_of`` month;
+    ``df`` is the row-level table or the daily summary."""
     as_of_d = to_date_value(as_of)
     cutoff = F.trunc(F.lit(as_of_d) if as_of_d else F.current_date(), "month")
-    rows = IncidentFilter(start=start, end=end).apply(df).where(F.col("date") < cutoff)
-    return rows.groupBy("date", "area").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.coalesce(F.col("hazardness"), F.lit(0.0)).cast(HAZARD_SUM_TYPE)).alias("h"),
-    )
+    rows = IncidentFilter(start=start, end=end).apply(counted(df)).where(F.col("date") < cutoff)
+    return rows.groupBy("date", "area").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
 
 
 def _metric(metric: str, n: Column, h: Column) -> Column:
