@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.clean import clean
+from .operators.summary import write_summary
 from .sources.gold import read_gold, write_gold
 from .sources.raw import read_raw_csv
 
 
 def load_export(spark: SparkSession, csv_path: str, gold_path: str, mode: str = "overwrite",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, summary_path: str | None = None) -> DataFrame:
     """Clean every row of the export at ``csv_path`` into the gold table at
     ``gold_path`` (``overwrite`` replaces, ``append`` adds); returns the
-    written table, read back through the standard scan."""
+    written table, read back through the standard scan.
+
+    ``summary_path``: also maintain the daily summary there, built from the
+    written batch (same ``mode``; appended summaries stay correct because
+    every view sums counts)."""
     write_gold(clean(read_raw_csv(spark, csv_path)), gold_path, mode=mode, partitions=partitions)
+    if summary_path:
+        batch = spark.read.parquet(gold_path) if mode == "overwrite" else clean(read_raw_csv(spark, csv_path))
+        write_summary(batch, summary_path, mode=mode)
     return read_gold(spark, gold_path)

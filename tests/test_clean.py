@@ -97,8 +97,11 @@ def test_load_export_round_trip(spark, raw_of):
     assert [r["incident_id"] for r in bounded.collect()] == [0]
     assert sources.read_gold(spark, gold_path, limit=1).count() == 1
     assert sources.read_gold(spark, gold_path, limit=0).count() == 2
-    loader.load_export(spark, csv_path, gold_path, mode="append")
+    summary_path = scratch_path(spark, "t-summary")
+    loader.load_export(spark, csv_path, gold_path, mode="append", summary_path=summary_path)
     assert spark.read.parquet(gold_path).count() == 4
+    from incident_analytics.operators import kpi
+    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 2  # the appended batch
     report = {r["column_name"]: r["status"] for r in sources.schema_report(on_disk).collect()}
     assert report["year"] == "extra" and report["incident_id"] == "ok"
     assert sources.smoke(on_disk).count() == 1

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import query_params as P  # noqa: E402
 from incident_analytics import Circle, IncidentFilter, fixtures, sources  # noqa: E402
-from incident_analytics.operators import breakdown, details, kpi, mapping, trends  # noqa: E402
+from incident_analytics.operators import breakdown, details, kpi, mapping, summary, trends  # noqa: E402
 from incident_analytics.session import build_session, scratch_path  # noqa: E402
 
 
@@ -56,6 +56,13 @@ def main() -> None:
     ingest_s = time.perf_counter() - t0
     rows = spark.read.parquet(path).count()
 
+    summary_path = scratch_path(spark, "scale-summary")
+    t0 = time.perf_counter()
+    summary.write_summary(spark.read.parquet(path), summary_path)
+    summary_s = time.perf_counter() - t0
+    summ = summary.read_summary(spark, summary_path)
+    summary_rows = summ.count()
+
     df = sources.read_gold(spark, path)
     flt = IncidentFilter(*P.FULL_RANGE, hours=P.DAY_HOURS, categories=P.ALL_CATEGORIES,
                          circle=Circle(*P.CENTER, P.RADIUS_WIDE_M))
@@ -73,6 +80,17 @@ def main() -> None:
         "polygon_filter": lambda: IncidentFilter(*P.FULL_RANGE, polygon=P.POLYGON_U).apply(df)
         .agg(F.count(F.lit(1)).alias("n")),
     }
+    for name in ["kpis", "profile", "trend_count_top", "trend_hazard_bottom", "category_breakdown",
+                 "subcategory_drilldown"]:
+        jobs[f"{name}_from_summary"] = {
+            "kpis": lambda: kpi.kpis(summ, *P.KPI_RANGE),
+            "profile": lambda: kpi.profile(summ),
+            "trend_count_top": lambda: trends.area_trends(summ, *P.FULL_RANGE, as_of=P.AS_OF_AFTER),
+            "trend_hazard_bottom": lambda: trends.area_trends(summ, *P.FULL_RANGE, metric="hazard",
+                                                              order="bottom", as_of=P.AS_OF_AFTER),
+            "category_breakdown": lambda: breakdown.category_breakdown(summ, *P.KPI_RANGE),
+            "subcategory_drilldown": lambda: breakdown.subcategory_breakdown(summ, "PERSON", *P.KPI_RANGE),
+        }[name]
     for fn in jobs.values():  # warm-up
         fn().toArrow()
     timings = {}
@@ -84,7 +102,8 @@ def main() -> None:
     spark.stop()
     sys.stdout = real_stdout
     print(json.dumps({"rows": rows, "copies": args.copies, "spread_years": args.spread_years,
-                      "ingest_sec": round(ingest_s, 3), "queries": timings,
+                      "ingest_sec": round(ingest_s, 3), "summary_sec": round(summary_s, 3),
+                      "summary_rows": summary_rows, "queries": timings,
                       "total_sec": round(sum(timings.values()), 3), "gold_files": total_files}))
 
 
