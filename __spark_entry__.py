@@ -107,7 +107,7 @@ def q_incident_details(spark, sf_dir):
 def q_details_page(spark, sf_dir):
     table = details.incident_details(_incidents(spark, sf_dir), DETAIL_FILTER)
     return details.details_page(table, page=P.PAGE_NUMBER, sort_by="hazard_score", ascending=False,
-                                where=F.col("area").contains(P.PAGE_AREA_TEXT))
+                                where=details.table_filter([("area", "contains", P.PAGE_AREA_TEXT)]))
 
 
 def q_map_points(spark, sf_dir):

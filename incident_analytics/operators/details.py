@@ -55,6 +55,26 @@ def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
     return out
 
 
+# Column-filter operators of the table (typed conditions).
+TABLE_FILTER_OPS = ("=", "!=", "<", "<=", ">", ">=", "contains")
+
+
+def table_filter(conditions: list[tuple[str, str, object]]) -> Column:
+    """AND of per-column conditions ``(column, op, value)`` for ``details_page``;
+    ``contains`` is a case-sensitive substring test on text."""
+    out = F.lit(True)
+    for name, op, value in conditions:
+        c = F.col(name)
+        if op not in TABLE_FILTER_OPS:
+            raise ValueError(f"unknown operator {op!r}; use one of {TABLE_FILTER_OPS}")
+        cond = {"=": lambda: c == F.lit(value), "!=": lambda: c != F.lit(value),
+                "<": lambda: c < F.lit(value), "<=": lambda: c <= F.lit(value),
+                ">": lambda: c > F.lit(value), ">=": lambda: c >= F.lit(value),
+                "contains": lambda: c.contains(F.lit(str(value)))}[op]()
+        out = out & cond
+    return out
+
+
 def details_page(details: DataFrame, page: int = 0, size: int = PAGE_SIZE,
                  sort_by: str | None = None, ascending: bool = True,
                  where: Column | None = None) -> DataFrame:

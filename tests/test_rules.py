@@ -166,6 +166,12 @@ def test_details(make_incidents):
     assert out[2]["date_time"] is None
     page = details.details_page(details.incident_details(df, IncidentFilter()), page=1, size=2).collect()
     assert [r["incident_id"] for r in page] == [2]
+    table = details.incident_details(df, IncidentFilter())
+    hot = details.details_page(table, where=details.table_filter([("hazard_score", ">", 0.5),
+                                                                  ("area", "contains", "A")])).collect()
+    assert [r["incident_id"] for r in hot] == [2]
+    with pytest.raises(ValueError):
+        details.table_filter([("area", "like", "A")])
 
 
 # Q13 + W3: frequency over the shown points only; flat size when all equal.
