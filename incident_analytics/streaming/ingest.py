@@ -5,6 +5,12 @@ appends each newly landed CSV file as a micro-batch: read with the fixed raw
 schema, clean (stateless, per row), append to the year-partitioned gold
 table. The checkpoint folder records which files are done, so a restarted or
 partly failed run neither loses nor duplicates files.
+
+With ``summary_dir`` the daily summary is kept current too. Each micro-batch
+writes its gold rows and its summary under ``batch=<id>/`` with overwrite,
+so a batch replayed after a failure replaces its own output instead of adding
+it twice. Readers see ``batch`` as one more partition column: the gold scan
+ignores it and the summary views sum over it.
 """
 
 from __future__ import annotations
@@ -14,11 +20,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean
+from ..operators.summary import write_summary
 from ..schema import RAW_INCIDENTS
 
 
+def _write_batch(gold_dir: str, summary_dir: str):
+    def write(batch, batch_id: int) -> None:
+        batch.persist()
+        try:
+            (batch.sortWithinPartitions("date", "area").write.mode("overwrite")
+                .partitionBy("year").parquet(f"{gold_dir}/batch={batch_id}"))
+            write_summary(batch.drop("year"), f"{summary_dir}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+    return write
+
+
 def start_ingest(spark: SparkSession, landing_dir: str, gold_dir: str, checkpoint_dir: str,
-                 files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
+                 files_per_batch: int | None = None, available_now: bool = True,
+                 summary_dir: str | None = None) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it processes every file
     present at start (in batches of ``files_per_batch``) and then stops."""
     reader = spark.readStream.schema(RAW_INCIDENTS).option("header", True)
@@ -26,9 +46,13 @@ def start_ingest(spark: SparkSession, landing_dir: str, gold_dir: str, checkpoin
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.csv(landing_dir)
     gold = clean(raw).withColumn("year", F.year("date"))
-    writer = (gold.writeStream.format("parquet")
-              .option("checkpointLocation", checkpoint_dir)
-              .partitionBy("year")
-              .outputMode("append"))
+    if summary_dir:
+        writer = (gold.writeStream.foreachBatch(_write_batch(gold_dir, summary_dir))
+                  .option("checkpointLocation", checkpoint_dir))
+    else:
+        writer = (gold.writeStream.format("parquet")
+                  .option("checkpointLocation", checkpoint_dir)
+                  .partitionBy("year")
+                  .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start(gold_dir)
+    return writer.start() if summary_dir else writer.start(gold_dir)
