@@ -24,25 +24,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cutoff_and_total(rows: DataFrame, n: int, day: Column) -> tuple[dt.date | None, int]:
+    """(the latest day d with at least ``n`` rows on or after d, the number of
+    rows) from one aggregate: per-day counts, null day included. The cutoff
+    is None when fewer than ``n`` rows have a day."""
+    per_day = rows.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per calendar day (plus one for no day): a whole-set window is small and bounded
+    running = (Window.orderBy(F.col("_day").desc_nulls_last())
+               .rowsBetween(Window.unboundedPreceding, 0))
+    dated = F.when(F.col("_day").isNotNull(), F.col("_n"))
+    cum = per_day.withColumn("_cum", F.sum(dated).over(running))
+    row = cum.agg(F.max(F.when(F.col("_cum") >= n, F.col("_day"))).alias("cutoff"),
+                  F.sum("_n").alias("total")).first()
+    return row["cutoff"], int(row["total"] or 0)
+
+
 def kth_latest_day(rows: DataFrame, n: int, day: Column) -> dt.date | None:
     """The latest day d with at least ``n`` rows on or after d (None if the
     rows hold fewer than ``n`` non-null days)."""
-    per_day = (rows.select(day.alias("_day")).where(F.col("_day").isNotNull())
-               .groupBy("_day").agg(F.count(F.lit(1)).alias("_n")))
-    # one row per calendar day: a whole-set window is small and bounded
-    running = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per_day.withColumn("_cum", F.sum("_n").over(running))
-    return cum.where(F.col("_cum") >= n).agg(F.max("_day")).first()[0]
+    return cutoff_and_total(rows, n, day)[0]
+
+
+_UNSET = object()
 
 
-def prune_to_latest(rows: DataFrame, n: int, day: Column, pushable_day: str | None = "date") -> DataFrame:
+def prune_to_latest(rows: DataFrame, n: int, day: Column, pushable_day: str | None = "date",
+                    cutoff=_UNSET) -> DataFrame:
     """Keep only rows on or after the n-th latest day (all rows if fewer).
 
     ``day`` is the day of the sort key; ``pushable_day`` names a stored date
     column that equals it wherever the sort key is not null (adds a literal
     filter the scan can use, plus a ``year`` bound when the table has one).
+    ``cutoff`` may be passed when already known.
     """
-    cutoff = kth_latest_day(rows, n, day)
+    if cutoff is _UNSET:
+        cutoff = kth_latest_day(rows, n, day)
     if cutoff is None:
         return rows
     out = rows.where(day >= F.lit(cutoff))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unknown_if_null
 from .filters import IncidentFilter
-from .latest import prune_to_latest
+from .latest import cutoff_and_total, prune_to_latest
 
 MAP_POINTS = 5000
 LOCATION_DECIMALS = 4
@@ -23,11 +23,15 @@ LOCATION_DECIMALS = 4
 SIZE_MIN, SIZE_SPAN, SIZE_FLAT = 5.0, 20.0, 8.0
 
 
-def latest_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
-    rows = prune_to_latest(flt.apply(df), n, F.col("date"), "date")
+def _latest(rows: DataFrame, n: int, **cutoff) -> DataFrame:
+    rows = prune_to_latest(rows, n, F.col("date"), "date", **cutoff)
     return rows.orderBy(F.col("date").desc_nulls_last(), F.col("incident_id").asc()).limit(n)
 
 
+def latest_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
+    return _latest(flt.apply(df), n)
+
+
 def map_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
     """Shown points with co-location frequency and marker size."""
     shown = latest_points(df, flt, n)
@@ -58,13 +62,15 @@ def location_frequency(df: DataFrame, flt: IncidentFilter) -> DataFrame:
 
 
 def map_stats(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
-    """Per category: points shown; plus shown total and matching total
-    (the count before the cut, a scalar subquery)."""
-    matching = flt.apply(df).agg(F.count(F.lit(1))).scalar()
-    shown = latest_points(df, flt, n)
+    """Per category: points shown; plus shown total and matching total (the
+    count before the cut). The total comes from the same per-day counts that
+    fix the cutoff, so the filtered rows are aggregated once."""
+    rows = flt.apply(df)
+    cutoff, matching = cutoff_and_total(rows, n, F.col("date"))
+    shown = _latest(rows, n, cutoff=cutoff)
     per_cat = shown.groupBy("crime_against_category").agg(F.count(F.lit(1)).alias("points"))
     return per_cat.select(
         "crime_against_category", "points",
-        F.least(matching, F.lit(n).cast("bigint")).alias("shown_total"),
-        matching.alias("matching_total"),
+        F.lit(min(matching, n)).cast("bigint").alias("shown_total"),
+        F.lit(matching).cast("bigint").alias("matching_total"),
     )
