@@ -90,7 +90,12 @@ def within_radius(lat: ColumnOrValue, lon: ColumnOrValue,
     # null checks make the whole test false (never null) without coordinates.
     cond = lat_c.isNotNull() & lon_c.isNotNull() & (lat_c >= lo_lat) & (lat_c <= hi_lat)
     if lo_lon is not None:
-        cond = cond & (lon_c >= lo_lon) & (lon_c <= hi_lon)
+        if lo_lon < -180.0:       # the box wraps across the antimeridian
+            cond = cond & ((lon_c >= lo_lon + 360.0) | (lon_c <= hi_lon))
+        elif hi_lon > 180.0:
+            cond = cond & ((lon_c >= lo_lon) | (lon_c <= hi_lon - 360.0))
+        else:
+            cond = cond & (lon_c >= lo_lon) & (lon_c <= hi_lon)
     exact = haversine_m(F.lit(float(center_lat)), F.lit(float(center_lon)), lat_c, lon_c) <= radius
     return cond & exact
 

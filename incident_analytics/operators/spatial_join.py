@@ -45,9 +45,18 @@ def with_cell(df: DataFrame, cell_deg=DEFAULT_CELL_DEG,
 
 def _explode_box(df: DataFrame, lo_lat, hi_lat, lo_lon, hi_lon, cell_deg) -> DataFrame:
     ys = F.sequence(_cell(lo_lat, cell_deg), _cell(hi_lat, cell_deg))
-    xs = F.sequence(_cell(lo_lon, cell_deg), _cell(hi_lon, cell_deg))
+    # longitude cells, with the part of a box past ±180° wrapped to the other side
+    none = F.array().cast("array<bigint>")
+    xs = F.concat(
+        F.sequence(_cell(F.greatest(lo_lon, F.lit(-180.0)), cell_deg),
+                   _cell(F.least(hi_lon, F.lit(180.0)), cell_deg)),
+        F.when(lo_lon < -180.0, F.sequence(_cell(lo_lon + 360.0, cell_deg), _cell(F.lit(180.0), cell_deg)))
+        .otherwise(none),
+        F.when(hi_lon > 180.0, F.sequence(_cell(F.lit(-180.0), cell_deg), _cell(hi_lon - 360.0, cell_deg)))
+        .otherwise(none),
+    )
     return (df.withColumn("cell_y", F.explode(ys))
-              .withColumn("cell_x", F.explode(xs)))
+              .withColumn("cell_x", F.explode(F.array_distinct(xs))))
 
 
 def radius_join(incidents: DataFrame, centers: DataFrame, cell_deg: float | None = None,

@@ -137,3 +137,15 @@ def test_outline_closes(spark):
     assert len(pts) == 65
     assert pts[0]["latitude"] == pytest.approx(pts[-1]["latitude"]) and pts[0]["radius_miles"] == pytest.approx(805 / 1609.34)
     assert pts[0]["latitude"] == pytest.approx(47.6 + 805 / 111000)
+
+
+def test_circles_across_the_antimeridian(spark):
+    pts = [(1, 10.0, 179.999), (2, 10.0, -179.999), (3, 10.0, -179.9), (4, 10.0, 179.9)]
+    df = spark.createDataFrame(pts, "incident_id BIGINT, latitude DOUBLE, longitude DOUBLE")
+    for lon in (179.9995, -179.9995):
+        near = {r["incident_id"] for r in df.where(geo.within_radius("latitude", "longitude", 10.0, lon, 500)).collect()}
+        assert near == {1, 2}
+        cdf = spark.createDataFrame([(1, 10.0, lon, 500.0)],
+                                    "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
+        got = {r["incident_id"] for r in spatial_join.radius_join(df, cdf).collect()}
+        assert got == {1, 2}
