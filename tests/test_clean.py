@@ -105,3 +105,14 @@ def test_load_export_round_trip(spark, raw_of):
     report = {r["column_name"]: r["status"] for r in sources.schema_report(on_disk).collect()}
     assert report["year"] == "extra" and report["incident_id"] == "ok"
     assert sources.smoke(on_disk).count() == 1
+
+
+def test_command_line_load_and_check(spark, raw_of, capsys):
+    from incident_analytics.__main__ import _checks
+    df = raw_of([{}, {"Offense Date": "2022-12-31 23:00:00"}, {"Sector": "99"}])
+    csv_path = sources.write_raw_csv(df, scratch_path(spark, "t-cli-raw"))
+    gold_path = scratch_path(spark, "t-cli-gold")
+    loader.load_export(spark, csv_path, gold_path)
+    assert _checks(spark, gold_path) == 0
+    out = capsys.readouterr().out
+    assert "rows: 2  with coordinates: 2" in out and "year                     extra" in out
