@@ -223,7 +223,11 @@ _SUMMARIES: dict[tuple[str, str], str] = {}
 def _summary(spark, sf_dir):
     """The daily summary of the incidents, written once per application and
     scale to the shared folder (as a deployment maintains it at load time)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # remote (Connect) sessions have no local context
+        app = str(id(spark))
+    key = (app, sf_dir)
     if key not in _SUMMARIES:
         _SUMMARIES[key] = summary.write_summary(_incidents(spark, sf_dir), scratch_path(spark, "summary"))
     return summary.read_summary(spark, _SUMMARIES[key])
