@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_from_parts, hour_of
-from ..schema import GOLD_COLUMNS
+from ..schema import GOLD_COLUMNS, RAW_TO_GOLD
 
 # Fixed values of the cleaning rules.
 PLACEHOLDERS = ("-", "REDACTED", "-1.0")
@@ -90,16 +90,9 @@ def clean(raw: DataFrame) -> DataFrame:
         time.alias("time"),
         hour_of(time).alias("hour"),                                 # P3
         F.concat(date.cast("string"), F.lit(" "), time).alias("datetime"),  # P4
-        F.col("Offense Category").alias("offense"),                  # C12
-        F.col("Offense Sub Category").alias("offense_sub_category"),
-        F.col("NIBRS Crime Against Category").alias("crime_against_category"),
-        F.col("Block Address").alias("location"),
-        F.col("Neighborhood").alias("area"),
-        F.col("Precinct").alias("precinct"),
-        F.col("Sector").alias("sector"),
-        F.col("Hazardness").try_cast("double").alias("hazardness"),  # C11
-        F.col("Latitude").alias("latitude"),
-        F.col("Longitude").alias("longitude"),
+        # C12 select and rename (C11: hazard text to DOUBLE; C2 did the coordinates)
+        *[(F.col(f"`{raw}`").try_cast("double") if gold == "hazardness" else F.col(f"`{raw}`")).alias(gold)
+          for raw, gold in RAW_TO_GOLD.items()],
     )
     assert out.columns[-len(GOLD_COLUMNS):] == GOLD_COLUMNS
     return out
