@@ -28,12 +28,6 @@ OUTLINE_STEPS = 64
 ColumnOrValue = Union[Column, str, float, int]
 Ring = Sequence[Sequence[float]]
 
-RING_TYPE = T.ArrayType(T.StructType([
-    T.StructField("lon", T.DoubleType()),
-    T.StructField("lat", T.DoubleType()),
-]))
-
-
 def _c(x: ColumnOrValue) -> Column:
     if isinstance(x, Column):
         return x

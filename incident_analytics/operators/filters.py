@@ -110,7 +110,3 @@ class IncidentFilter:
             if end is not None:
                 cond = cond & (F.col("year") <= end.year)
         return df.where(cond)
-
-
-def date_filter(start: DateLike = None, end: DateLike = None, **kw) -> IncidentFilter:
-    return IncidentFilter(start=start, end=end, **kw)

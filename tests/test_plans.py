@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 from incident_analytics import IncidentFilter, fixtures, loader, sources
 from incident_analytics.operators import details, kpi, mapping
-from incident_analytics.plans import plan_text
+from incident_analytics.plans import physical_operators, plan_text
 from incident_analytics.session import scratch_path
 
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
@@ -56,8 +56,8 @@ def test_circle_box_is_pushed(spark, gold_path):
 
 def test_topk_plans(spark, gold_path):
     df = spark.read.parquet(gold_path)
-    assert "TakeOrderedAndProject" in plan_text(details.incident_details(df, IncidentFilter()))
-    assert "TakeOrderedAndProject" in plan_text(mapping.latest_points(df, IncidentFilter()))
+    assert "TakeOrderedAndProject" in physical_operators(details.incident_details(df, IncidentFilter()))
+    assert "TakeOrderedAndProject" in physical_operators(mapping.latest_points(df, IncidentFilter()))
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - {
