@@ -130,11 +130,11 @@ def q_map_stats(spark, sf_dir):
 
 
 def q_clean_incidents(spark, sf_dir):
-    return clean.clean(fixtures.raw_incidents(spark, sf_dir))
+    return clean.clean(fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir)))
 
 
 def q_clean_audit(spark, sf_dir):
-    return clean.clean_audit(fixtures.raw_incidents(spark, sf_dir))
+    return clean.clean_audit(fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir)))
 
 
 def _app_key(spark, sf_dir):
@@ -154,7 +154,7 @@ def _staged_csv(spark, sf_dir):
     in the shared folder (the landing folder of an export)."""
     key = _app_key(spark, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = sources.write_raw_csv(fixtures.raw_incidents(spark, sf_dir),
+        _STAGED[key] = sources.write_raw_csv(fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir)),
                                              scratch_path(spark, "landing"), files=6)
     return _STAGED[key]
 

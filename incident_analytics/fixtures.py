@@ -112,11 +112,12 @@ def _fault(i: Column, cases: list[tuple[int, object]], value: Column) -> Column:
     return out.otherwise(value)
 
 
-def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_incidents(spark: SparkSession, sf_dir: str, gold: DataFrame | None = None) -> DataFrame:
     """Raw, all-text export rows with planted faults (FIXTURES.md §2,
     ``RAW_FAULTS`` and ``DATE_FAULTS``); shooting type is set on every
-    seventh row and missing elsewhere."""
-    gold = incidents(spark, sf_dir)
+    seventh row and missing elsewhere. ``gold`` may pass the incidents view
+    already built for ``sf_dir``."""
+    gold = incidents(spark, sf_dir) if gold is None else gold
     i = F.col("incident_id")
     day_text = F.col("date").cast("string")
     planted = {
