@@ -12,7 +12,8 @@ Plan (one scan of the base table):
    checkpointed to the shared folder, so the span, the ranking and the
    series all read it instead of re-scanning the base table (with
    ``materialize=False`` Spark reuses the exchange for ranking and series,
-   but computes the span from a second, column-pruned scan);
+   but computes the span from a second, column-pruned scan; that is the
+   default for a summary input, which is cheap to re-read);
 4. the span (max − min day) is a scalar subquery and picks month / week /
    day buckets; the chosen N areas are a ≤N-row broadcast.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DateLike, granularity, period_start, to_date_value
 from ..plans import materialize as _materialize
 from .filters import IncidentFilter
-from .summary import counted
+from .summary import counted, is_summary
 
 METRICS = ("count", "hazard")
 ORDERS = ("top", "bottom")
@@ -49,7 +50,7 @@ def _metric(metric: str, n: Column, h: Column) -> Column:
 
 def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
                 metric: str = "count", order: str = "top", n: int = 10,
-                as_of: DateLike = None, materialize: bool = True,
+                as_of: DateLike = None, materialize: bool | None = None,
                 include_empty: bool = False) -> DataFrame:
     """Series (period, area, value, granularity) for the top/bottom ``n`` areas.
 
@@ -64,6 +65,8 @@ def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
     if metric not in METRICS or order not in ORDERS:
         raise ValueError(f"metric must be one of {METRICS}, order one of {ORDERS}")
     daily = daily_area_totals(df, start, end, as_of)
+    if materialize is None:  # re-reading a summary is already cheap
+        materialize = not is_summary(df)
     if materialize:
         daily = _materialize(daily)
     span = daily.agg(F.datediff(F.max("date"), F.min("date"))).scalar()
