@@ -12,6 +12,8 @@ import __spark_entry__ as entry
 from conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "events"]
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 def _canon(v):
@@ -58,5 +60,8 @@ def test_query_matches_oracle(spark, duck, name):
     drows = cur.fetchall()
     dcols = [c[0] for c in cur.description]
     assert sorted(sdf.columns) == sorted(dcols)
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    assert stypes == {c[0]: str(c[1]) for c in cur.description}
     assert len(srows) == len(drows)
     assert _rows(sdf.columns, srows) == _rows(dcols, drows)
