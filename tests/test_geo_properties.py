@@ -149,3 +149,28 @@ def test_circles_across_the_antimeridian(spark):
                                     "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
         got = {r["incident_id"] for r in spatial_join.radius_join(df, cdf).collect()}
         assert got == {1, 2}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(lat=st.floats(-89.0, 89.0), lon=st.floats(-180.0, 180.0),
+       r=st.sampled_from([100.0, 805.0, 5000.0, 50000.0]), seed=st.integers(0, 10_000))
+def test_circle_anywhere_on_earth(spark, lat, lon, r, seed):
+    """The box in front of the exact test never drops a point of the circle,
+    near the poles and across ±180° included."""
+    rnd = random.Random(seed)
+    spread = math.degrees(3 * r / 6371000)
+    pts = []
+    for i in range(300):
+        a = max(-90.0, min(90.0, lat + rnd.uniform(-spread, spread)))
+        b = lon + rnd.uniform(-spread, spread) / max(math.cos(math.radians(lat)), 0.05)
+        b = (b + 180.0) % 360.0 - 180.0
+        pts.append((i, a, b))
+    df = spark.createDataFrame(pts, "incident_id BIGINT, latitude DOUBLE, longitude DOUBLE")
+    got = {row["incident_id"] for row in df.where(geo.within_radius("latitude", "longitude", lat, lon, r)).collect()}
+    want = {i for i, a, b in pts if haversine(lat, lon, a, b) <= r}
+    diff = got ^ want
+    assert all(abs(haversine(lat, lon, a, b) - r) < 1e-6 * max(r, 1) for i, a, b in pts if i in diff)
+    cdf = spark.createDataFrame([(1, lat, lon, r)], "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
+    joined = {row["incident_id"] for row in spatial_join.radius_join(df, cdf).collect()}
+    diff = joined ^ want
+    assert all(abs(haversine(lat, lon, a, b) - r) < 1e-6 * max(r, 1) for i, a, b in pts if i in diff)
