@@ -15,7 +15,7 @@ against exploded rows. For circles it defaults to the largest radius (a
 scalar subquery over the centres), so each circle touches a handful of
 cells (3 × 4 at 47° latitude, 3 × (1 + 2/cos φ) in general) and candidate
 pairs stay within a small constant factor of the true pairs, whatever the
-density.
+density. For polygons it defaults to a quarter of the median box side.
 """
 
 from __future__ import annotations
@@ -78,14 +78,22 @@ def radius_join(incidents: DataFrame, centers: DataFrame, cell_deg: float | None
     return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= r)
 
 
-def polygon_join(incidents: DataFrame, polygons: DataFrame, cell_deg=DEFAULT_CELL_DEG,
+def polygon_join(incidents: DataFrame, polygons: DataFrame, cell_deg=None,
                  geojson: str = "geojson") -> DataFrame:
     """Pairs (polygon columns…, incident columns…) with the incident inside the
-    polygon's outer ring (closed bounding box and ray-casting parity)."""
+    polygon's outer ring (closed bounding box and ray-casting parity).
+
+    ``cell_deg``: grid cell edge in degrees; default a quarter of the median
+    polygon box side (a scalar subquery), so a typical polygon spans about
+    4 × 4 cells whatever its size."""
     shapes = polygons.withColumn("_ring", geo.ring_column(F.col(geojson)))
     lo_lat, hi_lat, lo_lon, hi_lon = geo.ring_bounds_columns(F.col("_ring"))
     shapes = (shapes.withColumn("_lo_lat", lo_lat).withColumn("_hi_lat", hi_lat)
                     .withColumn("_lo_lon", lo_lon).withColumn("_hi_lon", hi_lon))
+    if cell_deg is None:
+        side = F.greatest(F.col("_hi_lat") - F.col("_lo_lat"), F.col("_hi_lon") - F.col("_lo_lon"))
+        median = shapes.agg(F.percentile_approx(side, 0.5)).scalar()
+        cell_deg = F.least(F.greatest(median / F.lit(4.0), F.lit(1e-5)), F.lit(10.0))
     cells = _explode_box(shapes, F.col("_lo_lat"), F.col("_hi_lat"), F.col("_lo_lon"),
                          F.col("_hi_lon"), cell_deg)
     pts = with_cell(incidents, cell_deg)

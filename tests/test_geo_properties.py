@@ -123,6 +123,8 @@ def test_polygon_join_equals_filter(spark, points):
     polys = [(i, P.POLYGONS[i - 1][1]) for i in range(1, 5)]
     pdf = spark.createDataFrame(polys, "polygon_id INT, geojson STRING")
     got = {(r["polygon_id"], r["incident_id"]) for r in spatial_join.polygon_join(df, pdf, cell_deg=0.02).collect()}
+    adaptive = {(r["polygon_id"], r["incident_id"]) for r in spatial_join.polygon_join(df, pdf).collect()}
+    assert adaptive == got
     want = set()
     for pid, gj in polys:
         want |= {(pid, r["incident_id"]) for r in IncidentFilter(polygon=gj).apply(df.withColumn(
