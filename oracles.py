@@ -187,14 +187,14 @@ counts AS (SELECT {SUB}, count(*) AS incidents FROM incidents
 best AS (SELECT *, row_number() OVER (ORDER BY incidents DESC, {SUB} ASC) AS rank FROM counts)""")
 
 
-def haversine_sql(lat, lon) -> str:
-    """Distance in metres from a centre (literal numbers or SQL text) to (latitude, longitude)."""
+def haversine_sql(lat, lon, point_lat: str = "latitude", point_lon: str = "longitude") -> str:
+    """Distance in metres from a centre (literal numbers or SQL text) to a point."""
     lat = d(lat) if isinstance(lat, float) else lat
     lon = d(lon) if isinstance(lon, float) else lon
     rl1, rn1 = f"radians({lat})", f"radians({lon})"
-    s1 = "sin((radians(latitude) - " + rl1 + ") / 2)"
-    s2 = "sin((radians(longitude) - " + rn1 + ") / 2)"
-    a = f"{s1} * {s1} + cos({rl1}) * cos(radians(latitude)) * ({s2} * {s2})"
+    s1 = f"sin((radians({point_lat}) - {rl1}) / 2)"
+    s2 = f"sin((radians({point_lon}) - {rn1}) / 2)"
+    a = f"{s1} * {s1} + cos({rl1}) * cos(radians({point_lat})) * ({s2} * {s2})"
     return f"(2e0 * asin(sqrt(least({a}, 1e0))) * {d(geo.EARTH_RADIUS_M)})"
 
 
@@ -458,7 +458,7 @@ SELECT c.center_id, count(*) AS incidents,
   count(*) FILTER (WHERE p.{CAT} = 'PROPERTY') AS property,
   count(*) FILTER (WHERE p.{CAT} = 'SOCIETY') AS society
 FROM centers c, pts p
-WHERE {haversine_sql('c.center_lat', 'c.center_lon').replace('(latitude', '(p.latitude').replace('(longitude', '(p.longitude')} <= c.radius_m
+WHERE {haversine_sql('c.center_lat', 'c.center_lon', 'p.latitude', 'p.longitude')} <= c.radius_m
 GROUP BY c.center_id""", f"""
 pts AS (SELECT * FROM incidents WHERE {date_cond(*P.FULL_RANGE)}),
 centers AS (SELECT location AS center_id, {exact_mean_sql('latitude')} AS center_lat,
