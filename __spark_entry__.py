@@ -33,6 +33,15 @@ from incident_analytics.session import scratch_path  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+def _app_key(spark, sf_dir):
+    """Key of the per-application, per-scale memos below."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # remote (Connect) sessions have no local context
+        app = str(id(spark))
+    return (app, sf_dir)
+
+
 _BASE: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -137,14 +146,6 @@ def q_clean_audit(spark, sf_dir):
     return clean.clean_audit(fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir)))
 
 
-def _app_key(spark, sf_dir):
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # remote (Connect) sessions have no local context
-        app = str(id(spark))
-    return (app, sf_dir)
-
-
 _STAGED: dict[tuple[str, str], str] = {}
 _LOADED: dict[tuple[str, str], str] = {}
 
