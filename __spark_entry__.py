@@ -30,6 +30,14 @@ from incident_analytics.operators import (  # noqa: E402
     breakdown, clean, details, geocode, kpi, mapping, options, spatial_join, summary, trends)
 from incident_analytics.session import scratch_path  # noqa: E402
 
+try:  # the training-data subpackage and the pipeline over it are optional
+    from incident_analytics.llm import registry as llm_registry
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name not in ("incident_analytics.llm", "incident_analytics.llm.registry", "corpus_pipeline"):
+        raise
+    llm_registry = corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -331,6 +339,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "geocode_lookup": q_geocode_lookup,
         "circle_outline": q_circle_outline,
         **{f"{name}_from_summary": _from_summary(view) for name, view in SUMMARY_VIEWS.items()},
+        **({**llm_registry.QUERIES, "pipeline": corpus_pipeline.run} if llm_registry else {}),
     }
 
 
@@ -338,4 +347,8 @@ def oracle_sql() -> dict[str, str]:
     sql = oracles.all_sql()
     # the summary-backed views must give the row-level answers exactly
     sql.update({f"{name}_from_summary": sql[name] for name in SUMMARY_VIEWS})
+    if llm_registry:
+        sql.update(llm_registry.ORACLES)
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return {k: v for k, v in sql.items() if k in queries()}

@@ -64,28 +64,37 @@ def build_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    shared_dir(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written intermediates.
 
-    Written tables that cut lineage go below it. We only set our own when the
-    session has none (tests on a laptop); on a cluster the setting must point
-    at storage every executor can reach.
+    In order: the folder already given to ``setCheckpointDir``, the session's
+    ``spark.checkpoint.dir``, and, only under a ``local`` master with neither,
+    a new local folder. Any other master must name a folder that the driver
+    and every executor reach, so there a missing setting is an error, raised
+    when a step first needs the folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="incident-analytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     try:
         sc = spark.sparkContext
     except Exception:  # remote (Connect) sessions have no local context; the server's setting applies
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share") from None
         return configured
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
+    # getCheckpointDir() names the application's sub-folder of the given one
+    current = sc.getCheckpointDir()
+    if configured:
+        if current is None:
+            sc.setCheckpointDir(configured)
+        return configured
+    if current is not None:
+        return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="incident-analytics-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
