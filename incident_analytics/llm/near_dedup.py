@@ -10,11 +10,12 @@ meets in some table with probability 0.9985 and one at 0.85 with 0.9998.
 Documents with equal sets are collapsed first, by a 128-bit digest of the set.
 In each table's bucket all members are compared with one member, the hub;
 candidates pass a sketch of one bit per minimum hash and a size bound, then
-the full sets decide. Verified links contract into components. Buckets that
-still hold several components get another hub, and at last every pair of
-members in different components is compared, so a group of thousands of near
-copies costs a few comparisons per member and yet no link between components
-is left out that shares a bucket.
+the full sets decide. Verified links contract into components. Of the buckets
+that still hold several components, those of at most ``SMALL`` members are
+compared by pairs across components (at most SMALL / 2 rows a member); members
+of larger ones are compared in tiles that return links only, so a group of
+thousands of near copies is never expanded into rows of pairs and yet no link
+that shares a bucket is left out.
 
 Components are found by rounds of contraction to the neighbour of least
 seeded hash, each round written to the shared folder; nothing but counts
@@ -41,10 +42,11 @@ SIDE = 10
 BAND = 3
 PERCENT = 80
 SEED = 20240229
-HUB_ROUNDS = 2
-# a pair at the threshold differs in about 6 of 60 sketch bits; more than 24 has a chance below 1e-9
+SMALL = 32   # members of a bucket that is compared by pairs; larger ones go by tiles
+CHUNK = 256  # members of a cluster in half a tile
+# a pair at the threshold differs in about 6 of 60 sketch bits; more than 20 has a chance near 1e-6
 SKETCH_BITS = 2 * SIDE * BAND
-SKETCH_MOST = 24
+SKETCH_MOST = 20
 SLICE_BYTES = 8 << 20
 _U64 = np.uint64
 
@@ -167,14 +169,15 @@ def _may_link(percent: int):
             & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("o_sketch"))) <= SKETCH_MOST))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of documents whose full shingle sets are similar enough."""
-    pairs = written(pairs, name)
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # one row for an id: rows with an equal id and other texts are told apart by nothing else
-    texts = docs.join(wanted, "doc_id", "left_semi")
+def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
+    return written(pairs.where(_may_link(percent)).select(
+        F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct(), "dedup-pairs")
 
-    def hashed(batches):
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc_id, elements): full shingle sets of the wanted ids, computed again
+    from the texts, so sets of documents without a candidate are never moved."""
+    def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 s = sets_of(part.column("text"), width)
@@ -183,12 +186,62 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: s
                     list_array(np.concatenate(s).view(np.int64), np.array([len(x) for x in s]), pa.int64())],
                     names=["doc_id", "elements"])
 
-    sets = written(texts.mapInArrow(hashed, "doc_id LONG, elements ARRAY<LONG>").dropDuplicates(["doc_id"]), name)
+    texts = docs.join(wanted, "doc_id", "left_semi")
+    return written(texts.mapInArrow(run, "doc_id LONG, elements ARRAY<LONG>").dropDuplicates(["doc_id"]), "dedup-sets")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents whose full shingle sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _sets(docs, wanted, width)
     one = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     other = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(other, "b").where(
-        100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return written(pairs.join(one, "a").join(other, "b").where(
+        100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "dedup-links")
+
+
+def _tiled(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among the members of large mixed buckets. Members that share such a
+    bucket form a cluster; a cluster is dealt into chunks of about CHUNK, and a
+    task compares two chunks' full sets by a product of incidence matrices and
+    returns the links only. A member goes to one task per chunk."""
+    hubs = members.groupBy("key").agg(F.min("rep").alias("b"))
+    clusters = contract(members.join(hubs, "key").select(F.col("rep").alias("a"), "b").distinct(), "dedup-clusters")
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    placed = clusters.join(sizes, "root").select(
+        F.col("node").alias("doc_id"), "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("c"))
+    dealt = placed.join(_sets(docs, placed.select("doc_id"), width), "doc_id").select(
+        "root", "c", "doc_id", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
+        "root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "doc_id", "elements")
+
+    def compare(key, group):
+        ids = group.column("doc_id").to_numpy()
+        chunk = group.column("c").to_numpy()
+        lists = group.column("elements").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        values, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), n)
+        # elements of one set only cannot be shared
+        common = np.flatnonzero(np.bincount(at, minlength=len(values)) > 1)
+        place = np.full(len(values), -1)
+        place[common] = np.arange(len(common))
+        column = place[at]
+        shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        for lo in range(0, len(common), 4096):
+            inside = (column >= lo) & (column < lo + 4096)
+            incidence = np.zeros((len(ids), 4096), dtype=np.float32)
+            incidence[owner[inside], column[inside] - lo] = 1.0
+            shared += incidence @ incidence.T
+        both = np.rint(shared).astype(np.int64)
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        if key[1].as_py() != key[2].as_py():  # pairs inside a chunk belong to its own tile
+            near &= chunk[:, None] != chunk[None, :]
+        a, b = np.nonzero(np.triu(near, 1))
+        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()),
+                         "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
+
+    return written(dealt.groupBy("root", "i", "j").applyInArrow(compare, "a LONG, b LONG"), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -207,34 +260,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.xxhash64("i", "j", "one", "two").alias("key"), "rep", "n", "sketch")
     shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     members = written(tables.join(shared, "key").withColumn("root", F.col("rep")), "dedup-members")
-    links, tried = [], None
-    for round_ in range(HUB_ROUNDS + 1):
-        mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-            "lo < hi").select("key")
-        if round_:
-            members = written(members.join(mixed, "key"), "dedup-members")
-            if members.isEmpty():
-                break
-        if round_ < HUB_ROUNDS:
-            order = F.xxhash64(F.lit(round_), "rep") if round_ else F.col("rep")
-            hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "sketch", "root"), order).alias("hub")).select(
-                "key", F.col("hub.rep").alias("o_rep"), F.col("hub.n").alias("o_n"),
-                F.col("hub.sketch").alias("o_sketch"), F.col("hub.root").alias("o_root"))
-            pairs = members.join(hubs, "key").where(F.col("root") != F.col("o_root"))
-        else:
-            others = members.select("key", *[F.col(c).alias("o_" + c) for c in ("rep", "n", "sketch", "root")])
-            pairs = members.join(others, "key").where(F.col("root") < F.col("o_root"))
-        pairs = pairs.where(_may_link(percent)).select(
-            F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dedup-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links.append(written(_verify(pairs, rows, width, percent, "dedup-sets"), "dedup-links"))
-        if round_ < HUB_ROUNDS:
-            roots = contract(reduce(DataFrame.unionByName, links), "dedup-components")
-            members = written(_relabel(members.withColumn("root", F.col("rep")), roots), "dedup-members")
-    roots = contract(reduce(DataFrame.unionByName, links), "dedup-components")
+    # every member against its bucket's hub
+    hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "sketch"), "rep").alias("hub")).select(
+        "key", F.col("hub.rep").alias("o_rep"), F.col("hub.n").alias("o_n"), F.col("hub.sketch").alias("o_sketch"))
+    links = _verify(_candidates(members.join(hubs, "key").where("rep <> o_rep"), percent), rows, width, percent)
+    roots = contract(links, "dedup-components")
+    # buckets of several components: small ones by pairs, large ones by tiles
+    members = _relabel(members, roots)
+    mixed = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                       F.count(F.lit(1)).alias("size")).where("lo < hi").select("key", "size")
+    members = written(members.join(mixed, "key"), "dedup-members")
+    small = members.where(F.col("size") <= SMALL)
+    others = small.select("key", *[F.col(c).alias("o_" + c) for c in ("rep", "n", "sketch", "root")])
+    pairs = _candidates(small.join(others, "key").where("root < o_root"), percent)
+    links = links.unionByName(_verify(pairs, rows, width, percent))
+    large = members.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        links = links.unionByName(_tiled(large, rows, width, percent))
+    roots = contract(links, "dedup-components")
     least = roots.join(roots.groupBy("root").agg(F.min("node").alias("least")), "root").select(
         F.col("node").alias("rep"), "least")
     labels = classes.join(least, "rep", "left").select(

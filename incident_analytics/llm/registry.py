@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_table, fingerprint, mixing, near_dedup, quality_rules, token_files
+from . import bpe_table, fingerprint, mixing, near_dedup, quality_pu, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.query,
     "op2_quality_rules": quality_rules.query,
     "op3_near_dedup": near_dedup.query,
+    "op5_toxicity": toxicity.query,
     "op6_bpe_table": bpe_table.query,
+    "op8_quality_pu": quality_pu.query,
     "op9_fingerprint": fingerprint.query,
     "op10_mixing": mixing.query,
 }
