@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_table, fingerprint, mixing, near_dedup, quality_pu, quality_rules, token_files, toxicity
+from . import bpe_table, fingerprint, mixing, near_dedup, pii, quality_pu, quality_rules, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe_table": bpe_table.query,
+    "op7_pii": pii.query,
     "op8_quality_pu": quality_pu.query,
     "op9_fingerprint": fingerprint.query,
     "op10_mixing": mixing.query,
