@@ -20,6 +20,7 @@ or a written intermediate); a digest per block raises if it does not.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from ._text import Pieces, gather, hash_pieces, slices, utf8
 
-BLOCK_BYTES = 16 << 20
-BUCKET_SHARE = 4  # a bucket for so many input partitions
+BLOCK_BYTES = 8 << 20
+BUCKETS = 3
 
 
 def shrink(values: np.ndarray) -> bytes:
@@ -95,8 +96,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], cut: Callable[[np.ndarray, np.nda
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets grow with the input's partitions, so a bucket's size does not."""
-    return max(8, docs.rdd.getNumPartitions() // BUCKET_SHARE)
+    """Buckets grow as a vocabulary does, slower than the input: a block sends a
+    message to each, so with as many buckets as blocks messages would be many
+    and tiny."""
+    return max(8, math.ceil(BUCKETS * docs.rdd.getNumPartitions() ** 0.6))
 
 
 MESSAGES = "block LONG, bucket INT, n LONG, digest LONG, pieces BINARY, sizes BINARY, counts BINARY"
@@ -107,13 +110,13 @@ _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_
                            ("per_text", pa.list_(pa.int32())), ("codes", pa.binary())])
 
 
-def piece_messages(docs: DataFrame, cut, buckets: int, counted=None) -> DataFrame:
-    """(block, bucket, pieces, sizes, counts). counted(slice) -> weights of the
-    slice's texts in the counts (default: 1 each)."""
+def piece_messages(docs: DataFrame, cut, buckets: int, weight: str | None = None) -> DataFrame:
+    """(block, bucket, pieces, sizes, counts); a column of weights, if named, says
+    how often a text counts (default: once)."""
     def run(batches):
         for b in _blocks(batches, cut, buckets):
-            weight = np.ones(len(b.per_text), np.int64) if counted is None else counted(b.extra)
-            counts = np.bincount(b.codes, weights=np.repeat(weight, b.per_text),
+            times = np.ones(len(b.per_text)) if weight is None else b.extra.column(weight).to_numpy(zero_copy_only=False)
+            counts = np.bincount(b.codes, weights=np.repeat(times, b.per_text),
                                  minlength=len(b.bucket_of)).astype(np.uint32)
             digest = b.digest
             edges = np.searchsorted(b.bucket_of, np.arange(buckets + 1))
@@ -168,3 +171,13 @@ def joined(blocks: DataFrame, values: DataFrame, combine: Callable[[dict, list[d
 
     out = to_arrow_schema(_parse_datatype_string(schema))
     return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(run, schema)
+
+
+def runs(per_text: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of a block's texts with at most so many pieces (or one text): bounds the memory of a step."""
+    ends = np.cumsum(per_text)
+    lo = 0
+    while lo < len(per_text):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - per_text[lo] + most, side="right")))
+        yield lo, hi
+        lo = hi

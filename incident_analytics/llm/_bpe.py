@@ -38,7 +38,7 @@ class ChunkEncoder:
         self.piece_size = np.array([len(x) for x in self.pieces], dtype=np.int64)
         self.seen: dict[bytes, bytes] = {}
 
-    def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, distinct: pa.Array, remember: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each chunk, and all ids one after the other."""
         chunks = distinct.to_pylist()
         seen = self.seen
@@ -46,11 +46,12 @@ class ChunkEncoder:
         new = [i for i, ids in enumerate(found) if ids is None]
         if new:
             made = self._encode_new([chunks[i] for i in new])
-            if len(seen) + len(new) > CACHE_CHUNKS:
-                seen.clear()
             for i, ids in zip(new, made, strict=True):
                 found[i] = ids
-            seen.update(zip([chunks[i] for i in new[:CACHE_CHUNKS]], made, strict=False))
+            if remember and len(seen) + len(new) > CACHE_CHUNKS:
+                seen.clear()
+            if remember:
+                seen.update(zip([chunks[i] for i in new[:CACHE_CHUNKS]], made, strict=False))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         return sizes, np.frombuffer(b"".join(found), dtype=np.uint32)
 

@@ -32,7 +32,7 @@ _VALUES = "block LONG, bucket INT, digest LONG, sizes BINARY, ids BINARY"
 def _bucket_ids(path: str):
     def run(key, group):
         codes, distinct, ns = _blocks.bucket_pieces(group)
-        sizes, ids = encoder(path).encode(distinct)
+        sizes, ids = encoder(path).encode(distinct, remember=False)  # each chunk meets here once
         starts = np.cumsum(sizes) - sizes
         made, at = [], 0
         for row, n in zip(group.select(["block", "bucket", "digest"]).to_pylist(), ns, strict=True):
@@ -62,7 +62,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         starts = np.cumsum(sizes) - sizes
         codes = _blocks.grow(row["codes"], np.uint32)
         ends = np.cumsum(per_text)
-        for lo, hi in _runs(per_text):  # some documents at a time bounds the memory
+        for lo, hi in _blocks.runs(per_text):  # some documents at a time bounds the memory
             mine = codes[ends[lo] - per_text[lo]:ends[hi - 1]]
             doc = np.repeat(np.arange(hi - lo), per_text[lo:hi])
             n = np.bincount(doc, weights=sizes[mine], minlength=hi - lo).astype(np.int64)
@@ -75,15 +75,6 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return _blocks.joined(_blocks.block_rows(rows, chunks, buckets), values, combine, "doc_id LONG, ids ARRAY<INT>")
 
 
-def _runs(per_text: np.ndarray, most: int = 500_000):
-    ends = np.cumsum(per_text)
-    lo = 0
-    while lo < len(per_text):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - per_text[lo] + most, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe_table, fingerprint, mixing, near_dedup, pii, quality_pu, quality_rules, token_files, toxicity
+from . import bpe_table, fingerprint, mixing, near_dedup, pii, quality_pu, quality_rules, suffix_tree, token_files, toxicity
 
 QUERIES = {
     "op1_token_files": token_files.query,
     "op2_quality_rules": quality_rules.query,
     "op3_near_dedup": near_dedup.query,
+    "op4_suffix_tree": suffix_tree.query,
     "op5_toxicity": toxicity.query,
     "op6_bpe_table": bpe_table.query,
     "op7_pii": pii.query,

@@ -6,7 +6,7 @@ labels show to be far more frequent in toxic texts) and one voter for clean
 texts (no term and no pattern). The label model is a two-class latent model of
 the votes fitted by EM: per voter its rates under both classes, and the
 correlations of voters given the class, by which votes that tend to come
-together are discounted. Its posteriors are the targets of a logistic
+together are discounted; labels that may be learnt from are one more voter. Its posteriors are the targets of a logistic
 classifier over the features that tell the classes apart.
 
 Training sees at most ``LABELLED`` labelled and ``UNLABELLED`` other documents
@@ -33,6 +33,7 @@ LABELLED = 16_000
 UNLABELLED = 8_000
 KEPT = 4_000
 PATTERNS = 64
+ANNOTATOR = 0.995  # assumed accuracy of a label
 THRESHOLD = 0.7
 SLICE_BYTES = 8 << 20
 _U64 = np.uint64
@@ -92,13 +93,14 @@ def _sampled_features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id LONG, toxic INT, features ARRAY<LONG>")
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> dict:
-    """EM over binary votes (n, voters): class prior, rates under both classes,
+def label_model(votes: np.ndarray, start: np.ndarray, prior: float = 0.1, trusted: np.ndarray | float = 0.0,
+                rounds: int = 40) -> dict:
+    """EM over binary votes (n, voters) at a class prior: trusted is the log odds
+    that an annotator's vote adds to a row (0: abstained). Gives rates under both classes,
     discounts from correlations given the class, and the posteriors."""
     q = start.astype(np.float64)
     discount = np.ones(votes.shape[1])
     for _ in range(rounds):
-        prior = np.clip(q.mean(), 0.005, 0.6)
         on = np.clip((q @ votes + 0.5) / (q.sum() + 1.0), 1e-4, 1 - 1e-4)
         off = np.clip(((1 - q) @ votes + 0.05) / ((1 - q).sum() + 1.0), 1e-5, 1 - 1e-4)
         # residuals given the class; a vote that others repeat counts as a share of itself
@@ -108,8 +110,8 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> dict:
         correlation = spread / np.outer(scale, scale)
         np.fill_diagonal(correlation, 0.0)
         discount = 1.0 / (1.0 + np.maximum(correlation - 0.1, 0.0).sum(axis=1))
-        yes, no = np.log(on / off) * discount, np.log((1 - on) / (1 - off)) * discount
-        new = sigmoid(np.log(prior / (1 - prior)) + votes @ yes + (1 - votes) @ no)
+        # a voter that does not fire abstains; the quiet voter speaks for clean texts
+        new = sigmoid(np.log(prior / (1 - prior)) + trusted + votes @ (np.log(on / off) * discount))
         if np.abs(new - q).max() < 1e-6:
             break
         q = new
@@ -151,10 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 5) -> dict:
     votes = x[:, np.searchsorted(features, voters)]
     quiet = votes.sum(axis=1) == 0
     votes = np.column_stack([votes, quiet]).astype(np.float64)
-    model = label_model(votes, np.where(quiet, 0.02, 0.9))
+    share = (seen["p"] + 1) / (seen["p"] + seen["n"] + 10)  # class balance of the labelled rows, about 0.1 without any
+    # the labels that may be learnt from are one more voter, of a fixed accuracy
+    toxic = np.array([np.nan if t is None else t for t in got.column("toxic").to_pylist()], dtype=np.float64)
+    trusted = np.where(np.isnan(toxic), 0.0, np.where(toxic == 1, 1.0, -1.0) * np.log(ANNOTATOR / (1 - ANNOTATOR)))
+    start = np.where(np.isnan(toxic), np.where(quiet, 0.01, 0.9), np.clip(toxic, 1 - ANNOTATOR, ANNOTATOR))
+    model = label_model(votes, start, min(max(share, 0.005), 0.5), trusted)
     target = model["posterior"]
     w, bias, adam = np.zeros(len(features)), -2.0, Adam(len(features) + 1, 0.05)
-    for _ in range(200):
+    for _ in range(300):
         s = sigmoid(x @ w + bias)
         g = np.append(x.T @ (s - target).astype(np.float32) / len(x) + 1e-4 * w, (s - target).mean())
         step = adam.step(np.append(w, bias), g)
