@@ -123,15 +123,24 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U64(31))
 
 
-def hash_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-empty pieces: multilinear over (byte, place), then mixed."""
-    if len(offsets) < 2:
-        return np.zeros(0, dtype=np.uint64)
+def hash_pieces(data: np.ndarray, offsets: np.ndarray, run_bytes: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of non-empty pieces: multilinear over (byte, place), then
+    mixed. Some pieces at a time, as the terms take many times a piece's bytes."""
+    out = np.zeros(max(len(offsets) - 1, 0), dtype=np.uint64)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + run_bytes, side="right")) - 1)
+        out[lo:hi] = _hash_run(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        lo = hi
+    return out
+
+
+def _hash_run(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
-    place = np.arange(offsets[-1], dtype=np.int64) - np.repeat(offsets[:-1], sizes)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(offsets[:-1], sizes)
     with np.errstate(over="ignore"):
-        terms = _BYTE_KEYS[data[:offsets[-1]]] * _PLACE_KEYS[place & 4095]
-        if len(sizes) and sizes.max() > 4096:
+        terms = _BYTE_KEYS[data] * _PLACE_KEYS[place & 4095]
+        if sizes.max() > 4096:
             terms *= (2 * (place >> 12) + 1).astype(np.uint64)
         return mix(np.add.reduceat(terms, offsets[:-1]) + sizes.astype(np.uint64) * _U64(0x9E3779B97F4A7C15))
 

@@ -110,12 +110,13 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, rounds: int = 300, r
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The least ratio of tails P_u(score <= t) / P_p(score <= t) and above, over
-    thresholds that leave at least a twentieth of the positives."""
+    thresholds that leave at least three tenths of the positives (smaller tails
+    make the least ratio a noisy one)."""
     t = np.quantile(positive, np.linspace(0.02, 0.95, 60))
     least = []
     for keep in (lambda s: s[:, None] >= t, lambda s: s[:, None] <= t):
         p, u = keep(positive).mean(axis=0), keep(unlabelled).mean(axis=0)
-        least.append((u / np.maximum(p, 1e-9))[p >= 0.05].min())
+        least.append((u / np.maximum(p, 1e-9))[p >= 0.3].min())
     return float(np.clip(min(least), 0.05, 0.99))
 
 

@@ -1,0 +1,297 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from incident_analytics.llm import (
+    bpe_table, fingerprint, mixing, near_dedup, pii, quality_pu, quality_rules, simple8b, suffix_tree, token_files, toxicity)
+from incident_analytics.llm._bpe import tokenizer_path
+from incident_analytics.llm._io import id_and_text, in_fold
+from incident_analytics.session import scratch_path
+
+from .conftest import EDGE
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(tokenizer_path())
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_simple8b_round_trip(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(0, 2000))
+    v = np.array([random.Random(seed * 9999 + i).getrandbits(1 + (i * seed) % 64) for i in range(n)], dtype=np.uint64)
+    words, blocks, escaped = simple8b.encode(v)
+    assert (simple8b.decode(words, blocks, escaped, n) == v).all()
+    # a block decodes without the others
+    if n > simple8b.BLOCK:
+        a, b = blocks[1], blocks[2] if len(blocks) > 2 else len(words)
+        size = min(simple8b.BLOCK, n - simple8b.BLOCK)
+        assert (simple8b.decode(words[a:b], np.zeros(1, int), escaped, size) == v[simple8b.BLOCK:][:size]).all()
+
+
+def test_token_files_round_trip(spark, edge_docs, tokenizer):
+    path = token_files.write_token_files(edge_docs, scratch_path(spark, "t"))
+    got = {(r["doc_id"], r["start"]): r for r in token_files.read_token_files(spark, path).collect()}
+    sums = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in token_files.document_checksums(spark, path).collect()}
+    start = 0
+    for i, t in sorted(((i, t or "") for i, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert list(got[i, start]["ids"]) == ids
+        assert sums[i, start] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    assert len(got) == len(EDGE)
+
+
+def test_token_files_empty(spark, no_docs):
+    path = token_files.write_token_files(no_docs, scratch_path(spark, "t"))
+    assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_bpe_table(edge_docs, no_docs, tokenizer):
+    encoded = bpe_table.encode_documents(edge_docs)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["text"]) for r in bpe_table.decode_documents(encoded).collect())
+    want = sorted((str(i), len(tokenizer.encode(t or "", add_special_tokens=False).ids), t or "") for i, t in EDGE)
+    assert got == want
+    digests = {(r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in
+               bpe_table.decode_documents(encoded, digests=True).collect()}
+    for i, t in EDGE:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (i, sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))) in digests
+    assert bpe_table.decode_documents(bpe_table.encode_documents(no_docs)).count() == 0
+
+
+def brute_quality(text):
+    w = WORD.findall(text or "")
+    grams = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    repeated = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)} if len(w) < 3000 else None
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), \
+        None if repeated is None else len(repeated)
+
+
+def test_quality_rules(edge_docs, make_docs, no_docs):
+    noisy = [(i, " ".join(random.Random(i).choice("a b c # $x THE the of").strip() for _ in range(i * 7))) for i in range(12)]
+    for rows in (EDGE, noisy):
+        df = make_docs(rows) if rows is noisy else edge_docs
+        got = sorted(quality_rules.quality_rules(df).select("doc_id", "text", "quality.*").collect(), key=str)
+        for r in got:
+            want = brute_quality(r["text"])
+            have = (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+            assert have[:4] == want[:4] and (want[4] is None or have[4] == want[4]), r["doc_id"]
+            assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"])
+            assert not (r["base_failed"] and r["kept"])
+    assert quality_rules.kept_rows(no_docs).count() == 0
+    assert quality_rules.kept_rows(edge_docs).columns == edge_docs.columns
+
+
+def brute_components(rows, width):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k:k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root[a] = root[b] = min(root[a], root[b])
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_dedup(make_docs, width):
+    r = random.Random(width)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(12):
+        base = [r.choice(vocabulary) for _ in range(60)]
+        for _ in range(8 if g else 60):  # one group large enough for tiles
+            text = list(base)
+            for _ in range(r.randrange(0, 4)):
+                text[r.randrange(len(text))] = r.choice(vocabulary).upper()
+            rows.append((len(rows), " ".join(text)))
+    rows += [(900, None), (901, ""), (902, "a"), (903, "A"), (904, "a b"), (905, " ")]
+    want = brute_components(rows, width)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_duplicates(make_docs(rows), width=width).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 1  # recall of the tables is 0.9985 at the threshold
+    assert got[903] == (1, 902) and got[900] == (0, 900)
+
+
+def test_near_dedup_edges(edge_docs, no_docs):
+    kept = near_dedup.kept_rows(edge_docs)
+    assert kept.columns == edge_docs.columns
+    ids = sorted(str(r["doc_id"]) for r in kept.collect())
+    assert ids == sorted(["1", "2", "3", "4", "5", "None", "7", "8", "9"])
+    assert near_dedup.near_duplicates(no_docs).count() == 0
+    same = near_dedup.near_duplicates(edge_docs.where("doc_id in (5, 6)")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in same} == {(5, 5, True), (6, 5, False)}
+
+
+def test_contract_on_a_chain(spark):
+    links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = near_dedup.contract(links, "chain").collect()
+    assert len(roots) == 201 and len({r["root"] for r in roots}) == 1
+
+
+def test_tiles_find_every_link(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+    test_near_dedup.__wrapped__(make_docs, 2) if hasattr(test_near_dedup, "__wrapped__") else test_near_dedup(make_docs, 2)
+
+
+def test_suffix_tree(spark, make_docs, no_docs):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["the cat sat on a mat", "dogs run far away now", f"x{r.randrange(50)}"]) for _ in range(20)))
+            for i in range(120)] + [(500, None), (501, "")]
+    held = in_fold("doc_id", 7, 2)
+    got = {x["doc_id"]: x for x in suffix_tree.suffix_tree_scores(make_docs(rows), held).collect()}
+    counts, total = {}, 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in [*WORD.findall(t or ""), None]:
+                counts[w] = counts.get(w, 0) + 1
+                total += 1
+    for i, t in rows:
+        w = [*WORD.findall(t or ""), None]
+        want = sum(np.log10((counts.get(x, 0) + 1) / (total + len(counts) + 1)) for x in w)
+        assert got[i]["n_tokens"] == len(w) and got[i]["train_tokens"] == total
+        assert got[i]["n_known"] == sum(x in counts for x in w)
+        assert got[i]["base_score"] == pytest.approx(want)
+    held_out = [got[i] for i, t in rows if t and zlib.crc32(str(i).encode()) % 7 == 2]
+    # inside a phrase the next word is certain: contexts must help a lot
+    assert sum(x["score"] for x in held_out) > 0.5 * sum(x["base_score"] for x in held_out)
+    assert suffix_tree.suffix_tree_scores(no_docs, held).count() == 0
+
+
+def test_suffix_tree_edges(edge_docs):
+    assert suffix_tree.suffix_tree_scores(edge_docs, in_fold("doc_id", 7, 2)).count() == len(EDGE)
+
+
+def test_toxicity(spark, make_docs, edge_docs, no_docs):
+    r = random.Random(1)
+    clean = ["the river was calm and wide", "people walked home in the rain", "a quiet town by the sea"]
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        text = " ".join(r.choice(clean) for _ in range(6)) + (" you " + r.choice(["idiot", "moron", "zorkish zorkel"]) if bad else "")
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    docs = id_and_text(make_docs(rows))
+    model = toxicity.train(docs, spark.createDataFrame(labels[:200], "doc_id LONG, toxic INT"))
+    score = {x["doc_id"]: x["score"] for x in toxicity.scores(docs, model).collect()}
+    assert all((score[i] >= 0.7) == bool(y) for i, y in labels[200:])
+    assert toxicity.scores(id_and_text(edge_docs), model).count() == len(EDGE)
+    empty = toxicity.train(id_and_text(no_docs), spark.createDataFrame([], "doc_id LONG, toxic INT"))
+    assert toxicity.scores(id_and_text(no_docs), empty).count() == 0
+
+
+def test_quality_pu(spark, make_docs, edge_docs, no_docs):
+    r = random.Random(2)
+    good = lambda: " ".join(r.choice("the of and a river town people walked home quietly under trees".split()) for _ in range(60)).capitalize() + "."
+    junk = lambda: " ".join("AB#$"[r.randrange(4)] * 4 + "!!" for _ in range(60))
+    rows = [(i, junk() if i % 4 == 0 else good()) for i in range(400)]
+    docs = id_and_text(make_docs(rows))
+    trusted = spark.createDataFrame([(i,) for i, _ in rows[:200] if i % 4], "doc_id LONG")
+    model = quality_pu.train(docs, trusted)
+    assert 0.6 < model["prior"] <= 0.95
+    score = {x["doc_id"]: x["score"] for x in quality_pu.scores(docs, model).collect()}
+    assert all((score[i] >= 0.3) == bool(i % 4) for i, _ in rows[200:])
+    assert quality_pu.scores(id_and_text(edge_docs), model).count() == len(EDGE)
+    assert quality_pu.train(id_and_text(no_docs), trusted) is None
+    assert quality_pu.scores(id_and_text(edge_docs), None).where("score <> 0.5").count() == 0
+
+
+PII = ("mail a.b@x.example.com or a@b, ip 10.0.0.256 and 10.1.2.3.4, card 4539 1488 0343 6467 and 1234 5678 9012 3456, "
+       "phone +1 (988) 555-2485, password=b7db7aa4a5fcc78305 version 2.0.")
+
+
+def test_pii_base_spans():
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    for text in (PII, "é@a.b a@b.c@d.e.f x@y.z..w", "1.2.3.4.5.6.7.8 0001.2.3.255", "1" * 5000 + "@" + "a" * 5000, "+1 2 3"):
+        got = pii.base_spans(text)
+        assert [(a, b) for k, a, b in got if k == "email"] == [m.span() for m in re.finditer(patterns["email"], text)]
+        assert [(a, b) for k, a, b in got if k == "ip"] == [
+            m.span() for m in re.finditer(patterns["ip"], text) if all(int(p) <= 255 for p in m[0].split("."))]
+    assert [PII[a:b] for k, a, b in pii.base_spans(PII) if k in ("card", "phone")] == ["4539 1488 0343 6467", "+1 (988) 555-2485"]
+
+
+def test_pii_model_and_redaction(make_docs, edge_docs, no_docs):
+    rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
+    docs = make_docs([*rows, (900, None), (901, ""), (902, "nothing to find here")], "kind spans")
+    model = pii.train(id_and_text(docs))
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert "[email]" in out[3] and "[phone]" in out[3] and "[secret]" in out[3] and "4539" not in out[3]
+    assert "10.0.0.256" in out[3] and "page 3 of 2.3" in out[3]
+    assert out[900] is None and out[901] == "" and out[902] == "nothing to find here"
+    for r in pii.find_spans(id_and_text(docs), model).collect():
+        assert set(r["base"]) <= set(r["spans"])
+    assert pii.train(id_and_text(no_docs)) is None
+    assert pii.find_spans(id_and_text(edge_docs), None).count() == len(EDGE)
+
+
+def test_fingerprints(make_docs, edge_docs, no_docs):
+    a, b = "first line\nsecond line here", "third one\nsecond line here\nfirst line"
+    one = lambda t: fingerprint.to_text(*fingerprint.vectors(pa.array([t])))[0]
+    assert one(a) != one(b)
+    assert fingerprint.combine(one(b), one("third one"), -1) == one(a) == one("second line here\nfirst line")
+    assert fingerprint.combine(one(a), one("third one")) == one(b)
+    got = sorted(fingerprint.compare_with_next(edge_docs).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    rows = sorted(((i, t or "") for i, t in EDGE), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    for k, (r, (i, t)) in enumerate(zip(got, rows, strict=True)):
+        half, following = len(t) // 2, rows[(k + 1) % len(rows)][1]
+        want = t[:len(t) - half] + following[:half]
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(want.encode()).hexdigest())
+        assert r["fingerprint"] == one(t) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert fingerprint.compare_with_next(no_docs).count() == 0
+    lone = fingerprint.compare_with_next(make_docs([(1, "abcd efgh")])).first()
+    assert lone["near_next"] == 1.0
+
+
+def brute_targets(sizes, weights=(5, 2, 1), cap=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    fixed = {}
+    while True:
+        rest = sum(sizes.values()) - sum(fixed.values())
+        free = [s for s in names if s not in fixed]
+        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return {**fixed, **share}
+        fixed.update({s: cap * sizes[s] for s in over})
+
+
+def test_mixing(make_docs, edge_docs, no_docs):
+    r = random.Random(7)
+    rows = [(i, " ".join(["w"] * r.randrange(0, 40)), r.choice([None, "a", "b", "c", "d", "d", "d", "d", "é"])) for i in range(600)]
+    got = mixing.plan_repetitions(make_docs(rows)).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, taken = brute_targets(sizes), {}
+    for x in got:
+        assert x["target"] == pytest.approx(want[x["source"]]) and x["source_size"] == sizes[x["source"]]
+        assert 0 <= x["times"] <= 3
+        taken[x["source"]] = taken.get(x["source"], 0) + x["size"] * x["times"]
+    assert all(abs(taken[s] - want[s]) <= 40 for s in want)
+    times = {x["doc_id"]: x["times"] for x in mixing.plan_repetitions(make_docs(rows)).collect()}
+    assert times == {x["doc_id"]: x["times"] for x in got}
+    mixed = mixing.mix(make_docs(rows)).groupBy("doc_id").count().collect()
+    assert {m["doc_id"]: m["count"] for m in mixed} == {i: t for i, t in times.items() if t}
+    assert mixing.mix(no_docs).count() == 0 and mixing.plan_repetitions(edge_docs).count() == len(EDGE)
+    assert mixing.mix(edge_docs).columns == edge_docs.columns
