@@ -10,8 +10,8 @@ risk ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` of Kiryo et al.
 Training sees at most ``SAMPLE`` positives and ``SAMPLE`` unlabelled documents
 in seeded hash order (documented bound); scoring is one pass over all whole
 texts. Defined results: null and empty texts get the score of the all-zero
-shape; rows with equal ids are scored each on its own text; with no positive
-row every score is 0.5; labels of one id that disagree count as given.
+shape; rows with equal ids are scored each on its own text; with fewer than
+two positives every score is 0.5; labels of one id that disagree count as given.
 """
 
 from __future__ import annotations
@@ -139,13 +139,17 @@ def train(docs: DataFrame, trusted: DataFrame, sample: int = SAMPLE, seed: int =
     x = np.array(got.column("x").to_pylist()).reshape(-1, FEATURES)
     x = x[np.lexsort((*x.T, kind))]  # rows come in any order; sums should not depend on it
     kind = np.sort(kind)
-    if not (kind == 1).any() or not (kind == 0).any():
+    if (kind == 1).sum() < 2 or (kind == 0).sum() < 2:
         return None
     edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:], axis=0).T
     design = _bin(x, edges)
     p, u = design[kind == 1], design[kind == 0]
-    first = _fit(p, u, None)
-    prior = class_prior(p @ first[:-1], u @ first[:-1])
+    # cross-fitted: scores of rows that the first classifier has not seen
+    priors = []
+    for half in (0, 1):
+        first = _fit(p[half::2], u[half::2], None)
+        priors.append(class_prior(p[1 - half::2] @ first[:-1], u[1 - half::2] @ first[:-1]))
+    prior = float(np.mean(priors))
     return {"edges": edges, "weights": _fit(p, u, prior), "prior": prior}
 
 
