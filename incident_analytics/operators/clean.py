@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_from_parts, hour_of
-from ..schema import GOLD_COLUMNS, RAW_TO_GOLD
+from ..schema import CORRUPT, DATE_PARTS, GOLD_COLUMNS, RAW_TO_GOLD
 
 # Fixed values of the cleaning rules.
 PLACEHOLDERS = ("-", "REDACTED", "-1.0")
@@ -41,15 +41,17 @@ def with_numeric_coords(df: DataFrame) -> DataFrame:
               .withColumn("Longitude", F.col("Longitude").try_cast("double")))
 
 
-def keep_rules(c=F.col) -> dict[str, Column]:
-    """One keep-condition per rule, over the C1/C2 output."""
+def keep_rules(c=F.col, columns: list[str] | None = None) -> dict[str, Column]:
+    """One keep-condition per rule, over the C1/C2 output. ``columns``:
+    those of the export; C7 asks for values of the required ones it has."""
+    required = [name for name in REQUIRED if columns is None or name in columns]
     area, sub = c("Neighborhood"), c("Offense Sub Category")
     return {
         "c3_coordinate_range": (c("Latitude").between(*LAT_RANGE) & c("Longitude").between(*LON_RANGE)),
         "c4_neighborhood": area.isNotNull() & ~area.isin(*BAD_AREAS),
         "c5_category": c("NIBRS Crime Against Category").isin(*VALID_CATEGORIES),
         "c6_sub_category": sub.isNotNull() & ~sub.isin(*BAD_SUBCATEGORIES),
-        "c7_required": _all_not_null([c(name) for name in REQUIRED]),
+        "c7_required": _all_not_null([c(name) for name in required]),
         "c8_sector": c("Sector").isNotNull() & ~c("Sector").isin(*BAD_SECTORS),
     }
 
@@ -61,9 +63,14 @@ def _all_not_null(cols: list[Column]) -> Column:
     return out
 
 
-def _date_parts(offense_date: Column) -> dict[str, Column]:
-    """Split ``yyyy-MM-dd HH:mm:ss`` text into year, month, day, time."""
-    halves = F.split(offense_date, " ")
+def _date_parts(columns: list[str]) -> dict[str, Column]:
+    """Split ``yyyy-MM-dd HH:mm:ss`` text into year, month, day, time; an
+    export without that text has the parts in columns of their own."""
+    if "Offense Date" not in columns:
+        *numbers, time = DATE_PARTS
+        parts = {n.split()[-1].lower(): F.col(f"`{n}`").try_cast("double").try_cast("int") for n in numbers}
+        return parts | {"time": F.nullif(F.col(f"`{time}`"), F.lit(""))}
+    halves = F.split(F.col("Offense Date"), " ")
     day_part = F.split(F.try_element_at(halves, F.lit(1)), "-")
     return {
         "year": F.try_element_at(day_part, F.lit(1)).try_cast("int"),
@@ -77,11 +84,12 @@ def clean(raw: DataFrame) -> DataFrame:
     """Raw export → gold rows: ``incident_id`` (when present) + the 14 gold columns."""
     s = with_numeric_coords(standardize_missing(raw))
     keep = None
-    for cond in keep_rules().values():
+    for cond in keep_rules(columns=raw.columns).values():
         keep = cond if keep is None else keep & cond
     s = s.where(keep)
-    s = s.fillna({"Shooting Type Group": NO_SHOOTING})               # C9
-    parts = _date_parts(F.col("Offense Date"))                       # C10
+    if "Shooting Type Group" in raw.columns:
+        s = s.fillna({"Shooting Type Group": NO_SHOOTING})           # C9
+    parts = _date_parts(raw.columns)                                 # C10
     date = date_from_parts(parts["year"], parts["month"], parts["day"])  # P1
     time = parts["time"]                                             # P2
     out = s.select(
@@ -100,8 +108,10 @@ def clean(raw: DataFrame) -> DataFrame:
 
 def clean_audit(raw: DataFrame) -> DataFrame:
     """C14: rows in, rows failing each rule (each rule on its own), rows out,
-    in one aggregate pass; returned long as (rule, rows)."""
-    text_cols = [f.name for f in raw.schema.fields if f.dataType.simpleString() == "string"]
+    in one aggregate pass; returned long as (rule, rows). Rows of an export
+    that did not fit its header are counted as ``unreadable_rows``."""
+    text_cols = [f.name for f in raw.schema.fields
+                 if f.dataType.simpleString() == "string" and f.name != CORRUPT]
     placeholder = None
     for name in text_cols:
         hit = F.coalesce(F.col(f"`{name}`").isin(*PLACEHOLDERS), F.lit(False))
@@ -113,11 +123,11 @@ def clean_audit(raw: DataFrame) -> DataFrame:
     s = with_numeric_coords(s)
     unparseable = ((F.col("_lat_text").isNotNull() & F.col("Latitude").isNull())
                    | (F.col("_lon_text").isNotNull() & F.col("Longitude").isNull()))
-    rules = keep_rules()
+    rules = keep_rules(columns=raw.columns)
     keep_all = None
     for cond in rules.values():
         keep_all = cond if keep_all is None else keep_all & cond
-    parts = _date_parts(F.col("Offense Date"))
+    parts = _date_parts(raw.columns)
     date = date_from_parts(parts["year"], parts["month"], parts["day"])
     hour_missing = F.hour(F.try_to_timestamp(parts["time"], F.lit("H:m:s"))).isNull()
     metrics = {
@@ -125,10 +135,13 @@ def clean_audit(raw: DataFrame) -> DataFrame:
         "c1_placeholder_rows": F.count_if(F.col("_placeholder")),
         "c2_unparseable_coordinates": F.count_if(unparseable),
         **{name: F.count_if(~F.coalesce(cond, F.lit(False))) for name, cond in rules.items()},
-        "c9_shooting_filled": F.count_if(F.col("Shooting Type Group").isNull()),
+        "c9_shooting_filled": (F.count_if(F.col("Shooting Type Group").isNull())
+                               if "Shooting Type Group" in raw.columns else F.lit(0).cast("bigint")),
         "p1_bad_date": F.count_if(date.isNull()),
         "p3_hour_defaulted": F.count_if(hour_missing),
         "rows_out": F.count_if(F.coalesce(keep_all, F.lit(False))),
     }
+    if CORRUPT in raw.columns:
+        metrics["unreadable_rows"] = F.count_if(F.col(CORRUPT).isNotNull())
     wide = s.agg(*[expr.alias(name) for name, expr in metrics.items()])
     return wide.unpivot([], list(metrics), "rule", "rows")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import format_datetime, parse_datetime
 from .filters import IncidentFilter
-from .latest import prune_to_latest
+from .latest import prune_to_latest, tie_order
 
 DETAIL_ROWS = 500
 PAGE_SIZE = 20
@@ -31,7 +31,8 @@ DISPLAY_NAMES = {
 
 def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
                      display_names: bool = False, trust_date: bool = True) -> DataFrame:
-    """Latest ``n`` rows by parsed ``datetime`` (unparseable last; ties by id).
+    """Latest ``n`` rows by parsed ``datetime`` (unparseable last; ties by id,
+    or by every column where the table has no id).
 
     ``trust_date``: the stored ``date`` equals the day of ``datetime`` wherever
     that parses, as in every table built by ``clean`` (``datetime`` is
@@ -40,9 +41,10 @@ def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
     """
     rows = flt.apply(df).withColumn("_ts", parse_datetime(F.col("datetime")))
     rows = prune_to_latest(rows, n, F.to_date(F.col("_ts")), "date" if trust_date else None)
-    latest = rows.orderBy(F.col("_ts").desc_nulls_last(), F.col("incident_id").asc()).limit(n)
+    latest = rows.orderBy(F.col("_ts").desc_nulls_last(), *tie_order(rows)).limit(n)
+    ids = ["incident_id"] if "incident_id" in df.columns else []
     out = latest.select(
-        "incident_id",
+        *ids,
         format_datetime(F.col("_ts")).alias("date_time"),
         F.col("offense_sub_category").alias("offense_type"),
         F.col("crime_against_category").alias("crime_against"),
@@ -51,7 +53,7 @@ def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
         F.bround("hazardness", HAZARD_DECIMALS).alias("hazard_score"),
     )
     if display_names:
-        out = out.select("incident_id", *[F.col(k).alias(v) for k, v in DISPLAY_NAMES.items()])
+        out = out.select(*ids, *[F.col(k).alias(v) for k, v in DISPLAY_NAMES.items()])
     return out
 
 
@@ -86,5 +88,5 @@ def details_page(details: DataFrame, page: int = 0, size: int = PAGE_SIZE,
     if sort_by:
         c = F.col(sort_by)
         order.append(c.asc_nulls_last() if ascending else c.desc_nulls_last())
-    order += [F.col("date_time").desc_nulls_last(), F.col("incident_id").asc()]
+    order += [F.col("date_time").desc_nulls_last(), *tie_order(t)]
     return t.orderBy(*order).offset(page * size).limit(size)

@@ -24,6 +24,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def tie_order(rows: DataFrame) -> list[Column]:
+    """Order among equal sort keys: the id, or every column when there is none."""
+    return [F.col(f"`{c}`").asc() for c in (["incident_id"] if "incident_id" in rows.columns else rows.columns)]
+
+
 def cutoff_and_total(rows: DataFrame, n: int, day: Column) -> tuple[dt.date | None, int]:
     """(the latest day d with at least ``n`` rows on or after d, the number of
     rows) from one aggregate: per-day counts, null day included. The cutoff

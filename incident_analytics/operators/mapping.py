@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unknown_if_null
 from .filters import IncidentFilter
-from .latest import cutoff_and_total, prune_to_latest
+from .latest import cutoff_and_total, prune_to_latest, tie_order
 
 MAP_POINTS = 5000
 LOCATION_DECIMALS = 4
@@ -25,7 +25,7 @@ SIZE_MIN, SIZE_SPAN, SIZE_FLAT = 5.0, 20.0, 8.0
 
 def _latest(rows: DataFrame, n: int, **cutoff) -> DataFrame:
     rows = prune_to_latest(rows, n, F.col("date"), "date", **cutoff)
-    return rows.orderBy(F.col("date").desc_nulls_last(), F.col("incident_id").asc()).limit(n)
+    return rows.orderBy(F.col("date").desc_nulls_last(), *tie_order(rows)).limit(n)
 
 
 def latest_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
@@ -46,7 +46,7 @@ def map_points(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataF
     f, lo, hi = F.col("location_freq"), F.col("_min"), F.col("_max")
     size = F.when(hi > lo, F.lit(SIZE_MIN) + (f - lo) / (hi - lo) * F.lit(SIZE_SPAN)).otherwise(F.lit(SIZE_FLAT))
     return scaled.select(
-        "incident_id", "date", "crime_against_category",
+        *(["incident_id"] if "incident_id" in df.columns else []), "date", "crime_against_category",
         unknown_if_null(F.col("offense_sub_category")).alias("hover_text"),
         "latitude", "longitude", "location_freq", size.alias("marker_size"),
     )
@@ -64,9 +64,13 @@ def location_frequency(df: DataFrame, flt: IncidentFilter) -> DataFrame:
 def map_stats(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFrame:
     """Per category: points shown; plus shown total and matching total (the
     count before the cut). The total comes from the same per-day counts that
-    fix the cutoff, so the filtered rows are aggregated once."""
+    fix the cutoff, so the filtered rows are aggregated once. When nothing
+    matches there is one row, of no category, with zero totals."""
     rows = flt.apply(df)
     cutoff, matching = cutoff_and_total(rows, n, F.col("date"))
+    if not matching:
+        return df.sparkSession.createDataFrame(
+            [(None, 0, 0, 0)], "crime_against_category STRING, points LONG, shown_total LONG, matching_total LONG")
     shown = _latest(rows, n, cutoff=cutoff)
     per_cat = shown.groupBy("crime_against_category").agg(F.count(F.lit(1)).alias("points"))
     return per_cat.select(

@@ -24,21 +24,17 @@ def category_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORY_INFO, "category STRING, label STRING, color STRING")
 
 
-def category_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def category_options(df: DataFrame) -> DataFrame:
     """Distinct non-null categories with label and colour; unknown categories
     label as themselves. Falls back to the three main categories when the
-    table has none. ``sample_rows`` reproduces the dashboard's sampled
-    option list; the default reads every row."""
-    spark = df.sparkSession
-    src = df.where(has_coords(df))
-    if sample_rows:
-        src = src.limit(sample_rows)
-    found = (src.select(F.col("crime_against_category").alias("category"))
+    table has none. Every row is read, once: the fallback is applied to the
+    distinct categories, a handful."""
+    found = (df.where(has_coords(df)).select(F.col("crime_against_category").alias("category"))
              .where(F.col("category").isNotNull()).distinct())
-    fallback = (spark.createDataFrame([(c,) for c in CATEGORIES], "category STRING")
-                .where(~found.exists()))
-    cats = found.unionByName(fallback)
-    labels = category_labels(spark)
+    listed = found.agg(F.collect_set("category").alias("all"))
+    fallback = F.array(*[F.lit(c) for c in CATEGORIES])
+    cats = listed.select(F.explode(F.when(F.size("all") > 0, F.col("all")).otherwise(fallback)).alias("category"))
+    labels = category_labels(df.sparkSession)
     return (cats.join(F.broadcast(labels), "category", "left")
             .select("category",
                     F.coalesce("label", "category").alias("label"),
@@ -46,9 +42,6 @@ def category_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame
             .orderBy("category"))
 
 
-def area_options(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def area_options(df: DataFrame) -> DataFrame:
     """Distinct non-null areas, sorted."""
-    src = df.where(has_coords(df))
-    if sample_rows:
-        src = src.limit(sample_rows)
-    return (src.select("area").where(F.col("area").isNotNull()).distinct().orderBy("area"))
+    return (df.where(has_coords(df)).select("area").where(F.col("area").isNotNull()).distinct().orderBy("area"))

@@ -57,9 +57,10 @@ def daily_summary(gold: DataFrame) -> DataFrame:
 
 
 def write_summary(gold: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write the summary partitioned by year (small: a few files per year)."""
+    """Write the summary partitioned by year; the rebalance splits a large year
+    into several tasks and merges small ones."""
     (daily_summary(gold).withColumn("year", F.year("date"))
-        .repartition("year").sortWithinPartitions("date", "area")
+        .hint("rebalance", "year").sortWithinPartitions("date", "area")
         .write.mode(mode).partitionBy("year").parquet(path))
     return path
 

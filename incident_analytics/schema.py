@@ -43,6 +43,16 @@ RAW_INCIDENTS = T.StructType(
     + [T.StructField(name, T.StringType()) for name in RAW_COLUMNS]
 )
 
+# The other date layout of an export: parts in columns of their own.
+DATE_PARTS = ("Offense Year", "Offense Month", "Offense Day", "Offense Time")
+
+# Text of a row that does not fit the header (filled by the CSV reader).
+CORRUPT = "_corrupt_record"
+
+# Words that a CSV field may hold for a missing value.
+MISSING_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 # Raw → gold names (fixed values of the source export).
 RAW_TO_GOLD = {
     "Offense Category": "offense",

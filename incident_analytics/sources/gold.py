@@ -19,13 +19,36 @@ from ..schema import GOLD_COLUMNS, INCIDENTS
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def writer_of(spark: SparkSession, path: str) -> str | None:
+    """Which writer's layout a gold folder has: ``stream`` (the file sink keeps a
+    log, and readers see the files of that log only), ``batches`` (``batch=``
+    folders), ``load`` (``year=`` folders), or None for a new or empty folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    for prefix, owner in (("_spark_metadata", "stream"), ("batch=", "batches"), ("year=", "load")):
+        if any(name.startswith(prefix) for name in names):
+            return owner
+    return None
+
+
+def one_writer(spark: SparkSession, path: str, writer: str) -> None:
+    """Raise if another writer owns the folder: readers would miss its rows or ours."""
+    owner = writer_of(spark, path)
+    if owner not in (None, writer):
+        raise ValueError(f"{path} was written as {owner!r}; adding to it as {writer!r} would hide rows from readers")
+
+
 def write_gold(gold: DataFrame, path: str, mode: str = "overwrite",
                partitions: int | None = None) -> str:
     """S4 + S5. ``mode`` is ``overwrite`` (replace) or ``append``.
 
     ``partitions`` asks for an exact count of range partitions on
     (date, incident_id) instead (one extra sampling pass over the input).
+    An append to a folder that a stream writes raises.
     """
+    if mode == "append":
+        one_writer(gold.sparkSession, path, "load")
     out = gold.withColumn("year", F.year("date"))
     spread = (out.repartitionByRange(partitions, "date", "incident_id") if partitions
               else out.hint("rebalance", "year"))

@@ -1,8 +1,8 @@
 """Incremental ingest with Structured Streaming.
 
 The batch loader appends the export chunk by chunk; the streaming form
-appends each newly landed CSV file as a micro-batch: read with the fixed raw
-schema, clean (stateless, per row), append to the year-partitioned gold
+appends each newly landed CSV file as a micro-batch: read by the names of the
+landed files' header, clean (stateless, per row), append to the year-partitioned gold
 table. The checkpoint folder records which files are done, so a restarted or
 partly failed run neither loses nor duplicates files.
 
@@ -21,7 +21,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean
 from ..operators.summary import write_summary
-from ..schema import RAW_INCIDENTS
+from ..sources.gold import one_writer
+from ..sources.raw import CSV_OPTIONS, header_schema, named_rows, raw_schema
 
 
 def _write_batch(gold_dir: str, summary_dir: str):
@@ -38,13 +39,19 @@ def _write_batch(gold_dir: str, summary_dir: str):
 
 def start_ingest(spark: SparkSession, landing_dir: str, gold_dir: str, checkpoint_dir: str,
                  files_per_batch: int | None = None, available_now: bool = True,
-                 summary_dir: str | None = None) -> StreamingQuery:
+                 summary_dir: str | None = None, columns: list[str] | None = None) -> StreamingQuery:
     """Start the ingest stream; with ``available_now`` it processes every file
-    present at start (in batches of ``files_per_batch``) and then stops."""
-    reader = spark.readStream.schema(RAW_INCIDENTS).option("header", True)
+    present at start (in batches of ``files_per_batch``) and then stops.
+
+    ``columns``: the files' header names, to start before the first has
+    landed. A file with another header fails its batch, and so does a gold
+    folder that another writer fills."""
+    one_writer(spark, gold_dir, "batches" if summary_dir else "stream")
+    schema = raw_schema(columns) if columns else header_schema(spark, landing_dir)
+    reader = spark.readStream.schema(schema).options(**CSV_OPTIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = reader.csv(landing_dir)
+    raw = named_rows(reader.csv(landing_dir))
     gold = clean(raw).withColumn("year", F.year("date"))
     if summary_dir:
         writer = (gold.writeStream.foreachBatch(_write_batch(gold_dir, summary_dir))
