@@ -13,12 +13,12 @@ candidates pass a sketch of one bit per minimum hash and a size bound, then
 the full sets decide. Verified links contract into components. Of the buckets
 that still hold several components, those of at most ``SMALL`` members are
 compared by pairs across components (at most SMALL / 2 rows a member); members
-of larger ones are compared in tiles that return links only, so a group of
+of larger ones are compared in tiles that return links which join what all links of the tile join, so a group of
 thousands of near copies is never expanded into rows of pairs and yet no link
 that shares a bucket is left out.
 
-Components are found by rounds of contraction to the neighbour of least
-seeded hash, each round written to the shared folder; nothing but counts
+Components are found by rounds of contraction to the neighbour of least id or
+of least seeded hash, in turn, each round written to the shared folder; nothing but counts
 reaches the driver. Defined results: null and empty texts, and texts without a
 word, have the empty set, are linked with nothing and are kept; a null id is
 kept, unlinked, with a null component; rows with an equal id count as one
@@ -134,27 +134,33 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 def contract(links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node in links (a, b): roots name the components.
 
-    Each round maps every node to the least of itself and its neighbours by a
-    hash of the round, and replaces links by those between the images; the
-    expected number of nodes shrinks by a constant factor, also on chains."""
-    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = written(both(links.where("a <> b")).distinct(), name)
-    roots, round_ = None, 0
+    Each round maps every node to the least of itself and its neighbours and
+    replaces links by those between the images. Even rounds take the least id,
+    which folds a star around its hub (a bucket's least member) at once; odd
+    rounds take the least hash of the round, which shrinks chains by a constant
+    factor whatever their order. Images are composed from the last round, the
+    smallest, back to the first."""
+    both = links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+                                        .alias("e")).select("e.*")
+    links, images = written(both.distinct(), name), []
     while not links.isEmpty():
-        draw = lambda c, r=round_: F.struct(F.xxhash64(F.lit(r), c).alias("h"), c.alias("n"))
+        round_ = len(images)
+        rank = (lambda c: c) if round_ % 2 == 0 else (lambda c, r=round_: F.xxhash64(F.lit(r), c))
+        draw = lambda c, rank=rank: F.struct(rank(c).alias("h"), c.alias("n"))
         image = written(links.groupBy("a").agg(F.least(F.min(draw(F.col("b"))), draw(F.col("a"))).alias("m"))
                         .select(F.col("a").alias("node"), F.col("m.n").alias("root")), name)
         links = written(
             links.join(image.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
             .join(image.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
             .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), name)
-        if roots is None:
-            roots = image
-        else:
-            step = image.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = written(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), name)
-        round_ += 1
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        images.append(image)
+    if not images:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = images.pop()
+    while images:
+        later = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = images.pop().join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(roots, name)
 
 
 def _relabel(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -205,7 +211,9 @@ def _tiled(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     """Links among the members of large mixed buckets. Members that share such a
     bucket form a cluster; a cluster is dealt into chunks of about CHUNK, and a
     task compares two chunks' full sets by a product of incidence matrices and
-    returns the links only. A member goes to one task per chunk."""
+    returns, for every member with a link, one link to the least member it
+    reaches inside the tile, so rows grow with members and not with their
+    pairs. A member goes to one task per chunk."""
     hubs = members.groupBy("key").agg(F.min("rep").alias("b"))
     clusters = contract(members.join(hubs, "key").select(F.col("rep").alias("a"), "b").distinct(), "dedup-clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
@@ -237,9 +245,14 @@ def _tiled(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         if key[1].as_py() != key[2].as_py():  # pairs inside a chunk belong to its own tile
             near &= chunk[:, None] != chunk[None, :]
-        a, b = np.nonzero(np.triu(near, 1))
-        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()),
-                         "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
+        near |= np.eye(len(ids), dtype=bool)
+        # least row reachable inside the tile: links to it join what the tile's links join
+        least, before = np.arange(len(ids)), None
+        while before is None or (least != before).any():
+            before = least
+            least = np.where(near, least[None, :], len(ids)).min(axis=1)
+        of = np.flatnonzero(least != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[least[of]], pa.int64()), "b": pa.array(ids[of], pa.int64())})
 
     return written(dealt.groupBy("root", "i", "j").applyInArrow(compare, "a LONG, b LONG"), "dedup-links")
 
