@@ -159,12 +159,12 @@ _LOADED: dict[tuple[str, str], str] = {}
 
 
 def _staged_csv(spark, sf_dir):
-    """The raw export staged once per application and scale as six CSV files
-    in the shared folder (the landing folder of an export)."""
+    """The raw export staged once per application and scale as CSV
+    files in the shared folder, one per partition (the landing folder of an export)."""
     key = _app_key(spark, sf_dir)
     if key not in _STAGED:
         _STAGED[key] = sources.write_raw_csv(fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir)),
-                                             scratch_path(spark, "landing"), files=6)
+                                             scratch_path(spark, "landing"))
     return _STAGED[key]
 
 
@@ -195,7 +195,7 @@ def q_schema_report(spark, sf_dir):
 
 
 def q_ingest_stream(spark, sf_dir):
-    """Ingest the staged export (six files) with an available-now stream in
+    """Ingest the staged export with an available-now stream in
     batches of two files, read the result back."""
     gold_path = scratch_path(spark, "gold-stream")
     q = streaming.start_ingest(spark, _staged_csv(spark, sf_dir), gold_path,
@@ -204,14 +204,14 @@ def q_ingest_stream(spark, sf_dir):
     return sources.read_gold(spark, gold_path)
 
 
-def q_radius_join(spark, sf_dir):
-    """Incidents within half a mile of every block centroid, by category."""
+def _radius_join(spark, sf_dir, radius):
+    """Incidents within the radius of every block centroid, by category."""
     pts = IncidentFilter(*P.FULL_RANGE).apply(_incidents(spark, sf_dir))
     centers = (pts.where(F.col("location").isNotNull()).groupBy("location")
                .agg(exact_mean(F.col("latitude")).alias("center_lat"),
                     exact_mean(F.col("longitude")).alias("center_lon"))
                .select(F.col("location").alias("center_id"), "center_lat", "center_lon",
-                       F.lit(P.BLOCK_RADIUS_M).alias("radius_m")))
+                       radius.alias("radius_m")))
     pairs = spatial_join.radius_join(pts.select("incident_id", "crime_against_category",
                                                 "latitude", "longitude"), centers)
     cat = F.col("crime_against_category")
@@ -222,14 +222,34 @@ def q_radius_join(spark, sf_dir):
         F.count_if(cat == "SOCIETY").alias("society"))
 
 
-def q_polygon_join(spark, sf_dir):
+def q_radius_join(spark, sf_dir):
+    return _radius_join(spark, sf_dir, F.lit(P.BLOCK_RADIUS_M))
+
+
+def q_radius_join_mixed(spark, sf_dir):
+    """Radii of 161 m to 30 km, by the block's number."""
+    block = F.regexp_extract("location", "^([0-9]+)", 1).cast("int") % 3
+    small, middle, large = map(F.lit, P.MIXED_RADII_M)
+    return _radius_join(spark, sf_dir, F.when(block == 0, small).when(block == 1, middle).otherwise(large))
+
+
+def _polygon_join(spark, sf_dir, shapes):
     """Incidents inside each of several polygons."""
     pts = IncidentFilter(*P.FULL_RANGE).apply(_incidents(spark, sf_dir))
-    polygons = spark.createDataFrame(P.POLYGONS, "polygon_id INT, geojson STRING")
+    polygons = spark.createDataFrame(shapes, "polygon_id INT, geojson STRING")
     pairs = spatial_join.polygon_join(pts.select("incident_id", "latitude", "longitude"), polygons)
     return pairs.groupBy("polygon_id").agg(F.count(F.lit(1)).alias("incidents"))
 
 
+def q_polygon_join(spark, sf_dir):
+    return _polygon_join(spark, sf_dir, P.POLYGONS)
+
+
+def q_polygon_join_mixed(spark, sf_dir):
+    """Boxes of 0.002 to 10 degrees beside the other polygons."""
+    return _polygon_join(spark, sf_dir, P.POLYGONS_MIXED)
+
+
 def _addresses(incidents):
     loc = F.col("location")
     variants = F.array(loc, F.concat(loc, F.lit(", Seattle, WA")), F.concat(loc, F.lit(" annex")))
@@ -336,6 +356,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "schema_report": q_schema_report,
         "radius_join": q_radius_join,
         "polygon_join": q_polygon_join,
+        "radius_join_mixed": q_radius_join_mixed,
+        "polygon_join_mixed": q_polygon_join_mixed,
         "geocode_lookup": q_geocode_lookup,
         "circle_outline": q_circle_outline,
         **{f"{name}_from_summary": _from_summary(view) for name, view in SUMMARY_VIEWS.items()},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Exact sums: a DECIMAL sum does not depend on how rows were split into
 # partitions or merged, so means are the same on every run and cluster size.
-COORD_SUM_TYPE = "decimal(18,8)"
+COORD_SUM_TYPE = "decimal(28,18)"
 
 
 def percent(part: Column, total: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.clean import clean
 from .operators.summary import write_summary
-from .sources.gold import read_gold, write_gold
+from .plans.materialize import materialize
+from .sources.gold import read_gold, write_gold, writer_of
 from .sources.raw import read_raw_csv
 
 
@@ -16,11 +17,17 @@ def load_export(spark: SparkSession, csv_path: str, gold_path: str, mode: str =
     ``gold_path`` (``overwrite`` replaces, ``append`` adds); returns the
     written table, read back through the standard scan.
 
-    ``summary_path``: also maintain the daily summary there, built from the
-    written batch (same ``mode``; appended summaries stay correct because
-    every view sums counts)."""
-    write_gold(clean(read_raw_csv(spark, csv_path)), gold_path, mode=mode, partitions=partitions)
+    ``summary_path``: also maintain the daily summary there. An appended batch
+    is cleaned once and its summary added (every view sums counts); where a
+    table that has rows gets its first summary, that covers the whole table."""
+    rows = clean(read_raw_csv(spark, csv_path))
+    adds = mode == "append" and writer_of(spark, gold_path) is not None
+    if summary_path and adds and writer_of(spark, summary_path) is not None:
+        rows = materialize(rows)
+        write_gold(rows, gold_path, mode=mode, partitions=partitions)
+        write_summary(rows, summary_path, mode=mode)
+        return read_gold(spark, gold_path)
+    write_gold(rows, gold_path, mode=mode, partitions=partitions)
     if summary_path:
-        batch = spark.read.parquet(gold_path) if mode == "overwrite" else clean(read_raw_csv(spark, csv_path))
-        write_summary(batch, summary_path, mode=mode)
+        write_summary(spark.read.parquet(gold_path), summary_path)
     return read_gold(spark, gold_path)

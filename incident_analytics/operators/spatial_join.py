@@ -1,104 +1,101 @@
 """Spatial joins without cross joins: incidents × many circles, × many polygons.
 
-Both use a fixed lat/lon grid. Each incident falls in exactly one cell; each
-circle or polygon is exploded (a generator, not a join) into the cells its
-bounding box touches. The equi-join on (cell_y, cell_x) yields candidate
-pairs, and the exact test (haversine, ray-casting parity) keeps the true
-ones. Every true pair is found once: the box is a true superset and the
-incident has a single cell.
-
-Scale: the exploded shape side is small (shapes × cells per shape) and is
-broadcast by Spark's own size check when it fits; otherwise it is a shuffle
-join on the cell key, where AQE splits a hot cell (a third of all incidents
-in one cell) into several tasks. The cell size trades candidate pairs
-against exploded rows. For circles it defaults to the largest radius (a
-scalar subquery over the centres), so each circle touches a handful of
-cells (3 × 4 at 47° latitude, 3 × (1 + 2/cos φ) in general) and candidate
-pairs stay within a small constant factor of the true pairs, whatever the
-density. For polygons it defaults to a quarter of the median box side.
+Both use a lat/lon grid of several levels; a cell of level L has an edge of
+2**L degrees. Each circle or polygon takes the level at which its own bounding
+box spans a few cells and is exploded (a generator, not a join) into the cells
+its box touches: at most 9 for a circle and 25 for a polygon (twice that
+across the ±180° meridian), whatever the sizes of the other shapes. Each
+incident emits one row per level in use (levels differ by a factor of two, so
+29 cover 0.1 m to the globe). The equi-join on (level, cell_y, cell_x) yields
+candidate pairs, and the exact test (haversine, ray-casting parity) keeps the
+true ones. Every true pair is found once: a shape has one level, and an
+incident one cell of that level.
+
+Scale: a shape's candidates are the incidents in a box a few times its own
+area, so one large shape does not widen the search of small ones. The exploded
+shape side is small and is broadcast by Spark's own size check when it fits;
+otherwise it is a shuffle join on the cell, where AQE splits a hot cell (a
+third of all incidents in one cell) into several tasks.
 """
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
-DEFAULT_CELL_DEG = 0.01
-M_PER_DEG_LAT = geo.EARTH_RADIUS_M * math.pi / 180.0
+FINEST, COARSEST = -20, 8  # cell edges of about 0.1 m and 256 degrees
+CELL = ["_level", "_cell_y", "_cell_x"]
 
 
-def _cell(x, cell_deg):
-    size = cell_deg if isinstance(cell_deg, Column) else F.lit(float(cell_deg))
-    return F.floor(x / size).cast("bigint")
+def _level(side: Column, cells: int) -> Column:
+    """Level whose cell edge is at least ``side / cells`` and less than twice that."""
+    wanted = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)) / F.lit(float(cells))))
+    return F.least(F.greatest(wanted, F.lit(FINEST)), F.lit(COARSEST)).cast("int")
 
 
-def with_cell(df: DataFrame, cell_deg=DEFAULT_CELL_DEG,
-              lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    return (df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-            .withColumn("cell_y", _cell(F.col(lat), cell_deg))
-            .withColumn("cell_x", _cell(F.col(lon), cell_deg)))
+def _cell(x: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), F.col("_level"))).cast("bigint")
 
 
-def _explode_box(df: DataFrame, lo_lat, hi_lat, lo_lon, hi_lon, cell_deg) -> DataFrame:
-    ys = F.sequence(_cell(lo_lat, cell_deg), _cell(hi_lat, cell_deg))
+def _explode_box(df: DataFrame, lo_lat, hi_lat, lo_lon, hi_lon) -> DataFrame:
+    ys = F.sequence(_cell(lo_lat), _cell(hi_lat))
     # longitude cells, with the part of a box past ±180° wrapped to the other side
     none = F.array().cast("array<bigint>")
     xs = F.concat(
-        F.sequence(_cell(F.greatest(lo_lon, F.lit(-180.0)), cell_deg),
-                   _cell(F.least(hi_lon, F.lit(180.0)), cell_deg)),
-        F.when(lo_lon < -180.0, F.sequence(_cell(lo_lon + 360.0, cell_deg), _cell(F.lit(180.0), cell_deg)))
-        .otherwise(none),
-        F.when(hi_lon > 180.0, F.sequence(_cell(F.lit(-180.0), cell_deg), _cell(hi_lon - 360.0, cell_deg)))
-        .otherwise(none),
+        F.sequence(_cell(F.greatest(lo_lon, F.lit(-180.0))), _cell(F.least(hi_lon, F.lit(180.0)))),
+        F.when(lo_lon < -180.0, F.sequence(_cell(lo_lon + 360.0), _cell(F.lit(180.0)))).otherwise(none),
+        F.when(hi_lon > 180.0, F.sequence(_cell(F.lit(-180.0)), _cell(hi_lon - 360.0))).otherwise(none),
     )
-    return (df.withColumn("cell_y", F.explode(ys))
-              .withColumn("cell_x", F.explode(F.array_distinct(xs))))
+    return (df.withColumn("_cell_y", F.explode(ys))
+              .withColumn("_cell_x", F.explode(F.array_distinct(xs))))
 
 
-def radius_join(incidents: DataFrame, centers: DataFrame, cell_deg: float | None = None,
-                center_lat: str = "center_lat", center_lon: str = "center_lon",
-                radius: str = "radius_m") -> DataFrame:
-    """Pairs (centre columns…, incident columns…, distance_m) with the incident
-    within the centre's radius (great-circle, metres).
-
-    ``cell_deg``: grid cell edge in degrees; default the largest radius."""
-    c_lat, c_lon, r = F.col(center_lat), F.col(center_lon), F.col(radius)
-    if cell_deg is None:
-        largest = centers.agg(F.max(r)).scalar()
-        cell_deg = F.greatest(largest / F.lit(M_PER_DEG_LAT), F.lit(1e-6))
-    dlat, dlon = geo.circle_box_columns(c_lat, r)
-    cells = _explode_box(centers, c_lat - dlat, c_lat + dlat, c_lon - dlon, c_lon + dlon, cell_deg)
-    pts = with_cell(incidents, cell_deg)
-    pairs = pts.join(cells, ["cell_y", "cell_x"], "inner").drop("cell_y", "cell_x")
-    dist = geo.haversine_m(c_lat, c_lon, F.col("latitude"), F.col("longitude"))
-    return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= r)
-
-
-def polygon_join(incidents: DataFrame, polygons: DataFrame, cell_deg=None,
-                 geojson: str = "geojson") -> DataFrame:
-    """Pairs (polygon columns…, incident columns…) with the incident inside the
-    polygon's outer ring (closed bounding box and ray-casting parity).
+def circle_cells(centers: DataFrame, center_lat: str = "center_lat", center_lon: str = "center_lon",
+                 radius: str = "radius_m") -> DataFrame:
+    """One row per circle and cell of the circle's level that its box touches."""
+    lat, lon = F.col(center_lat), F.col(center_lon)
+    dlat, dlon = geo.circle_box_columns(lat, F.col(radius))
+    leveled = centers.withColumn("_level", _level(2 * F.greatest(dlat, dlon), 2))
+    return _explode_box(leveled, lat - dlat, lat + dlat, lon - dlon, lon + dlon)
+
 
-    ``cell_deg``: grid cell edge in degrees; default a quarter of the median
-    polygon box side (a scalar subquery), so a typical polygon spans about
-    4 × 4 cells whatever its size."""
+def polygon_cells(polygons: DataFrame, geojson: str = "geojson") -> DataFrame:
+    """One row per polygon and cell of its level that its box touches, with the ring and the box."""
     shapes = polygons.withColumn("_ring", geo.ring_column(F.col(geojson)))
     lo_lat, hi_lat, lo_lon, hi_lon = geo.ring_bounds_columns(F.col("_ring"))
     shapes = (shapes.withColumn("_lo_lat", lo_lat).withColumn("_hi_lat", hi_lat)
                     .withColumn("_lo_lon", lo_lon).withColumn("_hi_lon", hi_lon))
-    if cell_deg is None:
-        side = F.greatest(F.col("_hi_lat") - F.col("_lo_lat"), F.col("_hi_lon") - F.col("_lo_lon"))
-        median = shapes.agg(F.percentile_approx(side, 0.5)).scalar()
-        cell_deg = F.least(F.greatest(median / F.lit(4.0), F.lit(1e-5)), F.lit(10.0))
-    cells = _explode_box(shapes, F.col("_lo_lat"), F.col("_hi_lat"), F.col("_lo_lon"),
-                         F.col("_hi_lon"), cell_deg)
-    pts = with_cell(incidents, cell_deg)
-    pairs = pts.join(cells, ["cell_y", "cell_x"], "inner")
+    side = F.greatest(F.col("_hi_lat") - F.col("_lo_lat"), F.col("_hi_lon") - F.col("_lo_lon"))
+    return _explode_box(shapes.withColumn("_level", _level(side, 4)),
+                        F.col("_lo_lat"), F.col("_hi_lat"), F.col("_lo_lon"), F.col("_hi_lon"))
+
+
+def candidates(incidents: DataFrame, cells: DataFrame) -> DataFrame:
+    """Incidents joined with the shapes whose cells hold them, before the exact test."""
+    levels = cells.agg(F.collect_set("_level")).scalar()  # at most one entry per level
+    lat, lon = F.col("latitude"), F.col("longitude")
+    points = (incidents.where(lat.isNotNull() & lon.isNotNull()).withColumn("_level", F.explode(levels))
+              .withColumn("_cell_y", _cell(lat)).withColumn("_cell_x", _cell(lon)))
+    return points.join(cells, CELL, "inner").drop(*CELL)
+
+
+def radius_join(incidents: DataFrame, centers: DataFrame, center_lat: str = "center_lat",
+                center_lon: str = "center_lon", radius: str = "radius_m") -> DataFrame:
+    """Pairs (centre columns…, incident columns…, distance_m) with the incident
+    within the centre's radius (great-circle, metres)."""
+    pairs = candidates(incidents, circle_cells(centers, center_lat, center_lon, radius))
+    dist = geo.haversine_m(F.col(center_lat), F.col(center_lon), F.col("latitude"), F.col("longitude"))
+    return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= F.col(radius))
+
+
+def polygon_join(incidents: DataFrame, polygons: DataFrame, geojson: str = "geojson") -> DataFrame:
+    """Pairs (polygon columns…, incident columns…) with the incident inside the
+    polygon's outer ring (closed bounding box and ray-casting parity)."""
+    pairs = candidates(incidents, polygon_cells(polygons, geojson))
     lat, lon = F.col("latitude"), F.col("longitude")
     inside = (lat.between(F.col("_lo_lat"), F.col("_hi_lat")) & lon.between(F.col("_lo_lon"), F.col("_hi_lon"))
               & geo.point_in_ring_column(lat, lon, F.col("_ring")))
-    return pairs.where(inside).drop("cell_y", "cell_x", "_ring", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
+    return pairs.where(inside).drop("_ring", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")

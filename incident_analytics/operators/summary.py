@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hazard scores are summed as DECIMAL(18,4): exact and order-independent.
-HAZARD_SUM_TYPE = "decimal(18,4)"
+# Hazard scores are summed as decimals of 18 places: no digit of a score is cut
+# that its sum in double could show, and the order of rows does not matter.
+HAZARD_SUM_TYPE = "decimal(28,18)"
 SUMMARY_KEYS = ["date", "area", "crime_against_category", "offense_sub_category", "has_coords"]
 
 
@@ -36,11 +37,11 @@ def has_coords(df: DataFrame) -> Column:
 
 def counted(df: DataFrame) -> DataFrame:
     """Rows with a count ``n`` and hazard sum ``h`` (raw rows: 1 and the
-    hazard, null as 0)."""
+    hazard, null and NaN as 0)."""
     if is_summary(df):
         return df
     return (df.withColumn("n", F.lit(1).cast("bigint"))
-              .withColumn("h", F.coalesce(F.col("hazardness"), F.lit(0.0)).cast(HAZARD_SUM_TYPE)))
+              .withColumn("h", F.coalesce(F.nanvl("hazardness", F.lit(0.0)), F.lit(0.0)).cast(HAZARD_SUM_TYPE)))
 
 
 def total(col: str = "n", where: Column | None = None) -> Column:

@@ -8,8 +8,12 @@ plain ``47.0`` is a DECIMAL in DuckDB.
 
 from __future__ import annotations
 
+import json
+
 import query_params as P
-from incident_analytics.functions import geo
+
+EARTH_RADIUS_M = 6371000.0
+METRES_PER_MILE = 1609.34
 
 INCIDENTS_SQL = """
 SELECT e.event_id AS incident_id,
@@ -123,8 +127,9 @@ WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL GROUP BY {CAT}""")
 
 def trend(metric: str, order: str, rng, as_of: str, n: int = 10) -> str:
     s, e = rng
-    mean = ("CAST(sum(CAST(coalesce(hazardness, 0e0) AS DECIMAL(18,4))) AS DOUBLE)"
-            " / CAST(count(*) AS DOUBLE)")
+    # the scores' shortest decimal texts, summed exactly
+    mean = ("CAST(sum(CAST(CAST(CASE WHEN isnan(hazardness) THEN 0e0 ELSE coalesce(hazardness, 0e0) END AS VARCHAR)"
+            " AS DECIMAL(28,18))) AS DOUBLE) / CAST(count(*) AS DOUBLE)")
     rank_expr = mean if metric == "hazard" else "CAST(count(*) AS DOUBLE)"
     value_expr = rank_expr
     order_by = "metric DESC, area ASC" if order == "top" else "metric ASC, area DESC"
@@ -195,23 +200,23 @@ def haversine_sql(lat, lon, point_lat: str = "latitude", point_lon: str = "longi
     s1 = f"sin((radians({point_lat}) - {rl1}) / 2)"
     s2 = f"sin((radians({point_lon}) - {rn1}) / 2)"
     a = f"{s1} * {s1} + cos({rl1}) * cos(radians({point_lat})) * ({s2} * {s2})"
-    return f"(2e0 * asin(sqrt(least({a}, 1e0))) * {d(geo.EARTH_RADIUS_M)})"
+    return f"(2e0 * asin(sqrt(least({a}, 1e0))) * {d(EARTH_RADIUS_M)})"
 
 
-def polygon_sql(geojson) -> str:
-    ring = geo.ring_from_geojson(geojson)
-    lo_lat, hi_lat, lo_lon, hi_lon = geo.ring_bounds(ring)
-    terms = []
-    for p1x, p1y, p2x, p2y in geo._edge_terms(ring):
-        cond = (f"latitude > {d(min(p1y, p2y))} AND latitude <= {d(max(p1y, p2y))} "
-                f"AND longitude <= {d(max(p1x, p2x))}")
-        if p1x != p2x:
-            cond += (f" AND longitude <= (latitude - {d(p1y)}) * {d(p2x - p1x)} / {d(p2y - p1y)}"
-                     f" + {d(p1x)}")
-        terms.append(f"CASE WHEN {cond} THEN 1 ELSE 0 END")
-    parity = " + ".join(terms) or "0"
-    return (f"(latitude BETWEEN {d(lo_lat)} AND {d(hi_lat)} AND longitude BETWEEN {d(lo_lon)} AND {d(hi_lon)}"
-            f" AND ({parity}) % 2 = 1)")
+def polygon_sql(geojson: str) -> str:
+    """Inside the closed box, and an odd number of edges at or right of the point at its latitude."""
+    shape = json.loads(geojson)
+    ring = shape.get("geometry", shape)["coordinates"][0]
+    lons, lats = zip(*ring)
+    crossings = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if y1 == y2:
+            continue
+        reach = f"longitude <= {d(x1)}" if x1 == x2 else (
+            f"longitude <= {d(max(x1, x2))} AND longitude <= (latitude - {d(y1)}) * {d(x2 - x1)} / {d(y2 - y1)} + {d(x1)}")
+        crossings.append(f"CAST(latitude > {d(min(y1, y2))} AND latitude <= {d(max(y1, y2))} AND {reach} AS INTEGER)")
+    return (f"(latitude BETWEEN {d(min(lats))} AND {d(max(lats))} AND longitude BETWEEN {d(min(lons))} AND {d(max(lons))}"
+            f" AND ({' + '.join(crossings) or '0'}) % 2 = 1)")
 
 
 def filter_sql(rng, hours=None, categories=None, areas=None, polygon=None, circle=None) -> str:
@@ -448,10 +453,10 @@ def schema_report() -> str:
 
 
 def exact_mean_sql(col: str) -> str:
-    return f"CAST(sum(CAST({col} AS DECIMAL(18,8))) AS DOUBLE) / CAST(count({col}) AS DOUBLE)"
+    return f"CAST(sum(CAST(CAST({col} AS VARCHAR) AS DECIMAL(28,18))) AS DOUBLE) / CAST(count({col}) AS DOUBLE)"
 
 
-def radius_join() -> str:
+def radius_join(radius: str = d(P.BLOCK_RADIUS_M)) -> str:
     return with_incidents(f"""
 SELECT c.center_id, count(*) AS incidents,
   count(*) FILTER (WHERE p.{CAT} = 'PERSON') AS person,
@@ -462,14 +467,20 @@ WHERE {haversine_sql('c.center_lat', 'c.center_lon', 'p.latitude', 'p.longitude'
 GROUP BY c.center_id""", f"""
 pts AS (SELECT * FROM incidents WHERE {date_cond(*P.FULL_RANGE)}),
 centers AS (SELECT location AS center_id, {exact_mean_sql('latitude')} AS center_lat,
-              {exact_mean_sql('longitude')} AS center_lon, {d(P.BLOCK_RADIUS_M)} AS radius_m
+              {exact_mean_sql('longitude')} AS center_lon, {radius} AS radius_m
             FROM pts WHERE location IS NOT NULL GROUP BY location)""")
 
 
-def polygon_join() -> str:
+def radius_join_mixed() -> str:
+    small, middle, large = map(d, P.MIXED_RADII_M)
+    block = "CAST(regexp_extract(location, '^([0-9]+)', 1) AS INTEGER) % 3"
+    return radius_join(f"CASE {block} WHEN 0 THEN {small} WHEN 1 THEN {middle} ELSE {large} END")
+
+
+def polygon_join(polygons=P.POLYGONS) -> str:
     parts = " UNION ALL ".join(
         f"SELECT {pid} AS polygon_id, count(*) FILTER (WHERE {polygon_sql(gj)}) AS incidents FROM pts"
-        for pid, gj in P.POLYGONS)
+        for pid, gj in polygons)
     return with_incidents(f"SELECT polygon_id, incidents FROM ({parts}) x WHERE incidents > 0",
                           f"pts AS (SELECT * FROM incidents WHERE {date_cond(*P.FULL_RANGE)})")
 
@@ -507,7 +518,7 @@ def circle_outline() -> str:
 SELECT key, display_name, radius_m, CAST(t.i AS INTEGER) AS point,
   lat + (radius_m / 1.11e5) * cos({ang}) AS latitude,
   lon + (radius_m / (1.11e5 * cos(radians(lat)))) * sin({ang}) AS longitude,
-  radius_m / {d(geo.METRES_PER_MILE)} AS radius_miles
+  radius_m / {d(METRES_PER_MILE)} AS radius_miles
 FROM (SELECT *, {d(P.OUTLINE_RADIUS_M)} AS radius_m FROM best) c CROSS JOIN range(0, 65) t(i)""",
                           gazetteer_ctes())
 
@@ -555,6 +566,8 @@ def all_sql() -> dict[str, str]:
         "schema_report": schema_report(),
         "radius_join": radius_join(),
         "polygon_join": polygon_join(),
+        "radius_join_mixed": radius_join_mixed(),
+        "polygon_join_mixed": polygon_join(P.POLYGONS_MIXED),
         "geocode_lookup": geocode_lookup(),
         "circle_outline": circle_outline(),
     }

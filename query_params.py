@@ -43,3 +43,15 @@ POLYGONS = [
         '[-122.39, 47.61], [-122.33, 47.53]]]}'),
 ]
 OUTLINE_RADIUS_M = 805.0
+
+# Shapes of very different sizes in one join: radii by block, and boxes of 0.002, 0.1 and 10 degrees.
+MIXED_RADII_M = (161.0, 805.0, 30000.0)
+
+
+def _box(lon: float, lat: float, side: float) -> str:
+    corners = [[lon, lat], [lon + side, lat], [lon + side, lat + side], [lon, lat + side]]
+    return f'{{"type": "Polygon", "coordinates": [{corners}]}}'
+
+
+POLYGONS_MIXED = [*POLYGONS, (5, _box(-122.3352, 47.6002, 0.002)), (6, _box(-122.3001, 47.5503, 0.002)),
+                  (7, _box(-122.4, 47.55, 0.1)), (8, _box(-127.0, 42.0, 10.0))]

@@ -101,7 +101,10 @@ def test_load_export_round_trip(spark, raw_of):
     loader.load_export(spark, csv_path, gold_path, mode="append", summary_path=summary_path)
     assert spark.read.parquet(gold_path).count() == 4
     from incident_analytics.operators import kpi
-    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 2  # the appended batch
+    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 4  # the first summary covers the table
+    loader.load_export(spark, csv_path, gold_path, mode="append", summary_path=summary_path)
+    assert spark.read.parquet(gold_path).count() == 6
+    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 6
     report = {r["column_name"]: r["status"] for r in sources.schema_report(on_disk).collect()}
     assert report["year"] == "extra" and report["incident_id"] == "ok"
     assert sources.smoke(on_disk).count() == 1

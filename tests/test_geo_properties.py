@@ -25,17 +25,15 @@ RINGS = {
 
 
 def ray_cast(lat, lon, ring):
-    """The edge rule written out as a loop (the brute-force reference)."""
-    x, y = lon, lat
-    n = len(ring)
-    inside = False
-    for i in range(1, n + 1):
-        p1x, p1y = ring[i - 1]
-        p2x, p2y = ring[i % n]
-        if min(p1y, p2y) < y <= max(p1y, p2y) and x <= max(p1x, p2x) and p1y != p2y:
-            if p1x == p2x or x <= (y - p1y) * (p2x - p1x) / (p2y - p1y) + p1x:
-                inside = not inside
-    return inside
+    """Odd number of edges that reach the point's latitude (upper end included) and
+    pass at or right of it there; the rule is one of doubles, so this is too."""
+    def right_of(a, b):
+        (ax, ay), (bx, by) = a, b
+        if not min(ay, by) < lat <= max(ay, by):
+            return False
+        return lon <= max(ax, bx) and (ax == bx or lon <= (lat - ay) * (bx - ax) / (by - ay) + ax)
+
+    return sum(right_of(a, b) for a, b in zip(ring, ring[1:] + ring[:1])) % 2 == 1
 
 
 def haversine(lat1, lon1, lat2, lon2):
@@ -112,7 +110,7 @@ def test_radius_join_equals_brute_force(spark, points):
     pts, df = points
     centers = [(1, 47.6062, -122.3321, 805.0), (2, 47.55, -122.40, 3219.0), (3, 47.70, -122.25, 161.0)]
     cdf = spark.createDataFrame(centers, "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
-    got = {(r["center_id"], r["incident_id"]) for r in spatial_join.radius_join(df, cdf, cell_deg=0.005).collect()}
+    got = {(r["center_id"], r["incident_id"]) for r in spatial_join.radius_join(df, cdf).collect()}
     want = {(c, i) for c, clat, clon, r in centers for i, a, b in pts if haversine(clat, clon, a, b) <= r}
     diff = got ^ want
     assert len(diff) <= 1 and len(got) > 0
@@ -122,9 +120,7 @@ def test_polygon_join_equals_filter(spark, points):
     _, df = points
     polys = [(i, P.POLYGONS[i - 1][1]) for i in range(1, 5)]
     pdf = spark.createDataFrame(polys, "polygon_id INT, geojson STRING")
-    got = {(r["polygon_id"], r["incident_id"]) for r in spatial_join.polygon_join(df, pdf, cell_deg=0.02).collect()}
-    adaptive = {(r["polygon_id"], r["incident_id"]) for r in spatial_join.polygon_join(df, pdf).collect()}
-    assert adaptive == got
+    got = {(r["polygon_id"], r["incident_id"]) for r in spatial_join.polygon_join(df, pdf).collect()}
     want = set()
     for pid, gj in polys:
         want |= {(pid, r["incident_id"]) for r in IncidentFilter(polygon=gj).apply(df.withColumn(
@@ -176,3 +172,26 @@ def test_circle_anywhere_on_earth(spark, lat, lon, r, seed):
     joined = {row["incident_id"] for row in spatial_join.radius_join(df, cdf).collect()}
     diff = joined ^ want
     assert all(abs(haversine(lat, lon, a, b) - r) < 1e-6 * max(r, 1) for i, a, b in pts if i in diff)
+
+
+def test_shapes_of_all_sizes_share_a_join(spark):
+    """One large shape neither widens the search of small ones nor explodes into many cells."""
+    points = spark.range(40_000).select(
+        F.col("id").alias("incident_id"), (47.5 + (F.col("id") * 7919 % 20_011) * 1e-5).alias("latitude"),
+        (-122.4 + (F.col("id") * 104_729 % 20_021) * 1e-5).alias("longitude"))
+    circles = [(i, 47.5 + 0.004 * i, -122.4 + 0.004 * i, 161.0) for i in range(50)] + [(99, 47.6, -122.3, 30_000.0)]
+    centers = spark.createDataFrame(circles, "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
+    cells = spatial_join.circle_cells(centers)
+    assert cells.groupBy("center_id").count().agg(F.max("count")).first()[0] <= 9
+    pairs = spatial_join.radius_join(points, centers)
+    small = F.col("center_id") < 99
+    assert pairs.where(~small).count() == 40_000
+    assert spatial_join.candidates(points, cells).where(small).count() <= 20 * pairs.where(small).count()
+    boxes = [(i, f'{{"type": "Polygon", "coordinates": [[[{x}, {y}], [{x + s}, {y}], [{x + s}, {y + s}], [{x}, {y + s}]]]}}')
+             for i, (x, y, s) in enumerate([(-122.35, 47.55, 0.002), (-122.31, 47.61, 0.002), (-123.0, 47.0, 1.0), (-127.0, 42.0, 10.0)])]
+    polygons = spark.createDataFrame(boxes, "polygon_id INT, geojson STRING")
+    cells = spatial_join.polygon_cells(polygons)
+    assert cells.groupBy("polygon_id").count().agg(F.max("count")).first()[0] <= 25
+    counts = {r["polygon_id"]: r["count"] for r in spatial_join.polygon_join(points, polygons).groupBy("polygon_id").count().collect()}
+    assert counts[2] == counts[3] == 40_000
+    assert spatial_join.candidates(points, cells).where("polygon_id < 2").count() <= 20 * max(1, counts.get(0, 0) + counts.get(1, 0))
