@@ -13,13 +13,13 @@ candidates pass a sketch of one bit per minimum hash and a size bound, then
 the full sets decide. Verified links contract into components. Of the buckets
 that still hold several components, those of at most ``SMALL`` members are
 compared by pairs across components (at most SMALL / 2 rows a member); members
-of larger ones are compared in tiles that return links which join what all links of the tile join, so a group of
-thousands of near copies is never expanded into rows of pairs and yet no link
-that shares a bucket is left out.
+of larger ones are compared in tiles that return links which join all that the
+tile's links join. So a group of thousands of near copies is never expanded
+into rows of pairs, and yet no link that shares a bucket is left out.
 
 Components are found by rounds of contraction to the neighbour of least id or
-of least seeded hash, in turn, each round written to the shared folder; nothing but counts
-reaches the driver. Defined results: null and empty texts, and texts without a
+of least seeded hash, in turn, each round written to the shared folder; nothing
+but counts reaches the driver. Defined results: null and empty texts, and texts without a
 word, have the empty set, are linked with nothing and are kept; a null id is
 kept, unlinked, with a null component; rows with an equal id count as one
 document if their texts have equal sets; an empty table gives an empty result.
