@@ -132,13 +132,18 @@ def piece_messages(docs: DataFrame, cut, buckets: int, weight: str | None = None
     return docs.mapInArrow(run, MESSAGES)
 
 
-def block_rows(docs: DataFrame, cut, buckets: int) -> DataFrame:
+def block_rows(docs: DataFrame, cut, buckets: int, weight: str | None = None) -> DataFrame:
+    """(block, digest, doc_ids, per_text, codes), and a column of weights, if named, as ``weights``."""
+    schema = _BLOCK_SCHEMA if weight is None else _BLOCK_SCHEMA.append(pa.field("weights", pa.list_(pa.int32())))
+
     def run(batches):
         for b in _blocks(batches, cut, buckets):
-            yield pa.RecordBatch.from_pylist([{
-                "block": b.block, "digest": b.digest, "doc_ids": b.doc_ids.to_pylist(),
-                "per_text": b.per_text.tolist(), "codes": shrink(b.codes)}], schema=_BLOCK_SCHEMA)
-    return docs.mapInArrow(run, BLOCKS)
+            row = {"block": b.block, "digest": b.digest, "doc_ids": b.doc_ids.to_pylist(),
+                   "per_text": b.per_text.tolist(), "codes": shrink(b.codes)}
+            if weight is not None:
+                row["weights"] = b.extra.column(weight).to_pylist()
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
+    return docs.mapInArrow(run, BLOCKS if weight is None else BLOCKS + ", weights ARRAY<INT>")
 
 
 def bucket_pieces(table: pa.Table) -> tuple[np.ndarray, pa.Array, list[int]]:

@@ -2,19 +2,22 @@
 
 Order 0 is add-one smoothed word counts of the training documents. A context
 (the last 1 to ``DEPTH`` tokens, the end of the document before as boundary) is
-a candidate if its share of all tokens is at least ``P_MIN`` and its suffix is
-one. It is retained with a next token when that token has at least ``GAMMA`` of
-the context's continuations and diverges from the suffix's prediction:
-``n * ln(P(next | context) / P(next | suffix)) >= DIVERGENCE``. The smoothed
-distribution of a retained context gives its stored tokens ``n / (count + 1)``
-and spreads the rest by the suffix's distribution, so it sums to one. A token
-is scored in the longest retained suffix state.
-
-Scale: word counts meet by hash bucket and return to the blocks that need
-them (``_blocks``), whatever the vocabulary. Contexts and stored tokens number
-at most ``DEPTH / (P_MIN * GAMMA)`` by their definition, for any corpus, so the
-tree is small enough to send to every task; shares, not counts, bound it. One
-pass per level counts continuations of the level's contexts.
+a candidate if it occurs at least ``MIN_COUNT`` times, whatever its share of
+the corpus or of its prefix's continuations. It is retained with a next token
+when the two occur together at least ``MIN_COUNT`` times, the token has at
+least ``GAMMA`` of the context's continuations and diverges from the suffix's
+prediction: ``n * ln(P(next | context) / P(next | suffix)) >= DIVERGENCE``. The
+smoothed distribution of a retained context gives its stored tokens
+``n / (count + 1)`` and spreads the rest by the suffix's distribution, so it
+sums to one. A token is scored in the longest retained suffix state.
+
+Scale: the tree grows with the corpus and is on no single machine. Word counts
+meet by hash bucket and return to the blocks that need them (``_blocks``). So do
+the counts of a level's sequences (context and next token): each block sends
+its distinct ones once, to ``GRAM_BUCKETS`` buckets a partition of the input,
+and gets back those that occur often enough. A sequence is only counted if its
+context and its suffix are, which loses none. What the contexts give to stored
+tokens is a table by context, joined to the blocks that have the context.
 
 Defined results: null and empty texts are the end token alone; a null id
 counts as training; without a training document every token has the same
@@ -23,6 +26,8 @@ probability; rows with equal ids are scored each on its own text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,75 +36,73 @@ from pyspark.sql import functions as F
 from . import _blocks
 from ._io import id_and_text, in_fold, table, written
 from ._ship import ship
-from ._text import hash_pieces, slices, utf8, words
+from ._text import hash_pieces, mix, words
 from .mixing import word_count
 
-P_MIN = 2e-5
+MIN_COUNT = 2
 GAMMA = 0.02
 DEPTH = 3
 DIVERGENCE = 10.0
-SLICE_BYTES = 6 << 20
-_WIDE = np.int64(1) << np.int64(32)
+GRAM_BUCKETS = 4
+_U64 = np.uint64
+_END = mix(np.array([0x5851F42D4C957F2D], dtype=np.uint64))[0]
 
 
 def _lower_words(data, at):
     return words(data, at, lower=True)
 
 
-_VALUES = ("block LONG, bucket INT, digest LONG, counts BINARY, frequent BINARY, hashes BINARY, "
-           "known LONG, words ARRAY<LONG>, word_counts ARRAY<LONG>")
+_VALUES = "block LONG, bucket INT, digest LONG, counts BINARY, frequent BINARY, hashes BINARY, known LONG"
 _VALUE_SCHEMA = pa.schema([
     ("block", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("counts", pa.binary()),
-    ("frequent", pa.binary()), ("hashes", pa.binary()), ("known", pa.int64()),
-    ("words", pa.list_(pa.int64())), ("word_counts", pa.list_(pa.int64()))])
-
-
-def _bucket_counts(least: float):
-    """Training counts of a bucket's words for each message, and one row (block
-    -1) with the number of known words and the frequent ones."""
-    def run(key, group):
-        codes, distinct, ns = _blocks.bucket_pieces(group)
-        rows = group.select(["block", "bucket", "digest", "counts"]).to_pylist()
-        seen = np.concatenate([_blocks.grow(r["counts"], np.uint32) for r in rows]).astype(np.float64)
-        total = np.bincount(codes, weights=seen, minlength=len(distinct)).astype(np.int64)
-        at = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[:len(distinct) + 1]
-        hashes = hash_pieces(np.frombuffer(distinct.buffers()[2], dtype=np.uint8), at).view(np.int64)
-        often = total >= max(least, 1)
-        made, from_ = [{"block": -1, "bucket": rows[0]["bucket"], "digest": 0, "known": int((total > 0).sum()),
-                        "words": hashes[often].tolist(), "word_counts": total[often].tolist()}], 0
-        for row, n in zip(rows, ns, strict=True):
-            mine = codes[from_:from_ + n]
-            from_ += n
-            made.append({"block": row["block"], "bucket": row["bucket"], "digest": row["digest"],
-                         "counts": _blocks.shrink(total[mine].astype(np.uint64)),
-                         "frequent": np.flatnonzero(often[mine]).astype(np.uint32).tobytes(),
-                         "hashes": hashes[mine][often[mine]].tobytes()})
-        return pa.Table.from_pylist(made, schema=_VALUE_SCHEMA)
-    return run
-
-
-def _sequence(ids: np.ndarray, per_text: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids with an end after each text, and the place of each token in its text."""
-    ends = np.cumsum(per_text)
-    out = np.insert(ids, ends, end)
-    n = per_text + 1
-    return out, np.arange(len(out)) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _contexts(tokens: np.ndarray, place: np.ndarray, tree: dict, depth: int) -> list[np.ndarray]:
-    """For every token the index of its context of length 1 to depth among the
-    level's candidates, or -1. In front of a text stands the end token."""
-    before = np.empty_like(tokens)
-    before[:1], before[1:] = tree["end"], tokens[:-1]
-    before[place == 0] = tree["end"]
-    levels = [before.astype(np.int64)]
-    for keys in tree["contexts"][:depth - 1]:
-        # a longer context is the shorter one of the token before, continued by that token
-        shorter = np.empty_like(levels[-1])
-        shorter[:1], shorter[1:] = -1, levels[-1][:-1]
-        wanted = np.where((place > 0) & (shorter >= 0) & (before >= 0), shorter * _WIDE + before, -1)
-        levels.append(_find(keys, wanted))
-    return levels
+    ("frequent", pa.binary()), ("hashes", pa.binary()), ("known", pa.int64())])
+
+
+def _bucket_counts(key, group):
+    """Training counts of a bucket's words for each message, with the hashes of
+    those that can be in a sequence, and one row (block -1) with the number of
+    known words."""
+    codes, distinct, ns = _blocks.bucket_pieces(group)
+    rows = group.select(["block", "bucket", "digest", "counts"]).to_pylist()
+    seen = np.concatenate([_blocks.grow(r["counts"], np.uint32) for r in rows]).astype(np.float64)
+    total = np.bincount(codes, weights=seen, minlength=len(distinct)).astype(np.int64)
+    at = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[:len(distinct) + 1]
+    hashes = hash_pieces(np.frombuffer(distinct.buffers()[2], dtype=np.uint8), at)
+    often = total >= MIN_COUNT
+    made, from_ = [{"block": -1, "bucket": rows[0]["bucket"], "digest": 0, "known": int((total > 0).sum())}], 0
+    for row, n in zip(rows, ns, strict=True):
+        mine = codes[from_:from_ + n]
+        from_ += n
+        made.append({"block": row["block"], "bucket": row["bucket"], "digest": row["digest"],
+                     "counts": _blocks.shrink(total[mine].astype(np.uint64)),
+                     "frequent": np.flatnonzero(often[mine]).astype(np.uint32).tobytes(),
+                     "hashes": hashes[mine][often[mine]].tobytes()})
+    return pa.Table.from_pylist(made, schema=_VALUE_SCHEMA)
+
+
+# a block's texts: coded words, and each distinct word's hash and count in training
+_STATE = "block LONG, doc_ids ARRAY<LONG>, per_text BINARY, train BINARY, codes BINARY, hashes BINARY, counts BINARY"
+_STATE_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                           *[(c, pa.binary()) for c in ("per_text", "train", "codes", "hashes", "counts")]])
+# what a step makes of a block: its sequences to be counted by bucket, its stored sequences, its contexts
+_GRAMS, _STORED, _CONTEXTS = range(3)
+_STEP = ("kind INT, block LONG, bucket INT, keys BINARY, ns BINARY, contexts ARRAY<LONG>, grams ARRAY<LONG>, "
+         "stored ARRAY<LONG>")
+_STEP_SCHEMA = pa.schema([
+    ("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary()),
+    *[(c, pa.list_(pa.int64())) for c in ("contexts", "grams", "stored")]])
+# a bucket's answer: places among the block's sequences and their counts; bucket -1: contexts and what they gave to stored tokens
+_ANSWER = "block LONG, level INT, bucket INT, keys BINARY, ns BINARY"
+_ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()),
+                            ("keys", pa.binary()), ("ns", pa.binary())])
+
+
+def _after(values: np.ndarray, first: np.ndarray, at_first) -> np.ndarray:
+    """Each place's value at the place before; at the first place of a text, at_first."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first] = at_first
+    return out
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -109,73 +112,128 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _continuations(train: DataFrame, tree: dict, level: int) -> DataFrame:
-    """(key, n): counts of (context of the level, next frequent token)."""
-    vocabulary = tree["words"]
+class _Levels:
+    """A block's tokens level by level: the hash of the context of every token,
+    its count in training, and the token's probability by the levels below."""
+
+    def __init__(self, state: dict, sums: dict):
+        n = _blocks.grow(state["per_text"], np.int64)
+        codes, ends = _blocks.grow(state["codes"], np.uint32), np.cumsum(n)
+        counts = _blocks.grow(state["counts"], np.uint64).astype(np.int64)
+        self.per_text = n + 1
+        self.tokens = np.insert(np.frombuffer(state["hashes"], dtype=np.uint64)[codes], ends, _END)
+        self.seen = np.insert(counts[codes], ends, sums["docs"])
+        self.first = np.cumsum(self.per_text) - self.per_text
+        self.zero = (self.seen + 1.0) / (sums["total"] + sums["known"] + 1)
+        self.known = self.seen > 0
+        self.p, self.gram, self.level, self.docs = self.zero, self.tokens, 0, sums["docs"]
+
+    def next_level(self) -> None:
+        """Contexts one token longer, and the distinct sequences to be counted."""
+        top = self.level == 0
+        self.level += 1
+        # in front of a text stands the end token
+        self.context = _after(self.gram, self.first, _END if top else _U64(0))
+        self.size = _after(self.seen, self.first, self.docs if top else 0)
+        self.alive = np.flatnonzero((self.size >= MIN_COUNT) & (self.seen >= MIN_COUNT))
+        with np.errstate(over="ignore"):
+            self.gram = mix(self.context * _U64(0x9FB21C651E98DF25) + self.tokens)
+        self.keys, self.of = np.unique(self.gram[self.alive], return_inverse=True)
+
+    def count(self, answers: list[dict], buckets: int) -> None:
+        """The sequences' counts in training from the buckets' answers (less than MIN_COUNT: 0)."""
+        n, edges = np.zeros(len(self.keys), dtype=np.int64), _edges(self.keys, buckets)
+        for a in answers:
+            n[edges[a["bucket"]] + _blocks.grow(a["keys"], np.uint32)] = _blocks.grow(a["ns"], np.uint64)
+        self.seen = np.zeros(len(self.tokens), dtype=np.int64)
+        self.seen[self.alive] = n[self.of]
+        at = np.flatnonzero((self.seen > 0) & (self.seen >= GAMMA * self.size))
+        m, size = self.seen[at], self.size[at]
+        self.stored = at[m * np.log(m / size / self.p[at]) >= DIVERGENCE]
+
+    def predict(self, kept: list[dict]) -> None:
+        """Probabilities of this level from what its contexts gave to stored tokens."""
+        self.p = self.p.copy()
+        for a in kept:
+            hit = _find(np.frombuffer(a["keys"], dtype=np.uint64), self.context)
+            at = np.flatnonzero((hit >= 0) & (self.size >= MIN_COUNT))
+            given, size = np.frombuffer(a["ns"], dtype=np.int64)[hit[at]], self.size[at]
+            self.p[at] *= (size - given + 1.0) / (size + 1.0)
+        self.p[self.stored] += self.seen[self.stored] / (self.size[self.stored] + 1.0)
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets' parts of sorted hashes begin: a bucket is a range of hashes."""
+    top = (np.arange(buckets, dtype=np.uint64) << _U64(32)) // _U64(buckets)
+    return np.append(np.searchsorted(keys >> _U64(32), top), len(keys))
+
+
+def _messages(block: int, levels: _Levels, train: np.ndarray, buckets: int) -> list[dict]:
+    """The block's distinct sequences of the level by bucket, with their counts in its training texts."""
+    times = np.repeat(train, levels.per_text)[levels.alive]
+    n = np.bincount(levels.of, weights=times, minlength=len(levels.keys)).astype(np.uint32)
+    edges, made = _edges(levels.keys, buckets), []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        lo, hi = edges[k], edges[k + 1]
+        steps = np.diff(levels.keys[lo:hi], prepend=_U64(0))  # of sorted hashes: leading zeros
+        made.append({"kind": _GRAMS, "block": block, "bucket": k, "keys": _blocks.shrink(steps), "ns": _blocks.shrink(n[lo:hi])})
+    return made
+
+
+def _totals(level: int):
+    """Counts of a bucket's sequences, for each message those that reach MIN_COUNT."""
+    def run(key, group):
+        rows = group.to_pylist()
+        steps = [_blocks.grow(r["keys"], np.uint64) for r in rows]
+        with np.errstate(over="ignore"):
+            keys, of = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint32) for r in rows]),
+                        minlength=len(keys)).astype(np.uint64)[of]
+        made, from_ = [], 0
+        for r, s in zip(rows, steps, strict=True):
+            mine = n[from_:from_ + len(s)]
+            from_ += len(s)
+            at = np.flatnonzero(mine >= MIN_COUNT)
+            if len(at):
+                made.append({"block": r["block"], "level": level, "bucket": r["bucket"],
+                             "keys": _blocks.shrink(at.astype(np.uint32)), "ns": _blocks.shrink(mine[at])})
+        return pa.Table.from_pylist(made, schema=_ANSWER_SCHEMA)
+    return run
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                cut = words(*utf8(part.column("text")), lower=True)
-                tokens, place = _sequence(_find(vocabulary, cut.hashes().view(np.int64)), cut.per_text, tree["end"])
-                context = _contexts(tokens, place, tree, level)[level - 1]
-                full = (context >= 0) & (tokens >= 0)
-                key, n = np.unique(context[full] * _WIDE + tokens[full], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-    return train.select("text").mapInArrow(run, "key LONG, n LONG").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _scored(tree: dict, contexts: list[np.ndarray], tokens: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """P(token) in the longest retained state: each level's stored share plus the rest of the suffix's."""
-    p = zero
-    for level, context in zip(tree["levels"], contexts, strict=False):
-        at = np.maximum(context, 0)
-        rest = np.where(context >= 0, level["rest"][at], 1.0) if len(level["rest"]) else np.ones(len(tokens))
-        hit = _find(level["keys"], np.where((context >= 0) & (tokens >= 0), context * _WIDE + tokens, -1))
-        stored = np.where(hit >= 0, level["p"][np.maximum(hit, 0)], 0.0) if len(level["p"]) else 0.0
-        p = stored + rest * p
-    return p
-
-
-def train_tree(train: DataFrame, frequent: DataFrame, n_words: int, n_docs: int, known: int) -> dict:
-    """The tree from training texts and the frequent words (word: hash, count),
-    of which there are at most 1 / P_MIN."""
-    got = frequent.toArrow().sort_by("word")
-    total = n_words + n_docs
-    tree = {"words": got.column("word").to_numpy(), "contexts": [], "levels": [], "total": total,
-            "known": known + (n_docs > 0), "end": got.num_rows, "end_count": n_docs}
-    counts = np.append(got.column("count").to_numpy(), n_docs).astype(np.float64)
-    zero = (counts + 1) / (total + tree["known"] + 1)
-    size = counts                                # occurrences of the level's contexts
-    tail = [np.arange(len(counts))]              # the tokens of the level's contexts, last one last
-    for level in range(1, DEPTH + 1 if total else 1):
-        found = written(_continuations(train, tree, level), "suffix-counts")
-        # at most 1 / (P_MIN * GAMMA) pairs have so large a share of so frequent a context
-        shares = found.sparkSession.createDataFrame(pa.table({
-            "context": np.arange(len(size)), "least": np.maximum(GAMMA * size, 2.0)}))
-        got = (found.withColumn("context", F.shiftright("key", 32)).join(F.broadcast(shares), "context")
-               .where(F.col("n") >= F.col("least")).select("key", "n").toArrow().sort_by("key"))
-        key, n = got.column("key").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-        context, token = key >> 32, key & (_WIDE - 1)
-        # what the levels below predict: the states of the context's suffixes
-        suffixes = []
-        for k in range(1, level):
-            state = tail[-k][context]
-            for j, keys in enumerate(tree["contexts"][:k - 1]):
-                state = _find(keys, np.where(state >= 0, state * _WIDE + tail[-k + j + 1][context], -1))
-            suffixes.append(state)
-        below = _scored(tree, suffixes, token, zero[token])
-        stored = n * np.log(n / size[context] / below) >= DIVERGENCE
-        kept = np.bincount(context[stored], weights=n[stored], minlength=len(size))
-        tree["levels"].append({"keys": key[stored], "p": n[stored] / (size[context[stored]] + 1.0),
-                               "rest": np.where(kept > 0, (size - kept + 1.0) / (size + 1.0), 1.0)})
-        often = (n >= P_MIN * total) & (token != tree["end"])
-        if not often.any():
-            break
-        tree["contexts"].append(key[often])
-        size = n[often]
-        tail = [*[t[context[often]] for t in tail], token[often]]
-    return tree
+
+def _kept(steps: DataFrame, level: int) -> DataFrame:
+    """Answers with what the level's contexts gave to stored tokens, for the blocks that have the context."""
+    stored = steps.where(F.col("kind") == _STORED).select(F.explode(F.arrays_zip("contexts", "grams", "stored")).alias("s")).select(
+        F.col("s.contexts").alias("context"), F.col("s.grams").alias("gram"), F.col("s.stored").alias("n"))
+    given = stored.distinct().groupBy("context").agg(F.sum("n").alias("n"))
+    wanted = steps.where(F.col("kind") == _CONTEXTS).select("block", F.explode("contexts").alias("context"))
+
+    def pack(key, group):
+        context, n = group.column("context").to_numpy().view(np.uint64), group.column("n").to_numpy()
+        order = np.argsort(context)
+        return pa.Table.from_pylist([{"block": key[0].as_py(), "level": level, "bucket": -1,
+                                      "keys": context[order].tobytes(), "ns": n[order].tobytes()}], schema=_ANSWER_SCHEMA)
+
+    return wanted.join(given, "context").groupBy("block").applyInArrow(pack, _ANSWER)
+
+
+def _by_block(state: DataFrame, answers: list[DataFrame], upto: int, sums: dict, buckets: int, schema: str, made) -> DataFrame:
+    """made(block's row, its levels down to upto) for every block; upto's contexts have no kept shares yet."""
+    def run(left, right):
+        got = right.to_pylist()
+        out = []
+        for row in left.to_pylist():
+            levels = _Levels(row, sums)
+            for k in range(1, upto + 1):
+                levels.next_level()
+                mine = [a for a in got if a["level"] == k]
+                levels.count([a for a in mine if a["bucket"] >= 0], buckets)
+                if k < upto or upto == DEPTH:
+                    levels.predict([a for a in mine if a["bucket"] < 0])
+            out.append(made(row, levels))
+        return pa.concat_tables(out)
+    every = reduce(DataFrame.unionByName, answers)
+    return state.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(run, schema)
 
 
 def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,49 +242,72 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
     base_score (order 0) and score."""
     ship(docs.sparkSession)
     rows = id_and_text(docs, doc_id, text)
-    train = rows.where(~held_out)
-    size = train.agg(F.sum(word_count(F.col("text"))).alias("words"), F.count(F.lit(1)).alias("docs")).first()
+    size = rows.where(~held_out).agg(F.sum(word_count(F.col("text"))).alias("words"), F.count(F.lit(1)).alias("docs")).first()
     n_words, n_docs = size["words"] or 0, size["docs"]
     buckets = _blocks.bucket_count(rows)
-    messages = _blocks.piece_messages(rows.withColumn("train", (~held_out).cast("int")), _lower_words, buckets, "train")
-    values = written(messages.groupBy("bucket").applyInArrow(
-        _bucket_counts(P_MIN * (n_words + n_docs)), _VALUES), "suffix-words")
-    summary = values.where("block = -1")
-    known = summary.agg(F.sum("known")).first()[0] or 0
-    frequent = summary.select(F.explode(F.arrays_zip("words", "word_counts")).alias("w")).select(
-        F.col("w.words").alias("word"), F.col("w.word_counts").alias("count"))
-    tree = train_tree(train, frequent, n_words, n_docs, known)
-
-    def combine(row, parts):
-        per_text = np.array(row["per_text"], dtype=np.int64)
-        counts = np.concatenate([np.zeros(0), *[_blocks.grow(p["counts"], np.uint64).astype(np.float64) for p in parts]])
-        word = np.full(len(counts), -1, dtype=np.int64)
+    gram_buckets = max(8, GRAM_BUCKETS * rows.rdd.getNumPartitions())
+    marked = rows.withColumn("train", (~held_out).cast("int"))
+    messages = _blocks.piece_messages(marked, _lower_words, buckets, "train")
+    values = written(messages.groupBy("bucket").applyInArrow(_bucket_counts, _VALUES), "suffix-words")
+    known = values.where("block = -1").agg(F.sum("known")).first()[0] or 0
+    sums = {"total": n_words + n_docs, "docs": n_docs, "known": known + (n_docs > 0)}
+
+    def begin(row, parts):
+        counts = [_blocks.grow(p["counts"], np.uint64) for p in parts]
+        hashes = np.zeros(sum(map(len, counts)), dtype=np.uint64)
         at = 0
-        for p in parts:
-            places = np.frombuffer(p["frequent"], dtype=np.uint32) + at
-            word[places] = _find(tree["words"], np.frombuffer(p["hashes"], dtype=np.int64))
-            at += len(_blocks.grow(p["counts"], np.uint64))
-        codes = _blocks.grow(row["codes"], np.uint32)
-        ends = np.cumsum(per_text)
-        for lo, hi in _blocks.runs(per_text):
-            n = per_text[lo:hi]
-            mine = codes[ends[lo] - n[0]:ends[hi - 1]]
-            tokens, place = _sequence(word[mine], n, tree["end"])
-            c = np.insert(counts[mine], np.cumsum(n), float(tree["end_count"]))
-            zero = (c + 1) / (tree["total"] + tree["known"] + 1)
-            p = _scored(tree, _contexts(tokens, place, tree, max(1, len(tree["levels"]))), tokens, zero)
-            doc = np.repeat(np.arange(hi - lo), n + 1)
-            total = lambda x, k=hi - lo, d=doc: np.bincount(d, weights=x, minlength=k)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(row["doc_ids"][lo:hi], pa.int64()), pa.array(n + 1, pa.int64()),
-                pa.array(total(c > 0).astype(np.int64)), pa.array(np.full(hi - lo, tree["total"]), pa.int64()),
-                pa.array(total(np.log10(zero))), pa.array(total(np.log10(p)))],
-                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return _blocks.joined(_blocks.block_rows(rows, _lower_words, buckets),
-                          values.where("block >= 0").select("block", "bucket", "digest", "counts", "frequent", "hashes"),
-                          combine, "doc_id LONG, n_tokens LONG, n_known LONG, train_tokens LONG, "
-                                   "base_score DOUBLE, score DOUBLE")
+        for p, c in zip(parts, counts, strict=True):
+            hashes[np.frombuffer(p["frequent"], dtype=np.uint32) + at] = np.frombuffer(p["hashes"], dtype=np.uint64)
+            at += len(c)
+        yield pa.RecordBatch.from_pylist([{
+            "block": row["block"], "doc_ids": row["doc_ids"], "hashes": hashes.tobytes(), "codes": row["codes"],
+            "per_text": _blocks.shrink(np.array(row["per_text"], dtype=np.int64)),
+            "train": np.array(row["weights"], dtype=np.uint8).tobytes(),
+            "counts": _blocks.shrink(np.concatenate([np.zeros(0, np.uint64), *counts]))}], schema=_STATE_SCHEMA)
+
+    def pairs(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                levels = _Levels(row, sums)
+                levels.next_level()
+                yield from pa.Table.from_pylist(_messages(row["block"], levels, np.frombuffer(row["train"], dtype=np.uint8), gram_buckets),
+                                                schema=_STEP_SCHEMA).to_batches()
+
+    def step(row, levels):
+        at = levels.stored
+        _, one = np.unique(levels.gram[at], return_index=True)
+        one = at[one]
+        as_list = lambda x: x.view(np.int64).tolist()
+        made = [{"kind": _STORED, "block": row["block"], "contexts": as_list(levels.context[one]),
+                 "grams": as_list(levels.gram[one]), "stored": levels.seen[one].tolist()},
+                {"kind": _CONTEXTS, "block": row["block"],
+                 "contexts": as_list(np.unique(levels.context[levels.size >= MIN_COUNT]))}]
+        if levels.level < DEPTH:
+            levels.next_level()
+            made += _messages(row["block"], levels, np.frombuffer(row["train"], dtype=np.uint8), gram_buckets)
+        return pa.Table.from_pylist(made, schema=_STEP_SCHEMA)
+
+    def score(row, levels):
+        n = len(levels.per_text)
+        doc = np.repeat(np.arange(n), levels.per_text)
+        total = lambda x: np.bincount(doc, weights=x, minlength=n)
+        return pa.table([
+            pa.array(row["doc_ids"], pa.int64()), pa.array(levels.per_text), pa.array(total(levels.known).astype(np.int64)),
+            pa.array(np.full(n, sums["total"], dtype=np.int64)), pa.array(total(np.log10(levels.zero))),
+            pa.array(total(np.log10(levels.p)))],
+            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    state = written(_blocks.joined(_blocks.block_rows(marked, _lower_words, buckets, "train"), values.where("block >= 0").select(
+        "block", "bucket", "digest", "counts", "frequent", "hashes"), begin, _STATE), "suffix-blocks")
+    steps = state.mapInArrow(pairs, _STEP)  # pairs wait for no answers
+    answers = []
+    for level in range(1, DEPTH + 1):
+        grams = steps.where(F.col("kind") == _GRAMS).select("block", "bucket", "keys", "ns")
+        answers.append(written(grams.groupBy("bucket").applyInArrow(_totals(level), _ANSWER), "suffix-counts"))
+        steps = written(_by_block(state, answers, level, sums, gram_buckets, _STEP, step), "suffix-steps")
+        answers.append(written(_kept(steps, level), "suffix-kept"))
+    return _by_block(state, answers, DEPTH, sums, gram_buckets,
+                     "doc_id LONG, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE", score)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

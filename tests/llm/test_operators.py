@@ -178,6 +178,56 @@ def test_suffix_tree(spark, make_docs, no_docs):
     assert suffix_tree.suffix_tree_scores(no_docs, held).count() == 0
 
 
+def brute_tree_scores(rows, held):
+    """Scores by the definition: contexts by absolute counts, none dropped for its share."""
+    seq = {i: ["$", *[w.lower() for w in WORD.findall(t or "")], "$"] for i, t in rows}
+    counts, grams, total = {}, {}, 0
+    for i, s in seq.items():
+        if not held(i):
+            for k in range(1, len(s)):
+                counts[s[k]] = counts.get(s[k], 0) + 1
+                total += 1
+                for width in range(2, min(k + 1, suffix_tree.DEPTH + 1) + 1):
+                    g = tuple(s[k - width + 1:k + 1])
+                    grams[g] = grams.get(g, 0) + 1
+    size = lambda c: counts.get(c[0], 0) if len(c) == 1 else grams.get(c, 0)
+    following, states = {}, {}
+    for g, n in grams.items():
+        following.setdefault(g[:-1], {})[g[-1]] = n
+
+    def p(context, w):
+        if not context:
+            return (counts.get(w, 0) + 1) / (total + len(counts) + 1)
+        stored, kept = state(context)
+        return stored.get(w, 0) / (size(context) + 1) + ((size(context) - kept + 1) / (size(context) + 1) if kept else 1) * p(context[1:], w)
+
+    def state(context):
+        if context not in states:
+            states[context] = {w: n for w, n in following.get(context, {}).items() if n >= max(2, suffix_tree.GAMMA * size(context))
+                               and n * np.log(n / size(context) / p(context[1:], w)) >= suffix_tree.DIVERGENCE}
+        return states[context], sum(states[context].values())
+    return {i: sum(np.log10(p(tuple(s[max(0, k - suffix_tree.DEPTH):k]), s[k])) for k in range(1, len(s))) for i, s in seq.items()}
+
+
+def test_suffix_tree_equals_brute_force(spark, make_docs):
+    r = random.Random(11)
+    # words between 'the' or 'no' and their own follower: each has about 1 % of the first word's continuations
+    phrase = lambda: f"{(a := r.choice(['the', 'No']))} x{(k := r.randrange(90))} {a.lower()}{k} then"
+    rows = [(i, " ".join(phrase() for _ in range(r.randrange(0, 120)))) for i in range(60)] + [(900, None), (901, "one")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    want = brute_tree_scores(rows, held)
+    docs = make_docs(rows).repartition(3).localCheckpoint()
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.suffix_tree_scores(docs, in_fold("doc_id", 7, 2)).collect()}
+    assert got == {i: pytest.approx(s, rel=1e-9) for i, s in want.items()}
+
+
+def test_suffix_tree_contexts_need_no_share(make_docs):
+    # 6 occurrences among 600,000 tokens
+    rows = [(i, "omega psi chi") for i in range(6)] + [(1000 + i, "f " * 6000) for i in range(100)] + [(5000, "omega psi chi")]
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.suffix_tree_scores(make_docs(rows), F.col("doc_id") >= 5000).collect()}
+    assert got[5000] > 2 * np.log10(7 / 600_000)  # 'psi' and 'chi' are certain after their contexts, only 'omega' is not
+
+
 def test_suffix_tree_edges(edge_docs):
     assert suffix_tree.suffix_tree_scores(edge_docs, in_fold("doc_id", 7, 2)).count() == len(EDGE)
 
