@@ -228,6 +228,14 @@ def test_suffix_tree_contexts_need_no_share(make_docs):
     assert got[5000] > 2 * np.log10(7 / 600_000)  # 'psi' and 'chi' are certain after their contexts, only 'omega' is not
 
 
+def test_suffix_tree_contexts_after_a_frequent_word(make_docs):
+    # 'the x' stands before 'a', 'no x' before 'b'; each x has 1 % of what follows 'the'
+    rows = [(i, " ".join(f"the x{k} a{k} no x{k} b{k}" for k in range(100))) for i in range(20)]
+    rows += [(5001, "the x7 a7"), (5002, "the x7 b7")]
+    got = {x["doc_id"]: x["score"] for x in suffix_tree.suffix_tree_scores(make_docs(rows), F.col("doc_id") >= 5000).collect()}
+    assert got[5001] > got[5002] + 1  # by 'x7' alone both would be as likely
+
+
 def test_suffix_tree_edges(edge_docs):
     assert suffix_tree.suffix_tree_scores(edge_docs, in_fold("doc_id", 7, 2)).count() == len(EDGE)
 
