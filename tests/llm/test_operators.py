@@ -288,6 +288,22 @@ def test_pii_base_spans():
     assert [PII[a:b] for k, a, b in pii.base_spans(PII) if k in ("card", "phone")] == ["4539 1488 0343 6467", "+1 (988) 555-2485"]
 
 
+def test_pii_secrets_of_any_length():
+    code = "".join(random.Random(5).choices("abcdefXYZ0123456789", k=600)) + "7"
+    for text in (f"token = {code}", f"see {code} there", "a" * 100_000 + "1" + "b" * 100_000):
+        spans = [text[a:b] for k, a, b, _ in pii.candidates(text) if k == "secret"]
+        assert spans and all(len(x) > 600 and (x in (code, text)) for x in spans)
+    assert [x for x in pii.candidates("key = " + "-" * 5 + " " + "a" * 12) if x[0] == "secret"] == []
+
+
+def test_pii_whole_secret_is_redacted(make_docs):
+    code = "".join(random.Random(6).choices("abcdef0123456789", k=290))
+    rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
+    docs = make_docs([*rows, (100, f"token = {code}.{code}.{code[:18]} end"), (101, f"token = {code}{code} end")])
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.train(id_and_text(docs))).collect()}
+    assert out[100] == out[101] == "token = [secret] end"
+
+
 def test_pii_model_and_redaction(make_docs, edge_docs, no_docs):
     rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
     docs = make_docs([*rows, (900, None), (901, ""), (902, "nothing to find here")], "kind spans")
