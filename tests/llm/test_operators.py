@@ -327,6 +327,18 @@ def test_pii_numbers_and_codes_without_base_shape(make_docs):
     assert all(out[i] == before[i] for i in (5003, 5004, 5005, 5006, 5007))
 
 
+def test_pii_training_draw_counts_copies_once(make_docs, monkeypatch):
+    rows = [(i, "Apache License, Version 2.0.") for i in range(400)]
+    rows += [(1000 + i, f"mail a{i}@example.com or +1 (206) 555-{i:04} or 10.{i}.3.4 or 10.{i}.300.4") for i in range(80)]
+    drawn = []
+    monkeypatch.setattr(pii.BoostedTrees, "fit", classmethod(lambda cls, x, y: drawn.append(x) or cls()))
+    pii.train(id_and_text(make_docs(rows)), sample=200)
+    assert len(drawn[0]) > 60 and max(np.unique(drawn[0], axis=0, return_counts=True)[1]) < 60
+    number = drawn[0][drawn[0][:, 0] == pii.KINDS.index("number")]
+    # the version that 400 rows repeat is drawn once at most
+    assert sum(x[1] == 3 for x in number) <= 1
+
+
 def test_pii_model_and_redaction(make_docs, edge_docs, no_docs):
     rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
     docs = make_docs([*rows, (900, None), (901, ""), (902, "nothing to find here")], "kind spans")
