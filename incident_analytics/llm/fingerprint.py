@@ -7,10 +7,10 @@ vectors (``combine``). The vector has two parts:
 
 * ``LANES`` words modulo 2**64 hashed from the whole paragraph: equal
   multisets are equal, other ones differ but for chance;
-* ``COUNTERS`` signed counters modulo 2**16, to which each two-word shingle of
+* ``COUNTERS`` signed counters modulo 2**32, to which each two-word shingle of
   the paragraph (and its first word) adds +1 or -1 at a hashed place. Their
   cosine estimates how much two documents share: 0 to 1, about 0 for unrelated
-  ones. Sums stay exact up to 32,767 per counter and wrap beyond.
+  ones. Sums stay exact up to 2**31 - 1 per counter, more than a text has words.
 
 Every line counts, those without a word too, in the first part only, so texts
 that differ in white space have other fingerprints.
@@ -57,13 +57,13 @@ def _lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sums modulo 2**64 (n, LANES) and modulo 2**16 (n, COUNTERS) of the texts."""
+    """Sums modulo 2**64 (n, LANES) and modulo 2**32 (n, COUNTERS) of the texts."""
     data, at = utf8(texts)
     n = len(at) - 1
     lanes = np.zeros((n, LANES), dtype=np.uint64)
     counters = np.zeros(n * COUNTERS, dtype=np.int64)
     if not len(data):
-        return lanes, counters.reshape(n, COUNTERS).astype(np.uint16)
+        return lanes, counters.reshape(n, COUNTERS).astype(np.uint32)
     offsets, per_text, start = _lines(data, at)
     # a line's hash is that of its bytes without the break, so the last line equals one in the middle
     ends = offsets[1:] - (data[offsets[1:] - 1] == 10)
@@ -89,7 +89,7 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         sign = 1 - 2 * (shingle >> _U64(63)).astype(np.int64)
         counters = np.bincount(doc * COUNTERS + (shingle % _U64(COUNTERS)).astype(np.int64), weights=sign,
                                minlength=n * COUNTERS).astype(np.int64)
-    return lanes, (counters.reshape(n, COUNTERS) & 0xFFFF).astype(np.uint16)
+    return lanes, (counters.reshape(n, COUNTERS) & 0xFFFFFFFF).astype(np.uint32)
 
 
 def _starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,12 +112,12 @@ def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def to_text(lanes: np.ndarray, counters: np.ndarray) -> list[str]:
     """Hexadecimal form: lanes, then counters, little-endian."""
-    return [a.astype("<u8").tobytes().hex() + b.astype("<u2").tobytes().hex() for a, b in zip(lanes, counters, strict=True)]
+    return [a.astype("<u8").tobytes().hex() + b.astype("<u4").tobytes().hex() for a, b in zip(lanes, counters, strict=True)]
 
 
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = bytes.fromhex(fingerprint)
-    return np.frombuffer(raw[:8 * LANES], "<u8"), np.frombuffer(raw[8 * LANES:], "<u2")
+    return np.frombuffer(raw[:8 * LANES], "<u8"), np.frombuffer(raw[8 * LANES:], "<u4")
 
 
 def combine(one: str, other: str, sign: int = 1) -> str:
@@ -131,7 +131,7 @@ def combine(one: str, other: str, sign: int = 1) -> str:
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """1 for equal fingerprints, else the counters' cosine, at least 0."""
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cosine = np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(norm)), where=norm > 0)
     return np.where(equal, 1.0, np.clip(cosine, 0.0, 1.0))

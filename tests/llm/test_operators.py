@@ -371,6 +371,14 @@ def test_fingerprints(make_docs, edge_docs, no_docs):
     assert lone["near_next"] == 1.0
 
 
+def test_fingerprint_counters_do_not_wrap():
+    line = "same cell\n"
+    a, b = (fingerprint.vectors(pa.array([t])) for t in (line * 40_000, line * 20_000 + "other words here\n" * 10_000))
+    assert fingerprint.likeness(a, b)[0] > 0.7  # half of the text is unchanged
+    one = lambda t: fingerprint.to_text(*fingerprint.vectors(pa.array([t])))[0]
+    assert fingerprint.combine(one(line * 40_000), one(line * 39_999), -1) == one(line)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
