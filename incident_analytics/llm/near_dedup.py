@@ -22,7 +22,10 @@ of least seeded hash, in turn, each round written to the shared folder; nothing
 but counts reaches the driver. Defined results: null and empty texts, and texts without a
 word, have the empty set, are linked with nothing and are kept; a null id is
 kept, unlinked, with a null component; rows with an equal id count as one
-document if their texts have equal sets; an empty table gives an empty result.
+document if their texts have equal sets, else as several: each has its own
+links, and one goes if it is a near copy of another; an empty table gives an
+empty result. The nodes of all links are classes of equal sets: the least id
+and the set's digest.
 """
 
 from __future__ import annotations
@@ -85,10 +88,25 @@ def sets_of(texts: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(hashes[e - k:e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
-_FEATURES = ("doc_id LONG, n_shingles LONG, digest_a LONG, digest_b LONG, sketch LONG, "
+_FEATURES = ("doc_id LONG, text_key LONG, n_shingles LONG, digest_a LONG, digest_b LONG, sketch LONG, "
              "first ARRAY<LONG>, second ARRAY<LONG>")
 
 
+_NODE = "STRUCT<doc_id: LONG, digest_a: LONG, digest_b: LONG>"
+
+
+def _node(doc_id: str = "doc_id"):
+    """The class of a row's set, ordered by id."""
+    return F.struct(F.col(doc_id).alias("doc_id"), "digest_a", "digest_b")
+
+
+def _digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set, not an empty one."""
+    with np.errstate(over="ignore"):
+        return (mix(s + _U64(3)).sum(dtype=np.uint64) + _U64(len(s)),
+                mix(s ^ _U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+
+
 def _features(width: int):
     def run(batches):
         for batch in batches:
@@ -100,19 +118,18 @@ def _features(width: int):
                     for t, s in enumerate(sets_of(part.column("text"), width)):
                         if len(s):
                             sizes[t] = len(s)
-                            a[t] = mix(s + _U64(3)).sum(dtype=np.uint64) + _U64(len(s))
-                            b[t] = mix(s ^ _U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+                            a[t], b[t] = _digest(s)
                             least[t] = _least(s)
                     bits = (mix(least) & _U64(1)) << np.arange(SKETCH_BITS, dtype=np.uint64)
                     keys = least.reshape(n, 2 * SIDE, BAND)
                     key = reduce(lambda x, k: mix(x * _U64(0xD6E8FEB86659FD93) + keys[:, :, k]), range(BAND),
                                  np.zeros((n, 2 * SIDE), np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    part.column("doc_id"), part.column("text_key"), pa.array(sizes), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
                     pa.array(np.bitwise_or.reduce(bits, axis=1).view(np.int64)),
                     list_array(key[:, :SIDE].ravel(), np.full(n, SIDE), pa.int64()),
                     list_array(key[:, SIDE:].ravel(), np.full(n, SIDE), pa.int64())],
-                    names=["doc_id", "n_shingles", "digest_a", "digest_b", "sketch", "first", "second"])
+                    names=["doc_id", "text_key", "n_shingles", "digest_a", "digest_b", "sketch", "first", "second"])
     return run
 
 
@@ -128,7 +145,7 @@ def _least(s: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame, width: int) -> DataFrame:
     """Per row: set size, set digest, sketch and the two key collections."""
     ship(docs.sparkSession)
-    return docs.mapInArrow(_features(width), _FEATURES)
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_features(width), _FEATURES)
 
 
 def contract(links: DataFrame, name: str) -> DataFrame:
@@ -181,27 +198,30 @@ def _candidates(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, elements): full shingle sets of the wanted ids, computed again
-    from the texts, so sets of documents without a candidate are never moved."""
+    """(rep, elements): full shingle sets of all texts of the wanted nodes' ids,
+    computed again from the texts, so sets of documents without a candidate are
+    never moved."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 s = sets_of(part.column("text"), width)
+                digests = np.array([_digest(x) for x in s], dtype=np.uint64).reshape(len(s), 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"),
+                    part.column("doc_id"), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
                     list_array(np.concatenate(s).view(np.int64), np.array([len(x) for x in s]), pa.int64())],
-                    names=["doc_id", "elements"])
+                    names=["doc_id", "digest_a", "digest_b", "elements"])
 
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    return written(texts.mapInArrow(run, "doc_id LONG, elements ARRAY<LONG>").dropDuplicates(["doc_id"]), "dedup-sets")
+    texts = docs.join(wanted.select(F.col("rep.doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = texts.mapInArrow(run, "doc_id LONG, digest_a LONG, digest_b LONG, elements ARRAY<LONG>")
+    return written(made.dropDuplicates(["doc_id", "digest_a", "digest_b"]).select(_node().alias("rep"), "elements"), "dedup-sets")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
     sets = _sets(docs, wanted, width)
-    one = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    one = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
+    other = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     return written(pairs.join(one, "a").join(other, "b").where(
         100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "dedup-links")
@@ -218,13 +238,13 @@ def _tiled(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     clusters = contract(members.join(hubs, "key").select(F.col("rep").alias("a"), "b").distinct(), "dedup-clusters")
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     placed = clusters.join(sizes, "root").select(
-        F.col("node").alias("doc_id"), "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("c"))
-    dealt = placed.join(_sets(docs, placed.select("doc_id"), width), "doc_id").select(
-        "root", "c", "doc_id", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
-        "root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "doc_id", "elements")
+        F.col("node").alias("rep"), "root", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("c"))
+    dealt = placed.join(_sets(docs, placed.select("rep"), width), "rep").select(
+        "root", "c", "rep", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
+        "root", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "elements")
 
     def compare(key, group):
-        ids = group.column("doc_id").to_numpy()
+        ids = group.column("rep").combine_chunks()
         chunk = group.column("c").to_numpy()
         lists = group.column("elements").combine_chunks()
         n = lists.value_lengths().to_numpy().astype(np.int64)
@@ -252,22 +272,28 @@ def _tiled(members: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             before = least
             least = np.where(near, least[None, :], len(ids)).min(axis=1)
         of = np.flatnonzero(least != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[least[of]], pa.int64()), "b": pa.array(ids[of], pa.int64())})
+        return pa.table({"a": ids.take(pa.array(least[of])), "b": ids.take(pa.array(of))})
 
-    return written(dealt.groupBy("root", "i", "j").applyInArrow(compare, "a LONG, b LONG"), "dedup-links")
+    return written(dealt.groupBy("root", "i", "j").applyInArrow(compare, f"a {_NODE}, b {_NODE}"), "dedup-links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
                     percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row; kept is
-    true on the row whose id is its component's least."""
+    true on the row whose id is its component's least (of several texts of that
+    id in the component, on those of one set)."""
+    return _labelled(docs, doc_id, text, width, percent).drop("text_key")
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     rows = id_and_text(docs, doc_id, text)
     found = written(features(rows, width), "dedup-features")
     full = found.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # one representative for equal sets
     classes = written(full.groupBy("digest_a", "digest_b").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
-        F.first("first").alias("first"), F.first("second").alias("second")), "dedup-classes")
+        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        F.first("first").alias("first"), F.first("second").alias("second")).withColumn(
+        "rep", _node("least_id")), "dedup-classes")
     tables = classes.select("rep", "n", "sketch", F.posexplode("first").alias("i", "one"), "second").select(
         "rep", "n", "sketch", "i", "one", F.posexplode("second").alias("j", "two")).select(
         F.xxhash64("i", "j", "one", "two").alias("key"), "rep", "n", "sketch")
@@ -295,23 +321,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.col("node").alias("rep"), "least")
     labels = classes.join(least, "rep", "left").select(
         "digest_a", "digest_b", F.coalesce("least", "rep").alias("component"))
-    linked = full.select("doc_id", "n_shingles", "digest_a", "digest_b").join(labels, ["digest_a", "digest_b"]).select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"))
+    linked = full.select("doc_id", "text_key", "n_shingles", "digest_a", "digest_b").join(labels, ["digest_a", "digest_b"]).select(
+        "doc_id", "text_key", "n_shingles", F.col("component.doc_id").alias("component_id"),
+        (F.col("component") == _node()).alias("kept"))
     alone = found.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0)).select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+        "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
               percent: int = PERCENT) -> DataFrame:
-    """docs' rows without those in a component with a smaller id; of rows with
-    an equal id and text one stays."""
-    gone = written(near_duplicates(docs, doc_id, text, width, percent).groupBy("doc_id").agg(
+    """docs' rows without those in a component with a smaller id or set of that
+    id; of rows with an equal id and text one stays."""
+    gone = written(_labelled(docs, doc_id, text, width, percent).groupBy("doc_id", "text_key").agg(
         F.bool_and("kept").alias("all_kept"), F.count(F.lit(1)).alias("rows")).where(
         F.col("doc_id").isNotNull() & (~F.col("all_kept") | (F.col("rows") > 1))), "dedup-gone").select(
-        F.col("doc_id").alias("gone_id"), "all_kept")
+        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text"), "all_kept")
     packed = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    marked = packed.join(gone, F.col("i") == F.col("gone_id"), "left")
+    marked = packed.join(gone, (F.col("i") == F.col("gone_id")) & (
+        F.xxhash64(F.coalesce(F.col("t").cast("string"), F.lit(""))) == F.col("gone_text")), "left")
     single = marked.where("gone_id IS NULL")
     repeated = marked.where("all_kept").dropDuplicates(["i", "t"])
     return single.unionByName(repeated).select("row.*")

@@ -142,6 +142,21 @@ def test_near_dedup_edges(edge_docs, no_docs):
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in same} == {(5, 5, True), (6, 5, False)}
 
 
+def test_near_dedup_ids_with_several_texts(make_docs):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    near = lambda t: t + " more"
+    a, b, c, d = map(text, "abcd")
+    # row by row: 5 has a copy of 1's text and a text of its own; both texts of 7 have copies; 9 has near copies of itself
+    rows = [(1, a), (5, near(a)), (5, b), (7, c), (7, d), (8, near(c)), (8, near(d)), (9, text("e")), (9, near(text("e")))]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.kept_rows(make_docs(rows)).collect())
+    assert [r for r in kept if r[0] < 9] == sorted([(1, a), (5, b), (7, c), (7, d)])
+    assert sum(r[0] == 9 for r in kept) == 1
+    got = near_dedup.near_duplicates(make_docs(rows))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [
+        (1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (8, 7), (8, 7), (9, 9), (9, 9)]
+
+
 def test_contract_on_a_chain(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     roots = near_dedup.contract(links, "chain").collect()
