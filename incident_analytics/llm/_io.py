@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+# removes a query's shuffle files when it ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, drop: Iterable[DataFrame] = ()) -> DataFrame:
     """df written as Parquet below ``spark.checkpoint.dir`` and read back: cuts
-    lineage, and a lost executor does not re-run what made it."""
+    lineage, and a lost executor does not re-run what made it. The shuffle files
+    of the write go when it ends, and so do the written tables named in ``drop``,
+    which nothing but df may still read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_path = path
+    for old in drop:
+        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old.written_path)
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return made
 
 
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
