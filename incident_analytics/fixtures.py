@@ -154,3 +154,13 @@ def raw_incidents(spark: SparkSession, sf_dir: str, gold: DataFrame | None = Non
     cols["Shooting Type Group"] = shooting
     from .schema import RAW_COLUMNS
     return gold.select(i.alias("incident_id"), *[cols[c].alias(c) for c in RAW_COLUMNS])
+
+
+def extreme_hazards(gold: DataFrame) -> DataFrame:
+    """The incidents view with scores of every size planted by residue of
+    ``incident_id``: 1e10 and 1e300 more, 1e-300 times, NaN, both infinities."""
+    i, h = F.col("incident_id"), F.col("hazardness")
+    return gold.withColumn("hazardness", (
+        F.when(i % 397 == 0, F.lit(float("inf"))).when(i % 401 == 0, F.lit(float("-inf")))
+        .when(i % 13 == 0, F.lit(float("nan"))).when(i % 11 == 0, h + F.lit(1e10))
+        .when(i % 7 == 0, h * F.lit(1e-300)).when((i % 5 == 0) & (i % 3 == 0), F.lit(1e300)).otherwise(h)))

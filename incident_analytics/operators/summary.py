@@ -3,12 +3,13 @@
 Profile, selection summary, KPIs, category counts, options, trends,
 breakdown and drill-down only group by date, area, category and
 sub-category, so all of them can be answered from one row per
-(date, area, category, sub-category, has-coordinates) holding a row count
-``n`` and an exact hazard sum ``h``. Its size is bounded by days × areas ×
-categories, not by the number of incidents, so at 100 TB these views read
-megabytes instead of the table. Every view function accepts either table:
-``counted`` gives raw rows ``n = 1`` and ``h = hazard``, and the views sum
-``n`` and ``h``, so both inputs give identical answers.
+(date, area, category, sub-category, has-coordinates, hazard bin) holding a
+row count ``n`` and an exact hazard sum ``h`` in units of the bin. Its size is
+bounded by days × areas × categories × the few bins that scores fall in, not by
+the number of incidents, so at 100 TB these views read megabytes instead of the
+table. Every view function accepts either table: ``counted`` gives raw rows
+``n = 1``, and the views sum ``n`` and, for the hazard metric, ``h`` by bin, so
+both inputs give identical answers.
 
 Row-level filters (hour, polygon, circle) and row-level views (detail
 table, map) need the raw rows; ``IncidentFilter`` refuses them on a summary.
@@ -19,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Hazard scores are summed as decimals of 18 places: no digit of a score is cut
-# that its sum in double could show, and the order of rows does not matter.
-HAZARD_SUM_TYPE = "decimal(28,18)"
+from ..functions.numeric import from_units, unit_bin, units
+
 SUMMARY_KEYS = ["date", "area", "crime_against_category", "offense_sub_category", "has_coords"]
 
 
@@ -36,12 +36,21 @@ def has_coords(df: DataFrame) -> Column:
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """Rows with a count ``n`` and hazard sum ``h`` (raw rows: 1 and the
-    hazard, null and NaN as 0)."""
+    """Rows with a count ``n``, hazard bin ``h_bin`` and hazard units ``h``
+    (raw rows: 1 and the hazard, null and NaN as 0)."""
     if is_summary(df):
         return df
+    hazard = F.coalesce(F.nanvl("hazardness", F.lit(0.0)), F.lit(0.0))
     return (df.withColumn("n", F.lit(1).cast("bigint"))
-              .withColumn("h", F.coalesce(F.nanvl("hazardness", F.lit(0.0)), F.lit(0.0)).cast(HAZARD_SUM_TYPE)))
+              .withColumn("h_bin", unit_bin(hazard)).withColumn("h", units(hazard, F.col("h_bin"))))
+
+
+def hazard_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, h): per key the count and, exact up to one rounding a bin, the
+    sum of hazards, from counted rows or sums of them."""
+    binned = rows.groupBy(*keys, "h_bin").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    entry = F.struct(F.col("h_bin").alias("bin"), F.col("h").alias("units"))
+    return binned.groupBy(*keys).agg(F.sum("n").alias("n"), from_units(F.collect_list(entry)).alias("h"))
 
 
 def total(col: str = "n", where: Column | None = None) -> Column:
@@ -51,10 +60,10 @@ def total(col: str = "n", where: Column | None = None) -> Column:
 
 
 def daily_summary(gold: DataFrame) -> DataFrame:
-    """One row per (date, area, category, sub-category, has_coords).
+    """One row per (date, area, category, sub-category, has_coords, h_bin).
     A partial aggregate: a hot key costs one row per task before the shuffle."""
     rows = counted(gold).withColumn("has_coords", has_coords(gold))
-    return rows.groupBy(*SUMMARY_KEYS).agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    return rows.groupBy(*SUMMARY_KEYS, "h_bin").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
 
 
 def write_summary(gold: DataFrame, path: str, mode: str = "overwrite") -> str:

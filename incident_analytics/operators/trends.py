@@ -3,11 +3,14 @@
 Plan (one scan of the base table):
 
 1. filter (date range, coordinates, before the first of the ``as_of`` month);
-2. pre-aggregate to one row per (day, area): ``n`` and ``h`` (hazard sum with
-   nulls as 0). Map-side partial aggregation means a hot area or day costs
-   one row per task, not a third of the table in one task. The hazard sum is
-   an exact DECIMAL sum, so the mean does not depend on how rows were split
-   into partitions (a floating sum does, in its last bits);
+2. pre-aggregate to one row per (day, area): ``n`` and, for the hazard metric,
+   one per (day, area, bin) with the exact hazard sum in units of the bin
+   (``functions.numeric``; nulls and NaN as 0). Map-side partial aggregation
+   means a hot area or day costs one row per task, not a third of the table in
+   one task. Units are integers, so the mean does not depend on how rows were
+   split into partitions (a floating sum does, in its last bits), and a score
+   of any size has one: infinite scores give an infinite mean, both infinities
+   NaN, which ranks above every number. Count trends never read the scores;
 3. that small result (days × areas rows, whatever the row count) is
    checkpointed to the shared folder, so the span, the ranking and the
    series all read it instead of re-scanning the base table (with
@@ -20,32 +23,37 @@ Plan (one scan of the base table):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import DateLike, granularity, period_start, to_date_value
 from ..plans import materialize as _materialize
 from .filters import IncidentFilter
-from .summary import counted, is_summary
+from .summary import counted, hazard_sums, is_summary
 
 METRICS = ("count", "hazard")
 ORDERS = ("top", "bottom")
 
 
 def daily_area_totals(df: DataFrame, start: DateLike = None, end: DateLike = None,
-                      as_of: DateLike = None) -> DataFrame:
-    """(date, area, n, h) for rows in range and before the ``as_of`` month;
-    ``df`` is the row-level table or the daily summary."""
+                      as_of: DateLike = None, hazard: bool = True) -> DataFrame:
+    """(date, area, h_bin, n, h), without hazard (date, area, n), for rows in
+    range and before the ``as_of`` month; ``df`` is the row-level table or the
+    daily summary."""
     as_of_d = to_date_value(as_of)
     cutoff = F.trunc(F.lit(as_of_d) if as_of_d else F.current_date(), "month")
     rows = IncidentFilter(start=start, end=end).apply(counted(df)).where(F.col("date") < cutoff)
-    return rows.groupBy("date", "area").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    if not hazard:
+        return rows.groupBy("date", "area").agg(F.sum("n").alias("n"))
+    return rows.groupBy("date", "area", "h_bin").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
 
 
-def _metric(metric: str, n: Column, h: Column) -> Column:
+def _totals(rows: DataFrame, metric: str, value: str, *keys: str) -> DataFrame:
+    """(keys, value): count of rows or mean hazard per key."""
     if metric == "hazard":
-        return F.try_divide(h.cast("double"), n.cast("double"))
-    return n.cast("double")
+        return hazard_sums(rows, *keys).select(
+            *keys, F.try_divide("h", F.col("n").cast("double")).alias(value))
+    return rows.groupBy(*keys).agg(F.sum("n").cast("double").alias(value))
 
 
 def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
@@ -64,21 +72,20 @@ def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
     """
     if metric not in METRICS or order not in ORDERS:
         raise ValueError(f"metric must be one of {METRICS}, order one of {ORDERS}")
-    daily = daily_area_totals(df, start, end, as_of)
+    daily = daily_area_totals(df, start, end, as_of, hazard=metric == "hazard")
     if materialize is None:  # re-reading a summary is already cheap
         materialize = not is_summary(df)
     if materialize:
         daily = _materialize(daily)
     span = daily.agg(F.datediff(F.max("date"), F.min("date"))).scalar()
 
-    ranking = (daily.where(F.col("area").isNotNull()).groupBy("area")
-               .agg(F.sum("n").alias("n"), F.sum("h").alias("h")))
+    ranking = _totals(daily.where(F.col("area").isNotNull()), metric, "metric", "area")
     if include_empty:
         seen = (IncidentFilter(start=start, end=end).apply(df)
                 .where(F.col("area").isNotNull()).select("area").distinct())
-        ranking = (seen.join(ranking, "area", "left")
-                   .select("area", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "h"))
-    ranking = ranking.select("area", _metric(metric, F.col("n"), F.col("h")).alias("metric"))
+        ranking = seen.join(ranking, "area", "left")
+        if metric == "count":
+            ranking = ranking.fillna(0.0, ["metric"])
     if order == "top":
         chosen = ranking.orderBy(F.col("metric").desc_nulls_last(), F.col("area").asc())
     else:
@@ -88,11 +95,6 @@ def area_trends(df: DataFrame, start: DateLike = None, end: DateLike = None,
     # Inner join with the ≤ n distinct chosen areas. Not a semi join: without
     # materialising, Catalyst would push that below the aggregate and the
     # pre-aggregate would be computed twice instead of reused.
-    series = (daily.join(F.broadcast(chosen), "area", "inner")
-              .withColumn("period", period_start(F.col("date"), span))
-              .groupBy("period", "area")
-              .agg(F.sum("n").alias("n"), F.sum("h").alias("h")))
-    value = _metric(metric, F.col("n"), F.col("h"))
-    return (series.select("period", "area", value.alias("value"),
-                          granularity(span).alias("granularity"))
-            .orderBy("period", "area"))
+    series = _totals(daily.join(F.broadcast(chosen), "area", "inner")
+                     .withColumn("period", period_start(F.col("date"), span)), metric, "value", "period", "area")
+    return series.select("period", "area", "value", granularity(span).alias("granularity")).orderBy("period", "area")

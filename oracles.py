@@ -125,29 +125,64 @@ SELECT {CAT}, count(*) AS incidents FROM incidents
 WHERE {date_cond(s, e)} AND {CAT} IS NOT NULL GROUP BY {CAT}""")
 
 
+# Integers of at most 53 bits and their binary exponents: x = m * 2**k. A group's
+# integers are added per band of eight exponents, as integers of the band's
+# lowest unit, and the bands' sums from the largest band down.
+HAZARD_PARTS_SQL = """
+scored AS (SELECT *, CASE WHEN hazardness IS NULL OR isnan(hazardness) THEN 0e0 ELSE hazardness END AS x FROM base),
+parted AS (SELECT *, CASE WHEN isinf(x) THEN CASE WHEN x > 0 THEN 1000 ELSE -1000 END WHEN x = 0 THEN 0
+             ELSE CAST(floor(log2(abs(x)) / 8) AS INTEGER) END AS band FROM scored),
+binned AS (SELECT * REPLACE (CAST(date AS DATE) AS date), CASE WHEN abs(band) = 1000 THEN CAST(1 AS HUGEINT)
+             ELSE CAST(x * pow(2e0, (54 - 8 * band) // 2) * pow(2e0, (54 - 8 * band) - (54 - 8 * band) // 2) AS HUGEINT)
+             END AS whole FROM parted)"""
+
+
+def hazard_mean_sql(source: str, *keys: str) -> str:
+    """Mean hazard per key, (keys, value), from the rows of ``binned``."""
+    by = ", ".join(keys)
+    return f"""(SELECT {by}, list_reduce(list_prepend(0e0, list(CASE WHEN total = 0 THEN 0e0
+             WHEN abs(band) = 1000 THEN sign(band) * CAST('inf' AS DOUBLE)
+             ELSE CAST(total AS DOUBLE) * pow(2e0, (8 * band - 54) // 2) * pow(2e0, (8 * band - 54) - (8 * band - 54) // 2)
+             END ORDER BY band DESC)), lambda a, b: a + b) / CAST(sum(n) AS DOUBLE) AS value
+          FROM (SELECT {by}, band, sum(whole) AS total, count(*) AS n FROM {source} GROUP BY {by}, band) GROUP BY {by})"""
+
+
+def trend_hazard_extreme() -> str:
+    planted = """CASE WHEN incident_id % 397 = 0 THEN CAST('inf' AS DOUBLE) WHEN incident_id % 401 = 0 THEN CAST('-inf' AS DOUBLE)
+      WHEN incident_id % 13 = 0 THEN CAST('nan' AS DOUBLE) WHEN incident_id % 11 = 0 THEN hazardness + 1e10
+      WHEN incident_id % 7 = 0 THEN hazardness * 1e-300 WHEN incident_id % 5 = 0 AND incident_id % 3 = 0 THEN 1e300
+      ELSE hazardness END"""
+    return trend("hazard", "top", P.FULL_RANGE, P.AS_OF_AFTER, n=30).replace(
+        "FROM incidents WHERE", f"FROM (SELECT * REPLACE ({planted} AS hazardness) FROM incidents) WHERE", 1)
+
+
 def trend(metric: str, order: str, rng, as_of: str, n: int = 10) -> str:
     s, e = rng
-    # the scores' shortest decimal texts, summed exactly
-    mean = ("CAST(sum(CAST(CAST(CASE WHEN isnan(hazardness) THEN 0e0 ELSE coalesce(hazardness, 0e0) END AS VARCHAR)"
-            " AS DECIMAL(28,18))) AS DOUBLE) / CAST(count(*) AS DOUBLE)")
-    rank_expr = mean if metric == "hazard" else "CAST(count(*) AS DOUBLE)"
-    value_expr = rank_expr
     order_by = "metric DESC, area ASC" if order == "top" else "metric ASC, area DESC"
+    if metric == "hazard":
+        source, parts = "binned", HAZARD_PARTS_SQL + ","
+        ranking = f"SELECT area, value AS metric FROM {hazard_mean_sql('binned', 'area')} WHERE area IS NOT NULL"
+        values = f"SELECT * FROM {hazard_mean_sql('series', 'period', 'area')}"
+    else:
+        source, parts, count = "base", "", "CAST(count(*) AS DOUBLE)"
+        ranking = f"SELECT area, {count} AS metric FROM base WHERE area IS NOT NULL GROUP BY area"
+        values = f"SELECT period, area, {count} AS value FROM series GROUP BY period, area"
     return with_incidents(f"""
-SELECT period, area, {value_expr} AS value,
+SELECT period, area, value,
   (SELECT CASE WHEN s > 180 THEN 'month' WHEN s > 60 THEN 'week' ELSE 'day' END FROM span) AS granularity
-FROM series GROUP BY period, area""", f"""
+FROM ({values})""", f"""
 base AS (SELECT * FROM incidents WHERE {date_cond(s, e)}
          AND date < CAST(date_trunc('month', DATE '{as_of}') AS DATE)),
 span AS (SELECT datediff('day', min(date), max(date)) AS s FROM base),
-ranking AS (SELECT area, {rank_expr} AS metric FROM base WHERE area IS NOT NULL GROUP BY area),
+{parts}
+ranking AS ({ranking}),
 chosen AS (SELECT area FROM ranking ORDER BY {order_by} LIMIT {n}),
 series AS (
   SELECT CASE WHEN span.s > 180 THEN CAST(date_trunc('month', date) AS DATE)
               WHEN span.s > 60 THEN CAST(date_trunc('week', date) AS DATE)
               ELSE date END AS period,
-         area, hazardness
-  FROM base, span WHERE area IN (SELECT area FROM chosen))""")
+         * EXCLUDE (date)
+  FROM {source}, span WHERE area IN (SELECT area FROM chosen))""")
 
 
 def category_breakdown(top: int = 10) -> str:
@@ -541,6 +576,7 @@ def all_sql() -> dict[str, str]:
         "trend_count_bottom": trend("count", "bottom", P.FULL_RANGE, P.AS_OF_AFTER),
         "trend_hazard_top": trend("hazard", "top", P.FULL_RANGE, P.AS_OF_AFTER),
         "trend_hazard_bottom": trend("hazard", "bottom", P.FULL_RANGE, P.AS_OF_AFTER),
+        "trend_hazard_extreme": trend_hazard_extreme(),
         "trend_weekly": trend("count", "top", P.WEEKLY_RANGE, P.AS_OF_AFTER),
         "trend_daily": trend("hazard", "top", P.DAILY_RANGE, P.AS_OF_AFTER),
         "trend_month_cut": trend("count", "top", P.FULL_RANGE, P.AS_OF_INSIDE),

