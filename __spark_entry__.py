@@ -29,6 +29,7 @@ from incident_analytics.functions.numeric import exact_mean  # noqa: E402
 from incident_analytics.operators import (  # noqa: E402
     breakdown, clean, details, geocode, kpi, mapping, options, spatial_join, summary, trends)
 from incident_analytics.session import scratch_path  # noqa: E402
+from incident_analytics.sources import batches  # noqa: E402
 
 try:  # the training-data subpackage and the pipeline over it are optional
     from incident_analytics.llm import registry as llm_registry
@@ -195,7 +196,7 @@ def q_ingest_profile(spark, sf_dir):
 
 
 def q_schema_report(spark, sf_dir):
-    return sources.schema_report(spark.read.parquet(_loaded(spark, sf_dir)))
+    return sources.schema_report(sources.stored_rows(spark, _loaded(spark, sf_dir)).drop("batch"))
 
 
 def q_ingest_stream(spark, sf_dir):
@@ -208,6 +209,44 @@ def q_ingest_stream(spark, sf_dir):
     return sources.read_gold(spark, gold_path)
 
 
+def q_ingest_append_replay(spark, sf_dir):
+    """Load one half of the export, append the other: a first run leaves its
+    rows unpublished as a killed load does, the second completes, a third
+    replays it. Read back the table."""
+    raw = fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir))
+    gold_path, half = scratch_path(spark, "gold-replay"), F.pmod("incident_id", F.lit(2)) == 0
+    first, second = (sources.write_raw_csv(raw.where(part), scratch_path(spark, "landing")) for part in (half, ~half))
+    loader.load_export(spark, first, gold_path, summary=True)
+    killed = batches.folder_of(spark, gold_path, batches.export_id(spark, second))
+    sources.write_gold(clean.clean(sources.read_raw_csv(spark, second)), f"{gold_path}/{killed}")
+    for _ in range(2):
+        loader.load_export(spark, second, gold_path, mode="append")
+    return sources.read_gold(spark, gold_path)
+
+
+def q_summary_append_replay(spark, sf_dir):
+    """The daily summary of a table filled by a load and a replayed stream, as KPIs."""
+    raw = fixtures.raw_incidents(spark, sf_dir, _incidents(spark, sf_dir))
+    gold_path, half = scratch_path(spark, "gold-replay"), F.pmod("incident_id", F.lit(2)) == 0
+    first, second = (sources.write_raw_csv(raw.where(part), scratch_path(spark, "landing")) for part in (half, ~half))
+    loader.load_export(spark, first, gold_path, summary=True)
+    checkpoint = scratch_path(spark, "stream-ckpt")
+    for _ in range(2):
+        streaming.start_ingest(spark, second, gold_path, checkpoint, summary=True).awaitTermination()
+    return kpi.kpis(summary.read_summary(spark, gold_path), *P.KPI_RANGE)
+
+
+def q_curve_layout_filter(spark, sf_dir):
+    """Incidents in a circle and in a polygon, from a gold table laid out along the curve."""
+    gold_path = scratch_path(spark, "gold-curve")
+    sources.write_gold(_incidents(spark, sf_dir), gold_path, layout="curve")
+    gold = sources.read_gold(spark, gold_path)
+    circle = IncidentFilter(*P.FULL_RANGE, circle=Circle(*P.CENTER, P.RADIUS_DEFAULT_M)).apply(gold)
+    ring = IncidentFilter(*P.FULL_RANGE, polygon=P.POLYGON_U).apply(gold)
+    return (circle.select(F.lit("circle").alias("shape"), *ROW_COLS)
+            .unionByName(ring.select(F.lit("polygon").alias("shape"), *ROW_COLS)))
+
+
 def _radius_join(spark, sf_dir, radius):
     """Incidents within the radius of every block centroid, by category."""
     pts = IncidentFilter(*P.FULL_RANGE).apply(_incidents(spark, sf_dir))
@@ -357,6 +396,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_audit": q_clean_audit,
         "ingest_roundtrip": q_ingest_roundtrip,
         "ingest_stream": q_ingest_stream,
+        "ingest_append_replay": q_ingest_append_replay,
+        "summary_append_replay": q_summary_append_replay,
+        "curve_layout_filter": q_curve_layout_filter,
         "ingest_profile": q_ingest_profile,
         "schema_report": q_schema_report,
         "radius_join": q_radius_join,

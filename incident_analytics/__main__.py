@@ -1,6 +1,6 @@
 """Command line: load an export into the gold table and run the post-load checks.
 
-    python -m incident_analytics load --csv EXPORT_DIR_OR_GLOB --gold GOLD_DIR [--summary SUMMARY_DIR]
+    python -m incident_analytics load --csv EXPORT_DIR_OR_GLOB --gold GOLD_DIR [--summary]
                                       [--append] [--master local[8]]
     python -m incident_analytics check --gold GOLD_DIR
 
@@ -21,7 +21,7 @@ from .session import build_session
 
 
 def _checks(spark, gold: str) -> int:
-    table = spark.read.parquet(gold)
+    table = sources.stored_rows(spark, gold).drop("batch")
     report = sources.schema_report(table).orderBy("position").collect()
     missing = [r["column_name"] for r in report if r["status"] == "missing"]
     for r in report:
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     load = sub.add_parser("load", help="clean a CSV export into the gold table")
     load.add_argument("--csv", required=True)
     load.add_argument("--gold", required=True)
-    load.add_argument("--summary")
+    load.add_argument("--summary", action="store_true", help="keep the daily summary with the table")
     load.add_argument("--append", action="store_true")
     check = sub.add_parser("check", help="post-load checks of a gold table")
     check.add_argument("--gold", required=True)
@@ -53,8 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.cmd == "load":
             loader.load_export(spark, args.csv, args.gold, mode="append" if args.append else "overwrite",
-                               summary_path=args.summary)
-            print(f"loaded {args.csv} -> {args.gold}" + (f" (+ summary {args.summary})" if args.summary else ""))
+                               summary=args.summary)
+            print(f"loaded {args.csv} -> {args.gold}" + (" (+ summary)" if args.summary else ""))
         return _checks(spark, args.gold)
     finally:
         spark.stop()

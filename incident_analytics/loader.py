@@ -1,4 +1,4 @@
-"""Export → gold table in one lazy plan (E11): read CSV, clean, write Parquet."""
+"""Export → gold table (E11): read CSV, clean, write Parquet, publish."""
 
 from __future__ import annotations
 
@@ -6,28 +6,59 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators.clean import clean
 from .operators.summary import write_summary
-from .plans.materialize import materialize
-from .sources.gold import read_gold, write_gold, writer_of
+from .sources import batches
+from .sources.gold import gold_table, read_gold, write_gold
 from .sources.raw import read_raw_csv
 
 
+def add_batch(rows: DataFrame, gold_path: str, batch: str, replace: bool = False, summary: bool = False,
+              **layout) -> bool:
+    """Write clean rows as a batch of the table and publish it; False (and nothing
+    written) if readers see a batch of this id already.
+
+    With ``summary`` the batch's part of the daily summary is published with it,
+    and so are the parts of earlier batches that have none; later batches of a
+    table with a summary always bring theirs."""
+    spark = rows.sparkSession
+    if not replace:
+        batches.check_appendable(spark, gold_path)
+    folder = batches.folder_of(spark, gold_path, batch, replace)
+    listed = batches.live(spark, gold_path) or []
+    if folder in listed:
+        return False
+    write_gold(rows, f"{gold_path}/{folder}", **layout)
+    done = batches.summary_folders(spark, gold_path)
+    if summary or (done & set(listed) and not replace):
+        for name in [folder, *([] if replace else [b for b in listed if b not in done])]:
+            write_summary(gold_table(spark, gold_path, [name]), f"{gold_path}/{batches.SUMMARY}/{name}")
+    return batches.publish(spark, gold_path, folder, replace)
+
+
 def load_export(spark: SparkSession, csv_path: str, gold_path: str, mode: str = "overwrite",
-                partitions: int | None = None, summary_path: str | None = None) -> DataFrame:
+                summary: bool = False, batch_id: str | None = None, **layout) -> DataFrame:
     """Clean every row of the export at ``csv_path`` into the gold table at
-    ``gold_path`` (``overwrite`` replaces, ``append`` adds); returns the
-    written table, read back through the standard scan.
-
-    ``summary_path``: also maintain the daily summary there. An appended batch
-    is cleaned once and its summary added (every view sums counts); where a
-    table that has rows gets its first summary, that covers the whole table."""
-    rows = clean(read_raw_csv(spark, csv_path))
-    adds = mode == "append" and writer_of(spark, gold_path) is not None
-    if summary_path and adds and writer_of(spark, summary_path) is not None:
-        rows = materialize(rows)
-        write_gold(rows, gold_path, mode=mode, partitions=partitions)
-        write_summary(rows, summary_path, mode=mode)
-        return read_gold(spark, gold_path)
-    write_gold(rows, gold_path, mode=mode, partitions=partitions)
-    if summary_path:
-        write_summary(spark.read.parquet(gold_path), summary_path)
+    ``gold_path`` (``overwrite`` replaces, ``append`` adds); returns the table,
+    read back through the standard scan. ``layout``: as for ``write_gold``.
+
+    The load is one batch, by default named after the export's files, and can be
+    run again at any point: rows and summary appear together at its end, and an
+    export that is in the table already is not appended twice."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
+    add_batch(clean(read_raw_csv(spark, csv_path)), gold_path, batch_id or batches.export_id(spark, csv_path),
+              replace=mode == "overwrite", summary=summary, **layout)
+    return read_gold(spark, gold_path)
+
+
+def compact(spark: SparkSession, gold_path: str, **layout) -> DataFrame:
+    """Rewrite all batches of a table as one (many small nightly batches make many
+    small files); readers see the old ones until it is done. Ids of the merged
+    batches are forgotten, so they could be appended again."""
+    listed = batches.live(spark, gold_path)
+    if listed is None:
+        raise ValueError(f"{gold_path} was not written in batches")
+    rows = gold_table(spark, gold_path)
+    merged = "merged-" + batches.name_digest(listed)
+    add_batch(rows.drop("year", "batch"), gold_path, merged, replace=True,
+              summary=bool(batches.summary_folders(spark, gold_path) & set(listed)), **layout)
     return read_gold(spark, gold_path)

@@ -21,7 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import from_units, unit_bin, units
+from ..sources import batches
 
+_STORED = ("date DATE, area STRING, crime_against_category STRING, offense_sub_category STRING, has_coords BOOLEAN, "
+           "h_bin INT, n LONG, h DECIMAL(38,0), year INT, batch STRING")
 SUMMARY_KEYS = ["date", "area", "crime_against_category", "offense_sub_category", "has_coords"]
 
 
@@ -76,4 +79,8 @@ def write_summary(gold: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The summary at ``path``: one that ``write_summary`` wrote there, or that of
+    the loaded table at ``path`` (of the batches its readers see)."""
+    if batches.live(spark, path) is not None:
+        return batches.read_batches(spark, path, _STORED, batches.SUMMARY)
     return spark.read.parquet(path)

@@ -5,59 +5,71 @@ Layout (S5, in place of the B-tree indexes of a row store): Hive partitions by
 sampling pass over the input, and AQE splits an oversized year (say a third
 of all rows) into advisory-size tasks and merges small ones, so files come
 out near one size — then sorted by (date, area) inside each file, so Parquet
-row-group statistics prune date and area predicates.
+row-group statistics prune date and area predicates. Or, with ``layout="curve"``,
+dealt and sorted by year and a space-filling curve over place, date and hour, so
+the statistics prune map filters too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import DateLike, to_date_value
 from ..schema import GOLD_COLUMNS, INCIDENTS
+from . import batches
+from .layout import curve_key
 
 MAX_RECORDS_PER_FILE = 5_000_000
+# Columns of many values that are asked for by equality. Few-valued ones (area,
+# category) are dictionary pages, which the scan tests the same way.
+BLOOM_COLUMNS = ("location", "incident_id")
+_STORED = T.StructType([*INCIDENTS.fields, T.StructField("year", T.IntegerType()), T.StructField("batch", T.StringType())])
 
 
-def writer_of(spark: SparkSession, path: str) -> str | None:
-    """Which writer's layout a gold folder has: ``stream`` (the file sink keeps a
-    log, and readers see the files of that log only), ``batches`` (``batch=``
-    folders), ``load`` (``year=`` folders), or None for a new or empty folder."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    for prefix, owner in (("_spark_metadata", "stream"), ("batch=", "batches"), ("year=", "load")):
-        if any(name.startswith(prefix) for name in names):
-            return owner
-    return None
+def write_gold(gold: DataFrame, path: str, mode: str = "overwrite",
+               partitions: int | None = None, layout: str = "days") -> str:
+    """S4 + S5: rows as a plain table. ``mode`` is ``overwrite`` (replace) or
+    ``append``; an append is not safe to retry, ``loader.add_batch`` is. A folder
+    that holds batches is not appended to.
+
+    ``layout``: ``days`` sorts files by (date, area); ``curve`` deals rows by year
+    and space-filling curve (``layout.curve_key``; one sampling pass over the
+    input more), for tables that are mostly read by place. ``partitions`` asks for
+    an exact count of range partitions."""
+    spark = gold.sparkSession
+    if mode == "append" and batches.live(spark, path) is not None:
+        raise ValueError(f"{path} holds batches; rows appended to it would be hidden")
+    out = gold.withColumn("year", F.year("date"))
+    if layout == "curve":
+        out = out.withColumn("_curve", curve_key())
+        spread = (out.repartitionByRange(partitions, "year", "_curve") if partitions
+                  else out.repartitionByRange("year", "_curve"))
+        spread = spread.sortWithinPartitions("year", "_curve").drop("_curve")
+    else:
+        spread = (out.repartitionByRange(partitions, "date", "incident_id") if partitions
+                  else out.hint("rebalance", "year")).sortWithinPartitions("date", "area")
+    writer = spread.write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    for name in BLOOM_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.partitionBy("year").parquet(path)
+    return path
 
 
-def one_writer(spark: SparkSession, path: str, writer: str) -> None:
-    """Raise if another writer owns the folder: readers would miss its rows or ours."""
-    owner = writer_of(spark, path)
-    if owner not in (None, writer):
-        raise ValueError(f"{path} was written as {owner!r}; adding to it as {writer!r} would hide rows from readers")
+def gold_table(spark: SparkSession, path: str, folders: list[str] | None = None) -> DataFrame:
+    """All columns of the table at ``path``, of its listed batches or of the folders named."""
+    if folders:
+        return spark.read.schema(_STORED).option("basePath", path).parquet(*[f"{path}/{f}" for f in folders])
+    return batches.read_batches(spark, path, _STORED)
 
 
-def write_gold(gold: DataFrame, path: str, mode: str = "overwrite",
-               partitions: int | None = None) -> str:
-    """S4 + S5. ``mode`` is ``overwrite`` (replace) or ``append``.
-
-    ``partitions`` asks for an exact count of range partitions on
-    (date, incident_id) instead (one extra sampling pass over the input).
-    An append to a folder that a stream writes raises.
-    """
-    if mode == "append":
-        one_writer(gold.sparkSession, path, "load")
-    out = gold.withColumn("year", F.year("date"))
-    spread = (out.repartitionByRange(partitions, "date", "incident_id") if partitions
-              else out.hint("rebalance", "year"))
-    (spread.sortWithinPartitions("date", "area")
-        .write.mode(mode)
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("year")
-        .parquet(path))
-    return path
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The table's files with the columns and types they really have (the
+    conformance check's input; ``gold_table`` reads them as the fixed schema)."""
+    listed = batches.live(spark, path)
+    folders = [f"{path}/{name}" for name in listed] if listed else [path]
+    return spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
 
 
 def read_gold(spark: SparkSession, path: str, start: DateLike = None, end: DateLike = None,
@@ -65,7 +77,7 @@ def read_gold(spark: SparkSession, path: str, start: DateLike = None, end: DateL
     """The gold columns, coordinates required, optional date bounds
     (also turned into ``year`` bounds for partition pruning) and row limit
     (``0``/``None`` = no limit). Bounds may be text, dates or datetimes."""
-    df = spark.read.parquet(path)
+    df = gold_table(spark, path)
     cond = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     s, e = to_date_value(start), to_date_value(end)
     if s is not None:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .functions import dates, geo, text
+from .operators.summary import read_summary
+from .sources.gold import gold_table
 
 RING_SQL_TYPE = "ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>"
 
@@ -74,6 +76,6 @@ def register(spark: SparkSession, gold_path: str | None = None, summary_path: st
     for ddl in _function_ddl():
         spark.sql(ddl)
     if gold_path:
-        spark.read.parquet(gold_path).createOrReplaceTempView("incidents")
+        gold_table(spark, gold_path).createOrReplaceTempView("incidents")
     if summary_path:
-        spark.read.parquet(summary_path).createOrReplaceTempView("incident_daily")
+        read_summary(spark, summary_path).createOrReplaceTempView("incident_daily")

@@ -435,6 +435,20 @@ def clean_incidents() -> str:
     return with_incidents(f"SELECT {GOLD_SELECT} FROM cleaned", clean_ctes())
 
 
+def summary_append_replay() -> str:
+    """KPIs over the cleaned rows."""
+    text = kpis()
+    head, body = text.split("\nSELECT total", 1)
+    return with_incidents("SELECT total" + body.replace("FROM incidents WHERE", "FROM cleaned WHERE"), clean_ctes())
+
+
+def curve_layout_filter() -> str:
+    circle = filter_sql(P.FULL_RANGE, circle=(P.CENTER, P.RADIUS_DEFAULT_M))
+    return with_incidents(f"""
+SELECT 'circle' AS shape, {ROW_COLS} FROM incidents WHERE {circle}
+UNION ALL SELECT 'polygon', {ROW_COLS} FROM incidents WHERE {filter_sql(P.FULL_RANGE, polygon=P.POLYGON_U)}""")
+
+
 def clean_audit() -> str:
     from incident_analytics.operators import clean as C
     from incident_analytics.schema import RAW_COLUMNS
@@ -598,6 +612,9 @@ def all_sql() -> dict[str, str]:
         "clean_audit": clean_audit(),
         "ingest_roundtrip": clean_incidents(),
         "ingest_stream": clean_incidents(),
+        "ingest_append_replay": clean_incidents(),
+        "summary_append_replay": summary_append_replay(),
+        "curve_layout_filter": curve_layout_filter(),
         "ingest_profile": ingest_profile(),
         "schema_report": schema_report(),
         "radius_join": radius_join(),

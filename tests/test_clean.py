@@ -88,7 +88,7 @@ def test_load_export_round_trip(spark, raw_of):
     gold_path = scratch_path(spark, "t-gold")
     out = loader.load_export(spark, csv_path, gold_path)
     assert sorted(r["incident_id"] for r in out.collect()) == [0, 1]
-    on_disk = spark.read.parquet(gold_path)
+    on_disk = sources.stored_rows(spark, gold_path)
     assert sorted(r["year"] for r in on_disk.select("year").distinct().collect()) == [2022, 2023]
     # year bounds prune partitions: only 2023 files are read
     assert [r["incident_id"] for r in sources.read_gold(spark, gold_path, start="2023-01-01").collect()] == [0]
@@ -97,14 +97,13 @@ def test_load_export_round_trip(spark, raw_of):
     assert [r["incident_id"] for r in bounded.collect()] == [0]
     assert sources.read_gold(spark, gold_path, limit=1).count() == 1
     assert sources.read_gold(spark, gold_path, limit=0).count() == 2
-    summary_path = scratch_path(spark, "t-summary")
-    loader.load_export(spark, csv_path, gold_path, mode="append", summary_path=summary_path)
-    assert spark.read.parquet(gold_path).count() == 4
-    from incident_analytics.operators import kpi
-    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 4  # the first summary covers the table
-    loader.load_export(spark, csv_path, gold_path, mode="append", summary_path=summary_path)
-    assert spark.read.parquet(gold_path).count() == 6
-    assert kpi.profile(spark.read.parquet(summary_path)).first()["records"] == 6
+    from incident_analytics.operators import kpi, summary
+    loader.load_export(spark, csv_path, gold_path, mode="append", batch_id="again", summary=True)
+    assert sources.gold_table(spark, gold_path).count() == 4
+    assert kpi.profile(summary.read_summary(spark, gold_path)).first()["records"] == 4  # the first summary covers the table
+    loader.load_export(spark, csv_path, gold_path, mode="append", batch_id="third")     # later batches bring theirs
+    assert sources.gold_table(spark, gold_path).count() == 6
+    assert kpi.profile(summary.read_summary(spark, gold_path)).first()["records"] == 6
     report = {r["column_name"]: r["status"] for r in sources.schema_report(on_disk).collect()}
     assert report["year"] == "extra" and report["incident_id"] == "ok"
     assert sources.smoke(on_disk).count() == 1

@@ -78,16 +78,21 @@ def test_unreadable_rows_are_counted(spark, export):
     assert (audit["rows_in"], audit["unreadable_rows"], audit["rows_out"]) == (2, 1, 1)
 
 
-def test_one_writer_a_folder(spark, export):
+def test_load_and_stream_fill_one_table(spark, export):
     path, gold, checkpoint = export([GOOD]), scratch_path(spark, "raw-gold"), scratch_path(spark, "raw-ckpt")
     streaming.start_ingest(spark, path, gold, checkpoint).awaitTermination()
     assert sources.read_gold(spark, gold).count() == 1
-    with pytest.raises(ValueError, match="stream"):
-        loader.load_export(spark, path, gold, mode="append")
-    loaded = scratch_path(spark, "raw-gold")
-    loader.load_export(spark, path, loaded)
-    with pytest.raises(ValueError, match="load"):
-        streaming.start_ingest(spark, path, loaded, scratch_path(spark, "raw-ckpt"))
+    loader.load_export(spark, path, gold, mode="append")
+    streaming.start_ingest(spark, path, gold, checkpoint).awaitTermination()
+    assert sources.read_gold(spark, gold).count() == 2
+    plain = scratch_path(spark, "raw-gold")
+    sources.write_gold(load(spark, path), plain)
+    for add in (lambda: loader.load_export(spark, path, plain, mode="append"),
+                lambda: streaming.start_ingest(spark, path, plain, scratch_path(spark, "raw-ckpt"))):
+        with pytest.raises(ValueError, match="not written in batches"):
+            add()
+    with pytest.raises(ValueError, match="holds batches"):
+        sources.write_gold(load(spark, path), gold, mode="append")
 
 
 def test_views_without_an_id(spark, export):

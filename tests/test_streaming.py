@@ -37,15 +37,15 @@ def test_stream_keeps_summary_current(spark):
     raw = fixtures.raw_incidents(spark, SF_SMALL)
     first, second = raw.where(F.col("incident_id") % 3 != 0), raw.where(F.col("incident_id") % 3 == 0)
     landing, gold = scratch_path(spark, "s2-landing"), scratch_path(spark, "s2-gold")
-    summ, ckpt = scratch_path(spark, "s2-summary"), scratch_path(spark, "s2-ckpt")
+    ckpt = scratch_path(spark, "s2-ckpt")
     sources.write_raw_csv(first, landing, files=2)
-    streaming.start_ingest(spark, landing, gold, ckpt, files_per_batch=1, summary_dir=summ).awaitTermination()
+    streaming.start_ingest(spark, landing, gold, ckpt, files_per_batch=1, summary=True).awaitTermination()
     second.coalesce(1).write.mode("append").option("header", True).csv(landing)
-    streaming.start_ingest(spark, landing, gold, ckpt, files_per_batch=1, summary_dir=summ).awaitTermination()
+    streaming.start_ingest(spark, landing, gold, ckpt, files_per_batch=1, summary=True).awaitTermination()
     want = clean.clean(raw)
     got = sources.read_gold(spark, gold)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
-    s = summary.read_summary(spark, summ)
+    s = summary.read_summary(spark, gold)
     assert sorted(map(tuple, kpi.kpis(s).collect())) == sorted(map(tuple, kpi.kpis(want).collect()))
     a = trends.area_trends(s, as_of="2024-06-01").collect()
     b = trends.area_trends(want, as_of="2024-06-01").collect()
