@@ -147,6 +147,16 @@ def q_map_points(spark, sf_dir):
     return mapping.map_points(_incidents(spark, sf_dir), MAP_FILTER)
 
 
+def q_details_hot_day(spark, sf_dir):
+    """The latest 300 incidents where all are on one day."""
+    return details.incident_details(fixtures.hot_day(_incidents(spark, sf_dir)), IncidentFilter(), P.HOT_DAY_ROWS)
+
+
+def q_map_points_hot_day(spark, sf_dir):
+    """The 300 map points of least id where all incidents are on one day."""
+    return mapping.map_points(fixtures.hot_day(_incidents(spark, sf_dir)), IncidentFilter(), P.HOT_DAY_ROWS)
+
+
 def q_map_stats(spark, sf_dir):
     return mapping.map_stats(_incidents(spark, sf_dir), MAP_FILTER)
 
@@ -390,6 +400,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "incident_details": q_incident_details,
         "details_page": q_details_page,
         "map_points": q_map_points,
+        "details_hot_day": q_details_hot_day,
+        "map_points_hot_day": q_map_points_hot_day,
         "map_stats": q_map_stats,
         "location_frequency": q_location_frequency,
         "clean_incidents": q_clean_incidents,

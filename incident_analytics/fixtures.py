@@ -164,3 +164,13 @@ def extreme_hazards(gold: DataFrame) -> DataFrame:
         F.when(i % 397 == 0, F.lit(float("inf"))).when(i % 401 == 0, F.lit(float("-inf")))
         .when(i % 13 == 0, F.lit(float("nan"))).when(i % 11 == 0, h + F.lit(1e10))
         .when(i % 7 == 0, h * F.lit(1e-300)).when((i % 5 == 0) & (i % 3 == 0), F.lit(1e300)).otherwise(h)))
+
+
+HOT_DAY = dt.date(2023, 6, 1)
+
+
+def hot_day(gold: DataFrame) -> DataFrame:
+    """The incidents view with every row's date moved to one day, its time kept."""
+    day = F.lit(HOT_DAY)
+    return (gold.withColumn("date", day)
+            .withColumn("datetime", F.concat(day.cast("string"), F.lit(" "), F.col("time"))))

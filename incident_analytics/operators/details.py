@@ -1,8 +1,9 @@
 """Detail table: the latest N matching incidents, display columns, paging.
 
-The latest n rows are found in two steps (see ``latest``): the day by which n
-rows are reached, then a pushed-down ``date >= cutoff`` scan and an ordered
-top n (``TakeOrderedAndProject``) over the few remaining rows.
+The latest n rows are found in steps (see ``latest``): the day by which n rows
+are reached, in a day of many rows the second and the ids, then a pushed-down
+``date >= cutoff`` scan and an ordered top n (``TakeOrderedAndProject``) over
+the few remaining rows.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def incident_details(df: DataFrame, flt: IncidentFilter, n: int = DETAIL_ROWS,
     False for tables where the two may disagree.
     """
     rows = flt.apply(df).withColumn("_ts", parse_datetime(F.col("datetime")))
-    rows = prune_to_latest(rows, n, F.to_date(F.col("_ts")), "date" if trust_date else None)
+    rows = prune_to_latest(rows, n, F.to_date(F.col("_ts")), "date" if trust_date else None, instant=F.col("_ts"))
     latest = rows.orderBy(F.col("_ts").desc_nulls_last(), *tie_order(rows)).limit(n)
     ids = ["incident_id"] if "incident_id" in df.columns else []
     out = latest.select(

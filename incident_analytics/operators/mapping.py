@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import unknown_if_null
 from .filters import IncidentFilter
-from .latest import cutoff_and_total, prune_to_latest, tie_order
+from .latest import Cutoff, cutoff_day, prune_to_latest, tie_order
 
 MAP_POINTS = 5000
 LOCATION_DECIMALS = 4
@@ -23,8 +23,8 @@ LOCATION_DECIMALS = 4
 SIZE_MIN, SIZE_SPAN, SIZE_FLAT = 5.0, 20.0, 8.0
 
 
-def _latest(rows: DataFrame, n: int, **cutoff) -> DataFrame:
-    rows = prune_to_latest(rows, n, F.col("date"), "date", **cutoff)
+def _latest(rows: DataFrame, n: int, cutoff: Cutoff | None = None) -> DataFrame:
+    rows = prune_to_latest(rows, n, F.col("date"), "date", cutoff)
     return rows.orderBy(F.col("date").desc_nulls_last(), *tie_order(rows)).limit(n)
 
 
@@ -67,11 +67,12 @@ def map_stats(df: DataFrame, flt: IncidentFilter, n: int = MAP_POINTS) -> DataFr
     fix the cutoff, so the filtered rows are aggregated once. When nothing
     matches there is one row, of no category, with zero totals."""
     rows = flt.apply(df)
-    cutoff, matching = cutoff_and_total(rows, n, F.col("date"))
+    cutoff = cutoff_day(rows, n, F.col("date"))
+    matching = cutoff.total
     if not matching:
         return df.sparkSession.createDataFrame(
             [(None, 0, 0, 0)], "crime_against_category STRING, points LONG, shown_total LONG, matching_total LONG")
-    shown = _latest(rows, n, cutoff=cutoff)
+    shown = _latest(rows, n, cutoff)
     per_cat = shown.groupBy("crime_against_category").agg(F.count(F.lit(1)).alias("points"))
     return per_cat.select(
         "crime_against_category", "points",

@@ -328,6 +328,26 @@ f AS (SELECT *, count(*) OVER (PARTITION BY round_even(latitude, 4), round_even(
 m AS (SELECT *, min(location_freq) OVER () AS mn, max(location_freq) OVER () AS mx FROM f)""")
 
 
+HOT_DAY = "DATE '2023-06-01'"
+
+
+def details_hot_day() -> str:
+    return with_incidents(f"""
+SELECT incident_id, concat('2023-06-01 ', time) AS date_time, {SUB} AS offense_type, {CAT} AS crime_against,
+  location, area, round_even(hazardness, 1) AS hazard_score
+FROM (SELECT * FROM incidents WHERE {COORDS} ORDER BY time DESC, incident_id ASC LIMIT {P.HOT_DAY_ROWS})""")
+
+
+def map_points_hot_day() -> str:
+    return with_incidents(f"""
+SELECT incident_id, {HOT_DAY} AS date, {CAT}, coalesce({SUB}, 'Unknown') AS hover_text, latitude, longitude,
+  location_freq, CASE WHEN mx > mn THEN 5e0 + (location_freq - mn) / (mx - mn) * 2e1 ELSE 8e0 END AS marker_size
+FROM m""", f"""
+shown AS (SELECT * FROM incidents WHERE {COORDS} ORDER BY incident_id ASC LIMIT {P.HOT_DAY_ROWS}),
+f AS (SELECT *, count(*) OVER (PARTITION BY round_even(latitude, 4), round_even(longitude, 4)) AS location_freq FROM shown),
+m AS (SELECT *, min(location_freq) OVER () AS mn, max(location_freq) OVER () AS mx FROM f)""")
+
+
 def map_stats(n: int = 5000) -> str:
     return with_incidents(f"""
 SELECT {CAT}, count(*) AS points,
@@ -606,6 +626,8 @@ def all_sql() -> dict[str, str]:
         "incident_details": incident_details(),
         "details_page": details_page(),
         "map_points": map_points(),
+        "details_hot_day": details_hot_day(),
+        "map_points_hot_day": map_points_hot_day(),
         "map_stats": map_stats(),
         "location_frequency": location_frequency(),
         "clean_incidents": clean_incidents(),

@@ -30,6 +30,7 @@ CENTER = (47.6062, -122.3321)
 RADIUS_DEFAULT_M = 805.0
 RADIUS_WIDE_M = 3219.0
 PAGE_AREA_TEXT = "NATION_1"            # free-text column filter: area contains …
+HOT_DAY_ROWS = 300                     # latest rows asked of a table with one day
 PAGE_NUMBER = 1                        # second page of 20
 
 # Many-shape joins: circles around every block centroid, and four polygons
