@@ -24,10 +24,10 @@ from pyspark.sql import functions as F  # noqa: E402
 import oracles  # noqa: E402
 import query_params as P  # noqa: E402
 from incident_analytics import Circle, IncidentFilter, fixtures, loader, sources, streaming  # noqa: E402
-from incident_analytics.functions import geo  # noqa: E402
+from incident_analytics.functions import dates, geo  # noqa: E402
 from incident_analytics.functions.numeric import exact_mean  # noqa: E402
 from incident_analytics.operators import (  # noqa: E402
-    breakdown, clean, details, geocode, kpi, mapping, options, spatial_join, summary, trends)
+    breakdown, clean, details, geocode, kpi, mapping, options, pyramid, spatial_join, summary, trends)
 from incident_analytics.session import scratch_path  # noqa: E402
 from incident_analytics.sources import batches  # noqa: E402
 
@@ -143,6 +143,14 @@ def q_details_page(spark, sf_dir):
                                 where=details.table_filter([("area", "contains", P.PAGE_AREA_TEXT)]))
 
 
+def q_details_keyset_page(spark, sf_dir):
+    """The second page of the sorted and filtered table, from the first one's last row."""
+    table = details.incident_details(_incidents(spark, sf_dir), DETAIL_FILTER)
+    asked = dict(sort_by="hazard_score", ascending=False, where=details.table_filter([("area", "contains", P.PAGE_AREA_TEXT)]))
+    rows = details.page_after(table, None, **asked).collect()  # one page
+    return details.page_after(table, rows[-1] if rows else None, **asked)
+
+
 def q_map_points(spark, sf_dir):
     return mapping.map_points(_incidents(spark, sf_dir), MAP_FILTER)
 
@@ -333,6 +341,56 @@ def q_location_frequency(spark, sf_dir):
     return mapping.location_frequency(_incidents(spark, sf_dir), MAP_FILTER)
 
 
+PYRAMID_FILTER = IncidentFilter(*P.KPI_RANGE, hours=P.DAY_HOURS, categories=P.TWO_CATEGORIES)
+
+
+def _from_pyramid(view):
+    """A map answer from a spatial summary written in two batches and read back."""
+    def run(spark, sf_dir):
+        inc, path = _incidents(spark, sf_dir), scratch_path(spark, "pyramid")
+        half = F.pmod("incident_id", F.lit(2)) == 0
+        pyramid.write_spatial_summary(inc.where(half), path)
+        pyramid.write_spatial_summary(inc.where(~half), path, mode="append")
+        return view(pyramid.read_spatial_summary(spark, path), PYRAMID_FILTER)
+    return run
+
+
+def q_kpis_default_range(spark, sf_dir):
+    """KPIs of the dashboard's first screen: the 365 days up to a date."""
+    return kpi.kpis(_incidents(spark, sf_dir), *dates.default_range(P.AS_OF_INSIDE))
+
+
+def q_scan_datetime_bounds(spark, sf_dir):
+    """Scan of the loaded table between two datetimes."""
+    return sources.read_gold(spark, _load(spark, sf_dir), *P.DATETIME_BOUNDS)
+
+
+def q_scan_limit(spark, sf_dir):
+    """Rows and distinct ids of a scan with a row limit."""
+    rows = sources.read_gold(spark, _load(spark, sf_dir), limit=P.SCAN_ROWS)
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("incident_id").alias("ids"))
+
+
+def q_smoke_row(spark, sf_dir):
+    """The post-load smoke row: one, of the table, with coordinates."""
+    table = sources.gold_table(spark, _load(spark, sf_dir))
+    row = sources.smoke(table).select("incident_id", "latitude", "longitude")
+    return row.join(table, ["incident_id", "latitude", "longitude"], "left_semi").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        .alias("with_coords"))
+
+
+def q_geocoder_reply(spark, sf_dir):
+    """First hits of stored geocoder replies: of one or two hits, none, or unreadable."""
+    hits = geocode.first_hits(geocode.gazetteer_from_incidents(_incidents(spark, sf_dir)))
+    number = F.regexp_extract("key", "^([0-9]+)", 1).cast("int")
+    hit = F.struct(F.col("lat").cast("string").alias("lat"), F.col("lon").cast("string").alias("lon"), "display_name")
+    other = F.struct(F.lit("0.0").alias("lat"), F.lit("0.0").alias("lon"), F.lit("second").alias("display_name"))
+    reply = (F.when(number % 7 == 0, F.lit("[]")).when(number % 11 == 0, F.lit("<html>"))
+             .when(number % 2 == 0, F.to_json(F.array(hit, other))).otherwise(F.to_json(F.array(hit))))
+    return hits.select("key", geocode.parse_geocoder_reply(reply).alias("hit")).select("key", "hit.*")
+
+
 _SUMMARIES: dict[tuple[str, str], str] = {}
 
 
@@ -399,11 +457,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "circle_filter": q_circle_filter,
         "incident_details": q_incident_details,
         "details_page": q_details_page,
+        "details_keyset_page": q_details_keyset_page,
         "map_points": q_map_points,
         "details_hot_day": q_details_hot_day,
         "map_points_hot_day": q_map_points_hot_day,
         "map_stats": q_map_stats,
         "location_frequency": q_location_frequency,
+        "location_frequency_from_pyramid": _from_pyramid(pyramid.location_frequency),
+        "map_totals_from_pyramid": _from_pyramid(pyramid.map_totals),
+        "density_from_pyramid": _from_pyramid(pyramid.density),
+        "kpis_default_range": q_kpis_default_range,
+        "scan_datetime_bounds": q_scan_datetime_bounds,
+        "scan_limit": q_scan_limit,
+        "smoke_row": q_smoke_row,
+        "geocoder_reply": q_geocoder_reply,
         "clean_incidents": q_clean_incidents,
         "clean_audit": q_clean_audit,
         "ingest_roundtrip": q_ingest_roundtrip,

@@ -8,7 +8,7 @@ the few remaining rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.dates import format_datetime, parse_datetime
@@ -85,9 +85,45 @@ def details_page(details: DataFrame, page: int = 0, size: int = PAGE_SIZE,
     conditions such as ``=``, ``<``, ``>``, ``contains``) and an optional sort.
     The default order is the table's own (latest first, then id)."""
     t = details.where(where) if where is not None else details
-    order = []
-    if sort_by:
-        c = F.col(sort_by)
-        order.append(c.asc_nulls_last() if ascending else c.desc_nulls_last())
-    order += [F.col("date_time").desc_nulls_last(), *tie_order(t)]
-    return t.orderBy(*order).offset(page * size).limit(size)
+    order = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in _page_keys(sort_by, ascending)]
+    return t.orderBy(*order, *tie_order(t)).offset(page * size).limit(size)
+
+
+def _page_keys(sort_by: str | None, ascending: bool) -> list[tuple[Column, bool]]:
+    keys = [(F.col(f"`{sort_by}`"), ascending)] if sort_by else []
+    return [*keys, (F.col("date_time"), False)]
+
+
+def _behind(column: Column, value, ascending: bool, nulls_last: bool) -> Column:
+    """Whether a row's key comes after a value in the order of one column."""
+    if value is None:
+        return F.lit(False) if nulls_last else column.isNotNull()
+    further = (column > F.lit(value)) if ascending else (column < F.lit(value))
+    return F.coalesce(further, F.lit(nulls_last))
+
+
+def page_after(details: DataFrame, last: Row | dict | None, size: int = PAGE_SIZE, sort_by: str | None = None,
+               ascending: bool = True, where: Column | None = None) -> DataFrame:
+    """The page behind row ``last`` of the page before (None: the first page), in
+    the order of ``details_page``.
+
+    What precedes the page is filtered out by the sort key, not sorted and
+    skipped, so any page costs one scan and a top ``size``. Ties go by
+    ``incident_id``, or by every column where there is none; rows equal in all of
+    them are one place in the order and only shown on the page they first reach.
+    """
+    t = details.where(where) if where is not None else details
+    if last is not None:
+        last = last.asDict() if isinstance(last, Row) else last
+        ties = ["incident_id"] if "incident_id" in t.columns else t.columns
+        names = ([sort_by] if sort_by else []) + ["date_time"]
+        keys = [(name, up, True) for name, (_, up) in zip(names, _page_keys(sort_by, ascending), strict=True)]
+        keys += [(name, True, False) for name in ties]
+        behind, equal = F.lit(False), F.lit(True)
+        for name, up, nulls_last in keys:
+            column, value = F.col(f"`{name}`"), last[name]
+            behind = behind | (equal & _behind(column, value, up, nulls_last))
+            equal = equal & column.eqNullSafe(F.lit(value))
+        t = t.where(behind)
+    order = [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in _page_keys(sort_by, ascending)]
+    return t.orderBy(*order, *tie_order(t)).limit(size)

@@ -598,6 +598,58 @@ SELECT round_even(latitude, 4) AS lat4, round_even(longitude, 4) AS lon4, count(
 FROM incidents WHERE {filter_sql(P.FULL_RANGE, **MAP_COND)} GROUP BY 1, 2""")
 
 
+PYRAMID_COND = dict(hours=P.DAY_HOURS, categories=P.TWO_CATEGORIES)
+
+
+def location_frequency_from_pyramid() -> str:
+    return with_incidents(f"""
+SELECT round_even(latitude, 4) AS lat4, round_even(longitude, 4) AS lon4, count(*) AS incidents
+FROM incidents WHERE {filter_sql(P.KPI_RANGE, **PYRAMID_COND)} GROUP BY 1, 2""")
+
+
+def map_totals_from_pyramid() -> str:
+    return with_incidents(f"""
+SELECT {CAT}, count(*) AS matching, CAST(sum(count(*)) OVER () AS BIGINT) AS matching_total,
+  CAST(least(sum(count(*)) OVER (), 5000) AS BIGINT) AS shown_total
+FROM incidents WHERE {filter_sql(P.KPI_RANGE, **PYRAMID_COND)} GROUP BY {CAT}""")
+
+
+def density_from_pyramid(level: int = 8) -> str:
+    def corner(c):
+        return f"floor(round(round_even({c}, 4) * 1e4) / {2.0**level}) / {d(1e4 / 2**level)}"
+    return with_incidents(f"""
+SELECT {corner('latitude')} AS latitude, {corner('longitude')} AS longitude, count(*) AS incidents
+FROM incidents WHERE {filter_sql(P.KPI_RANGE, **PYRAMID_COND)} GROUP BY 1, 2""")
+
+
+def kpis_default_range() -> str:
+    s, e = P.KPI_RANGE
+    return kpis().replace(date_cond(s, e), f"{COORDS} AND date BETWEEN DATE '{P.AS_OF_INSIDE}' - 365 AND DATE '{P.AS_OF_INSIDE}'")
+
+
+def scan_datetime_bounds() -> str:
+    low, high = (t.date().isoformat() for t in P.DATETIME_BOUNDS)
+    return with_incidents(f"SELECT {GOLD_SELECT} FROM cleaned WHERE date BETWEEN DATE '{low}' AND DATE '{high}'", clean_ctes())
+
+
+def scan_limit() -> str:
+    return with_incidents(f"SELECT least(count(*), {P.SCAN_ROWS}) AS records, least(count(*), {P.SCAN_ROWS}) AS ids "
+                          "FROM cleaned", clean_ctes())
+
+
+def smoke_row() -> str:
+    return with_incidents("SELECT least(count(*), 1) AS records, least(count(*), 1) AS with_coords FROM cleaned", clean_ctes())
+
+
+def geocoder_reply() -> str:
+    number = "CAST(regexp_extract(key, '^([0-9]+)', 1) AS INTEGER)"
+    none = f"({number} % 7 = 0 OR {number} % 11 = 0)"
+    return with_incidents(f"""
+SELECT key, CASE WHEN {none} THEN NULL ELSE lat END AS lat, CASE WHEN {none} THEN NULL ELSE lon END AS lon,
+  CASE WHEN {none} THEN NULL ELSE display_name END AS display_name
+FROM best""", gazetteer_ctes())
+
+
 def all_sql() -> dict[str, str]:
     return {
         "kpis": kpis(),
@@ -630,6 +682,15 @@ def all_sql() -> dict[str, str]:
         "map_points_hot_day": map_points_hot_day(),
         "map_stats": map_stats(),
         "location_frequency": location_frequency(),
+        "location_frequency_from_pyramid": location_frequency_from_pyramid(),
+        "map_totals_from_pyramid": map_totals_from_pyramid(),
+        "density_from_pyramid": density_from_pyramid(),
+        "details_keyset_page": details_page(),
+        "kpis_default_range": kpis_default_range(),
+        "scan_datetime_bounds": scan_datetime_bounds(),
+        "scan_limit": scan_limit(),
+        "smoke_row": smoke_row(),
+        "geocoder_reply": geocoder_reply(),
         "clean_incidents": clean_incidents(),
         "clean_audit": clean_audit(),
         "ingest_roundtrip": clean_incidents(),

@@ -4,6 +4,8 @@ DuckDB oracle so both ask the same question. The fixture's dates run from
 
 from __future__ import annotations
 
+import datetime as dt
+
 # KPI / breakdown window: the first half of 2023.
 KPI_RANGE = ("2023-01-01", "2023-06-30")
 # Whole fixture.
@@ -15,6 +17,10 @@ AS_OF_INSIDE = "2023-07-15"
 WEEKLY_RANGE = ("2023-03-01", "2023-06-08")   # 99 days → weekly buckets
 DAILY_RANGE = ("2023-05-01", "2023-05-30")    # 29 days → daily buckets
 
+# Scan bounds as datetimes, and a row limit of a scan.
+DATETIME_BOUNDS = (dt.datetime(2023, 2, 3, 15, 30), dt.datetime(2023, 4, 5, 6, 0))
+SCAN_ROWS = 25
+
 # Map filters.
 NIGHT_HOURS = (22, 24)                 # → 22..23
 DAY_HOURS = (6, 22)
