@@ -211,7 +211,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     list_array(np.concatenate(s).view(np.int64), np.array([len(x) for x in s]), pa.int64())],
                     names=["doc_id", "digest_a", "digest_b", "elements"])
 
-    texts = docs.join(wanted.select(F.col("rep.doc_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the ids wanted grow with the corpus: never a broadcast, at any size
+    ids = wanted.select(F.col("rep.doc_id").alias("doc_id")).distinct().hint("merge")
+    texts = docs.join(ids, "doc_id", "left_semi")
     made = texts.mapInArrow(run, "doc_id LONG, digest_a LONG, digest_b LONG, elements ARRAY<LONG>")
     return written(made.dropDuplicates(["doc_id", "digest_a", "digest_b"]).select(_node().alias("rep"), "elements"), "dedup-sets")
 
@@ -298,7 +300,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
         "rep", "n", "sketch", "i", "one", F.posexplode("second").alias("j", "two")).select(
         F.xxhash64("i", "j", "one", "two").alias("key"), "rep", "n", "sketch")
     shared = tables.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    members = written(tables.join(shared, "key").withColumn("root", F.col("rep")), "dedup-members")
+    # so do the shared keys
+    members = written(tables.join(shared.hint("merge"), "key").withColumn("root", F.col("rep")), "dedup-members")
     # every member against its bucket's hub
     hubs = members.groupBy("key").agg(F.min_by(F.struct("rep", "n", "sketch"), "rep").alias("hub")).select(
         "key", F.col("hub.rep").alias("o_rep"), F.col("hub.n").alias("o_n"), F.col("hub.sketch").alias("o_sketch"))
