@@ -138,11 +138,12 @@ binned AS (SELECT * REPLACE (CAST(date AS DATE) AS date), CASE WHEN abs(band) =
 
 
 def hazard_mean_sql(source: str, *keys: str) -> str:
-    """Mean hazard per key, (keys, value), from the rows of ``binned``."""
+    """Mean hazard per key, (keys, value), from the rows of ``binned``. (A cast of
+    HUGEINT to DOUBLE may round twice; one of its text rounds once.)"""
     by = ", ".join(keys)
     return f"""(SELECT {by}, list_reduce(list_prepend(0e0, list(CASE WHEN total = 0 THEN 0e0
              WHEN abs(band) = 1000 THEN sign(band) * CAST('inf' AS DOUBLE)
-             ELSE CAST(total AS DOUBLE) * pow(2e0, (8 * band - 54) // 2) * pow(2e0, (8 * band - 54) - (8 * band - 54) // 2)
+             ELSE CAST(CAST(total AS VARCHAR) AS DOUBLE) * pow(2e0, (8 * band - 54) // 2) * pow(2e0, (8 * band - 54) - (8 * band - 54) // 2)
              END ORDER BY band DESC)), lambda a, b: a + b) / CAST(sum(n) AS DOUBLE) AS value
           FROM (SELECT {by}, band, sum(whole) AS total, count(*) AS n FROM {source} GROUP BY {by}, band) GROUP BY {by})"""
 
