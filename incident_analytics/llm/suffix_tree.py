@@ -17,7 +17,8 @@ the counts of a level's sequences (context and next token): each block sends
 its distinct ones once, to ``GRAM_BUCKETS`` buckets a partition of the input,
 and gets back those that occur often enough. A sequence is only counted if its
 context and its suffix are, which loses none. What the contexts give to stored
-tokens is a table by context, joined to the blocks that have the context.
+tokens meets in the same way, in buckets of contexts. The messages of a level
+are deleted when they are answered.
 
 Defined results: null and empty texts are the end token alone; a null id
 counts as training; without a training document every token has the same
@@ -84,17 +85,15 @@ def _bucket_counts(key, group):
 _STATE = "block LONG, doc_ids ARRAY<LONG>, per_text BINARY, train BINARY, codes BINARY, hashes BINARY, counts BINARY"
 _STATE_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                            *[(c, pa.binary()) for c in ("per_text", "train", "codes", "hashes", "counts")]])
-# what a step makes of a block: its sequences to be counted by bucket, its stored sequences, its contexts
+# what a step makes of a block, by bucket: its sequences to be counted, its stored sequences, its contexts
 _GRAMS, _STORED, _CONTEXTS = range(3)
-_STEP = ("kind INT, block LONG, bucket INT, keys BINARY, ns BINARY, contexts ARRAY<LONG>, grams ARRAY<LONG>, "
-         "stored ARRAY<LONG>")
-_STEP_SCHEMA = pa.schema([
-    ("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ns", pa.binary()),
-    *[(c, pa.list_(pa.int64())) for c in ("contexts", "grams", "stored")]])
-# a bucket's answer: places among the block's sequences and their counts; bucket -1: contexts and what they gave to stored tokens
-_ANSWER = "block LONG, level INT, bucket INT, keys BINARY, ns BINARY"
-_ANSWER_SCHEMA = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()),
-                            ("keys", pa.binary()), ("ns", pa.binary())])
+_STEP = "kind INT, level INT, block LONG, bucket INT, keys BINARY, grams BINARY, ns BINARY"
+_STEP_SCHEMA = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()),
+                          *[(c, pa.binary()) for c in ("keys", "grams", "ns")]])
+# a bucket's answer: places among what the block sent of the kind, with the sequences' counts or what the contexts gave to stored tokens
+_ANSWER = "kind INT, level INT, block LONG, bucket INT, at BINARY, ns BINARY"
+_ANSWER_SCHEMA = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()),
+                            ("at", pa.binary()), ("ns", pa.binary())])
 
 
 def _after(values: np.ndarray, first: np.ndarray, at_first) -> np.ndarray:
@@ -105,131 +104,174 @@ def _after(values: np.ndarray, first: np.ndarray, at_first) -> np.ndarray:
     return out
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets' parts of sorted hashes begin: a bucket is a range of hashes."""
+    top = (np.arange(buckets, dtype=np.uint64) << _U64(32)) // _U64(buckets)
+    return np.append(np.searchsorted(keys >> _U64(32), top), len(keys))
+
+
+def _steps_of(sorted_keys: np.ndarray) -> bytes:
+    """Sorted hashes as their steps, which have leading zeros."""
+    return _blocks.shrink(np.diff(sorted_keys, prepend=_U64(0)))
+
+
+def _keys_of(steps: bytes) -> np.ndarray:
+    return np.cumsum(_blocks.grow(steps, np.uint64), dtype=np.uint64)
+
+
+def _spread(answers: list[dict], sent: np.ndarray, buckets: int) -> np.ndarray:
+    """The answers' numbers at their places among the hashes sent (others: 0)."""
+    n, edges = np.zeros(len(sent), dtype=np.int64), _edges(sent, buckets)
+    for a in answers:
+        n[edges[a["bucket"]] + _blocks.grow(a["at"], np.uint32)] = _blocks.grow(a["ns"], np.uint64)
+    return n
 
 
 class _Levels:
-    """A block's tokens level by level: the hash of the context of every token,
-    its count in training, and the token's probability by the levels below."""
+    """A block's tokens level by level. Sequences that occur MIN_COUNT times in
+    training are the ``keys`` of a level (sorted hashes) with their ``counts``;
+    ``code`` is each token's place among them (-1: rarer), ``context`` that of
+    the token before at the level below, ``p`` the token's probability so far."""
 
-    def __init__(self, state: dict, sums: dict):
+    def __init__(self, state: dict, sums: dict, buckets: int):
         n = _blocks.grow(state["per_text"], np.int64)
         codes, ends = _blocks.grow(state["codes"], np.uint32), np.cumsum(n)
         counts = _blocks.grow(state["counts"], np.uint64).astype(np.int64)
+        often = counts >= MIN_COUNT
+        self.level, self.buckets = 0, buckets
         self.per_text = n + 1
-        self.tokens = np.insert(np.frombuffer(state["hashes"], dtype=np.uint64)[codes], ends, _END)
-        self.seen = np.insert(counts[codes], ends, sums["docs"])
         self.first = np.cumsum(self.per_text) - self.per_text
-        self.zero = (self.seen + 1.0) / (sums["total"] + sums["known"] + 1)
-        self.known = self.seen > 0
-        self.p, self.gram, self.level, self.docs = self.zero, self.tokens, 0, sums["docs"]
+        seen = np.insert(counts[codes], ends, sums["docs"])
+        self.p = self.zero = (seen + 1.0) / (sums["total"] + sums["known"] + 1)
+        self.known = seen > 0
+        hashes = np.append(np.frombuffer(state["hashes"], dtype=np.uint64)[often], _END)
+        self.keys, one, place = np.unique(hashes, return_index=True, return_inverse=True)
+        self.counts = np.append(counts[often], sums["docs"])[one]
+        of_word = np.full(len(counts), -1, dtype=np.int32)
+        of_word[often] = place[:-1]
+        self.end = place[-1] if sums["docs"] >= MIN_COUNT else -1
+        self.code = np.insert(of_word[codes], ends, self.end)
+        self.words, self.word = self.keys, self.code
 
     def next_level(self) -> None:
         """Contexts one token longer, and the distinct sequences to be counted."""
-        top = self.level == 0
-        self.level += 1
         # in front of a text stands the end token
-        self.context = _after(self.gram, self.first, _END if top else _U64(0))
-        self.size = _after(self.seen, self.first, self.docs if top else 0)
-        self.alive = np.flatnonzero((self.size >= MIN_COUNT) & (self.seen >= MIN_COUNT))
+        self.context = _after(self.code, self.first, self.end if self.level == 0 else -1)
+        self.level += 1
+        self.contexts, self.sizes = self.keys, self.counts
+        used = np.bincount(self.context[self.context >= 0], minlength=len(self.contexts)) > 0
+        self.used = np.flatnonzero(used)
+        # a sequence is no more frequent than its context and its suffix
+        self.alive = np.flatnonzero((self.context >= 0) & (self.code >= 0))
         with np.errstate(over="ignore"):
-            self.gram = mix(self.context * _U64(0x9FB21C651E98DF25) + self.tokens)
-        self.keys, self.of = np.unique(self.gram[self.alive], return_inverse=True)
-
-    def count(self, answers: list[dict], buckets: int) -> None:
-        """The sequences' counts in training from the buckets' answers (less than MIN_COUNT: 0)."""
-        n, edges = np.zeros(len(self.keys), dtype=np.int64), _edges(self.keys, buckets)
-        for a in answers:
-            n[edges[a["bucket"]] + _blocks.grow(a["keys"], np.uint32)] = _blocks.grow(a["ns"], np.uint64)
-        self.seen = np.zeros(len(self.tokens), dtype=np.int64)
-        self.seen[self.alive] = n[self.of]
-        at = np.flatnonzero((self.seen > 0) & (self.seen >= GAMMA * self.size))
-        m, size = self.seen[at], self.size[at]
+            gram = mix(self.contexts[self.context[self.alive]] * _U64(0x9FB21C651E98DF25) + self.words[self.word[self.alive]])
+        self.sent, self.of = np.unique(gram, return_inverse=True)
+
+    def count(self, answers: list[dict]) -> None:
+        """The sequences' counts in training from the buckets' answers (less than MIN_COUNT: none)."""
+        n = _spread(answers, self.sent, self.buckets)
+        often = n >= MIN_COUNT
+        self.keys, self.counts = self.sent[often], n[often]
+        place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.code = np.full(len(self.p), -1, dtype=np.int32)
+        self.code[self.alive] = place[self.of]
+        at = np.flatnonzero(self.code >= 0)
+        m, size = self.counts[self.code[at]], self.sizes[self.context[at]]
+        at, m, size = (x[m >= GAMMA * size] for x in (at, m, size))
         self.stored = at[m * np.log(m / size / self.p[at]) >= DIVERGENCE]
 
-    def predict(self, kept: list[dict]) -> None:
+    def predict(self, answers: list[dict]) -> None:
         """Probabilities of this level from what its contexts gave to stored tokens."""
-        self.p = self.p.copy()
-        for a in kept:
-            hit = _find(np.frombuffer(a["keys"], dtype=np.uint64), self.context)
-            at = np.flatnonzero((hit >= 0) & (self.size >= MIN_COUNT))
-            given, size = np.frombuffer(a["ns"], dtype=np.int64)[hit[at]], self.size[at]
-            self.p[at] *= (size - given + 1.0) / (size + 1.0)
-        self.p[self.stored] += self.seen[self.stored] / (self.size[self.stored] + 1.0)
-
-
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the buckets' parts of sorted hashes begin: a bucket is a range of hashes."""
-    top = (np.arange(buckets, dtype=np.uint64) << _U64(32)) // _U64(buckets)
-    return np.append(np.searchsorted(keys >> _U64(32), top), len(keys))
-
-
-def _messages(block: int, levels: _Levels, train: np.ndarray, buckets: int) -> list[dict]:
-    """The block's distinct sequences of the level by bucket, with their counts in its training texts."""
-    times = np.repeat(train, levels.per_text)[levels.alive]
-    n = np.bincount(levels.of, weights=times, minlength=len(levels.keys)).astype(np.uint32)
-    edges, made = _edges(levels.keys, buckets), []
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        lo, hi = edges[k], edges[k + 1]
-        steps = np.diff(levels.keys[lo:hi], prepend=_U64(0))  # of sorted hashes: leading zeros
-        made.append({"kind": _GRAMS, "block": block, "bucket": k, "keys": _blocks.shrink(steps), "ns": _blocks.shrink(n[lo:hi])})
-    return made
-
-
-def _totals(level: int):
+        given = np.zeros(len(self.contexts), dtype=np.int64)
+        given[self.used] = _spread(answers, self.contexts[self.used], self.buckets)
+        rest = (self.sizes - given + 1.0) / (self.sizes + 1.0)
+        self.p = np.where(self.context >= 0, self.p * rest[self.context], self.p) if len(rest) else self.p.copy()
+        at = self.stored
+        self.p[at] += self.counts[self.code[at]] / (self.sizes[self.context[at]] + 1.0)
+
+    def _by_bucket(self, kind: int, block: int, keys: np.ndarray, **columns) -> list[dict]:
+        edges, made = _edges(keys, self.buckets), []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[k], edges[k + 1]
+            made.append({"kind": kind, "level": self.level, "block": block, "bucket": k, "keys": _steps_of(keys[lo:hi]),
+                         **{c: _blocks.shrink(v[lo:hi]) for c, v in columns.items()}})
+        return made
+
+    def sequences(self, block: int, train: np.ndarray) -> list[dict]:
+        """The block's distinct sequences with their counts in its training texts."""
+        times = np.repeat(train, self.per_text)[self.alive]
+        n = np.bincount(self.of, weights=times, minlength=len(self.sent)).astype(np.uint32)
+        return self._by_bucket(_GRAMS, block, self.sent, ns=n)
+
+    def retained(self, block: int) -> list[dict]:
+        """The block's contexts, and its stored sequences by context."""
+        _, one = np.unique(self.code[self.stored], return_index=True)
+        at = self.stored[one]
+        at = at[np.argsort(self.context[at], kind="stable")]
+        stored = self._by_bucket(_STORED, block, self.contexts[self.context[at]], grams=self.keys[self.code[at]],
+                                 ns=self.counts[self.code[at]].astype(np.uint64))
+        return stored + self._by_bucket(_CONTEXTS, block, self.contexts[self.used])
+
+
+def _answers(rows: list[dict], places: list[np.ndarray], ns: list[np.ndarray]) -> pa.Table:
+    return pa.Table.from_pylist([
+        {**{c: r[c] for c in ("kind", "level", "block", "bucket")}, "at": _blocks.shrink(at.astype(np.uint32)),
+         "ns": _blocks.shrink(n.astype(np.uint64))}
+        for r, at, n in zip(rows, places, ns, strict=True) if len(at)], schema=_ANSWER_SCHEMA)
+
+
+def _counted(rows: list[dict]) -> pa.Table:
     """Counts of a bucket's sequences, for each message those that reach MIN_COUNT."""
-    def run(key, group):
+    sent = [_keys_of(r["keys"]) for r in rows]
+    keys, of = np.unique(np.concatenate(sent), return_inverse=True)
+    total = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint32) for r in rows]), minlength=len(keys))[of]
+    parts = np.split(total, np.cumsum([len(s) for s in sent])[:-1])
+    at = [np.flatnonzero(n >= MIN_COUNT) for n in parts]
+    return _answers(rows, at, [n[i] for n, i in zip(parts, at, strict=True)])
+
+
+def _given(rows: list[dict]) -> pa.Table:
+    """What a bucket's contexts gave to stored tokens, for each message of contexts those that gave any."""
+    stored, wanted = [r for r in rows if r["kind"] == _STORED], [r for r in rows if r["kind"] == _CONTEXTS]
+    if not stored:
+        return _ANSWER_SCHEMA.empty_table()
+    _, one = np.unique(np.concatenate([_blocks.grow(r["grams"], np.uint64) for r in stored]), return_index=True)
+    keys, of = np.unique(np.concatenate([_keys_of(r["keys"]) for r in stored])[one], return_inverse=True)
+    given = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint64) for r in stored])[one])
+    places, ns = [], []
+    for r in wanted:
+        mine = _keys_of(r["keys"])
+        hit = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        at = np.flatnonzero(keys[hit] == mine)
+        places.append(at)
+        ns.append(given[hit[at]])
+    return _answers(wanted, places, ns)
+
+
+def _meet(steps: DataFrame) -> DataFrame:
+    """The buckets' answers to what the blocks sent."""
+    def run(group):
         rows = group.to_pylist()
-        steps = [_blocks.grow(r["keys"], np.uint64) for r in rows]
-        with np.errstate(over="ignore"):
-            keys, of = np.unique(np.concatenate([np.cumsum(s, dtype=np.uint64) for s in steps]), return_inverse=True)
-        n = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint32) for r in rows]),
-                        minlength=len(keys)).astype(np.uint64)[of]
-        made, from_ = [], 0
-        for r, s in zip(rows, steps, strict=True):
-            mine = n[from_:from_ + len(s)]
-            from_ += len(s)
-            at = np.flatnonzero(mine >= MIN_COUNT)
-            if len(at):
-                made.append({"block": r["block"], "level": level, "bucket": r["bucket"],
-                             "keys": _blocks.shrink(at.astype(np.uint32)), "ns": _blocks.shrink(mine[at])})
-        return pa.Table.from_pylist(made, schema=_ANSWER_SCHEMA)
-    return run
-
-
-def _kept(steps: DataFrame, level: int) -> DataFrame:
-    """Answers with what the level's contexts gave to stored tokens, for the blocks that have the context."""
-    stored = steps.where(F.col("kind") == _STORED).select(F.explode(F.arrays_zip("contexts", "grams", "stored")).alias("s")).select(
-        F.col("s.contexts").alias("context"), F.col("s.grams").alias("gram"), F.col("s.stored").alias("n"))
-    given = stored.distinct().groupBy("context").agg(F.sum("n").alias("n"))
-    wanted = steps.where(F.col("kind") == _CONTEXTS).select("block", F.explode("contexts").alias("context"))
-
-    def pack(key, group):
-        context, n = group.column("context").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        order = np.argsort(context)
-        return pa.Table.from_pylist([{"block": key[0].as_py(), "level": level, "bucket": -1,
-                                      "keys": context[order].tobytes(), "ns": n[order].tobytes()}], schema=_ANSWER_SCHEMA)
-
-    return wanted.join(given, "context").groupBy("block").applyInArrow(pack, _ANSWER)
-
-
-def _by_block(state: DataFrame, answers: list[DataFrame], upto: int, sums: dict, buckets: int, schema: str, made) -> DataFrame:
-    """made(block's row, its levels down to upto) for every block; upto's contexts have no kept shares yet."""
+        return _counted(rows) if rows[0]["kind"] == _GRAMS else _given(rows)
+    return steps.groupBy("level", F.col("kind") == _GRAMS, "bucket").applyInArrow(run, _ANSWER)
+
+
+def _by_block(state: DataFrame, answers: list[DataFrame], upto: int, sums: dict, buckets: int, schema: str, made,
+              answered: bool) -> DataFrame:
+    """made(block's row, its levels down to upto) for every block; answered:
+    upto's contexts have their kept shares too."""
     def run(left, right):
-        got = right.to_pylist()
+        got = {}
+        for a in right.to_pylist():
+            got.setdefault((a["level"], a["kind"]), []).append(a)
         out = []
         for row in left.to_pylist():
-            levels = _Levels(row, sums)
+            levels = _Levels(row, sums, buckets)
             for k in range(1, upto + 1):
                 levels.next_level()
-                mine = [a for a in got if a["level"] == k]
-                levels.count([a for a in mine if a["bucket"] >= 0], buckets)
-                if k < upto or upto == DEPTH:
-                    levels.predict([a for a in mine if a["bucket"] < 0])
+                levels.count(got.get((k, _GRAMS), []))
+                if k < upto or answered:
+                    levels.predict(got.get((k, _CONTEXTS), []))
             out.append(made(row, levels))
         return pa.concat_tables(out)
     every = reduce(DataFrame.unionByName, answers)
@@ -268,23 +310,16 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
     def pairs(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                levels = _Levels(row, sums)
+                levels = _Levels(row, sums, gram_buckets)
                 levels.next_level()
-                yield from pa.Table.from_pylist(_messages(row["block"], levels, np.frombuffer(row["train"], dtype=np.uint8), gram_buckets),
+                yield from pa.Table.from_pylist(levels.sequences(row["block"], np.frombuffer(row["train"], dtype=np.uint8)),
                                                 schema=_STEP_SCHEMA).to_batches()
 
     def step(row, levels):
-        at = levels.stored
-        _, one = np.unique(levels.gram[at], return_index=True)
-        one = at[one]
-        as_list = lambda x: x.view(np.int64).tolist()
-        made = [{"kind": _STORED, "block": row["block"], "contexts": as_list(levels.context[one]),
-                 "grams": as_list(levels.gram[one]), "stored": levels.seen[one].tolist()},
-                {"kind": _CONTEXTS, "block": row["block"],
-                 "contexts": as_list(np.unique(levels.context[levels.size >= MIN_COUNT]))}]
+        made = levels.retained(row["block"])
         if levels.level < DEPTH:
             levels.next_level()
-            made += _messages(row["block"], levels, np.frombuffer(row["train"], dtype=np.uint8), gram_buckets)
+            made += levels.sequences(row["block"], np.frombuffer(row["train"], dtype=np.uint8))
         return pa.Table.from_pylist(made, schema=_STEP_SCHEMA)
 
     def score(row, levels):
@@ -298,16 +333,13 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
             names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     state = written(_blocks.joined(_blocks.block_rows(marked, _lower_words, buckets, "train"), values.where("block >= 0").select(
-        "block", "bucket", "digest", "counts", "frequent", "hashes"), begin, _STATE), "suffix-blocks")
-    steps = state.mapInArrow(pairs, _STEP)  # pairs wait for no answers
-    answers = []
+        "block", "bucket", "digest", "counts", "frequent", "hashes"), begin, _STATE), "suffix-blocks", drop=[values])
+    answers = [written(_meet(state.mapInArrow(pairs, _STEP)), "suffix-answers")]  # pairs wait for no answers
     for level in range(1, DEPTH + 1):
-        grams = steps.where(F.col("kind") == _GRAMS).select("block", "bucket", "keys", "ns")
-        answers.append(written(grams.groupBy("bucket").applyInArrow(_totals(level), _ANSWER), "suffix-counts"))
-        steps = written(_by_block(state, answers, level, sums, gram_buckets, _STEP, step), "suffix-steps")
-        answers.append(written(_kept(steps, level), "suffix-kept"))
+        steps = written(_by_block(state, answers, level, sums, gram_buckets, _STEP, step, False), "suffix-steps")
+        answers.append(written(_meet(steps), "suffix-answers", drop=[steps]))
     return _by_block(state, answers, DEPTH, sums, gram_buckets,
-                     "doc_id LONG, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE", score)
+                     "doc_id LONG, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE", score, True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
