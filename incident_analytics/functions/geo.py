@@ -111,34 +111,24 @@ def ring_bounds(ring: Ring) -> tuple[float, float, float, float]:
     return min(lats), max(lats), min(lons), max(lons)
 
 
-def _edge_terms(ring: Ring):
-    """Yield (p1x, p1y, p2x, p2y) for every edge that can toggle parity.
-
-    Ray casting with the rule: toggle when y > min(y1,y2), y <= max(y1,y2),
-    x <= max(x1,x2) and (vertical edge or x <= x-intercept). Horizontal
-    edges never satisfy both y conditions and are skipped.
-    """
-    n = len(ring)
-    for i in range(1, n + 1):
-        p1x, p1y = ring[i - 1]
-        p2x, p2y = ring[i % n]
-        if p1y != p2y:
-            yield float(p1x), float(p1y), float(p2x), float(p2y)
+def _toggles(lat: Column, lon: Column, x1, y1, x2, y2, low_y, high_y, high_x, upright) -> Column:
+    """Whether an edge is crossed: the latitude is above the edge's
+    lower end and not above its upper end, and the longitude is at most the
+    edge's larger one and, unless the edge is upright, at most its intercept at
+    that latitude. A level edge has no such latitude."""
+    at = F.try_divide((lat - y1) * (x2 - x1), y2 - y1) + x1
+    return (lat > low_y) & (lat <= high_y) & (lon <= high_x) & (upright | (lon <= at))
 
 
 def point_in_ring(lat: ColumnOrValue, lon: ColumnOrValue, ring: Ring) -> Column:
     """Ray-casting parity test against a literal ring, as one Column."""
     x, y = _c(lon), _c(lat)
-    terms = []
-    for p1x, p1y, p2x, p2y in _edge_terms(ring):
-        cond = (y > min(p1y, p2y)) & (y <= max(p1y, p2y)) & (x <= max(p1x, p2x))
-        if p1x != p2x:
-            xinters = (y - F.lit(p1y)) * F.lit(p2x - p1x) / F.lit(p2y - p1y) + F.lit(p1x)
-            cond = cond & (x <= xinters)
-        terms.append(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
-    if not terms:
+    closed = [(float(px), float(py)) for px, py in [*ring, ring[0]]]
+    crossed = [_toggles(y, x, *(F.lit(v) for v in (ax, ay, bx, by, min(ay, by), max(ay, by), max(ax, bx))), F.lit(ax == bx))
+               for (ax, ay), (bx, by) in zip(closed, closed[1:], strict=False) if ay != by]
+    if not crossed:
         return F.lit(False)
-    return (reduce(add, terms) % 2) == 1
+    return (reduce(add, [F.when(c, F.lit(1)).otherwise(F.lit(0)) for c in crossed]) % 2) == 1
 
 
 def in_polygon(lat: ColumnOrValue, lon: ColumnOrValue, geojson: Union[str, dict, Ring]) -> Column:
@@ -163,28 +153,30 @@ def ring_column(geojson_col: Column) -> Column:
     return F.transform(outer, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
-def point_in_ring_column(lat: Column, lon: Column, ring: Column) -> Column:
-    """Parity test against a ring held in a column (one ring per row).
+def ring_edges_column(ring: Column) -> Column:
+    """A ring column's edges, the closing one too, without level ones:
+    ``ARRAY<STRUCT<x1, y1, x2, y2>>``."""
+    following = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    edges = F.zip_with(ring, following, lambda p, q: F.struct(
+        p["lon"].alias("x1"), p["lat"].alias("y1"), q["lon"].alias("x2"), q["lat"].alias("y2")))
+    return F.filter(edges, lambda e: e["y1"] != e["y2"])
 
-    Same edge rule as :func:`point_in_ring`; the edge list is walked with the
-    ``aggregate`` higher-order function, so it stays JVM-side.
-    """
-    n = F.size(ring)
-    idx = F.sequence(F.lit(1), n)
-
-    def step(acc: Column, i: Column) -> Column:
-        p1 = F.element_at(ring, i)
-        p2 = F.element_at(ring, (i % n) + 1)
-        p1x, p1y, p2x, p2y = p1["lon"], p1["lat"], p2["lon"], p2["lat"]
-        # try_divide: horizontal edges (zero divisor) give null, never an ANSI error
-        xinters = F.try_divide((lat - p1y) * (p2x - p1x), p2y - p1y) + p1x
-        hit = ((lat > F.least(p1y, p2y)) & (lat <= F.greatest(p1y, p2y))
-               & (lon <= F.greatest(p1x, p2x)) & (p1y != p2y)
-               & ((p1x == p2x) | (lon <= xinters)))
+
+def odd_crossings(lat: Column, lon: Column, edges: Column) -> Column:
+    """Parity of the edges of an edge column that are crossed, JVM-side by the
+    ``aggregate`` higher-order function; no edges or a null column: false."""
+    def step(acc: Column, e: Column) -> Column:
+        hit = _toggles(lat, lon, e["x1"], e["y1"], e["x2"], e["y2"], F.least(e["y1"], e["y2"]),
+                       F.greatest(e["y1"], e["y2"]), F.greatest(e["x1"], e["x2"]), e["x1"] == e["x2"])
         return acc + F.when(hit, F.lit(1)).otherwise(F.lit(0))
 
-    parity = F.aggregate(idx, F.lit(0), step)
-    return F.coalesce((parity % 2) == 1, F.lit(False))
+    return F.coalesce((F.aggregate(edges, F.lit(0), step) % 2) == 1, F.lit(False))
+
+
+def point_in_ring_column(lat: Column, lon: Column, ring: Column) -> Column:
+    """Parity test against a ring held in a column (one ring per row), by the
+    same edge rule as :func:`point_in_ring`."""
+    return odd_crossings(lat, lon, ring_edges_column(ring))
 
 
 def ring_bounds_columns(ring: Column) -> tuple[Column, Column, Column, Column]:

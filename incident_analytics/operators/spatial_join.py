@@ -3,8 +3,12 @@
 Both use a lat/lon grid of several levels; a cell of level L has an edge of
 2**L degrees. Each circle or polygon takes the level at which its own bounding
 box spans a few cells and is exploded (a generator, not a join) into the cells
-its box touches: at most 9 for a circle and 25 for a polygon (twice that
-across the ±180° meridian), whatever the sizes of the other shapes. Each
+its box touches: at most 9 for a circle and 25 for a polygon of up to 16 points
+(twice that across the ±180° meridian), whatever the sizes of the other shapes.
+A polygon of many edges takes finer cells, about as many as it has edges. Cells
+that no edge comes near are wholly inside, where a point needs no further test,
+or outside, and left out; the others carry only the edges that their points can
+cross, so the cost of a candidate does not grow with the polygon's edges. Each
 incident emits one row per level in use (levels differ by a factor of two, so
 29 cover 0.1 m to the globe). The equi-join on (level, cell_y, cell_x) yields
 candidate pairs, and the exact test (haversine, ray-casting parity) keeps the
@@ -27,12 +31,14 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 FINEST, COARSEST = -20, 8  # cell edges of about 0.1 m and 256 degrees
+MOST_CELLS = 64  # a side, for polygons of very many edges
+MARGIN = 1e-9    # degrees; far more than the rounding of an edge's intercept
 CELL = ["_level", "_cell_y", "_cell_x"]
 
 
-def _level(side: Column, cells: int) -> Column:
+def _level(side: Column, cells: int | Column) -> Column:
     """Level whose cell edge is at least ``side / cells`` and less than twice that."""
-    wanted = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)) / F.lit(float(cells))))
+    wanted = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)) / cells))
     return F.least(F.greatest(wanted, F.lit(FINEST)), F.lit(COARSEST)).cast("int")
 
 
@@ -63,14 +69,46 @@ def circle_cells(centers: DataFrame, center_lat: str = "center_lat", center_lon:
 
 
 def polygon_cells(polygons: DataFrame, geojson: str = "geojson") -> DataFrame:
-    """One row per polygon and cell of its level that its box touches, with the ring and the box."""
-    shapes = polygons.withColumn("_ring", geo.ring_column(F.col(geojson)))
+    """One row per polygon and cell of its level that it can reach, with the box,
+    ``_whole`` (no edge comes near the cell, which lies inside) and ``_edges``
+    (for other cells: those edges that a point of the cell can cross). Cells that
+    no edge comes near and that lie outside are left out. The more edges, the
+    finer the cells: about the square root of their number a side, 4 to
+    ``MOST_CELLS``."""
+    ring = geo.ring_column(F.col(geojson))
     lo_lat, hi_lat, lo_lon, hi_lon = geo.ring_bounds_columns(F.col("_ring"))
-    shapes = (shapes.withColumn("_lo_lat", lo_lat).withColumn("_hi_lat", hi_lat)
-                    .withColumn("_lo_lon", lo_lon).withColumn("_hi_lon", hi_lon))
+    shapes = (polygons.withColumn("_ring", ring)
+                      .withColumn("_lo_lat", lo_lat).withColumn("_hi_lat", hi_lat)
+                      .withColumn("_lo_lon", lo_lon).withColumn("_hi_lon", hi_lon))
     side = F.greatest(F.col("_hi_lat") - F.col("_lo_lat"), F.col("_hi_lon") - F.col("_lo_lon"))
-    return _explode_box(shapes.withColumn("_level", _level(side, 4)),
-                        F.col("_lo_lat"), F.col("_hi_lat"), F.col("_lo_lon"), F.col("_hi_lon"))
+    fine = F.least(F.greatest(F.ceil(F.sqrt(F.size("_ring"))), F.lit(4)), F.lit(MOST_CELLS))
+    cells = _explode_box(shapes.withColumn("_level", _level(side, fine)),
+                         F.col("_lo_lat"), F.col("_hi_lat"), F.col("_lo_lon"), F.col("_hi_lon"))
+    edge = F.pow(F.lit(2.0), F.col("_level"))
+    y, x = F.col("_cell_y") * edge, F.col("_cell_x") * edge
+
+    def ends(p: Column, q: Column) -> tuple[Column, Column]:
+        return F.least(p, q), F.greatest(p, q)
+
+    def near(p: Column, q: Column) -> Column:
+        (low_y, high_y), (low_x, high_x) = ends(p["lat"], q["lat"]), ends(p["lon"], q["lon"])
+        return ((high_y >= y - MARGIN) & (low_y <= y + edge + MARGIN)
+                & (high_x >= x - MARGIN) & (low_x <= x + edge + MARGIN))
+
+    def reached(e: Column) -> Column:
+        (low_y, high_y), (_, high_x) = ends(e["y1"], e["y2"]), ends(e["x1"], e["x2"])
+        return (high_y >= y) & (low_y < y + edge) & (high_x >= x)
+
+    # level edges bound the polygon too
+    following = F.concat(F.slice("_ring", F.lit(2), F.greatest(F.size("_ring") - 1, F.lit(0))), F.slice("_ring", 1, 1))
+    touched = F.exists(F.zip_with("_ring", following, near), lambda hit: F.coalesce(hit, F.lit(False)))
+    centre_inside = geo.point_in_ring_column(y + edge / 2, x + edge / 2, F.col("_ring"))
+    none = F.filter(geo.ring_edges_column(F.col("_ring")), lambda e: F.lit(False))
+    return (cells.withColumn("_touched", touched)
+                 .withColumn("_whole", F.when(F.col("_touched"), F.lit(False)).otherwise(centre_inside))
+                 .where(F.col("_touched") | F.col("_whole"))
+                 .withColumn("_edges", F.when(F.col("_touched"), F.filter(geo.ring_edges_column(F.col("_ring")), reached)).otherwise(none))
+                 .drop("_ring", "_touched"))
 
 
 def candidates(incidents: DataFrame, cells: DataFrame) -> DataFrame:
@@ -97,5 +135,5 @@ def polygon_join(incidents: DataFrame, polygons: DataFrame, geojson: str = "geoj
     pairs = candidates(incidents, polygon_cells(polygons, geojson))
     lat, lon = F.col("latitude"), F.col("longitude")
     inside = (lat.between(F.col("_lo_lat"), F.col("_hi_lat")) & lon.between(F.col("_lo_lon"), F.col("_hi_lon"))
-              & geo.point_in_ring_column(lat, lon, F.col("_ring")))
-    return pairs.where(inside).drop("_ring", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
+              & (F.col("_whole") | geo.odd_crossings(lat, lon, F.col("_edges"))))
+    return pairs.where(inside).drop("_edges", "_whole", "_lo_lat", "_hi_lat", "_lo_lon", "_hi_lon")
