@@ -337,7 +337,10 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
     answers = [written(_meet(state.mapInArrow(pairs, _STEP)), "suffix-answers")]  # pairs wait for no answers
     for level in range(1, DEPTH + 1):
         steps = written(_by_block(state, answers, level, sums, gram_buckets, _STEP, step, False), "suffix-steps")
-        answers.append(written(_meet(steps), "suffix-answers", drop=[steps]))
+        # one after the other: the shuffle files of the first are gone when the second writes its own
+        if level < DEPTH:
+            answers.append(written(_meet(steps.where(F.col("kind") == _GRAMS)), "suffix-answers"))
+        answers.append(written(_meet(steps.where(F.col("kind") != _GRAMS)), "suffix-answers", drop=[steps]))
     return _by_block(state, answers, DEPTH, sums, gram_buckets,
                      "doc_id LONG, n_tokens LONG, n_known LONG, train_tokens LONG, base_score DOUBLE, score DOUBLE", score, True)
 
