@@ -254,6 +254,25 @@ def q_summary_append_replay(spark, sf_dir):
     return kpi.kpis(summary.read_summary(spark, gold_path), *P.KPI_RANGE)
 
 
+def _audited_load(spark, sf_dir):
+    """The staged export loaded with its audit into a fresh gold table."""
+    gold_path = scratch_path(spark, "gold-audit")
+    loader.load_export(spark, _staged_csv(spark, sf_dir), gold_path, audit=True)
+    return gold_path
+
+
+def q_load_audit(spark, sf_dir):
+    """The cleaning's counts, gathered by the load's one scan of the export."""
+    return loader.read_audit(spark, _audited_load(spark, sf_dir))
+
+
+def q_load_rejects(spark, sf_dir):
+    """The rows that the load rejected, with the rules that they fail."""
+    rows = loader.read_rejects(spark, _audited_load(spark, sf_dir))
+    return rows.select(F.col("raw")["incident_id"].cast("bigint").alias("incident_id"), F.array_join("failed", ",").alias("failed"),
+                       F.col("raw")["Offense Category"].alias("offense_text"))
+
+
 def q_curve_layout_filter(spark, sf_dir):
     """Incidents in a circle and in a polygon, from a gold table laid out along the curve."""
     gold_path = scratch_path(spark, "gold-curve")
@@ -265,16 +284,16 @@ def q_curve_layout_filter(spark, sf_dir):
             .unionByName(ring.select(F.lit("polygon").alias("shape"), *ROW_COLS)))
 
 
-def _radius_join(spark, sf_dir, radius):
+def _radius_join(spark, sf_dir, radius, incidents=None, split=False):
     """Incidents within the radius of every block centroid, by category."""
-    pts = IncidentFilter(*P.FULL_RANGE).apply(_incidents(spark, sf_dir))
+    pts = IncidentFilter(*P.FULL_RANGE).apply(incidents or _incidents(spark, sf_dir))
     centers = (pts.where(F.col("location").isNotNull()).groupBy("location")
                .agg(exact_mean(F.col("latitude")).alias("center_lat"),
                     exact_mean(F.col("longitude")).alias("center_lon"))
                .select(F.col("location").alias("center_id"), "center_lat", "center_lon",
                        radius.alias("radius_m")))
     pairs = spatial_join.radius_join(pts.select("incident_id", "crime_against_category",
-                                                "latitude", "longitude"), centers)
+                                                "latitude", "longitude"), centers, split=split)
     cat = F.col("crime_against_category")
     return pairs.groupBy("center_id").agg(
         F.count(F.lit(1)).alias("incidents"),
@@ -294,6 +313,11 @@ def q_radius_join_mixed(spark, sf_dir):
     return _radius_join(spark, sf_dir, F.when(block == 0, small).when(block == 1, middle).otherwise(large))
 
 
+def q_radius_join_hot_cell(spark, sf_dir):
+    """Blocks where a third of all incidents are at one place, whose cell is split."""
+    return _radius_join(spark, sf_dir, F.lit(P.BLOCK_RADIUS_M), fixtures.hot_place(_incidents(spark, sf_dir)), split=True)
+
+
 def _polygon_join(spark, sf_dir, shapes):
     """Incidents inside each of several polygons."""
     pts = IncidentFilter(*P.FULL_RANGE).apply(_incidents(spark, sf_dir))
@@ -477,12 +501,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ingest_stream": q_ingest_stream,
         "ingest_append_replay": q_ingest_append_replay,
         "summary_append_replay": q_summary_append_replay,
+        "load_audit": q_load_audit,
+        "load_rejects": q_load_rejects,
         "curve_layout_filter": q_curve_layout_filter,
         "ingest_profile": q_ingest_profile,
         "schema_report": q_schema_report,
         "radius_join": q_radius_join,
         "polygon_join": q_polygon_join,
         "radius_join_mixed": q_radius_join_mixed,
+        "radius_join_hot_cell": q_radius_join_hot_cell,
         "polygon_join_mixed": q_polygon_join_mixed,
         "geocode_lookup": q_geocode_lookup,
         "circle_outline": q_circle_outline,

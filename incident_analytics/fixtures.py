@@ -174,3 +174,14 @@ def hot_day(gold: DataFrame) -> DataFrame:
     day = F.lit(HOT_DAY)
     return (gold.withColumn("date", day)
             .withColumn("datetime", F.concat(day.cast("string"), F.lit(" "), F.col("time"))))
+
+
+HOT_PLACE = (47.6062, -122.3321)
+
+
+def hot_place(gold: DataFrame) -> DataFrame:
+    """The incidents view with every third row's coordinates (where it has them) moved to one place."""
+    moved = (F.pmod("incident_id", F.lit(3)) == 0) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    lat, lon = HOT_PLACE
+    return (gold.withColumn("latitude", F.when(moved, F.lit(lat)).otherwise(F.col("latitude")))
+            .withColumn("longitude", F.when(moved, F.lit(lon)).otherwise(F.col("longitude"))))

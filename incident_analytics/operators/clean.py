@@ -6,7 +6,7 @@ shuffle) and runs at scan speed on any number of executors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_from_parts, hour_of
@@ -80,20 +80,13 @@ def _date_parts(columns: list[str]) -> dict[str, Column]:
     }
 
 
-def clean(raw: DataFrame) -> DataFrame:
-    """Raw export → gold rows: ``incident_id`` (when present) + the 14 gold columns."""
-    s = with_numeric_coords(standardize_missing(raw))
-    keep = None
-    for cond in keep_rules(columns=raw.columns).values():
-        keep = cond if keep is None else keep & cond
-    s = s.where(keep)
-    if "Shooting Type Group" in raw.columns:
-        s = s.fillna({"Shooting Type Group": NO_SHOOTING})           # C9
-    parts = _date_parts(raw.columns)                                 # C10
+def _gold_columns(columns: list[str]) -> list[Column]:
+    """Gold columns over the C1/C2 output of an export with these columns."""
+    parts = _date_parts(columns)                                     # C10
     date = date_from_parts(parts["year"], parts["month"], parts["day"])  # P1
     time = parts["time"]                                             # P2
-    out = s.select(
-        *(["incident_id"] if "incident_id" in raw.columns else []),
+    return [
+        *([F.col("incident_id")] if "incident_id" in columns else []),
         date.alias("date"),
         time.alias("time"),
         hour_of(time).alias("hour"),                                 # P3
@@ -101,15 +94,29 @@ def clean(raw: DataFrame) -> DataFrame:
         # C12 select and rename (C11: hazard text to DOUBLE; C2 did the coordinates)
         *[(F.col(f"`{raw}`").try_cast("double") if gold == "hazardness" else F.col(f"`{raw}`")).alias(gold)
           for raw, gold in RAW_TO_GOLD.items()],
-    )
+    ]
+
+
+def clean(raw: DataFrame) -> DataFrame:
+    """Raw export → gold rows: ``incident_id`` (when present) + the 14 gold columns."""
+    s = with_numeric_coords(standardize_missing(raw))
+    s = s.where(_all(keep_rules(columns=raw.columns)))
+    if "Shooting Type Group" in raw.columns:
+        s = s.fillna({"Shooting Type Group": NO_SHOOTING})           # C9
+    out = s.select(*_gold_columns(raw.columns))
     assert out.columns[-len(GOLD_COLUMNS):] == GOLD_COLUMNS
     return out
 
 
-def clean_audit(raw: DataFrame) -> DataFrame:
-    """C14: rows in, rows failing each rule (each rule on its own), rows out,
-    in one aggregate pass; returned long as (rule, rows). Rows of an export
-    that did not fit its header are counted as ``unreadable_rows``."""
+def _all(rules: dict[str, Column]) -> Column:
+    keep = None
+    for cond in rules.values():
+        keep = cond if keep is None else keep & cond
+    return keep
+
+
+def _audited(raw: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The C1/C2 output with what the audit needs besides, and its metrics (C14)."""
     text_cols = [f.name for f in raw.schema.fields
                  if f.dataType.simpleString() == "string" and f.name != CORRUPT]
     placeholder = None
@@ -124,9 +131,6 @@ def clean_audit(raw: DataFrame) -> DataFrame:
     unparseable = ((F.col("_lat_text").isNotNull() & F.col("Latitude").isNull())
                    | (F.col("_lon_text").isNotNull() & F.col("Longitude").isNull()))
     rules = keep_rules(columns=raw.columns)
-    keep_all = None
-    for cond in rules.values():
-        keep_all = cond if keep_all is None else keep_all & cond
     parts = _date_parts(raw.columns)
     date = date_from_parts(parts["year"], parts["month"], parts["day"])
     hour_missing = F.hour(F.try_to_timestamp(parts["time"], F.lit("H:m:s"))).isNull()
@@ -139,9 +143,36 @@ def clean_audit(raw: DataFrame) -> DataFrame:
                                if "Shooting Type Group" in raw.columns else F.lit(0).cast("bigint")),
         "p1_bad_date": F.count_if(date.isNull()),
         "p3_hour_defaulted": F.count_if(hour_missing),
-        "rows_out": F.count_if(F.coalesce(keep_all, F.lit(False))),
+        "rows_out": F.count_if(F.coalesce(_all(rules), F.lit(False))),
     }
     if CORRUPT in raw.columns:
         metrics["unreadable_rows"] = F.count_if(F.col(CORRUPT).isNotNull())
+    return s, metrics
+
+
+def clean_audit(raw: DataFrame) -> DataFrame:
+    """C14: rows in, rows failing each rule (each rule on its own), rows out,
+    in one aggregate pass; returned long as (rule, rows). Rows of an export
+    that did not fit its header are counted as ``unreadable_rows``."""
+    s, metrics = _audited(raw)
     wide = s.agg(*[expr.alias(name) for name, expr in metrics.items()])
     return wide.unpivot([], list(metrics), "rule", "rows")
+
+
+def clean_observed(raw: DataFrame, observation: Observation) -> DataFrame:
+    """Every raw row cleaned but none removed: the gold columns (null where the
+    row fails), ``failed`` (names of the rules that it fails), ``raw`` (a map of
+    the export's columns as read, null where the row is kept) and ``rejected``. The
+    audit's counts (C14) are gathered by ``observation`` while the rows are
+    written; they count each row once if the write follows without a shuffle."""
+    entries = [x for c in raw.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]
+    whole = raw.withColumn("_raw", F.create_map(*entries))
+    s, metrics = _audited(whole)
+    s = s.observe(observation, *[expr.alias(name) for name, expr in metrics.items()])
+    names = [F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in keep_rules(columns=raw.columns).items()]
+    failed = F.array_compact(F.array(*names))
+    gold = s.select(*_gold_columns(raw.columns), failed.alias("failed"), "_raw")
+    kept = [c for c in gold.columns if c not in ("failed", "_raw")]
+    rejected = F.size("failed") > 0
+    return gold.select(*[F.when(~rejected, F.col(c)).alias(c) for c in kept], "failed",
+                       F.when(rejected, F.col("_raw")).alias("raw"), rejected.alias("rejected"))

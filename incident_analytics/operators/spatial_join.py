@@ -19,7 +19,10 @@ Scale: a shape's candidates are the incidents in a box a few times its own
 area, so one large shape does not widen the search of small ones. The exploded
 shape side is small and is broadcast by Spark's own size check when it fits;
 otherwise it is a shuffle join on the cell, where AQE splits a hot cell (a
-third of all incidents in one cell) into several tasks.
+third of all incidents in one cell) into several tasks. ``split`` does so
+without AQE: a cell that holds too many incidents is counted beforehand, its
+incidents are dealt over pieces by a hash of the whole row, and the cell's
+shapes are repeated once a piece.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.materialize import materialize
 
 FINEST, COARSEST = -20, 8  # cell edges of about 0.1 m and 256 degrees
 MOST_CELLS = 64  # a side, for polygons of very many edges
 MARGIN = 1e-9    # degrees; far more than the rounding of an edge's intercept
 CELL = ["_level", "_cell_y", "_cell_x"]
+PIECES = 4       # of incidents per shuffle partition, at most, where cells are split
 
 
 def _level(side: Column, cells: int | Column) -> Column:
@@ -111,28 +116,64 @@ def polygon_cells(polygons: DataFrame, geojson: str = "geojson") -> DataFrame:
                  .drop("_ring", "_touched"))
 
 
-def candidates(incidents: DataFrame, cells: DataFrame) -> DataFrame:
-    """Incidents joined with the shapes whose cells hold them, before the exact test."""
+def point_cells(incidents: DataFrame, cells: DataFrame) -> DataFrame:
+    """One row per incident with coordinates and level in use, with its cell."""
     levels = cells.agg(F.collect_set("_level")).scalar()  # at most one entry per level
     lat, lon = F.col("latitude"), F.col("longitude")
-    points = (incidents.where(lat.isNotNull() & lon.isNotNull()).withColumn("_level", F.explode(levels))
-              .withColumn("_cell_y", _cell(lat)).withColumn("_cell_x", _cell(lon)))
+    return (incidents.where(lat.isNotNull() & lon.isNotNull()).withColumn("_level", F.explode(levels))
+            .withColumn("_cell_y", _cell(lat)).withColumn("_cell_x", _cell(lon)))
+
+
+def hot_cells(points: DataFrame) -> DataFrame:
+    """(cell, _pieces): the cells that hold more than one in ``PIECES`` times the
+    shuffle partitions of all rows of ``points``, and into how many pieces of
+    that size to split them. Fewer rows than that number, whatever the data."""
+    most = PIECES * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = points.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
+    share = counts.agg(F.sum("_n")).scalar() / F.lit(most)
+    hot = counts.where(F.col("_n") > share)
+    return materialize(hot.select(*CELL, F.ceil(F.col("_n") / share).cast("int").alias("_pieces")))
+
+
+def split_hot_cells(points: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_piece`` to join on besides the cell. The incidents of
+    a hot cell are dealt by a hash of all their columns, so a task that is run
+    again deals them alike (rows equal in every column share a piece); the
+    cell's shapes are repeated in each piece. Other cells have one piece."""
+    columns = [F.col(f"`{c}`") for c in points.columns]
+    hot = F.broadcast(hot_cells(points))  # bounded, see hot_cells
+    pieces = F.coalesce("_pieces", F.lit(1))
+    dealt = points.join(hot, CELL, "left").withColumn("_piece", F.pmod(F.xxhash64(*columns), pieces).cast("int"))
+    repeated = cells.join(hot, CELL, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.drop("_pieces"), repeated.drop("_pieces")
+
+
+def candidates(incidents: DataFrame, cells: DataFrame, split: bool = False) -> DataFrame:
+    """Incidents joined with the shapes whose cells hold them, before the exact
+    test. ``split``: hot cells are counted (one more pass over the incidents) and
+    split, for shapes too many to broadcast."""
+    points = point_cells(incidents, cells)
+    if split:
+        points, cells = split_hot_cells(points, cells)
+        return points.join(cells, [*CELL, "_piece"], "inner").drop(*CELL, "_piece")
     return points.join(cells, CELL, "inner").drop(*CELL)
 
 
 def radius_join(incidents: DataFrame, centers: DataFrame, center_lat: str = "center_lat",
-                center_lon: str = "center_lon", radius: str = "radius_m") -> DataFrame:
+                center_lon: str = "center_lon", radius: str = "radius_m", split: bool = False) -> DataFrame:
     """Pairs (centre columns…, incident columns…, distance_m) with the incident
-    within the centre's radius (great-circle, metres)."""
-    pairs = candidates(incidents, circle_cells(centers, center_lat, center_lon, radius))
+    within the centre's radius (great-circle, metres). ``split``: see ``candidates``."""
+    pairs = candidates(incidents, circle_cells(centers, center_lat, center_lon, radius), split)
     dist = geo.haversine_m(F.col(center_lat), F.col(center_lon), F.col("latitude"), F.col("longitude"))
     return pairs.withColumn("distance_m", dist).where(F.col("distance_m") <= F.col(radius))
 
 
-def polygon_join(incidents: DataFrame, polygons: DataFrame, geojson: str = "geojson") -> DataFrame:
+def polygon_join(incidents: DataFrame, polygons: DataFrame, geojson: str = "geojson",
+                 split: bool = False) -> DataFrame:
     """Pairs (polygon columns…, incident columns…) with the incident inside the
-    polygon's outer ring (closed bounding box and ray-casting parity)."""
-    pairs = candidates(incidents, polygon_cells(polygons, geojson))
+    polygon's outer ring (closed bounding box and ray-casting parity). ``split``:
+    see ``candidates``."""
+    pairs = candidates(incidents, polygon_cells(polygons, geojson), split)
     lat, lon = F.col("latitude"), F.col("longitude")
     inside = (lat.between(F.col("_lo_lat"), F.col("_hi_lat")) & lon.between(F.col("_lo_lon"), F.col("_hi_lon"))
               & (F.col("_whole") | geo.odd_crossings(lat, lon, F.col("_edges"))))

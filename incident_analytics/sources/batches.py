@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOG = "_batches"
 SUMMARY = "_summary"
+AUDIT = "_audit"      # of a batch: the counts of its cleaning
+REJECTS = "_rejects"  # of a batch: its cleaned rows and the rejected ones
 ATTEMPTS = 20
 
 
@@ -98,7 +100,7 @@ def remove_unlisted(spark: SparkSession, path: str) -> list[str]:
     replaced batches. Not while a load or a reader of an older list runs."""
     listed = live(spark, path)
     gone = []
-    for base in (path, f"{path}/{SUMMARY}") if listed is not None else ():
+    for base in (path, *[f"{path}/{part}" for part in (SUMMARY, AUDIT, REJECTS)]) if listed is not None else ():
         for name in _names(spark, base):
             if name.startswith("batch=") and name not in listed:
                 fs, folder = _store(spark, f"{base}/{name}")
@@ -124,6 +126,18 @@ def summary_folders(spark: SparkSession, path: str) -> set[str]:
     return {n for n in names if "_SUCCESS" in _names(spark, f"{path}/{SUMMARY}/{n}")}
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a batch."""
+    fs, folder = _store(spark, path)
+    fs.delete(folder, True)
+
+
+def parts_of(spark: SparkSession, path: str, part: str) -> list[str]:
+    """Paths of the listed batches' folders in a sub-folder that has one for only some of them."""
+    names = set(_names(spark, f"{path}/{part}"))
+    return [f"{path}/{part}/{name}" for name in live(spark, path) or [] if name in names]
+
+
 def name_digest(names: list[str]) -> str:
     return hashlib.sha256("\n".join(names).encode()).hexdigest()[:16]
 

@@ -506,6 +506,21 @@ num AS (SELECT * REPLACE (TRY_CAST("Latitude" AS DOUBLE) AS "Latitude",
 wide AS (SELECT {wide} FROM num)""")
 
 
+def load_audit() -> str:
+    """The audit of the export; every row of it fits its header."""
+    return clean_audit() + " UNION ALL SELECT 'unreadable_rows' AS rule, 0 AS rows"
+
+
+def load_rejects() -> str:
+    rules = keep_sql()
+    names = ", ".join(f"CASE WHEN NOT coalesce(({v}), FALSE) THEN '{k}' END" for k, v in rules.items())
+    keep = " AND ".join(f"({v})" for v in rules.values())
+    return with_incidents(f"""
+SELECT incident_id, concat_ws(',', {names}) AS failed, offense_text
+FROM num JOIN (SELECT incident_id AS raw_id, "Offense Category" AS offense_text FROM raw) r ON num.incident_id = raw_id
+WHERE NOT coalesce(({keep}), FALSE)""", clean_ctes())
+
+
 def ingest_profile() -> str:
     return with_incidents(f"""
 SELECT count(*) AS records, count(*) FILTER (WHERE {COORDS}) AS records_with_coords,
@@ -541,6 +556,13 @@ centers AS (SELECT location AS center_id, {exact_mean_sql('latitude')} AS center
             FROM pts WHERE location IS NOT NULL GROUP BY location)""")
 
 
+def radius_join_hot_cell() -> str:
+    moved = "incident_id % 3 = 0 AND latitude IS NOT NULL AND longitude IS NOT NULL"
+    return radius_join().replace("FROM incidents", f"""FROM (SELECT * REPLACE (
+  CASE WHEN {moved} THEN {d(P.CENTER[0])} ELSE latitude END AS latitude,
+  CASE WHEN {moved} THEN {d(P.CENTER[1])} ELSE longitude END AS longitude) FROM incidents) moved""", 1)
+
+
 def radius_join_mixed() -> str:
     small, middle, large = map(d, P.MIXED_RADII_M)
     block = "CAST(regexp_extract(location, '^([0-9]+)', 1) AS INTEGER) % 3"
@@ -698,12 +720,15 @@ def all_sql() -> dict[str, str]:
         "ingest_stream": clean_incidents(),
         "ingest_append_replay": clean_incidents(),
         "summary_append_replay": summary_append_replay(),
+        "load_audit": load_audit(),
+        "load_rejects": load_rejects(),
         "curve_layout_filter": curve_layout_filter(),
         "ingest_profile": ingest_profile(),
         "schema_report": schema_report(),
         "radius_join": radius_join(),
         "polygon_join": polygon_join(),
         "radius_join_mixed": radius_join_mixed(),
+        "radius_join_hot_cell": radius_join_hot_cell(),
         "polygon_join_mixed": polygon_join(P.POLYGONS_MIXED),
         "geocode_lookup": geocode_lookup(),
         "circle_outline": circle_outline(),

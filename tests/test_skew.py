@@ -77,3 +77,41 @@ def test_radius_join_hot_cell(spark, skewed):
     pts = [(r["latitude"], r["longitude"]) for r in skewed.select("latitude", "longitude").collect()]
     want = {c: sum(1 for a, b in pts if _haversine(la, lo, a, b) <= r) for c, la, lo, r in centers}
     assert got == {c: n for c, n in want.items() if n}
+
+
+def _largest_and_median(df, keys, parts):
+    """Rows of the largest and the median shuffle partition of ``df`` dealt by ``keys``."""
+    counts = [r["count"] for r in df.repartition(parts, *keys).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    counts = sorted([0] * (parts - len(counts)) + counts)
+    return counts[-1], counts[parts // 2]
+
+
+def test_hot_cell_is_split(spark, skewed):
+    """Half of all incidents in one cell: no task gets three times the median, and the pairs are the same."""
+    r = random.Random(8)
+    rows = [(i, r.uniform(47.5, 47.7), r.uniform(-122.42, -122.25), r.choice([50.0, 805.0, 2000.0])) for i in range(60)]
+    rows += [(60 + i, 47.6062, -122.3321, 100.0) for i in range(3)]
+    centers = spark.createDataFrame(rows, "center_id INT, center_lat DOUBLE, center_lon DOUBLE, radius_m DOUBLE")
+    pts = IncidentFilter().apply(skewed).select("incident_id", "latitude", "longitude")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        cells = spatial_join.circle_cells(centers)
+        points = spatial_join.point_cells(pts, cells)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert spatial_join.hot_cells(points).count() < spatial_join.PIECES * parts
+        dealt, repeated = spatial_join.split_hot_cells(points, cells)
+        whole, _ = _largest_and_median(points, spatial_join.CELL, parts)
+        most, median = _largest_and_median(dealt, [*spatial_join.CELL, "_piece"], parts)
+        assert most < 3 * median and most < whole
+        assert dealt.count() == points.count() and repeated.count() > cells.count()
+        pairs = [sorted(spatial_join.radius_join(pts, centers, split=s).select("center_id", "incident_id").collect())
+                 for s in (True, False)]
+        assert pairs[0] == pairs[1]
+        want = sorted((c, p["incident_id"]) for p in pts.collect() for c, la, lo, m in rows
+                      if _haversine(la, lo, p["latitude"], p["longitude"]) <= m)
+        assert [tuple(x) for x in pairs[0]] == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
