@@ -347,6 +347,25 @@ def q_geocode_lookup(spark, sf_dir):
     return geocode.geocode(_addresses(inc), geocode.gazetteer_from_incidents(inc))
 
 
+def _typed(incidents):
+    """Addresses as people type them: a house number of the block, words turned
+    round, a letter left out, changed or moved, another street."""
+    loc = F.col("location")
+    block, hundred = F.regexp_extract(loc, "^([0-9]+)XX (.*)$", 1), F.lit("07")
+    street = F.regexp_replace(F.regexp_extract(loc, "^[0-9]+XX BLOCK OF (.*)$", 1), " ST$", "")
+    house = F.concat(block, hundred)
+    dropped, moved = F.substring(street, 2, 100), F.concat(F.substring(street, 2, 1), F.substring(street, 1, 1), F.substring(street, 3, 100))
+    typed = F.array(F.concat_ws(" ", house, street, F.lit("Street, Seattle WA 98101")), F.concat_ws(" ", street, F.lit("st."), house),
+                    F.concat_ws(" ", house, dropped, F.lit("st")), F.concat_ws(" ", house, moved, F.lit("st, apt 4")),
+                    F.concat_ws(" ", house, F.concat(F.lit("X"), dropped), F.lit("st")), F.concat_ws(" ", house, F.lit("Elsewhere Ave")))
+    return (incidents.where(loc.isNotNull()).select("location").distinct().select(F.explode(typed).alias("address")))
+
+
+def q_geocode_free_text(spark, sf_dir):
+    inc = _incidents(spark, sf_dir)
+    return geocode.geocode_text(_typed(inc), geocode.gazetteer_from_incidents(inc))
+
+
 def q_circle_outline(spark, sf_dir):
     hits = geocode.first_hits(geocode.gazetteer_from_incidents(_incidents(spark, sf_dir)))
     centers = hits.select("key", "display_name", F.lit(P.OUTLINE_RADIUS_M).alias("radius_m"),
@@ -512,6 +531,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "radius_join_hot_cell": q_radius_join_hot_cell,
         "polygon_join_mixed": q_polygon_join_mixed,
         "geocode_lookup": q_geocode_lookup,
+        "geocode_free_text": q_geocode_free_text,
         "circle_outline": q_circle_outline,
         **{f"{name}_from_summary": _from_summary(view) for name, view in SUMMARY_VIEWS.items()},
         **({**llm_registry.QUERIES, "pipeline": corpus_pipeline.run} if llm_registry else {}),

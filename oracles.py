@@ -604,6 +604,47 @@ addrs AS (SELECT location AS address FROM locs
           UNION ALL SELECT location || ' annex' FROM locs)""")
 
 
+def _words_sql(col: str) -> str:
+    """The sorted distinct words of the fixture's addresses (SURVEY J6; those of
+    its typed ones: abbreviations, fillers, unit, postal code, house number)."""
+    text = f"regexp_replace(lower({col}), '\\b(apt|unit|suite|ste)\\b\\.?\\s*[0-9a-z-]*', ' ', 'g')"
+    words = f"list_filter(string_split_regex({text}, '[^0-9a-z]+'), lambda w: w NOT IN ('', 'block', 'of', 'seattle', 'wa', '98101'))"
+    return (f"list_sort(list_distinct(list_transform({words}, lambda w: CASE WHEN w = 'st' THEN 'street' WHEN w = 'ave' THEN 'avenue' "
+            "WHEN regexp_full_match(w, '[0-9]+') THEN CAST(CAST(w AS BIGINT) // 100 AS VARCHAR) || 'xx' ELSE w END)))")
+
+
+def geocode_free_text() -> str:
+    """Every typed address against every entry's words: one word at most may
+    differ, by one letter missing, added, changed or moved."""
+    shorter = "list_transform(range(1, length({0}) + 1), lambda k: substr({0}, 1, k - 1) || substr({0}, k + 1))"
+    p, q = "(qw[1])", "(gw[1])"
+    moved = (f"(length({p}) = length({q}) AND list_sort(string_split({p}, '')) = list_sort(string_split({q}, '')) "
+             f"AND list_has_any({shorter.format(p)}, {shorter.format(q)}))")
+    return with_incidents(f"""
+SELECT a.address, h.lat AS latitude, h.lon AS longitude, h.display_name, h.typos
+FROM typed a LEFT JOIN ranked h ON {_words_sql('a.address')} = h.q AND h.rn = 1""", gazetteer_ctes() + f""",
+locs AS (SELECT DISTINCT location, regexp_extract(location, '^([0-9]+)XX', 1) || '07' AS house,
+           regexp_replace(regexp_extract(location, '^[0-9]+XX BLOCK OF (.*)$', 1), ' ST$', '') AS street
+         FROM incidents WHERE location IS NOT NULL),
+typed AS (SELECT house || ' ' || street || ' Street, Seattle WA 98101' AS address FROM locs
+  UNION ALL SELECT street || ' st. ' || house FROM locs
+  UNION ALL SELECT house || ' ' || substr(street, 2) || ' st' FROM locs
+  UNION ALL SELECT house || ' ' || substr(street, 2, 1) || substr(street, 1, 1) || substr(street, 3) || ' st, apt 4' FROM locs
+  UNION ALL SELECT house || ' X' || substr(street, 2) || ' st' FROM locs
+  UNION ALL SELECT house || ' Elsewhere Ave' FROM locs),
+asked AS (SELECT DISTINCT {_words_sql('address')} AS q FROM typed),
+named AS (SELECT *, {_words_sql('address')} AS g FROM gaz),
+sets AS (SELECT g, arg_min(ROW(lat, lon, display_name, hits), ROW(-hits, display_name)) AS hit FROM named GROUP BY g),
+differ AS (SELECT q, hit, list_filter(q, lambda w: NOT list_contains(g, w)) AS qw,
+             list_filter(g, lambda w: NOT list_contains(q, w)) AS gw FROM asked, sets),
+close AS (SELECT q, hit, CAST(length(qw) AS INTEGER) AS typos FROM differ
+          WHERE (length(qw) = 0 AND length(gw) = 0) OR (length(qw) = 1 AND length(gw) = 1
+            AND regexp_full_match({p}, '[a-z]{{3,}}') AND regexp_full_match({q}, '[a-z]{{3,}}')
+            AND (levenshtein({p}, {q}) <= 1 OR {moved}))),
+ranked AS (SELECT q, typos, hit[1] AS lat, hit[2] AS lon, hit[3] AS display_name,
+             row_number() OVER (PARTITION BY q ORDER BY typos, -hit[4], hit[3]) AS rn FROM close)""")
+
+
 def circle_outline() -> str:
     ang = "(6.283185307179586e0 * t.i / 64e0)"
     return with_incidents(f"""
@@ -731,5 +772,6 @@ def all_sql() -> dict[str, str]:
         "radius_join_hot_cell": radius_join_hot_cell(),
         "polygon_join_mixed": polygon_join(P.POLYGONS_MIXED),
         "geocode_lookup": geocode_lookup(),
+        "geocode_free_text": geocode_free_text(),
         "circle_outline": circle_outline(),
     }
