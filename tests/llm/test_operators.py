@@ -311,6 +311,35 @@ def test_pii_secrets_of_any_length():
     assert [x for x in pii.candidates("key = " + "-" * 5 + " " + "a" * 12) if x[0] == "secret"] == []
 
 
+def test_pii_compound_keys_and_schemes():
+    cases = {"db_password = hunter2hunter2 x": ("hunter2hunter2", True), "AWS_SECRET_ACCESS_KEY=abcDEF123456/xyz+": ("abcDEF123456/xyz+", True),
+             "access_token: tok-8812-zzz": ("tok-8812-zzz", True), '{"clientSecret": "s3cr3tvalue"}': ("s3cr3tvalue", True),
+             "client_secret=hunter2hunter2": ("hunter2hunter2", True), "Authorization: Bearer abc.def-ghi_123": ("abc.def-ghi_123", True),
+             "my_very_long_application_specific_database_password     =   qwertyuiop": ("qwertyuiop", True),
+             "note: password=hunter2hunter2": ("hunter2hunter2", True), "primary_key: customer_id": ("customer_id", None),
+             "colour: turquoise": ("turquoise", False), "spring.datasource.password=pa55word!": ("pa55word!", True)}
+    for text, want in cases.items():
+        assert want in [(text[a:b], y) for k, a, b, y in pii.candidates(text) if k == "secret"], text
+    assert list(pii.keyed_values("keyboard: token")) == []
+    # long texts of keys: values are not read over and over
+    for text in ("a:" * 200_000, "token:" * 100_000, "key=" * 100_000 + " ", "k" * 500_000, "a" + " " * 500_000, "key " * 100_000):
+        assert len(list(pii.keyed_values(text))) <= 2
+
+
+def test_pii_compound_keys_are_redacted(make_docs):
+    r = random.Random(21)
+    word = lambda n: "".join(r.choice("abcdefghjkmnpqrstuvwxyz23456789") for _ in range(n))
+    rows = [(k, f"settings password = {word(14)} and colour: {r.choice(['turquoise', 'burgundy', 'lavender'])} {word(3)} title: chapter{k % 90}") for k in range(400)]
+    rows += [(9000, "db_password = hunter2hunter2"), (9001, "AWS_SECRET_ACCESS_KEY=abcdef123456xyz9"), (9002, "Authorization: Bearer abc9def8ghi7jk6m"),
+             (9003, "access_token: ab12cd34ef56gh"), (9004, "the colour: turquoise"), (9005, "a plain sentence about keys and tokens")]
+    docs = make_docs(rows)
+    model = pii.train(id_and_text(docs))
+    out = {x["doc_id"]: x["text"] for x in pii.redact(docs.where("doc_id >= 9000"), model).collect()}
+    assert out[9000] == "db_password = [secret]" and out[9001] == "AWS_SECRET_ACCESS_KEY=[secret]"
+    assert out[9002] == "Authorization: Bearer [secret]" and out[9003] == "access_token: [secret]"
+    assert out[9004] == "the colour: turquoise" and out[9005] == "a plain sentence about keys and tokens"
+
+
 def test_pii_whole_secret_is_redacted(make_docs):
     code = "".join(random.Random(6).choices("abcdef0123456789", k=290))
     rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
