@@ -1,12 +1,12 @@
 """Command line: load an export into the gold table and run the post-load checks.
 
     python -m incident_analytics load --csv EXPORT_DIR_OR_GLOB --gold GOLD_DIR [--summary]
-                                      [--append] [--master local[8]]
+                                      [--audit] [--append] [--master local[8]]
     python -m incident_analytics check --gold GOLD_DIR
 
 ``load`` cleans every row of the CSV export and writes the year-partitioned
 gold table (replacing it, or appending with ``--append``), optionally with the
-daily summary, then prints the checks. ``check`` prints them for an existing
+daily summary and the cleaning's audit, then prints the checks. ``check`` prints them for an existing
 table: schema conformance (missing / extra / moved columns), one smoke row,
 row and coordinate counts, and the date span.
 """
@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--csv", required=True)
     load.add_argument("--gold", required=True)
     load.add_argument("--summary", action="store_true", help="keep the daily summary with the table")
+    load.add_argument("--audit", action="store_true", help="keep the cleaning's counts and the rejected rows with the table")
     load.add_argument("--append", action="store_true")
     check = sub.add_parser("check", help="post-load checks of a gold table")
     check.add_argument("--gold", required=True)
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.cmd == "load":
             loader.load_export(spark, args.csv, args.gold, mode="append" if args.append else "overwrite",
-                               summary=args.summary)
+                               summary=args.summary, audit=args.audit)
             print(f"loaded {args.csv} -> {args.gold}" + (" (+ summary)" if args.summary else ""))
         return _checks(spark, args.gold)
     finally:
