@@ -4,15 +4,20 @@ Generators propose overlapping spans of high recall: the four base kinds with
 and without their checks, keyed secrets, access keys, numbers with separators,
 long codes. Gradient-boosted trees score a candidate by its format (digits,
 letters, separators, lengths, entropy) and its context (the word before, the
-characters around). They learn from weak labels of the corpus itself, on at
-most ``SAMPLE`` distinct candidates in seeded hash order (documented bound), of
-which half the spans calibrate. A base kind is labelled by its check (octets, Luhn, digit counts). A number is personal if
+characters around). They learn from weak labels of the corpus itself, on all its
+distinct candidates, of which half the spans calibrate. A base kind is labelled by its check (octets, Luhn, digit counts). A number is personal if
 grouped as a national phone or an identity number or after a cue word, and not
 if it is a date, version, amount or dotted number; a code is a secret after a
 secret's key or with the prefix of an access key, and not after any other key,
 as digits alone or as an unkeyed hash. The rest is not learnt from. Each kind's
-threshold is the least that keeps ``PRECISION`` on a calibration half; a kind
-without both labels there has ``UNCALIBRATED``.
+threshold is the least multiple of ``1 / GRID`` that keeps ``PRECISION`` on the
+calibration half; a kind without both labels there has ``UNCALIBRATED``.
+
+Scale: candidates become their features' quantile bins, equal ones a row with
+its number, and stay distributed. A level of a tree is one job over those rows
+that sums gradients by node, feature and bin, a threshold one that counts by
+score; the driver gets these sums, whose number does not grow with the rows.
+Sums are of integers, so the trees do not depend on how rows are spread.
 
 Base spans (e-mail, ip, card, phone) always stay; the trees add spans that do
 not overlap one. Defined results: null and empty texts have no span; rows with
@@ -32,15 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._fit import sigmoid
-from ._io import id_and_text, table
+from ._io import id_and_text, table, written
 from ._ship import ship
 
-SAMPLE = 20_000
 PRECISION = 0.99
 UNCALIBRATED = 0.99
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret", "number"]
-ROUNDS, DEPTH, RATE, MIN_LEAF = 40, 3, 0.3, 10
+ROUNDS, DEPTH, RATE, MIN_LEAF, BINS = 40, 3, 0.3, 10, 32
+GRID = 1 << 13
+SCALE = 2.0**24  # gradients and leaves are multiples of 1 / SCALE, so their sums are exact in any order
+RUN = 1 << 14
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -208,7 +215,8 @@ def candidates(text: str):
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format and context features of a candidate."""
+    """Format and context features of a candidate (shares and entropy to three
+    digits, so a feature has few values however many candidates there are)."""
     s = text[start:end]
     n = len(s)
     digits = sum("0" <= c <= "9" for c in s)
@@ -220,7 +228,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     word = _word_before(text, start)
     groups = [len(p) for p in re.split(r"[^0-9]+", s) if p]
     changes = sum((a.isdigit() != b.isdigit()) for a, b in zip(s, s[1:], strict=False))
-    return [KINDS.index(kind), n, digits, upper, lower, digits / n, upper / n, entropy, changes,
+    return [KINDS.index(kind), n, digits, upper, lower, round(digits / n, 3), round(upper / n, 3), round(entropy, 3), changes,
             s.count("."), s.count("-"), s.count(" "), s.count("@"), s.count("("),
             float(before[-1:] == "+"), float(before[-1:] in ("=", '"', "'", ":")), float("=" in before[-4:]),
             float(word in _SECRET_WORDS or word in ("bearer", "basic")), float(word in _PLAIN),
@@ -230,65 +238,182 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
             max(groups, default=0)]
 
 
+def _on_scale(x):
+    return np.rint(x * SCALE) / SCALE
+
+
 class BoostedTrees:
-    """Small gradient boosting on the logistic loss: exact splits over quantile bins."""
+    """Small gradient boosting on the logistic loss: exact splits over quantile bins.
+
+    Trees are complete, a row each of ``feature``, ``cut`` (by node, a level
+    after the other; a node without a split sends all to its first child) and
+    ``value`` (by leaf)."""
 
-    def __init__(self, trees=None, bias: float = 0.0):
-        self.trees, self.bias = trees or [], bias
+    def __init__(self, bias: float = 0.0):
+        self.bias, nodes = bias, 2**DEPTH - 1
+        self.feature, self.cut, self.value = np.zeros((0, nodes), int), np.zeros((0, nodes)), np.zeros((0, nodes + 1))
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        model = cls(bias=float(np.log(share / (1 - share))))
-        score = np.full(len(y), model.bias)
-        edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 33)[1:-1])) for k in range(x.shape[1])]
+        edges = [np.unique(np.quantile(x[:, k], QUANTILES)) for k in range(x.shape[1])]
+        bins, once = to_bins(x, edges), np.ones(len(y))
+        return cls.boost(y.mean(), lambda model, tree, level: gradient_sums(model, tree, level, bins, y, once)).on_values(edges)
+
+    @classmethod
+    def boost(cls, share: float, sums) -> BoostedTrees:
+        """Trees over bins; sums(model, tree, level): ``gradient_sums`` of all rows."""
+        share = np.clip(share, 1e-3, 1 - 1e-3)
+        model = cls(bias=float(_on_scale(np.log(share / (1 - share)))))
         for _ in range(ROUNDS):
-            p = sigmoid(score)
-            tree = _grow(x, p - y, np.maximum(p * (1 - p), 1e-6), edges, np.arange(len(y)), DEPTH)
-            model.trees.append(tree)
-            score += RATE * _walk(tree, x)
+            tree = _grow(lambda tree, level: sums(model, tree, level))  # noqa: B023
+            model.feature, model.cut, model.value = (
+                np.vstack([old, new]) for old, new in zip((model.feature, model.cut, model.value), tree, strict=True))
+        return model
+
+    def on_values(self, edges: list[np.ndarray]) -> BoostedTrees:
+        """The same trees over the features' values."""
+        model = BoostedTrees(self.bias)
+        model.feature, model.cut, model.value = self.feature, self.cut.copy(), self.value
+        for at in zip(*np.nonzero(np.isfinite(model.cut)), strict=True):
+            model.cut[at] = edges[model.feature[at]][int(model.cut[at])]
         return model
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.bias)
-        for tree in self.trees:
-            total += RATE * _walk(tree, x)
-        return sigmoid(total)
-
-
-def _grow(x, g, h, edges, rows, depth):
-    leaf = -g[rows].sum() / (h[rows].sum() + 1.0)
-    if depth == 0 or len(rows) < 2 * MIN_LEAF:
-        return leaf
-    best, where = 1e-6, None
-    parent = g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
-    for k, cuts in enumerate(edges):
-        if len(cuts):
-            at = np.searchsorted(cuts, x[rows, k], side="left")
-            gs, hs = (np.cumsum(np.bincount(at, weights=v[rows], minlength=len(cuts) + 1)) for v in (g, h))
-            ns = np.cumsum(np.bincount(at, minlength=len(cuts) + 1))
-            gain = gs**2 / (hs + 1.0) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1.0) - parent
-            gain[(ns < MIN_LEAF) | (ns[-1] - ns < MIN_LEAF)] = 0.0
-            c = int(np.argmax(gain[:-1]))
-            if gain[c] > best:
-                best, where = gain[c], (k, float(cuts[c]))
-    if where is None:
-        return leaf
-    left = x[rows, where[0]] <= where[1]
-    return (*where, _grow(x, g, h, edges, rows[left], depth - 1), _grow(x, g, h, edges, rows[~left], depth - 1))
-
-
-def _walk(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    k, cut, low, high = tree
-    out, left = np.empty(len(x)), x[:, k] <= cut
-    out[left], out[~left] = _walk(low, x[left]), _walk(high, x[~left])
+        tree, leaves = np.arange(len(self.value)), 2**DEPTH - 1
+        at = np.zeros((len(x), len(tree)), int)
+        row = np.arange(len(x))[:, None]
+        for _ in range(DEPTH):
+            at = 2 * at + 1 + (x[row, self.feature[tree, at]] > self.cut[tree, at])
+        return sigmoid(self.bias + self.value[tree, at - leaves].sum(axis=1))
+
+
+QUANTILES = np.linspace(0, 1, BINS + 1)[1:-1]
+
+
+def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(cuts, x[:, k], side="left") for k, cuts in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def gradient_sums(model: BoostedTrees, tree: tuple, level: int, bins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of gradients, Hessians (on SCALE) and weights by node of the tree's level, feature and bin."""
+    features, (feature, cut, _) = bins.shape[1], tree
+    out = np.zeros((2**level * features * BINS, 3), dtype=np.int64)
+    for lo in range(0, len(y), RUN):
+        x, t, w = bins[lo:lo + RUN], y[lo:lo + RUN], weight[lo:lo + RUN]
+        p, node = model.predict(x), np.zeros(len(x), int)
+        for _ in range(level):
+            node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+        cell = (((node - 2**level + 1)[:, None] * features + np.arange(features)) * BINS + x).ravel()
+        each = np.rint((p - t) * SCALE) * w, np.rint(np.maximum(p * (1 - p), 1e-6) * SCALE) * w, w
+        for k, v in enumerate(each):
+            out[:, k] += np.bincount(cell, weights=np.repeat(v, features), minlength=len(out)).astype(np.int64)
+    return out
+
+
+def _grow(sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree (feature, cut as a bin, value) from sums(tree, level)."""
+    feature, cut, value = tree = np.zeros(2**DEPTH - 1, int), np.full(2**DEPTH - 1, np.inf), np.zeros(2**DEPTH)
+    leaf = lambda g, h: _on_scale(-RATE * g / (h + 1.0))
+    for level in range(DEPTH):
+        split, span = False, 2**(DEPTH - level)
+        for j, node in enumerate(sums(tree, level).reshape(2**level, -1, BINS, 3)):
+            gs, hs = (np.cumsum(node[:, :, c], axis=1) / SCALE for c in (0, 1))
+            ns = np.cumsum(node[:, :, 2], axis=1)
+            value[j * span:(j + 1) * span] = leaf(gs[0, -1], hs[0, -1])
+            gain = (gs**2 / (hs + 1.0) + (gs[:, -1:] - gs) ** 2 / (hs[:, -1:] - hs + 1.0)
+                    - gs[:, -1:] ** 2 / (hs[:, -1:] + 1.0))
+            gain[(ns < MIN_LEAF) | (ns[:, -1:] - ns < MIN_LEAF)] = 0.0
+            k, c = np.unravel_index(np.argmax(gain), gain.shape)
+            if gain[k, c] > 1e-6:
+                at, half, split = 2**level - 1 + j, j * span + span // 2, True
+                feature[at], cut[at] = k, c
+                value[j * span:half] = leaf(gs[k, c], hs[k, c])
+                value[half:(j + 1) * span] = leaf(gs[k, -1] - gs[k, c], hs[k, -1] - hs[k, c])
+        if not split:
+            break
+    return tree
+
+
+def _cuts(counts: np.ndarray) -> dict:
+    """Thresholds from the numbers of candidates and of true ones by kind and score on GRID."""
+    cuts = {}
+    for k, (n, hits) in enumerate(np.cumsum(counts[:, ::-1], axis=1).transpose(0, 2, 1)):
+        good = np.flatnonzero((n > 0) & (hits >= PRECISION * n)) if 0 < hits[-1] < n[-1] else []
+        cuts[k] = max(0.5, float((GRID - good[-1]) / GRID)) if len(good) else UNCALIBRATED
+    return cuts
+
+
+def _score_counts(model: BoostedTrees, kind: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of all and of true candidates by kind and score on GRID."""
+    out = np.zeros((len(KINDS) * (GRID + 1), 2), dtype=np.int64)
+    for lo in range(0, len(y), RUN):
+        part = slice(lo, lo + RUN)
+        cell = kind[part] * (GRID + 1) + (model.predict(x[part]) * GRID).astype(np.int64)
+        for c, w in enumerate((weight[part], weight[part] * y[part])):
+            out[:, c] += np.bincount(cell, weights=w, minlength=len(out)).astype(np.int64)
+    return out
+
+
+def _added(rows: DataFrame, size: int, width: int, made) -> np.ndarray:
+    """The sum over all rows of made(kind, bins, y, weight), an integer array of this size and width."""
+    names = [f"v{c}" for c in range(width)]
+
+    def run(batches):
+        total = np.zeros((size, width), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+                kind, y, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "y", "n"))
+                total += made(kind.astype(np.int64), bins, y.astype(float), n.astype(float))
+        at = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, c]) for c in range(width)]],
+                                         names=["cell", *names])
+
+    cells = rows.mapInArrow(run, "cell INT, " + ", ".join(f"{c} LONG" for c in names)).groupBy("cell").agg(
+        *[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((size, width), dtype=np.int64)
+    out[cells.column("cell").to_numpy()] = np.stack([cells.column(c).to_numpy() for c in names], axis=1)
     return out
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict | None:
-    """Trees and per-kind thresholds from the corpus's own weak labels."""
+def _binned(pool: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """(kind, y, learn, bins, n): equal candidates once, with their number."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                bins = pa.array([row.tobytes() for row in to_bins(x, edges)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "y", "learn")], bins],
+                                                 names=["kind", "y", "learn", "bins"])
+    made = pool.select("kind", "y", "learn", "x").mapInArrow(run, "kind INT, y BOOLEAN, learn BOOLEAN, bins BINARY")
+    return made.groupBy("kind", "y", "learn", "bins").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _train_all(pool: DataFrame) -> dict | None:
+    pool = written(pool, "pii-candidates")
+    learn = F.col("learn")
+    size = pool.agg(F.count(F.lit(1)).alias("n"), F.count_if(learn).alias("learn"), F.count_if(learn & F.col("y")).alias("true"),
+                    F.max(F.size("x")).alias("features")).first()
+    if size["n"] < 4 * MIN_LEAF or size["learn"] < 2 * MIN_LEAF or size["learn"] == size["n"]:
+        return None
+    features = size["features"]
+    got = pool.where(learn).agg(*[F.percentile(F.col("x")[k], QUANTILES.tolist()).alias(f"q{k}") for k in range(features)]).first()
+    edges = [np.unique(got[k]) for k in range(features)]
+    rows = written(_binned(pool, edges), "pii-bins", drop=[pool])
+
+    def sums(model, tree, level):
+        return _added(rows.where(learn), 2**level * features * BINS, 3,
+                      lambda kind, bins, y, n: gradient_sums(model, tree, level, bins, y, n))
+
+    model = BoostedTrees.boost(size["true"] / size["learn"], sums)
+    counts = _added(rows.where(~learn), len(KINDS) * (GRID + 1), 2,
+                    lambda kind, bins, y, n: _score_counts(model, kind, bins, y, n))
+    return {"trees": model.on_values(edges), "cuts": _cuts(counts.reshape(len(KINDS), GRID + 1, 2))}
+
+
+def train(docs: DataFrame, sample: int | None = None, seed: int = 3) -> dict | None:
+    """Trees and per-kind thresholds from the corpus's own weak labels. Only a
+    trial run names a sample: that many candidates, drawn in seeded hash order."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -305,25 +430,21 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> dict | None:
 
     # copies of a candidate count once; all candidates of one span are on one side
     pool = docs.mapInArrow(run, "kind INT, y BOOLEAN, x ARRAY<DOUBLE>, span STRING").distinct().withColumn(
-        "draw", F.xxhash64(F.lit(seed), "span", "x")).withColumn("learn", F.xxhash64(F.lit(seed + 1), "span") % 2 == 0)
-    got = pool.orderBy("draw", "kind", "y", "x").limit(sample).select("kind", "y", "x", "learn").toArrow()
+        "learn", F.xxhash64(F.lit(seed + 1), "span") % 2 == 0)
+    if sample is None:
+        return _train_all(pool.select("kind", "y", "x", "learn"))
+    draw = F.xxhash64(F.lit(seed), "span", "x")
+    got = pool.orderBy(draw, "kind", "y", "x").limit(sample).select("kind", "y", "x", "learn").toArrow()
     if got.num_rows < 4 * MIN_LEAF:
         return None
     x, y = np.array(got.column("x").to_pylist()), got.column("y").to_numpy(zero_copy_only=False).astype(float)
-    kind = got.column("kind").to_numpy()
+    kind = got.column("kind").to_numpy().astype(np.int64)
     learn = got.column("learn").to_numpy(zero_copy_only=False)
     if learn.sum() < 2 * MIN_LEAF or learn.all():
         return None
     model = BoostedTrees.fit(x[learn], y[learn])
-    p, truth, kind = model.predict(x[~learn]), y[~learn], kind[~learn]
-    cuts = {}
-    for k in range(len(KINDS)):
-        mine = kind == k
-        order = np.argsort(-p[mine], kind="stable")
-        s, t = p[mine][order], truth[mine][order]
-        good = np.flatnonzero(np.cumsum(t) >= PRECISION * np.arange(1, len(t) + 1)) if 0 < t.sum() < len(t) else []
-        cuts[k] = max(0.5, float(s[good[-1]])) if len(good) else UNCALIBRATED
-    return {"trees": model, "cuts": cuts}
+    counts = _score_counts(model, kind[~learn], x[~learn], y[~learn], np.ones((~learn).sum()))
+    return {"trees": model, "cuts": _cuts(counts.reshape(len(KINDS), GRID + 1, 2))}
 
 
 def find(text: str, model: dict | None) -> tuple[list, list]:

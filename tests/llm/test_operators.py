@@ -383,6 +383,35 @@ def test_pii_training_draw_counts_copies_once(make_docs, monkeypatch):
     assert sum(x[1] == 3 for x in number) <= 1
 
 
+def test_pii_learns_from_all_candidates(make_docs, monkeypatch):
+    def rounds(k):
+        if k % 3 == 0:
+            return f"mail a{k}@example.com or 206-555-{k % 10000:04} about page {k} of {k % 7}.{k % 11}"
+        return f"password = {hashlib.sha256(str(k).encode()).hexdigest()[:6 + k % 9]} colour: shade{k} paid $ {k}.{k % 100:02}"
+    docs = id_and_text(make_docs([(k, rounds(k)) for k in range(9000)]))
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    seen, boost = [], pii.BoostedTrees.boost.__func__
+
+    def watched(cls, share, sums):
+        def kept(model, tree, level):
+            seen.append(sums(model, tree, level))
+            return seen[-1]
+        return boost(cls, share, kept)
+    monkeypatch.setattr(pii.BoostedTrees, "boost", classmethod(watched))
+    model = pii.train(docs)
+    # all distinct candidates of the learning half, the others calibrate
+    found = {(k, y, tuple(pii.describe(rounds(i), k, a, b)), rounds(i)[a:b]) for i in range(9000)
+             for k, a, b, y in pii.candidates(rounds(i)) if y is not None}
+    assert len(found) > 20_000
+    learnt = int(seen[0].reshape(-1, pii.BINS, 3)[0, :, 2].sum())
+    assert 0.45 * len(found) < learnt < 0.55 * len(found)
+    # the distributed sums give the trees and thresholds of the same rows at once
+    once = pii.train(docs, sample=10**6)
+    for name in ("feature", "cut", "value"):
+        assert np.array_equal(getattr(model["trees"], name), getattr(once["trees"], name))
+    assert model["cuts"] == once["cuts"] and len(model["trees"].value) == 3
+
+
 def test_pii_model_and_redaction(make_docs, edge_docs, no_docs):
     rows = [(i, f"{PII} token = \"{hashlib.sha256(str(i).encode()).hexdigest()[:40]}\" page {i} of 2.{i}") for i in range(80)]
     docs = make_docs([*rows, (900, None), (901, ""), (902, "nothing to find here")], "kind spans")
