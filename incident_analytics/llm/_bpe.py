@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
 
+from ._text import gather
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
@@ -36,56 +39,73 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.pieces = id_bytes(self.tokenizer)
         self.piece_size = np.array([len(x) for x in self.pieces], dtype=np.int64)
-        self.seen: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known chunks by number, and the numbers' sizes and ids."""
+        self.seen: dict[bytes, int] = {}
+        self.size, self.ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
 
     def encode(self, distinct: pa.Array, remember: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each chunk, and all ids one after the other."""
+        if not remember:
+            return self._encode_new(distinct)
         chunks = distinct.to_pylist()
-        seen = self.seen
-        found = list(map(seen.get, chunks))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if new:
-            made = self._encode_new([chunks[i] for i in new])
-            for i, ids in zip(new, made, strict=True):
-                found[i] = ids
-            if remember and len(seen) + len(new) > CACHE_CHUNKS:
-                seen.clear()
-            if remember:
-                seen.update(zip([chunks[i] for i in new[:CACHE_CHUNKS]], made, strict=False))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return sizes, np.frombuffer(b"".join(found), dtype=np.uint32)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32)
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_new(self, chunks: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(chunks)
-        joins = [i for i, c in enumerate(chunks) if len(c) > 1 and c[0] in _ASCII_SPACE and _ends_sure(c)]
-        alone = sorted(set(range(len(chunks))).difference(joins))
-        for lo in range(0, len(joins), _JOINED):
-            part = joins[lo:lo + _JOINED]
-            ids = self._ids([b"".join([chunks[i] for i in part]).decode()])[0]
-            ends = np.cumsum(np.fromiter((len(chunks[i]) for i in part), dtype=np.int64, count=len(part)))
-            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.piece_size[ids]), ends, side="right")).tolist()]
-            raw = ids.tobytes()
-            for i, a, b in zip(part, cuts, cuts[1:], strict=False):
-                out[i] = raw[a:b]
-        for lo in range(0, len(alone), _JOINED):
-            part = alone[lo:lo + _JOINED]
-            for i, ids in zip(part, self._ids([chunks[i].decode() for i in part]), strict=True):
-                out[i] = ids.tobytes()
-        return out
-
-
-_ASCII_SPACE = b" \t\n\x0b\x0c\r"
-_JOINED = 20_000  # chunks encoded at once
-
-
-def _ends_sure(chunk: bytes) -> bool:
-    """The last character is surely no white space (the rule of ``_text.chunks``)."""
-    last = chunk[-1]
-    return 32 < last < 127 or (last >= 0x80 and 0xC3 <= chunk[-2] <= 0xDF)
+        at = np.fromiter(map(self.seen.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            sizes, ids = self._encode_new(distinct.take(pa.array(new)))
+            at[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.size, self.ids = np.append(self.size, sizes), np.append(self.ids, ids)
+        sizes = self.size[at]
+        ids = self.ids[gather((np.cumsum(self.size) - self.size)[at], sizes)]
+        if len(self.size) > CACHE_CHUNKS:
+            self._forget()
+        elif len(new):
+            self.seen.update(zip([chunks[i] for i in new.tolist()], at[new].tolist(), strict=True))
+        return sizes, ids
+
+    def _ids(self, data: np.ndarray, edges: list[int], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between the edges, and their numbers; so many texts are Python objects at a time."""
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for lo in range(0, len(edges) - 1, at_once):
+            texts = [data[a:b].tobytes().decode() for a, b in pairwise(edges[lo:lo + at_once + 1])]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
+            ids.append(np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_new(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(distinct)
+        at = np.frombuffer(distinct.buffers()[1], dtype=np.int64)[distinct.offset:distinct.offset + n + 1]
+        raw = distinct.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        length = np.diff(at)
+        joined = np.zeros(n, dtype=bool)
+        some = np.flatnonzero(length > 1)
+        last, before = data[at[some + 1] - 1], data[at[some + 1] - 2]
+        # the last character is surely no white space (the rule of ``_text.chunks``)
+        sure = (last > 32) & (last < 127) | (last >= 0x80) & (before >= 0xC3) & (before <= 0xDF)
+        joined[some] = _ASCII_SPACE[data[at[some]]] & sure
+        together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        sizes = np.zeros(n, dtype=np.int64)
+        ends = np.cumsum(length[together])
+        ids, _ = self._ids(data[gather(at[together], length[together])], [0, *ends[_JOINED - 1:-1:_JOINED].tolist(), *ends[-1:].tolist()],
+                           _AT_ONCE // _JOINED)
+        sizes[together] = np.diff(np.searchsorted(np.cumsum(self.piece_size[ids]), ends, side="right"), prepend=0)
+        ends = np.cumsum(length[alone])
+        others, sizes[alone] = self._ids(data[gather(at[alone], length[alone])], [0, *ends.tolist()], _AT_ONCE)
+        # back in the chunks' order
+        starts = np.empty(n, dtype=np.int64)
+        order = np.concatenate([together, alone])
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return sizes, np.concatenate([ids, others])[gather(starts, sizes)]
+
+
+_ASCII_SPACE = np.zeros(256, dtype=bool)
+_ASCII_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_JOINED = 500  # chunks encoded as one text
+_AT_ONCE = 20_000  # chunks whose ids are Python objects at a time
 
 
 @lru_cache(maxsize=4)

@@ -55,6 +55,22 @@ def test_token_files_round_trip(spark, edge_docs, tokenizer):
     assert len(got) == len(EDGE)
 
 
+def test_chunk_encoder_ids_with_and_without_memory(tokenizer, monkeypatch):
+    from incident_analytics.llm import _bpe
+    r = random.Random(12)
+    odd = ["\u3000wide", " a\u2003", " caf\u00e9", "\n\n", " ", "x", " <|endoftext|>", "\u6f22", " \u03bb", " 12'34"]
+    want = lambda c: tokenizer.encode(c.decode(), add_special_tokens=False).ids
+    monkeypatch.setattr(_bpe, "CACHE_CHUNKS", 2500)
+    made = _bpe.ChunkEncoder(_bpe.tokenizer_path())
+    for k in range(4):  # known, new and forgotten chunks
+        chunks = [c.encode() for c in {*r.sample(odd, k * 3), *(f" word{r.randrange(3000)}" for _ in range(1300 * (k > 0)))}]
+        for remember in (True, False):
+            sizes, ids = made.encode(pa.array(chunks, pa.large_binary()), remember)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])][:len(chunks)] == [want(c) for c in chunks]
+            # ids are kept as numbers, not as an object for each chunk
+            assert made.ids.dtype == ids.dtype == np.uint32 and len(made.seen) <= len(made.size) <= 2500
+
+
 def test_token_files_empty(spark, no_docs):
     path = token_files.write_token_files(no_docs, scratch_path(spark, "t"))
     assert token_files.read_token_files(spark, path).count() == 0
