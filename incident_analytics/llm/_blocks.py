@@ -16,6 +16,7 @@ Buckets and blocks are bounded whatever the keys' skew: a word in a third of
 all places is one entry per block. Both messages are made from the same scan
 of the input, which must give the same rows in the same order twice (a table
 or a written intermediate); a digest per block raises if it does not.
+``rows_and_messages`` makes both from one scan, for a written intermediate.
 """
 
 from __future__ import annotations
@@ -110,25 +111,37 @@ _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("digest", pa.int64()), ("doc_
                            ("per_text", pa.list_(pa.int32())), ("codes", pa.binary())])
 
 
+def _pieces(b: Block, buckets: int, weight: str | None) -> Iterator[dict]:
+    """The block's distinct pieces with their counts, a message for each bucket."""
+    times = np.ones(len(b.per_text)) if weight is None else b.extra.column(weight).to_numpy(zero_copy_only=False)
+    counts = np.bincount(b.codes, weights=np.repeat(times, b.per_text),
+                         minlength=len(b.bucket_of)).astype(np.uint32)
+    digest = b.digest
+    edges = np.searchsorted(b.bucket_of, np.arange(buckets + 1))
+    sizes = np.diff(b.offsets)
+    for k in range(buckets):
+        lo, hi = int(edges[k]), int(edges[k + 1])
+        if lo < hi:
+            yield {"block": b.block, "bucket": k, "n": hi - lo, "digest": digest,
+                   "pieces": squeeze(b.data[b.offsets[lo]:b.offsets[hi]]),
+                   "sizes": shrink(sizes[lo:hi].astype(np.uint32)),
+                   "counts": shrink(counts[lo:hi])}
+
+
+def _row(b: Block, weight: str | None) -> dict:
+    """The block's documents and coded pieces."""
+    row = {"block": b.block, "digest": b.digest, "doc_ids": b.doc_ids.to_pylist(),
+           "per_text": b.per_text.tolist(), "codes": shrink(b.codes)}
+    return row if weight is None else {**row, "weights": b.extra.column(weight).to_pylist()}
+
+
 def piece_messages(docs: DataFrame, cut, buckets: int, weight: str | None = None) -> DataFrame:
     """(block, bucket, pieces, sizes, counts); a column of weights, if named, says
     how often a text counts (default: once)."""
     def run(batches):
         for b in _blocks(batches, cut, buckets):
-            times = np.ones(len(b.per_text)) if weight is None else b.extra.column(weight).to_numpy(zero_copy_only=False)
-            counts = np.bincount(b.codes, weights=np.repeat(times, b.per_text),
-                                 minlength=len(b.bucket_of)).astype(np.uint32)
-            digest = b.digest
-            edges = np.searchsorted(b.bucket_of, np.arange(buckets + 1))
-            sizes = np.diff(b.offsets)
-            for k in range(buckets):
-                lo, hi = int(edges[k]), int(edges[k + 1])
-                if lo < hi:
-                    yield pa.RecordBatch.from_pylist([{
-                        "block": b.block, "bucket": k, "n": hi - lo, "digest": digest,
-                        "pieces": squeeze(b.data[b.offsets[lo]:b.offsets[hi]]),
-                        "sizes": shrink(sizes[lo:hi].astype(np.uint32)),
-                        "counts": shrink(counts[lo:hi])}], schema=_MESSAGES)
+            for message in _pieces(b, buckets, weight):
+                yield pa.RecordBatch.from_pylist([message], schema=_MESSAGES)
     return docs.mapInArrow(run, MESSAGES)
 
 
@@ -138,14 +151,23 @@ def block_rows(docs: DataFrame, cut, buckets: int, weight: str | None = None) ->
 
     def run(batches):
         for b in _blocks(batches, cut, buckets):
-            row = {"block": b.block, "digest": b.digest, "doc_ids": b.doc_ids.to_pylist(),
-                   "per_text": b.per_text.tolist(), "codes": shrink(b.codes)}
-            if weight is not None:
-                row["weights"] = b.extra.column(weight).to_pylist()
-            yield pa.RecordBatch.from_pylist([row], schema=schema)
+            yield pa.RecordBatch.from_pylist([_row(b, weight)], schema=schema)
     return docs.mapInArrow(run, BLOCKS if weight is None else BLOCKS + ", weights ARRAY<INT>")
 
 
+def rows_and_messages(docs: DataFrame, cut, buckets: int, weight: str) -> DataFrame:
+    """``piece_messages`` and, with a null bucket, ``block_rows`` from one scan, to be written and read twice."""
+    schema = pa.schema([*_MESSAGES, *[f for f in _BLOCK_SCHEMA if f.name not in ("block", "digest")],
+                        ("weights", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for b in _blocks(batches, cut, buckets):
+            yield pa.RecordBatch.from_pylist([_row(b, weight)], schema=schema)
+            for message in _pieces(b, buckets, weight):
+                yield pa.RecordBatch.from_pylist([message], schema=schema)
+    return docs.mapInArrow(run, MESSAGES + ", doc_ids ARRAY<LONG>, per_text ARRAY<INT>, codes BINARY, weights ARRAY<INT>")
+
+
 def bucket_pieces(table: pa.Table) -> tuple[np.ndarray, pa.Array, list[int]]:
     """Of one bucket's messages: codes of all entries into the bucket's distinct
     pieces, those pieces, and the number of entries of each message."""

@@ -17,7 +17,8 @@ the counts of a level's sequences (context and next token): each block sends
 its distinct ones once, to ``GRAM_BUCKETS`` buckets a partition of the input,
 and gets back those that occur often enough. A sequence is only counted if its
 context and its suffix are, which loses none. What the contexts give to stored
-tokens meets in the same way, in buckets of contexts. The messages of a level
+tokens meets in the same way, in buckets of contexts; a stored sequence is sent
+by one of its blocks, which the bucket named with its count. The messages of a level
 are deleted when they are answered.
 
 Defined results: null and empty texts are the end token alone; a null id
@@ -53,10 +54,10 @@ def _lower_words(data, at):
     return words(data, at, lower=True)
 
 
-_VALUES = "block LONG, bucket INT, digest LONG, counts BINARY, frequent BINARY, hashes BINARY, known LONG"
+_VALUES = "block LONG, bucket INT, digest LONG, counts BINARY, hashes BINARY, known LONG"
 _VALUE_SCHEMA = pa.schema([
     ("block", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("counts", pa.binary()),
-    ("frequent", pa.binary()), ("hashes", pa.binary()), ("known", pa.int64())])
+    ("hashes", pa.binary()), ("known", pa.int64())])
 
 
 def _bucket_counts(key, group):
@@ -76,21 +77,22 @@ def _bucket_counts(key, group):
         from_ += n
         made.append({"block": row["block"], "bucket": row["bucket"], "digest": row["digest"],
                      "counts": _blocks.shrink(total[mine].astype(np.uint64)),
-                     "frequent": np.flatnonzero(often[mine]).astype(np.uint32).tobytes(),
                      "hashes": hashes[mine][often[mine]].tobytes()})
     return pa.Table.from_pylist(made, schema=_VALUE_SCHEMA)
 
 
-# a block's texts: coded words, and each distinct word's hash and count in training
+# a block's texts: coded words, and the codes' counts in training. Words that can be in a sequence
+# are coded in the order of their hashes, which are there too; the others by their counts behind them
 _STATE = "block LONG, doc_ids ARRAY<LONG>, per_text BINARY, train BINARY, codes BINARY, hashes BINARY, counts BINARY"
 _STATE_SCHEMA = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                            *[(c, pa.binary()) for c in ("per_text", "train", "codes", "hashes", "counts")]])
 # what a step makes of a block, by bucket: its sequences to be counted, its stored sequences, its contexts
 _GRAMS, _STORED, _CONTEXTS = range(3)
-_STEP = "kind INT, level INT, block LONG, bucket INT, keys BINARY, grams BINARY, ns BINARY"
+_STEP = "kind INT, level INT, block LONG, bucket INT, keys BINARY, ns BINARY"
 _STEP_SCHEMA = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()),
-                          *[(c, pa.binary()) for c in ("keys", "grams", "ns")]])
-# a bucket's answer: places among what the block sent of the kind, with the sequences' counts or what the contexts gave to stored tokens
+                          *[(c, pa.binary()) for c in ("keys", "ns")]])
+# a bucket's answer: places among what the block sent of the kind, with twice the sequences' counts, plus one for
+# the one block that sends the sequence on if it is stored, or what the contexts gave to stored tokens
 _ANSWER = "kind INT, level INT, block LONG, bucket INT, at BINARY, ns BINARY"
 _ANSWER_SCHEMA = pa.schema([("kind", pa.int32()), ("level", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()),
                             ("at", pa.binary()), ("ns", pa.binary())])
@@ -137,19 +139,19 @@ class _Levels:
         n = _blocks.grow(state["per_text"], np.int64)
         codes, ends = _blocks.grow(state["codes"], np.uint32), np.cumsum(n)
         counts = _blocks.grow(state["counts"], np.uint64).astype(np.int64)
-        often = counts >= MIN_COUNT
+        words = _keys_of(state["hashes"])
         self.level, self.buckets = 0, buckets
         self.per_text = n + 1
         self.first = np.cumsum(self.per_text) - self.per_text
         seen = np.insert(counts[codes], ends, sums["docs"])
         self.p = self.zero = (seen + 1.0) / (sums["total"] + sums["known"] + 1)
         self.known = seen > 0
-        hashes = np.append(np.frombuffer(state["hashes"], dtype=np.uint64)[often], _END)
-        self.keys, one, place = np.unique(hashes, return_index=True, return_inverse=True)
-        self.counts = np.append(counts[often], sums["docs"])[one]
-        of_word = np.full(len(counts), -1, dtype=np.int32)
-        of_word[often] = place[:-1]
-        self.end = place[-1] if sums["docs"] >= MIN_COUNT else -1
+        end = int(np.searchsorted(words, _END))
+        self.keys, self.counts = np.insert(words, end, _END), np.insert(counts[:len(words)], end, sums["docs"])
+        of_word = np.arange(len(counts), dtype=np.int32)
+        of_word[end:] += 1
+        of_word[len(words):] = -1
+        self.end = end if sums["docs"] >= MIN_COUNT else -1
         self.code = np.insert(of_word[codes], ends, self.end)
         self.words, self.word = self.keys, self.code
 
@@ -170,8 +172,9 @@ class _Levels:
     def count(self, answers: list[dict]) -> None:
         """The sequences' counts in training from the buckets' answers (less than MIN_COUNT: none)."""
         n = _spread(answers, self.sent, self.buckets)
+        n, mine = n >> 1, n & 1
         often = n >= MIN_COUNT
-        self.keys, self.counts = self.sent[often], n[often]
+        self.keys, self.counts, self.mine = self.sent[often], n[often], mine[often]
         place = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
         self.code = np.full(len(self.p), -1, dtype=np.int32)
         self.code[self.alive] = place[self.of]
@@ -204,12 +207,14 @@ class _Levels:
         return self._by_bucket(_GRAMS, block, self.sent, ns=n)
 
     def retained(self, block: int) -> list[dict]:
-        """The block's contexts, and its stored sequences by context."""
-        _, one = np.unique(self.code[self.stored], return_index=True)
-        at = self.stored[one]
-        at = at[np.argsort(self.context[at], kind="stable")]
-        stored = self._by_bucket(_STORED, block, self.contexts[self.context[at]], grams=self.keys[self.code[at]],
-                                 ns=self.counts[self.code[at]].astype(np.uint64))
+        """The block's contexts, and what contexts gave to the stored sequences that it sends on."""
+        context = np.full(len(self.keys), -1, dtype=np.int64)
+        context[self.code[self.stored]] = self.context[self.stored]
+        one = np.flatnonzero((context >= 0) & (self.mine > 0))
+        given = np.zeros(len(self.contexts), dtype=np.uint64)
+        np.add.at(given, context[one], self.counts[one].astype(np.uint64))
+        some = np.flatnonzero(given)
+        stored = self._by_bucket(_STORED, block, self.contexts[some], ns=given[some])
         return stored + self._by_bucket(_CONTEXTS, block, self.contexts[self.used])
 
 
@@ -224,9 +229,14 @@ def _counted(rows: list[dict]) -> pa.Table:
     """Counts of a bucket's sequences, for each message those that reach MIN_COUNT."""
     sent = [_keys_of(r["keys"]) for r in rows]
     keys, of = np.unique(np.concatenate(sent), return_inverse=True)
-    total = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint32) for r in rows]), minlength=len(keys))[of]
+    total = 2 * np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint32) for r in rows]),
+                            minlength=len(keys)).astype(np.int64)[of]
+    # a sequence is in a message once: any one of its messages
+    one = np.empty(len(keys), dtype=np.int64)
+    one[of] = np.arange(len(of))
+    total[one] += 1
     parts = np.split(total, np.cumsum([len(s) for s in sent])[:-1])
-    at = [np.flatnonzero(n >= MIN_COUNT) for n in parts]
+    at = [np.flatnonzero(n >= 2 * MIN_COUNT) for n in parts]
     return _answers(rows, at, [n[i] for n, i in zip(parts, at, strict=True)])
 
 
@@ -235,9 +245,8 @@ def _given(rows: list[dict]) -> pa.Table:
     stored, wanted = [r for r in rows if r["kind"] == _STORED], [r for r in rows if r["kind"] == _CONTEXTS]
     if not stored:
         return _ANSWER_SCHEMA.empty_table()
-    _, one = np.unique(np.concatenate([_blocks.grow(r["grams"], np.uint64) for r in stored]), return_index=True)
-    keys, of = np.unique(np.concatenate([_keys_of(r["keys"]) for r in stored])[one], return_inverse=True)
-    given = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint64) for r in stored])[one])
+    keys, of = np.unique(np.concatenate([_keys_of(r["keys"]) for r in stored]), return_inverse=True)
+    given = np.bincount(of, weights=np.concatenate([_blocks.grow(r["ns"], np.uint64) for r in stored]))
     places, ns = [], []
     for r in wanted:
         mine = _keys_of(r["keys"])
@@ -289,23 +298,25 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
     buckets = _blocks.bucket_count(rows)
     gram_buckets = max(8, GRAM_BUCKETS * rows.rdd.getNumPartitions())
     marked = rows.withColumn("train", (~held_out).cast("int"))
-    messages = _blocks.piece_messages(marked, _lower_words, buckets, "train")
+    cut = written(_blocks.rows_and_messages(marked, _lower_words, buckets, "train"), "suffix-cut")
+    messages = cut.where("bucket IS NOT NULL").select("block", "bucket", "n", "digest", "pieces", "sizes", "counts")
     values = written(messages.groupBy("bucket").applyInArrow(_bucket_counts, _VALUES), "suffix-words")
     known = values.where("block = -1").agg(F.sum("known")).first()[0] or 0
     sums = {"total": n_words + n_docs, "docs": n_docs, "known": known + (n_docs > 0)}
 
     def begin(row, parts):
-        counts = [_blocks.grow(p["counts"], np.uint64) for p in parts]
-        hashes = np.zeros(sum(map(len, counts)), dtype=np.uint64)
-        at = 0
-        for p, c in zip(parts, counts, strict=True):
-            hashes[np.frombuffer(p["frequent"], dtype=np.uint32) + at] = np.frombuffer(p["hashes"], dtype=np.uint64)
-            at += len(c)
+        none = np.zeros(0, np.uint64)
+        counts = np.concatenate([none, *[_blocks.grow(p["counts"], np.uint64) for p in parts]])
+        hashes = np.concatenate([none, *[np.frombuffer(p["hashes"], dtype=np.uint64) for p in parts]])
+        often, order = np.flatnonzero(counts >= MIN_COUNT), np.argsort(hashes)
+        number = (len(often) + counts).astype(np.uint32)
+        number[often[order]] = np.arange(len(often))
         yield pa.RecordBatch.from_pylist([{
-            "block": row["block"], "doc_ids": row["doc_ids"], "hashes": hashes.tobytes(), "codes": row["codes"],
+            "block": row["block"], "doc_ids": row["doc_ids"], "hashes": _steps_of(hashes[order]),
+            "codes": _blocks.shrink(number[_blocks.grow(row["codes"], np.uint32)]),
             "per_text": _blocks.shrink(np.array(row["per_text"], dtype=np.int64)),
             "train": np.array(row["weights"], dtype=np.uint8).tobytes(),
-            "counts": _blocks.shrink(np.concatenate([np.zeros(0, np.uint64), *counts]))}], schema=_STATE_SCHEMA)
+            "counts": _blocks.shrink(np.append(counts[often[order]], np.arange(MIN_COUNT, dtype=np.uint64)))}], schema=_STATE_SCHEMA)
 
     def pairs(batches):
         for batch in batches:
@@ -332,8 +343,9 @@ def suffix_tree_scores(docs: DataFrame, held_out, doc_id: str = "doc_id", text:
             pa.array(total(np.log10(levels.p)))],
             names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    state = written(_blocks.joined(_blocks.block_rows(marked, _lower_words, buckets, "train"), values.where("block >= 0").select(
-        "block", "bucket", "digest", "counts", "frequent", "hashes"), begin, _STATE), "suffix-blocks", drop=[values])
+    blocks = cut.where("bucket IS NULL").select("block", "digest", "doc_ids", "per_text", "codes", "weights")
+    state = written(_blocks.joined(blocks, values.where("block >= 0").select("block", "bucket", "digest", "counts", "hashes"),
+                                   begin, _STATE), "suffix-blocks", drop=[values, cut])
     answers = [written(_meet(state.mapInArrow(pairs, _STEP)), "suffix-answers")]  # pairs wait for no answers
     for level in range(1, DEPTH + 1):
         steps = written(_by_block(state, answers, level, sums, gram_buckets, _STEP, step, False), "suffix-steps")

@@ -252,6 +252,20 @@ def test_suffix_tree_equals_brute_force(spark, make_docs):
     assert got == {i: pytest.approx(s, rel=1e-9) for i, s in want.items()}
 
 
+def test_suffix_tree_one_block_sends_a_sequence_on():
+    from incident_analytics.llm import _blocks
+    sent = [np.array(sorted(k), dtype=np.uint64) for k in ([3, 9, 2**60], [9, 11, 2**60], [9])]
+    rows = [{"kind": 0, "level": 1, "block": b, "bucket": 0, "keys": suffix_tree._steps_of(k),
+             "ns": _blocks.shrink(np.ones(len(k), dtype=np.uint32))} for b, k in enumerate(sent)]
+    senders, counts = {9: 0, 2**60: 0}, {}
+    for a in suffix_tree._counted(rows).to_pylist():
+        keys, ns = sent[a["block"]][_blocks.grow(a["at"], np.uint32)], _blocks.grow(a["ns"], np.uint64)
+        for k, n in zip(keys.tolist(), ns.tolist(), strict=True):
+            senders[k] += n & 1
+            counts[k] = n >> 1
+    assert counts == {9: 3, 2**60: 2} and senders == {9: 1, 2**60: 1}
+
+
 def test_suffix_tree_contexts_need_no_share(make_docs):
     # 6 occurrences among 600,000 tokens
     rows = [(i, "omega psi chi") for i in range(6)] + [(1000 + i, "f " * 6000) for i in range(100)] + [(5000, "omega psi chi")]
