@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from ._fit import sigmoid
 from ._io import id_and_text, table, written
 from ._ship import ship
+from ._text import slices
 
 PRECISION = 0.99
 UNCALIBRATED = 0.99
@@ -48,6 +49,7 @@ ROUNDS, DEPTH, RATE, MIN_LEAF, BINS = 40, 3, 0.3, 10, 32
 GRID = 1 << 13
 SCALE = 2.0**24  # gradients and leaves are multiples of 1 / SCALE, so their sums are exact in any order
 RUN = 1 << 14
+SLICE_BYTES = 2 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -280,11 +282,15 @@ class BoostedTrees:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         tree, leaves = np.arange(len(self.value)), 2**DEPTH - 1
-        at = np.zeros((len(x), len(tree)), int)
-        row = np.arange(len(x))[:, None]
-        for _ in range(DEPTH):
-            at = 2 * at + 1 + (x[row, self.feature[tree, at]] > self.cut[tree, at])
-        return sigmoid(self.bias + self.value[tree, at - leaves].sum(axis=1))
+        total = np.full(len(x), self.bias)
+        for lo in range(0, len(x), RUN):  # bounds the places of rows in all trees
+            part = x[lo:lo + RUN]
+            at = np.zeros((len(part), len(tree)), int)
+            row = np.arange(len(part))[:, None]
+            for _ in range(DEPTH):
+                at = 2 * at + 1 + (part[row, self.feature[tree, at]] > self.cut[tree, at])
+            total[lo:lo + RUN] += self.value[tree, at - leaves].sum(axis=1)
+        return sigmoid(total)
 
 
 QUANTILES = np.linspace(0, 1, BINS + 1)[1:-1]
@@ -417,8 +423,8 @@ def train(docs: DataFrame, sample: int | None = None, seed: int = 3) -> dict | N
     ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for text in batch.column("text"):
+        for part in _parts(batches, "text"):
+            for text in part.column("text"):
                 text = text.as_py()
                 rows = [(KINDS.index(k), bool(y), describe(text, k, a, b), text[a:b]) for k, a, b, y in candidates(text)
                         if y is not None]
@@ -469,16 +475,23 @@ def find(text: str, model: dict | None) -> tuple[list, list]:
     return base, sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _parts(batches, text: str):
+    """Slices of the batches; at the end an idle worker gives unused memory back."""
+    for batch in batches:
+        yield from slices(batch, text, SLICE_BYTES)
+    pa.default_memory_pool().release_unused()
+
+
 def find_spans(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, base, spans): spans as arrays of (kind, start, end), in code points."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for batch in batches:
-            found = [find(t.as_py(), model) for t in batch.column("text")]
+        for part in _parts(batches, "text"):
+            found = [find(t.as_py(), model) for t in part.column("text")]
             rows = [[[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in both] for both in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)],
+                [part.column("doc_id"), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)],
                 names=["doc_id", "base", "spans"])
 
     span = "ARRAY<STRUCT<kind: STRING, start: INT, end: INT>>"
@@ -493,16 +506,16 @@ def redact(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame
     where = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for part in _parts(batches, text):
             out = []
-            for t in batch.column(where):
+            for t in part.column(where):
                 t, at, parts = t.as_py(), 0, []
                 for k, a, b in find(t, model)[1] if t else []:
                     if a >= at:
                         parts += [t[at:a], f"[{k}]"]
                     at = max(at, b)
                 out.append("".join([*parts, t[at:]]) if parts else t)
-            yield batch.set_column(where, batch.schema.field(where), pa.array(out, batch.schema.field(where).type))
+            yield part.set_column(where, part.schema.field(where), pa.array(out, part.schema.field(where).type))
     return docs.mapInArrow(run, schema)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+from incident_analytics.llm import pii
 from incident_analytics.llm._bpe import tokenizer_path
 from incident_analytics.llm._io import written
 from incident_analytics.session import scratch_path
@@ -69,3 +70,24 @@ def test_stages_equal_brute_force(spark, make_docs):
         want[x["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))] += 1
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
     assert Counter(map(tuple, got)) == want
+
+
+def test_redaction_learns_from_all_candidates(spark, make_docs, monkeypatch):
+    text = lambda k: (f"mail reader{k}@example.com about page {k} of {k % 7}.{k % 11}, paid $ {k}.{k % 100:02} "
+                      f"with password = code{k * 7919} shown")
+    rows = [(k, text(k)) for k in range(7000)]
+    found = {(k, y, tuple(pii.describe(t, k, a, b)), t[a:b]) for _, t in rows for k, a, b, y in pii.candidates(t) if y is not None}
+    assert len(found) > 20_000
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    learnt, boost = [], pii.BoostedTrees.boost.__func__
+
+    def watched(cls, share, sums):
+        def kept(model, tree, level):
+            learnt.append(sums(model, tree, level))
+            return learnt[-1]
+        return boost(cls, share, kept)
+    monkeypatch.setattr(pii.BoostedTrees, "boost", classmethod(watched))
+    out = dict(corpus_pipeline.STAGES)["pii"](spark, make_docs(rows), "").where("doc_id = 5").collect()
+    assert out[0]["text"].startswith("mail [email] about page 5")
+    # half of the spans learn, the other half calibrates
+    assert 0.45 * len(found) < learnt[0].reshape(-1, pii.BINS, 3)[0, :, 2].sum() < 0.55 * len(found)
