@@ -42,7 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids in order joined by commas, and the decoded text."""
-    return bpe_table.decode_documents(bpe_table.encode_documents(docs), digests=True)
+    # written in between: a task with two Python steps has two Python workers, and idle ones stay with the executor
+    ids = written(bpe_table.encode_documents(docs), "pipeline-ids")
+    return bpe_table.decode_documents(ids, digests=True)
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", dedup), ("pii", redact), ("mixing", mix), ("bpe", tokens)]

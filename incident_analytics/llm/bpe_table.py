@@ -117,6 +117,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None, digests:
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(texts, pa.string())],
                                                      names=["doc_id", "n_tokens", "text"])
+        pa.default_memory_pool().release_unused()  # an idle worker gives it back
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id LONG, n_tokens LONG, " + ("ids_sha256 STRING, decoded_sha256 STRING" if digests else "text STRING"))
 

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from incident_analytics.llm import pii
+from incident_analytics.llm import bpe_table, pii
 from incident_analytics.llm._bpe import tokenizer_path
 from incident_analytics.llm._io import written
 from incident_analytics.session import scratch_path
@@ -91,3 +91,11 @@ def test_redaction_learns_from_all_candidates(spark, make_docs, monkeypatch):
     assert out[0]["text"].startswith("mail [email] about page 5")
     # half of the spans learn, the other half calibrates
     assert 0.45 * len(found) < learnt[0].reshape(-1, pii.BINS, 3)[0, :, 2].sum() < 0.55 * len(found)
+
+
+def test_tokens_have_one_python_step_a_task(spark, make_docs):
+    docs = make_docs(_rows())
+    out = dict(corpus_pipeline.STAGES)["bpe"](spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("InArrow") == 1
+    both = bpe_table.decode_documents(bpe_table.encode_documents(docs), digests=True)
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, both.collect()))
